@@ -493,6 +493,16 @@ ORACLES: dict[str, str] = {
                    AS snippet
         FROM closest JOIN points USING (id)""",
     ),
+    "knn_graph": _with(
+        "vectors",
+        f""", {_UNIT.format("vectors")},
+        pairs AS (SELECT a.id, b.id AS neighbour,
+                         list_dot_product(a.embedding, b.embedding) AS sim
+                  FROM unit a JOIN unit b ON a.id <> b.id),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, neighbour) AS k
+                   FROM pairs)
+        SELECT id, k::INT AS rank, neighbour, {_r("sim", "sim", 4)} FROM ranked WHERE k <= 5""",
+    ),
     "select_region": _with(
         "points",
         f"""

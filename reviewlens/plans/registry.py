@@ -9,7 +9,16 @@ from pyspark.sql import functions as F
 
 from reviewlens.functions.scalars import title_key
 from reviewlens.operators import embeddings as emb
-from reviewlens.operators import filters, keywords, normalise, projection, ratings, timesplit, words
+from reviewlens.operators import (
+    filters,
+    keywords,
+    neighbours,
+    normalise,
+    projection,
+    ratings,
+    timesplit,
+    words,
+)
 from reviewlens.plans import bridges
 from reviewlens.sources import pages, tables
 from reviewlens.storage import scratch_path
@@ -362,7 +371,7 @@ def _crawled(spark: SparkSession, folder: str) -> DataFrame:
     """Source B under crawl headers, all strings, some of them bad."""
     return bridges.source_b(spark, folder).select(
         F.concat(F.lit("w"), F.col("id") % 97).alias("작성자ID"),
-        F.when(F.col("id") % 11 == 0, "?").otherwise(F.col("star_rating")).alias("별점"),
+        F.when(F.col("id") % 11 == 0, "?").otherwise(F.col("star_rating").cast("string")).alias("별점"),
         F.col("comment").alias("내용"),
         F.date_format("writing_date", "yyyyMMdd").alias("작성일자"),
         F.col("upvote").cast("string").alias("공감수"),
@@ -432,6 +441,11 @@ def representatives(df: DataFrame) -> DataFrame:
     return emb.representatives(emb.l2_normalize(df), filters.in_region(*REGION))
 
 
+@register("knn_graph", bridges.vectors)
+def knn_graph(df: DataFrame) -> DataFrame:
+    return rounded(neighbours.knn_graph(df, k=5, block_rows=256), 4)
+
+
 @register("select_region", bridges.points)
 def select_region(df: DataFrame) -> DataFrame:
     region = filters.select_region(df, *REGION)
