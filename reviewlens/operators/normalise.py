@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,17 +35,16 @@ def simple_analyser() -> Analyser:
 def analyse(text: Column, make_analyser: Callable[[], Analyser] = simple_analyser) -> Column:
     """The analysed tokens of a text. The analyser is made once per task, not per row."""
 
-    @F.pandas_udf(ANALYSED_TOKENS)
-    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(ANALYSED_TOKENS)
+    def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         analyser = make_analyser()
         for batch in batches:
-            yield pd.Series(
-                [
-                    [{"form": f, "tag": t, "lemma": m} for f, t, m in analyser(text or "")]
-                    for text in batch
-                ],
-                dtype=object,
-            )
+            analysed = [analyser(review or "") for review in batch.to_pylist()]
+            offsets = np.cumsum([0, *map(len, analysed)], dtype=np.int32)
+            flat = [token for found in analysed for token in found]
+            columns = [pa.array([token[i] for token in flat], pa.string()) for i in range(3)]
+            structs = pa.StructArray.from_arrays(columns, ["form", "tag", "lemma"])
+            yield pa.ListArray.from_arrays(pa.array(offsets), structs)
 
     return tokens(text)
 

@@ -117,13 +117,18 @@ def _remove_by_join(
     Each distinct text is cleaned once, however many reviews copy it, and only the words of one
     text are ever brought together.
     """
-    texts = df.select(F.col(text).alias("source")).where(F.col(text).isNotNull()).distinct()
-    words = texts.select("source", F.posexplode(word_array(F.col("source"))).alias("pos", "word"))
-    kept = words.join(stopwords, "word", "left_anti")
+    # A digest stands for the text, so that words do not drag it through the shuffles.
+    key = F.unhex(F.sha2(F.col(text), 256))
+    keyed = df.withColumn("text_key", key)
+    texts = keyed.where(F.col(text).isNotNull()).select("text_key", F.col(text).alias("source"))
+    words = (
+        texts.dropDuplicates(["text_key"])
+        .select("text_key", F.posexplode(word_array(F.col("source"))).alias("pos", "word"))
+        .join(stopwords, "word", "left_anti")
+    )
     ordered = F.array_sort(F.collect_list(F.struct("pos", "word")))
-    cleaned = kept.groupBy("source").agg(
+    cleaned = words.groupBy("text_key").agg(
         F.array_join(F.transform(ordered, lambda item: item["word"]), " ").alias(output)
     )
-    joined = df.join(cleaned, df[text] == cleaned["source"], "left" if keep_empty else "inner")
-    joined = joined.drop("source")
+    joined = keyed.join(cleaned, "text_key", "left" if keep_empty else "inner").drop("text_key")
     return joined.withColumn(output, F.coalesce(output, F.lit(""))) if keep_empty else joined

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import re
+from html import unescape
+
+# A closing or opening tag with quoted attributes, a comment, or a stretch of text.
+_PIECES = re.compile(
+    r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*)>|<!--.*?-->|([^<]+|<)""", re.DOTALL
+)
+_ATTRIBUTES = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 # Elements that have no closing tag.
 VOID_TAGS = frozenset(
@@ -10,7 +17,15 @@ VOID_TAGS = frozenset(
 )
 
 
+def _attributes(tail: str) -> dict[str, str]:
+    return {
+        name.lower(): unescape(double or single or bare)
+        for name, double, single, bare in reversed(_ATTRIBUTES.findall(tail))
+    }
+
+
 def _matches(step: tuple, tag: str, attributes: dict) -> bool:
+    """Whether an element fits one step of a selector."""
     wanted_tag, conditions = step
     if wanted_tag is not None and tag != wanted_tag:
         return False
@@ -26,85 +41,69 @@ def _matches(step: tuple, tag: str, attributes: dict) -> bool:
     return True
 
 
-class _Finder(HTMLParser):
-    """Records, per field, the first element in document order that its selector matches."""
-
-    def __init__(self, fields: dict, one_root: bool):
-        super().__init__(convert_charrefs=True)
-        self.one_root = one_root
-        self.fields = fields
-        self.open_tags: list[tuple[str, dict]] = []
-        self.found: dict[str, object] = {}
-        self.collecting: dict[str, int] = {}
-        self.done = False
-
-    def _selected(self, steps: list) -> bool:
-        """Whether the innermost open element ends a match of the chain of steps."""
-        if not steps:
-            return len(self.open_tags) == 1
-        if not _matches(steps[-1], *self.open_tags[-1]):
-            return False
-        remaining = len(steps) - 2
-        for element in reversed(self.open_tags[:-1]):
-            if remaining < 0:
-                break
-            if _matches(steps[remaining], *element):
-                remaining -= 1
-        return remaining < 0
-
-    def handle_starttag(self, tag, attrs):
-        if self.done:
-            return
-        self.open_tags.append((tag, {name: value or "" for name, value in reversed(attrs)}))
-        for name, (what, steps) in self.fields.items():
-            if name not in self.found and self._selected(steps):
-                if what in ("text", "words"):
-                    self.found[name] = []
-                    self.collecting[name] = len(self.open_tags)
-                else:
-                    self.found[name] = self.open_tags[-1][1].get(what)
-        if tag in VOID_TAGS:
-            self._close()
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID_TAGS and not self.done:
-            self._close()
-
-    def handle_endtag(self, tag):
-        if any(open_tag == tag for open_tag, _ in self.open_tags):
-            while self.open_tags[-1][0] != tag:
-                self._close()
-            self._close()
-
-    def _close(self):
-        depth = len(self.open_tags)
-        for name in [n for n, start in self.collecting.items() if start == depth]:
-            del self.collecting[name]
-        self.open_tags.pop()
-        self.done = self.done or (self.one_root and not self.open_tags)
-
-    def handle_data(self, data):
-        for name in self.collecting:
-            self.found[name].append(data)
+def _selected(steps: list, path: list) -> bool:
+    """Whether the last element of a path fits the last step and its ancestors the others."""
+    if not steps:
+        return len(path) == 1
+    if not _matches(steps[-1], *path[-1]):
+        return False
+    remaining = list(steps[:-1])
+    for element in reversed(path[:-1]):
+        if remaining and _matches(remaining[-1], *element):
+            remaining.pop()
+    return not remaining
 
 
 def first_values(html: str | None, fields: dict, one_root: bool = True) -> dict:
     """Per field the attribute, or text, of the first matching element; None when there is none.
 
-    ``text`` strips each stretch of text and joins them; ``words`` joins all words by one space.
-    With ``one_root`` nothing after the end of the first element counts.
+    A field is what to take and a selector. ``text`` strips each stretch of text and joins them;
+    ``words`` joins all words by one space; any other name is an attribute. With ``one_root``
+    nothing after the end of the first element counts.
     """
-    finder = _Finder(fields, one_root)
-    finder.feed(html or "")
-    finder.close()
-    result = {}
-    for name, (what, _) in fields.items():
-        value = finder.found.get(name)
-        if isinstance(value, list):
-            if what == "words":
-                value = " ".join(" ".join(value).split())
+    values = dict.fromkeys(fields)
+    missing = dict(fields)
+    collecting: dict[str, tuple[int, list[str]]] = {}
+    path: list[tuple[str, dict]] = []
+
+    def close() -> None:
+        path.pop()
+        for name in [n for n, (depth, _) in collecting.items() if depth > len(path)]:
+            values[name] = collecting.pop(name)[1]
+
+    for closing, tag, tail, text in _PIECES.findall(html or ""):
+        if text:
+            for _, parts in collecting.values():
+                parts.append(text)
+            continue
+        tag = tag.lower()
+        if not tag:
+            continue
+        if closing:
+            if any(name == tag for name, _ in path):
+                while path[-1][0] != tag:
+                    close()
+                close()
+            if one_root and not path:
+                break
+            continue
+        path.append((tag, _attributes(tail)))
+        for name in [n for n, (_, steps) in missing.items() if _selected(steps, path)]:
+            what = missing.pop(name)[0]
+            if what in ("text", "words"):
+                collecting[name] = (len(path), [])
             else:
-                value = "".join(part.strip() for part in value)
-        result[name] = value
-    return result
+                values[name] = path[-1][1].get(what)
+        if tag in VOID_TAGS or tail.endswith("/"):
+            close()
+        if not missing and not collecting:
+            break
+    while path:
+        close()
+
+    for name, (what, _) in fields.items():
+        if isinstance(values[name], list):
+            parts = [unescape(part) for part in values[name]]
+            words = " ".join(parts).split()
+            values[name] = " ".join(words) if what == "words" else "".join(p.strip() for p in parts)
+    return values
