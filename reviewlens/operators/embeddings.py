@@ -141,12 +141,16 @@ def closest_to_centroid(df: DataFrame, selected: Column | DataFrame, k: int = 10
     return ranked.orderBy(F.desc("sim"), F.asc("id")).limit(k)
 
 
-def representatives(df: DataFrame, selected: Column | DataFrame, k: int = 10) -> DataFrame:
+def representatives(
+    df: DataFrame, reviews: DataFrame, selected: Column | DataFrame, k: int = 10
+) -> DataFrame:
     """Platform, rating, rounded similarity and snippet of the rows closest to the selection.
 
-    The columns travel with the vector, so the top rows need no join back.
+    Only vectors are ranked; the ``k`` ids found are then broadcast over ``reviews``, which holds
+    every id that has a vector.
     """
-    return closest_to_centroid(df, selected, k).select(
+    top = closest_to_centroid(df, selected, k).select("id", "sim")
+    return reviews.join(F.broadcast(top), "id").select(
         "id",
         "platform",
         "rating",

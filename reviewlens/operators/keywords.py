@@ -58,11 +58,17 @@ def keyword_rating_distribution(
         reviews.select("platform", rating_level(F.col("rating"), "truncate").alias("rating")),
         "platform",
     )
-    grid = df.sparkSession.createDataFrame(
-        [(platform, level, 0) for platform in keywords for level in RATING_LEVELS],
-        "platform string, rating int, n long",
+    platforms = F.array(*[F.lit(platform) for platform in keywords])
+    grid = (
+        df.sparkSession.range(1)
+        .select(F.explode(platforms).alias("platform"))
+        .select(
+            "platform",
+            F.explode(F.array(*[F.lit(level) for level in RATING_LEVELS])).alias("rating"),
+            F.lit(0).cast("long").alias("n"),
+        )
     )
     complete = counts.unionByName(grid).groupBy("platform", "rating").agg(F.sum("n").alias("n"))
-    order = F.array_position(F.array(*[F.lit(p) for p in keywords]), F.col("platform"))
+    order = F.array_position(platforms, F.col("platform"))
     shares = with_share(complete, "platform", zero=True)
     return shares.select(order.cast("int").alias("platform_order"), "platform", "rating", "n", "prop")

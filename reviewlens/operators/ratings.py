@@ -182,7 +182,10 @@ def rating_histogram(
 
 
 def rating_boxstats(df: DataFrame, low: float = 1.0, high: float = 10.0) -> DataFrame:
-    """Hinges, whiskers and outlier count of each platform's ratings on the axis."""
+    """Hinges, whiskers and outlier count of each platform's ratings on the axis.
+
+    A whisker ends at the last rating within 1.5 box heights of the box, and never inside the box.
+    """
     counts = rating_counts(df.where(F.col("rating").between(low, high)), "platform")
     hinges = quantiles([0.25, 0.5, 0.75]).over(Window.partitionBy("platform"))
     fence = (F.col("q")[2] - F.col("q")[0]) * 1.5
@@ -193,11 +196,15 @@ def rating_boxstats(df: DataFrame, low: float = 1.0, high: float = 10.0) -> Data
         .groupBy("platform")
         .agg(
             F.sum("n").alias("n"),
-            F.min(F.when(F.col("inside"), F.col("rating"))).alias("whisker_low"),
+            F.least(F.min(F.when(F.col("inside"), F.col("rating"))), F.max(F.col("q")[0])).alias(
+                "whisker_low"
+            ),
             F.max(F.col("q")[0]).alias("hinge_low"),
             F.max(F.col("q")[1]).alias("median"),
             F.max(F.col("q")[2]).alias("hinge_high"),
-            F.max(F.when(F.col("inside"), F.col("rating"))).alias("whisker_high"),
+            F.greatest(F.max(F.when(F.col("inside"), F.col("rating"))), F.max(F.col("q")[2])).alias(
+                "whisker_high"
+            ),
             F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("n_outliers"),
         )
     )

@@ -25,8 +25,8 @@ def quantile_date(df: DataFrame, share: float) -> DataFrame:
     days = df.where(F.col("date").isNotNull()).groupBy("date").agg(F.count(F.lit(1)).alias("n"))
     running = F.sum("n").over(Window.orderBy("date"))
     total = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    # The tolerance keeps a product such as 10 * 0.3 from passing the whole number it stands for.
-    rank = F.greatest(F.ceil(F.col("total") * F.lit(float(share)) - 1e-12), F.lit(1))
+    # The tolerance, four machine epsilons, absorbs the rounding of the product.
+    rank = F.greatest(F.ceil(F.col("total") * F.lit(float(share)) - F.lit(4 * 2.0**-52)), F.lit(1))
     return (
         days.withColumns({"running": running, "total": total})
         .where(F.col("running") >= rank)

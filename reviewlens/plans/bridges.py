@@ -89,11 +89,10 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def points(spark: SparkSession, folder: str) -> DataFrame:
-    """Vectors with two of their components as coordinates, and their review's text."""
-    placed = vectors(spark, folder).withColumns(
+    """Vectors that have a review, with two of their components as coordinates."""
+    return vectors(spark, folder).join(reviews(spark, folder), "id", "left_semi").withColumns(
         {
             "dim1": F.col("embedding")[0].cast("double"),
             "dim2": F.col("embedding")[1].cast("double"),
         }
     )
-    return placed.join(reviews(spark, folder).select("id", "text"), "id")

@@ -19,8 +19,8 @@ _VIEWS = {
     "vectors": bridges.VECTORS,
     "source_b": bridges.SOURCE_B,
     "points": """
-        SELECT v.*, v.embedding[1]::DOUBLE AS dim1, v.embedding[2]::DOUBLE AS dim2, r.text
-        FROM vectors v JOIN reviews r USING (id)""",
+        SELECT v.*, v.embedding[1]::DOUBLE AS dim1, v.embedding[2]::DOUBLE AS dim2
+        FROM vectors v SEMI JOIN reviews r USING (id)""",
     "tokens": f"""
         SELECT id, rating, unnest(regexp_extract_all(lower(text), '{_TOKEN}')) AS word
         FROM reviews""",
@@ -293,10 +293,10 @@ ORACLES: dict[str, str] = {
                    FROM kept GROUP BY platform),
         marked AS (SELECT *, rating BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside
                    FROM kept JOIN hinges USING (platform))
-        SELECT platform, max(n) AS n, {_r("min(rating) FILTER (inside)", "whisker_low")},
+        SELECT platform, max(n) AS n, {_r("least(min(rating) FILTER (inside), max(q1))", "whisker_low")},
                {_r("max(q1)", "hinge_low")}, {_r("max(q2)", "median")},
                {_r("max(q3)", "hinge_high")},
-               {_r("max(rating) FILTER (inside)", "whisker_high")},
+               {_r("greatest(max(rating) FILTER (inside), max(q3))", "whisker_high")},
                count(*) FILTER (NOT inside) AS n_outliers
         FROM marked GROUP BY platform""",
     ),
@@ -416,7 +416,7 @@ ORACLES: dict[str, str] = {
     + """
         SELECT page_id, 'ann' || place AS author, 'Line ' || place AS title,
                place::VARCHAR AS rating, body AS text
-        FROM clean WHERE place < 20 AND body <> ''""",
+        FROM clean WHERE place < 500 AND body <> ''""",
     "extract_card_reviews": _LINES
     + """
         SELECT page_id, 'w' || place AS writer_id, (place % 10 + 1)::VARCHAR AS star, body AS text,
@@ -491,7 +491,7 @@ ORACLES: dict[str, str] = {
         SELECT id, platform, rating, round_even(sim, 3) AS sim,
                CASE WHEN length(text) > 120 THEN substring(text, 1, 117) || '...' ELSE text END
                    AS snippet
-        FROM closest JOIN points USING (id)""",
+        FROM closest JOIN reviews USING (id)""",
     ),
     "knn_graph": _with(
         "vectors",

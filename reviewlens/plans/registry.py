@@ -346,7 +346,7 @@ def _saved_pages(spark: SparkSession, folder: str, review: str) -> DataFrame:
 
 @register("extract_article_reviews")
 def extract_article_reviews(spark: SparkSession, folder: str) -> DataFrame:
-    return pages.extract_article_reviews(_saved_pages(spark, folder, ARTICLE), max_reviews=20)
+    return pages.extract_article_reviews(_saved_pages(spark, folder, ARTICLE))
 
 
 @register("extract_card_reviews")
@@ -436,9 +436,10 @@ def closest_to_centroid(df: DataFrame) -> DataFrame:
     return rounded(emb.closest_to_centroid(emb.l2_normalize(df), chosen, 25), 4)
 
 
-@register("representatives", bridges.points)
-def representatives(df: DataFrame) -> DataFrame:
-    return emb.representatives(emb.l2_normalize(df), filters.in_region(*REGION))
+@register("representatives")
+def representatives(spark: SparkSession, folder: str) -> DataFrame:
+    placed = emb.l2_normalize(bridges.points(spark, folder))
+    return emb.representatives(placed, bridges.reviews(spark, folder), filters.in_region(*REGION))
 
 
 @register("knn_graph", bridges.vectors)

@@ -6,7 +6,6 @@ from pyspark.errors import AnalysisException
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from reviewlens.functions.scalars import crawl_date, strip, to_date, to_number
 from reviewlens.functions.wordlists import (
@@ -48,7 +47,11 @@ def harmonise_reviews(
     rating: str = "star_rating",
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One platform's rows in the canonical layout; vote columns it lacks become typed nulls."""
+    """One platform's rows in the canonical layout; vote columns it lacks become typed nulls.
+
+    A column that has its type already is passed on as it is, so filters on it reach the scan.
+    """
+    types = dict(df.dtypes)
 
     def votes(name: str) -> Column:
         return F.col(name).try_cast("int") if name in df.columns else F.lit(None).cast("int")
@@ -56,7 +59,7 @@ def harmonise_reviews(
     return df.select(
         F.col("id").cast("string").alias("id"),
         F.lit(platform).alias("platform"),
-        to_date(F.col(date)).alias("date"),
+        (F.col(date) if types[date] == "date" else to_date(F.col(date))).alias("date"),
         to_number(F.col(rating)).alias("rating"),
         F.col(text).alias("text"),
         votes("upvote").alias("upvote"),
@@ -172,8 +175,7 @@ def merge_stopwords(*tables: DataFrame) -> DataFrame:
 
 
 def _word_table(spark: SparkSession, words: list[str]) -> DataFrame:
-    schema = T.StructType([T.StructField("word", T.StringType())])
-    return spark.createDataFrame([(word,) for word in words], schema)
+    return spark.range(1).select(F.explode(F.array(*[F.lit(word) for word in words])).alias("word"))
 
 
 def write_reviews(
