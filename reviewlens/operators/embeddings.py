@@ -112,14 +112,29 @@ def l2_normalize(df: DataFrame) -> DataFrame:
     return df.withColumn("embedding", unit(F.col("embedding")))
 
 
-def centroid(df: DataFrame) -> DataFrame:
-    """One row: the mean vector at length one; no row for an empty table."""
+def mean_vector(df: DataFrame, branches: int = 64) -> DataFrame:
+    """One row, ``mean``: the mean of the vectors; no row for an empty table.
+
+    The partial means of all tasks meet in ``branches`` reducers first, and then in one.
+    """
     vectors = df.where(F.col("embedding").isNotNull()).select(
-        array_to_vector(F.col("embedding").cast("array<double>")).alias("vector")
+        F.pmod(F.xxhash64("id"), F.lit(branches)).alias("branch"),
+        array_to_vector(F.col("embedding").cast("array<double>")).alias("vector"),
+    )
+    partial = vectors.groupBy("branch").agg(
+        Summarizer.mean(F.col("vector")).alias("vector"),
+        F.count(F.lit(1)).cast("double").alias("n"),
     )
-    # Grouped by a constant, so that no vectors give no row; partial means are combined first.
-    mean = vectors.groupBy(F.lit(0).alias("all")).agg(Summarizer.mean(F.col("vector")).alias("mean"))
-    return mean.select(unit(vector_to_array("mean")).alias("centroid"))
+    # Grouped by a constant, so that no vectors give no row.
+    total = partial.groupBy(F.lit(0).alias("all")).agg(
+        Summarizer.mean(F.col("vector"), F.col("n")).alias("mean")
+    )
+    return total.select(vector_to_array("mean").alias("mean"))
+
+
+def centroid(df: DataFrame) -> DataFrame:
+    """One row: the mean vector at length one; no row for an empty table."""
+    return mean_vector(df).select(unit(F.col("mean")).alias("centroid"))
 
 
 def closest_to_centroid(df: DataFrame, selected: Column | DataFrame, k: int = 10) -> DataFrame:

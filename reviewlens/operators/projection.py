@@ -3,34 +3,34 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlens.functions.vectors import dot
+from reviewlens.operators.embeddings import mean_vector
 from reviewlens.storage import cut_lineage, read_if_exists
 
 
 def project_pca(df: DataFrame) -> DataFrame:
     """``id`` with the first two principal components of the centred, unscaled vectors.
 
-    Fitting passes over the data twice and keeps a dimension-by-dimension matrix; the projection
+    Fitting passes over the data a few times and keeps a dimension-by-dimension matrix; the projection
     itself is two dot products per row. The largest loading of a component is made positive.
     """
     vectors = df.where(F.col("embedding").isNotNull()).select(
         "id", F.col("embedding").cast("array<double>").alias("embedding")
     )
-    features = vectors.select(array_to_vector("embedding").alias("vector"))
-    if features.isEmpty():
+    center = mean_vector(vectors).first()
+    if center is None:
         return vectors.select("id", F.lit(0.0).alias("dim1"), F.lit(0.0).alias("dim2"))
+    features = vectors.select(array_to_vector("embedding").alias("vector"))
     model = PCA(k=2, inputCol="vector", outputCol="projected").fit(features)
-    mean = features.agg(Summarizer.mean(F.col("vector")).alias("mean")).first()["mean"].toArray()
     dimensions = []
     for loadings in model.pc.toArray().T:
         loadings = loadings * (1.0 if loadings[abs(loadings).argmax()] > 0 else -1.0)
         weights = F.array(*[F.lit(float(weight)) for weight in loadings])
-        dimensions.append(dot(F.col("embedding"), weights) - F.lit(float(mean @ loadings)))
+        dimensions.append(dot(F.col("embedding"), weights) - F.lit(float(loadings @ center["mean"])))
     return vectors.select("id", dimensions[0].alias("dim1"), dimensions[1].alias("dim2"))
 
 

@@ -9,7 +9,7 @@ from reviewlens.functions.tokens import LATIN, is_wanted, word_array
 from reviewlens.operators.filters import filter_rating
 
 # Up to this many stopwords are tested row by row inside the scan.
-INLINE_STOPWORDS = 20_000
+INLINE_STOPWORDS = 5_000
 
 
 def tokenize(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("id",)) -> DataFrame:

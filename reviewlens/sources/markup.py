@@ -17,20 +17,32 @@ VOID_TAGS = frozenset(
 )
 
 
-def _attributes(tail: str) -> dict[str, str]:
-    return {
-        name.lower(): unescape(double or single or bare)
-        for name, double, single, bare in reversed(_ATTRIBUTES.findall(tail))
-    }
+class _Element:
+    """An open element; its attributes are read when first asked for."""
 
+    __slots__ = ("tag", "tail", "read")
 
-def _matches(step: tuple, tag: str, attributes: dict) -> bool:
+    def __init__(self, tag: str, tail: str):
+        self.tag, self.tail, self.read = tag, tail, None
+
+    def attribute(self, name: str) -> str | None:
+        if self.read is None:
+            self.read = {
+                key.lower(): unescape(double or single or bare)
+                for key, double, single, bare in reversed(_ATTRIBUTES.findall(self.tail))
+            }
+        return self.read.get(name)
+
+
+def _matches(step: tuple, element: _Element) -> bool:
     """Whether an element fits one step of a selector."""
     wanted_tag, conditions = step
-    if wanted_tag is not None and tag != wanted_tag:
+    if wanted_tag is not None and element.tag != wanted_tag:
+        return False
+    if conditions and not element.tail:
         return False
     for name, wanted in conditions.items():
-        value = attributes.get(name.rstrip("*"))
+        value = element.attribute(name.rstrip("*"))
         if value is None:
             return False
         if name == "class":
@@ -45,11 +57,11 @@ def _selected(steps: list, path: list) -> bool:
     """Whether the last element of a path fits the last step and its ancestors the others."""
     if not steps:
         return len(path) == 1
-    if not _matches(steps[-1], *path[-1]):
+    if not _matches(steps[-1], path[-1]):
         return False
     remaining = list(steps[:-1])
     for element in reversed(path[:-1]):
-        if remaining and _matches(remaining[-1], *element):
+        if remaining and _matches(remaining[-1], element):
             remaining.pop()
     return not remaining
 
@@ -64,7 +76,7 @@ def first_values(html: str | None, fields: dict, one_root: bool = True) -> dict:
     values = dict.fromkeys(fields)
     missing = dict(fields)
     collecting: dict[str, tuple[int, list[str]]] = {}
-    path: list[tuple[str, dict]] = []
+    path: list[_Element] = []
 
     def close() -> None:
         path.pop()
@@ -80,20 +92,20 @@ def first_values(html: str | None, fields: dict, one_root: bool = True) -> dict:
         if not tag:
             continue
         if closing:
-            if any(name == tag for name, _ in path):
-                while path[-1][0] != tag:
+            if any(element.tag == tag for element in path):
+                while path[-1].tag != tag:
                     close()
                 close()
             if one_root and not path:
                 break
             continue
-        path.append((tag, _attributes(tail)))
+        path.append(_Element(tag, tail))
         for name in [n for n, (_, steps) in missing.items() if _selected(steps, path)]:
             what = missing.pop(name)[0]
             if what in ("text", "words"):
                 collecting[name] = (len(path), [])
             else:
-                values[name] = path[-1][1].get(what)
+                values[name] = path[-1].attribute(what)
         if tag in VOID_TAGS or tail.endswith("/"):
             close()
         if not missing and not collecting:

@@ -20,13 +20,15 @@ def normalize_stream(
     fmt: str = "csv",
     make_analyser: Callable[[], Analyser] = simple_analyser,
     stopwords: list[str] | None = None,
+    files_per_batch: int = 1000,
 ) -> None:
     """Normalises the files that arrived in ``source`` since the last run, then returns.
 
-    The checkpoint folder remembers which files are done; target and checkpoint belong on shared
+    A backlog is worked off ``files_per_batch`` files at a time, so a failure repeats one batch
+    and not the whole run. The checkpoint folder remembers which files are done; target and checkpoint belong on shared
     storage. The output is parquet with id, original and normalised text.
     """
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if fmt == "csv":
         reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
     texts = select_text_column(reader.format(fmt).load(source))
