@@ -26,7 +26,7 @@ from reviewlens.storage import cut_lineage
 # Slack for rounding when distances are compared; visiting too much is harmless.
 SLACK = 1e-6
 
-_FOUND = "vec string, found array<struct<sim: double, ids: array<string>>>"
+_HIT = "vec string, sim double, ids array<string>"
 
 
 def knn_graph(
@@ -71,12 +71,15 @@ def knn_graph(
         placed.select("vec", "ids", "embedding", (by_cell(first[:-1]) + sub).alias("block"))
     )
     within = blocks.groupBy("block").applyInPandas(
-        _within_block(k), "block int, embedding array<double>, bound double, " + _FOUND
+        _within_block(k),
+        "block int, vec string, embedding array<double>, bound double, "
+        "sims array<double>, ids array<array<string>>",
     )
     reach = _blocks_in_reach(pivots, radius, first)
     own = cut_lineage(within.withColumn("others", reach("embedding", "bound", "block")))
+    hits = own.select("vec", F.inline(F.arrays_zip("sims", "ids"))).toDF("vec", "sim", "ids")
     if int(first[-1]) == 1:
-        return _neighbours(points, vectors, own.select("vec", "found"), k)
+        return _neighbours(points, vectors, hits, k)
 
     # Visitors of one block are spread over as many tasks as their number asks for.
     calls = own.select(F.explode("others").alias("block"))
@@ -94,14 +97,18 @@ def knn_graph(
         )
     )
     hosts = blocks.join(load, "block").select(
-        "block", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), "ids", "embedding"
+        "block",
+        F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"),
+        "vec",
+        "ids",
+        "embedding",
     )
     met = (
         visitors.groupBy("block", "task")
         .cogroup(hosts.groupBy("block", "task"))
-        .applyInPandas(_across_blocks(k), _FOUND)
+        .applyInPandas(_across_blocks(k), _HIT)
     )
-    return _neighbours(points, vectors, own.select("vec", "found").unionByName(met), k)
+    return _neighbours(points, vectors, hits.unionByName(met), k)
 
 
 def _distinct_vectors(points: DataFrame, k: int) -> DataFrame:
@@ -115,11 +122,9 @@ def _distinct_vectors(points: DataFrame, k: int) -> DataFrame:
     return grouped.select(F.col("ids")[0].alias("vec"), "ids", "embedding")
 
 
-def _neighbours(points: DataFrame, vectors: DataFrame, found: DataFrame, k: int) -> DataFrame:
+def _neighbours(points: DataFrame, vectors: DataFrame, hits: DataFrame, k: int) -> DataFrame:
     """The best k of everything found for a vector, given to every id that has the vector."""
-    each = found.select("vec", F.explode("found").alias("hit")).select(
-        "vec", "hit.sim", F.explode("hit.ids").alias("neighbour")
-    )
+    each = hits.select("vec", "sim", F.explode("ids").alias("neighbour"))
     order = Window.partitionBy("vec").orderBy(F.desc("sim"), F.asc("neighbour"))
     # One more than k, since one of them may be the id itself.
     best = each.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
@@ -154,32 +159,36 @@ def _nearest_pivot(pivots: np.ndarray):
     return place
 
 
-def _best(sims: np.ndarray, ids: list, k: int) -> list:
-    """Per row of similarities the k best columns, ties by first id."""
+def _best(sims: np.ndarray, k: int) -> np.ndarray:
+    """Column numbers of the k largest values of each row, largest first, equal ones in order."""
     k = min(k, sims.shape[1])
-    result = []
-    for row in sims:
-        least = np.partition(row, -k)[-k]
-        chosen = np.flatnonzero(row >= least)
-        ranked = sorted(chosen, key=lambda j: (-row[j], ids[j][0]))[:k]
-        result.append([{"sim": float(row[j]), "ids": list(ids[j])} for j in ranked])
-    return result
+    least = np.partition(sims, -k, axis=1)[:, -k, None]
+    above, level = sims > least, sims == least
+    # Values equal to the least wanted one fill the places left, from the first column on.
+    room = k - above.sum(axis=1, keepdims=True)
+    columns = np.nonzero(above | (level & (level.cumsum(axis=1) <= room)))[1].reshape(-1, k)
+    order = np.argsort(-np.take_along_axis(sims, columns, axis=1), axis=1, kind="stable")
+    return np.take_along_axis(columns, order, axis=1)
 
 
 def _within_block(k: int):
     def search(block: pd.DataFrame) -> pd.DataFrame:
-        vectors, ids = _matrix(block["embedding"]), block["ids"].tolist()
+        block = block.sort_values("vec", ignore_index=True)
+        vectors = _matrix(block["embedding"])
+        sims = vectors @ vectors.T
         # The vector itself is among the best, since its copies are neighbours of one another.
-        found = _best(vectors @ vectors.T, ids, k + 1)
-        full = len(ids) > k
-        bound = [_distances(np.float64(hits[-1]["sim"])) if full else 2.0 for hits in found]
+        best = _best(sims, k + 1)
+        found = np.take_along_axis(sims, best, axis=1)
+        full = best.shape[1] > k
+        ids = block["ids"].to_numpy()
         return pd.DataFrame(
             {
                 "block": block["block"],
-                "embedding": block["embedding"],
-                "bound": bound,
                 "vec": block["vec"],
-                "found": found,
+                "embedding": block["embedding"],
+                "bound": _distances(found[:, -1]) if full else 2.0,
+                "sims": list(found),
+                "ids": [ids[row].tolist() for row in best],
             }
         )
 
@@ -208,9 +217,16 @@ def _blocks_in_reach(pivots: np.ndarray, radius: np.ndarray, first: np.ndarray):
 def _across_blocks(k: int):
     def search(visitors: pd.DataFrame, hosts: pd.DataFrame) -> pd.DataFrame:
         if visitors.empty or hosts.empty:
-            return pd.DataFrame({"vec": [], "found": []})
+            return pd.DataFrame({"vec": [], "sim": [], "ids": []})
+        hosts = hosts.sort_values("vec", ignore_index=True)
         sims = _matrix(visitors["embedding"]) @ _matrix(hosts["embedding"]).T
-        found = _best(sims, hosts["ids"].tolist(), k + 1)
-        return pd.DataFrame({"vec": visitors["vec"], "found": found})
+        best = _best(sims, k + 1)
+        return pd.DataFrame(
+            {
+                "vec": visitors["vec"].to_numpy().repeat(best.shape[1]),
+                "sim": np.take_along_axis(sims, best, axis=1).ravel(),
+                "ids": hosts["ids"].to_numpy()[best.ravel()],
+            }
+        )
 
     return search

@@ -559,3 +559,27 @@ ORACLES: dict[str, str] = {
         SELECT id, text AS original_text, {_lemmas(STOPWORDS)} AS normalized_text FROM reviews""",
     ),
 }
+
+# Date columns of the results, compared as ISO text.
+_DATES = {
+    "harmonise_union": "date",
+    "filter_date_platform": "date",
+    "filter_platforms_rating": "date",
+    "date_bounds": "date_min date_max",
+    "trend_axis": "date_min date_max",
+    "rating_trend_day": "period",
+    "rating_trend_week": "period",
+    "rating_trend_month": "period",
+    "quarter_counts": "period_q",
+    "dense_periods": "period_q",
+    "dense_periods_all_platforms": "period_q",
+    "dense_reviews": "date period_q",
+    "early_late_split": "date cutoff_date",
+    "early_late_cutoff": "date cutoff_date",
+    "standardise_crawl": "date",
+    "csv_round_trip": "date",
+    "load_embeddings": "date",
+}
+for _name, _columns in _DATES.items():
+    _texts = ", ".join(f"CAST({column} AS VARCHAR) AS {column}" for column in _columns.split())
+    ORACLES[_name] = f"SELECT * REPLACE ({_texts}) FROM ({ORACLES[_name]})"

@@ -41,15 +41,23 @@ def register(name: str, view: Callable | None = None) -> Callable:
     """Adds a query; with a view, the function gets that view's frame."""
 
     def add(function: Callable) -> Callable:
-        if view is None:
-            REGISTRY[name] = function
-        else:
-            REGISTRY[name] = lambda spark, folder: function(view(spark, folder))
+        def query(spark: SparkSession, folder: str) -> DataFrame:
+            result = function(spark, folder) if view is None else function(view(spark, folder))
+            return iso_dates(result)
+
+        REGISTRY[name] = query
         return function
 
     return add
 
 
+def iso_dates(df: DataFrame) -> DataFrame:
+    """Dates as ISO text, which compares the same whatever reads it."""
+    return df.withColumns(
+        {name: F.col(name).cast("string") for name, kind in df.dtypes if kind == "date"}
+    )
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded for comparison; adding zero turns a negative zero into zero."""
     return df.select(
