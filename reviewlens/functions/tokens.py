@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words after Unicode word breaking: runs of letters, digits and underscores; an apostrophe or
-# full stop joins letters on both its sides, a full stop or comma joins digits. The quantifiers
-# are possessive, so a token of any length is matched without recursion or backtracking.
-WORD_PATTERN = (
-    r"(?:[\p{L}\p{M}]++(?:['’.][\p{L}\p{M}]++)*+"
-    r"|\p{N}++(?:['’.,]\p{N}++)*+"
-    r"|_)++"
-)
+# Words after Unicode word breaking: runs of letters, digits and underscores with at least one
+# letter or digit, or several underscores. An apostrophe, full stop or middle dot joins letters on
+# both its sides; an apostrophe, full stop, comma or semicolon joins digits. The quantifiers are
+# possessive, so a token of any length is matched without recursion or backtracking.
+_LETTERS = r"[\p{L}\p{M}\p{Nl}]++"
+_DIGITS = r"\p{Nd}++"
+_RUN = rf"{_LETTERS}(?:['‘’.·]{_LETTERS})*+|{_DIGITS}(?:['‘’.,;]{_DIGITS})*+"
+WORD_PATTERN = rf"_*+(?:{_RUN})(?:{_RUN}|_)*+|__++"
 
 # A word must contain one of these to count as belonging to the script.
 LATIN = "[a-z]"

@@ -189,7 +189,7 @@ def region_summary(df: DataFrame) -> DataFrame:
         F.min("rating").alias("rating_min"),
         F.max("rating").alias("rating_max"),
         F.try_divide(F.sum(F.col("rating") * F.col("n")), n_rated).alias("rating_mean"),
-        F.coalesce(F.sum(F.when(F.col("rating").isNull(), F.col("n"))), F.lit(0)).alias("n_missing"),
+        F.coalesce(F.sum("n") - F.coalesce(n_rated, F.lit(0)), F.lit(0)).alias("n_missing"),
     )
     return summary.select(
         "n",

@@ -69,6 +69,6 @@ def keyword_rating_distribution(
         )
     )
     complete = counts.unionByName(grid).groupBy("platform", "rating").agg(F.sum("n").alias("n"))
-    order = F.array_position(platforms, F.col("platform"))
+    order = F.array_position(platforms, F.col("platform")).cast("int").alias("platform_order")
     shares = with_share(complete, "platform", zero=True)
-    return shares.select(order.cast("int").alias("platform_order"), "platform", "rating", "n", "prop")
+    return shares.select(order, "platform", "rating", "n", "prop")

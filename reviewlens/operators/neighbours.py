@@ -55,7 +55,9 @@ def knn_graph(
     placed = vectors.withColumn("place", _nearest_pivot(pivots)("embedding"))
 
     # One row per pivot: few, whatever the number of vectors.
-    cells = placed.groupBy("place.cell").agg(F.count(F.lit(1)).alias("n"), F.max("place.away").alias("r"))
+    cells = placed.groupBy("place.cell").agg(
+        F.count(F.lit(1)).alias("n"), F.max("place.away").alias("r")
+    )
     sizes, radius = np.zeros(n_pivots, dtype=int), np.zeros(n_pivots)
     for row in cells.collect():
         sizes[row.cell], radius[row.cell] = row.n, row.r

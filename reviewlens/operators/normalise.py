@@ -76,5 +76,5 @@ def normalize_reviews(
         F.col(text).alias("original_text"),
         analyse(F.col(text), make_analyser).alias("tokens"),
     )
-    lemmas = kept_lemmas(F.col("tokens"), stopwords)
-    return analysed.select("id", "original_text", F.array_join(lemmas, " ").alias("normalized_text"))
+    normalized = F.array_join(kept_lemmas(F.col("tokens"), stopwords), " ")
+    return analysed.select("id", "original_text", normalized.alias("normalized_text"))

@@ -15,8 +15,8 @@ from reviewlens.storage import cut_lineage, read_if_exists
 def project_pca(df: DataFrame) -> DataFrame:
     """``id`` with the first two principal components of the centred, unscaled vectors.
 
-    Fitting passes over the data a few times and keeps a dimension-by-dimension matrix; the projection
-    itself is two dot products per row. The largest loading of a component is made positive.
+    Fitting passes over the data a few times and keeps a dimension-by-dimension matrix; the
+    projection itself is two dot products per row. The largest loading of a component is made positive.
     """
     vectors = df.where(F.col("embedding").isNotNull()).select(
         "id", F.col("embedding").cast("array<double>").alias("embedding")
@@ -30,7 +30,8 @@ def project_pca(df: DataFrame) -> DataFrame:
     for loadings in model.pc.toArray().T:
         loadings = loadings * (1.0 if loadings[abs(loadings).argmax()] > 0 else -1.0)
         weights = F.array(*[F.lit(float(weight)) for weight in loadings])
-        dimensions.append(dot(F.col("embedding"), weights) - F.lit(float(loadings @ center["mean"])))
+        offset = float(loadings @ center["mean"])
+        dimensions.append(dot(F.col("embedding"), weights) - F.lit(offset))
     return vectors.select("id", dimensions[0].alias("dim1"), dimensions[1].alias("dim2"))
 
 

@@ -10,9 +10,10 @@ from reviewlens.functions.wordlists import FILM_STOPWORDS
 from reviewlens.plans import bridges
 from reviewlens.plans.registry import CUT, END, KEYWORDS, REGION, SHARE, START, STOPWORDS
 
-_TOKEN = (
-    r"(?:[\p{L}\p{M}]+(?:[''’.][\p{L}\p{M}]+)*|\p{N}+(?:[''’.,]\p{N}+)*|_)+"
-)
+# The library's word pattern in the dialect of DuckDB, with its quotes doubled.
+_LETTERS, _DIGITS = r"[\p{L}\p{M}\p{Nl}]+", r"\p{Nd}+"
+_RUN = f"{_LETTERS}(?:[''‘’.·]{_LETTERS})*|{_DIGITS}(?:[''‘’.,;]{_DIGITS})*"
+_TOKEN = f"_*(?:{_RUN})(?:{_RUN}|_)*|__+"
 _VIEWS = {
     "reviews": bridges.REVIEWS,
     "ratings": bridges.RATINGS,
@@ -211,7 +212,10 @@ def _similar(source: str, selected: str, k: int) -> str:
 
 
 _X0, _X1, _Y0, _Y1 = REGION
-_IN_REGION = f"dim1 BETWEEN {_X0}::DOUBLE AND {_X1}::DOUBLE AND dim2 BETWEEN {_Y0}::DOUBLE AND {_Y1}::DOUBLE"
+_IN_REGION = (
+    f"dim1 BETWEEN {_X0}::DOUBLE AND {_X1}::DOUBLE "
+    f"AND dim2 BETWEEN {_Y0}::DOUBLE AND {_Y1}::DOUBLE"
+)
 
 ORACLES: dict[str, str] = {
     "harmonise_union": _with("reviews", "\nSELECT * FROM reviews"),
@@ -293,7 +297,8 @@ ORACLES: dict[str, str] = {
                    FROM kept GROUP BY platform),
         marked AS (SELECT *, rating BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside
                    FROM kept JOIN hinges USING (platform))
-        SELECT platform, max(n) AS n, {_r("least(min(rating) FILTER (inside), max(q1))", "whisker_low")},
+        SELECT platform, max(n) AS n,
+               {_r("least(min(rating) FILTER (inside), max(q1))", "whisker_low")},
                {_r("max(q1)", "hinge_low")}, {_r("max(q2)", "median")},
                {_r("max(q3)", "hinge_high")},
                {_r("greatest(max(rating) FILTER (inside), max(q3))", "whisker_high")},
@@ -521,7 +526,9 @@ ORACLES: dict[str, str] = {
         FROM points WHERE {_IN_REGION}""",
     ),
     "platform_mix": _with(
-        "points", f"\nSELECT platform, count(*) AS n FROM points WHERE {_IN_REGION} GROUP BY platform"
+        "points",
+        f"""
+        SELECT platform, count(*) AS n FROM points WHERE {_IN_REGION} GROUP BY platform""",
     ),
     "attach_projection": _with(
         "vectors",

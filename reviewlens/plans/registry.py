@@ -379,7 +379,9 @@ def _crawled(spark: SparkSession, folder: str) -> DataFrame:
     """Source B under crawl headers, all strings, some of them bad."""
     return bridges.source_b(spark, folder).select(
         F.concat(F.lit("w"), F.col("id") % 97).alias("작성자ID"),
-        F.when(F.col("id") % 11 == 0, "?").otherwise(F.col("star_rating").cast("string")).alias("별점"),
+        F.when(F.col("id") % 11 == 0, "?")
+        .otherwise(F.col("star_rating").cast("string"))
+        .alias("별점"),
         F.col("comment").alias("내용"),
         F.date_format("writing_date", "yyyyMMdd").alias("작성일자"),
         F.col("upvote").cast("string").alias("공감수"),

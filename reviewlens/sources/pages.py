@@ -98,7 +98,7 @@ def extract_article_reviews(
 def extract_card_reviews(
     pages: DataFrame, html: str = "html", drop_empty: bool = False
 ) -> DataFrame:
-    """Writer, star, text, date and vote counts of each review card, all strings, "" when missing."""
+    """Writer, star, text, date and votes of each review card, all strings, "" when missing."""
     found = _review_fields(pages, "li", CARD_CLASSES, CARD_FIELDS, html, None)
 
     def field(name: str) -> Column:

@@ -124,8 +124,8 @@ def brute_force(vectors, k):
     units = {key: v / np.linalg.norm(v) for key, v in units.items() if np.any(v)}
     result = {}
     for key in units:
-        sims = [(-round(float(units[key] @ units[o]), 9), o) for o in keys if o in units and o != key]
-        result[key] = sorted(sims)[:k]
+        others = [o for o in keys if o in units and o != key]
+        result[key] = sorted((-round(float(units[key] @ units[o]), 9), o) for o in others)[:k]
     return result
 
 

@@ -91,8 +91,8 @@ def test_small_sides_are_broadcast(spark):
 
 
 def test_row_index_sorts_without_a_single_task_window(spark):
-    df = projection.row_index(bridges.vectors(spark, FOLDER).select("platform", "id"), "platform", "id")
-    text = plan(df)
+    vectors = bridges.vectors(spark, FOLDER).select("platform", "id")
+    text = plan(projection.row_index(vectors, "platform", "id"))
     assert "BroadcastHashJoin" in text
     # The only window in one task is over one row per partition.
     assert text.count("Exchange SinglePartition") <= 1

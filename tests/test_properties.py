@@ -32,8 +32,8 @@ def test_shares_sum_to_one(spark, rows):
         shares = ratings.rating_distribution(df, fractional).groupBy("platform").agg(F.sum("prop"))
         assert all(total == pytest.approx(1) for _, total in shares.collect())
     normalised = timesplit.early_late_normalised(df, "2020-07-01")
-    for groups, name in ((("platform", "phase"), "prop_phase"), (("platform", "rating"), "prop_norm")):
-        sums = normalised.groupBy(*groups).agg(F.sum(name).alias("total")).collect()
+    for group, name in (("phase", "prop_phase"), ("rating", "prop_norm")):
+        sums = normalised.groupBy("platform", group).agg(F.sum(name).alias("total")).collect()
         assert all(row.total == pytest.approx(1) for row in sums)
 
 

@@ -175,7 +175,8 @@ def test_density_integrates_to_one_and_skips_lone_reviews(spark):
 def test_early_late_normalised(spark):
     rows = [(f"e{i}", "a", date(2020, 3, 31), 10.0 if i < 1 else 1.0) for i in range(10)]
     rows += [(f"l{i}", "a", date(2020, 4, 1), 10.9 if i < 2 else 1.0) for i in range(10)]
-    result = by(timesplit.early_late_normalised(frame(spark, rows), "2020-04-01"), "phase", "rating")
+    normalised = timesplit.early_late_normalised(frame(spark, rows), "2020-04-01")
+    result = by(normalised, "phase", "rating")
     assert result["early", 10].prop_phase == pytest.approx(0.1)
     assert result["early", 10].prop_norm == pytest.approx(1 / 3)
     assert result["late", 10].prop_norm == pytest.approx(2 / 3)

@@ -25,6 +25,9 @@ def test_tokens(spark):
     assert words_of(spark, "U.S. a.3 'quoted' 1,000, x--y well-known") == [
         "u.s", "a", "3", "quoted", "1,000", "x", "y", "well", "known",
     ]
+    assert words_of(spark, "‘it’ l·l 1;2 m² _ __ _a_1. b_") == [
+        "it", "l·l", "1;2", "m", "__", "_a_1", "b_",
+    ]
     assert words_of(spark, " ... !") == []
     assert words_of(spark, None) == []
 
