@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words after Unicode word breaking: runs of letters, digits and underscores with at least one
@@ -24,6 +24,12 @@ def word_array(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), F.lit(0))
 
 
+def words_in(df: DataFrame, name: str) -> Column:
+    """The words of a text column; a column that holds the word array already is taken as it is."""
+    column = F.col(name)
+    return column if dict(df.dtypes)[name] == "array<string>" else word_array(column)
+
+
 def is_wanted(
     word: Column,
     min_chars: int = 1,

@@ -8,17 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.functions.scalars import rating_level
-from reviewlens.functions.tokens import word_array
+from reviewlens.functions.tokens import words_in
 from reviewlens.operators.ratings import rating_counts, with_share
 from reviewlens.schema import RATING_LEVELS
 
 
-def mentions(text: Column, keyword: str) -> Column:
+def mentions(df: DataFrame, text: str, keyword: str) -> Column:
     """Whether the keyword is one of the text's words.
 
     The substring test in front is implied by the word test and spares most texts the tokeniser.
     """
-    return F.lower(text).contains(keyword) & F.array_contains(word_array(text), keyword)
+    has_word = F.array_contains(words_in(df, text), keyword)
+    if dict(df.dtypes)[text] != "string":
+        return has_word
+    return F.lower(F.col(text)).contains(keyword) & has_word
 
 
 def keyword_rating_counts(
@@ -36,7 +39,7 @@ def keyword_rating_counts(
     if len(keyword) < min_chars or keyword in (stopwords or ()):
         hits = df.where(F.lit(False))
     else:
-        hits = df.where(mentions(F.col(text), keyword))
+        hits = df.where(mentions(df, text, keyword))
     return with_share(rating_counts(hits.select("id", "rating").distinct()))
 
 
@@ -49,7 +52,7 @@ def keyword_rating_distribution(
     pass; levels without reviews get a zero, and a platform without any gets zero shares.
     """
     tests = [
-        (F.col("platform") == platform) & mentions(F.col(text), keyword)
+        (F.col("platform") == platform) & mentions(df, text, keyword)
         for platform, keyword in keywords.items()
     ]
     hits = df.where(F.col("rating").isNotNull()).where(reduce(lambda a, b: a | b, tests))

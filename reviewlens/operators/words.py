@@ -5,16 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.functions.tokens import LATIN, is_wanted, word_array
+from reviewlens.functions.tokens import LATIN, is_wanted, words_in
 from reviewlens.operators.filters import filter_rating
 
 # Up to this many stopwords are tested row by row inside the scan.
 INLINE_STOPWORDS = 5_000
 
 
+def with_words(df: DataFrame, text: str = "text") -> DataFrame:
+    """The text replaced by its array of words.
+
+    Written to parquet once, the result serves every operator here and in ``keywords`` that takes
+    a text column, and spares each of them the tokeniser.
+    """
+    return df.withColumn(text, words_in(df, text))
+
+
 def tokenize(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("id",)) -> DataFrame:
     """One row per word of each text; texts without words give none."""
-    return df.select(*keep, F.explode(word_array(F.col(text))).alias("word"))
+    return df.select(*keep, F.explode(words_in(df, text)).alias("word"))
 
 
 def filter_tokens(
@@ -100,7 +109,7 @@ def remove_stopwords(
         if len(head) > inline:
             return _remove_by_join(df, words, text, output, keep_empty)
         stopwords = [row.word for row in head if row.word is not None]
-    words = word_array(F.col(text))
+    words = words_in(df, text)
     if stopwords:
         words = F.filter(words, lambda word: ~word.isin(stopwords))
     cleaned = df.withColumn(output, F.array_join(words, " "))
@@ -118,14 +127,13 @@ def _remove_by_join(
     text are ever brought together.
     """
     # A digest stands for the text, so that words do not drag it through the shuffles.
-    key = F.unhex(F.sha2(F.col(text), 256))
-    keyed = df.withColumn("text_key", key)
-    texts = keyed.where(F.col(text).isNotNull()).select("text_key", F.col(text).alias("source"))
-    words = (
-        texts.dropDuplicates(["text_key"])
-        .select("text_key", F.posexplode(word_array(F.col("source"))).alias("pos", "word"))
-        .join(stopwords, "word", "left_anti")
-    )
+    content = F.col(text) if dict(df.dtypes)[text] == "string" else F.to_json(text)
+    keyed = df.withColumn("text_key", F.unhex(F.sha2(content, 256)))
+    texts = keyed.where(F.col(text).isNotNull()).select("text_key", text)
+    distinct = texts.dropDuplicates(["text_key"])
+    words = distinct.select(
+        "text_key", F.posexplode(words_in(distinct, text)).alias("pos", "word")
+    ).join(stopwords, "word", "left_anti")
     ordered = F.array_sort(F.collect_list(F.struct("pos", "word")))
     cleaned = words.groupBy("text_key").agg(
         F.array_join(F.transform(ordered, lambda item: item["word"]), " ").alias(output)

@@ -346,6 +346,7 @@ ORACLES: dict[str, str] = {
     "tokenize": _with("tokens", "\nSELECT id, word FROM tokens"),
     "word_frequency": _with("frequency", "\nSELECT word, n FROM frequency"),
     "word_frequency_high": _words("rating >= 8", 2, _LATIN),
+    "word_frequency_stored": _words("rating >= 8", 2, _LATIN),
     "word_frequency_low": _words("rating <= 3", 3, _LATIN),
     "word_frequency_stopped": _words("true", 2, f"word NOT IN ({_list(STOPWORDS)})"),
     "top_words": _with(

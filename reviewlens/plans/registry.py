@@ -232,6 +232,13 @@ def word_frequency_stopped(df: DataFrame) -> DataFrame:
     return words.word_frequency(df, char_class=None, stopwords=STOPWORDS)
 
 
+@register("word_frequency_stored", bridges.reviews)
+def word_frequency_stored(df: DataFrame) -> DataFrame:
+    path = scratch_path(df.sparkSession, "words")
+    words.with_words(df).select("id", "rating", "text").write.parquet(path)
+    return words.word_frequency(df.sparkSession.read.parquet(path), min_rating=8)
+
+
 @register("top_words", bridges.reviews)
 def top_words(df: DataFrame) -> DataFrame:
     return words.top_words(words.word_frequency(df, sort=False), 2000)

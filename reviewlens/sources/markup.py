@@ -57,7 +57,7 @@ def _selected(steps: list, path: list) -> bool:
     """Whether the last element of a path fits the last step and its ancestors the others."""
     if not steps:
         return len(path) == 1
-    if not _matches(steps[-1], path[-1]):
+    if steps[-1][0] not in (None, path[-1].tag) or not _matches(steps[-1], path[-1]):
         return False
     remaining = list(steps[:-1])
     for element in reversed(path[:-1]):
@@ -101,7 +101,7 @@ def first_values(html: str | None, fields: dict, one_root: bool = True) -> dict:
             continue
         path.append(_Element(tag, tail))
         for name in [n for n, (_, steps) in missing.items() if _selected(steps, path)]:
-            what = missing.pop(name)[0]
+            what, _ = missing.pop(name)
             if what in ("text", "words"):
                 collecting[name] = (len(path), [])
             else:

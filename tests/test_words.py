@@ -179,3 +179,28 @@ def test_top_words_contains_the_hard_cap(spark, k):
     frequency = words.word_frequency(df, sort=False)
     tied = {r.word for r in words.top_words(frequency, k).collect()}
     assert {r.word for r in words.cloud_words(frequency, k, 1).collect()} <= tied
+
+
+def test_stored_words_serve_all_operators(spark):
+    df = frame(
+        spark,
+        ("1", "alpha", 8.0, "The good plot"),
+        ("2", "alpha", 3.0, "A plot, the plot!"),
+        ("3", "alpha", 3.0, None),
+    )
+    stored = words.with_words(df)
+    assert dict(stored.dtypes)["text"] == "array<string>"
+
+    def same(function):
+        one, two = (sorted(map(tuple, function(x).collect()), key=repr) for x in (df, stored))
+        assert one == two and one
+
+    same(lambda x: words.tokenize(x))
+    same(lambda x: words.word_frequency(x))
+    same(lambda x: keywords.keyword_rating_counts(x, "plot"))
+    same(lambda x: keywords.keyword_rating_distribution(x, {"alpha": "good"}))
+    stop = spark.createDataFrame([("the",)], "word string")
+    for inline in (10, 0):
+        for keep in (True, False):
+            arguments = {"inline": inline, "keep_empty": keep}
+            same(lambda x: words.remove_stopwords(x, stop, **arguments).drop("text"))
