@@ -53,11 +53,11 @@ def _matches(step: tuple, element: _Element) -> bool:
     return True
 
 
-def _selected(steps: list, path: list) -> bool:
+def _selected(steps: list, path: list[_Element]) -> bool:
     """Whether the last element of a path fits the last step and its ancestors the others."""
     if not steps:
         return len(path) == 1
-    if steps[-1][0] not in (None, path[-1].tag) or not _matches(steps[-1], path[-1]):
+    if not _matches(steps[-1], path[-1]):
         return False
     remaining = list(steps[:-1])
     for element in reversed(path[:-1]):
@@ -66,56 +66,71 @@ def _selected(steps: list, path: list) -> bool:
     return not remaining
 
 
-def first_values(html: str | None, fields: dict, one_root: bool = True) -> dict:
-    """Per field the attribute, or text, of the first matching element; None when there is none.
+class Fields:
+    """What to look up in a piece of HTML: per name what to take, and a selector.
 
-    A field is what to take and a selector. ``text`` strips each stretch of text and joins them;
-    ``words`` joins all words by one space; any other name is an attribute. With ``one_root``
-    nothing after the end of the first element counts.
+    ``text`` strips each stretch of text and joins them; ``words`` joins all words by one space;
+    any other name is an attribute. An empty selector is the first element.
     """
-    values = dict.fromkeys(fields)
-    missing = dict(fields)
-    collecting: dict[str, tuple[int, list[str]]] = {}
-    path: list[_Element] = []
-
-    def close() -> None:
-        path.pop()
-        for name in [n for n, (depth, _) in collecting.items() if depth > len(path)]:
-            values[name] = collecting.pop(name)[1]
-
-    for closing, tag, tail, text in _PIECES.findall(html or ""):
-        if text:
-            for _, parts in collecting.values():
-                parts.append(text)
-            continue
-        tag = tag.lower()
-        if not tag:
-            continue
-        if closing:
-            if any(element.tag == tag for element in path):
-                while path[-1].tag != tag:
+
+    def __init__(self, fields: dict[str, tuple[str, list]]):
+        self.fields = fields
+        # The names that an element of a tag can settle.
+        tags = {steps[-1][0] for _, steps in fields.values() if steps} - {None}
+        self.any_tag = self._names(None)
+        self.by_tag = {tag: self._names(tag) for tag in tags}
+
+    def _names(self, tag: str | None) -> list[str]:
+        return [n for n, (_, s) in self.fields.items() if not s or s[-1][0] in (None, tag)]
+
+    def first_values(self, html: str | None, one_root: bool = True) -> dict:
+        """Per name the value of the first matching element; None when there is none.
+
+        With ``one_root`` nothing after the end of the first element counts.
+        """
+        values = dict.fromkeys(self.fields)
+        missing = set(self.fields)
+        collecting: dict[str, tuple[int, list[str]]] = {}
+        path: list[_Element] = []
+
+        def close() -> None:
+            path.pop()
+            for name in [n for n, (depth, _) in collecting.items() if depth > len(path)]:
+                values[name] = self._joined(name, collecting.pop(name)[1])
+
+        for closing, tag, tail, text in _PIECES.findall(html or ""):
+            if text:
+                for _, parts in collecting.values():
+                    parts.append(text)
+                continue
+            tag = tag.lower()
+            if closing:
+                if any(element.tag == tag for element in path):
+                    while path[-1].tag != tag:
+                        close()
+                    close()
+                if one_root and not path:
+                    break
+            elif tag:
+                path.append(_Element(tag, tail))
+                for name in self.by_tag.get(tag, self.any_tag):
+                    what, steps = self.fields[name]
+                    if name in missing and _selected(steps, path):
+                        missing.remove(name)
+                        if what in ("text", "words"):
+                            collecting[name] = (len(path), [])
+                        else:
+                            values[name] = path[-1].attribute(what)
+                if tag in VOID_TAGS or tail.endswith("/"):
                     close()
-                close()
-            if one_root and not path:
-                break
-            continue
-        path.append(_Element(tag, tail))
-        for name in [n for n, (_, steps) in missing.items() if _selected(steps, path)]:
-            what, _ = missing.pop(name)
-            if what in ("text", "words"):
-                collecting[name] = (len(path), [])
-            else:
-                values[name] = path[-1].attribute(what)
-        if tag in VOID_TAGS or tail.endswith("/"):
+                if not missing and not collecting:
+                    break
+        while path:
             close()
-        if not missing and not collecting:
-            break
-    while path:
-        close()
-
-    for name, (what, _) in fields.items():
-        if isinstance(values[name], list):
-            parts = [unescape(part) for part in values[name]]
-            words = " ".join(parts).split()
-            values[name] = " ".join(words) if what == "words" else "".join(p.strip() for p in parts)
-    return values
+        return values
+
+    def _joined(self, name: str, parts: list[str]) -> str:
+        plain = [unescape(part) for part in parts]
+        if self.fields[name][0] == "words":
+            return " ".join(" ".join(plain).split())
+        return "".join(part.strip() for part in plain)

@@ -19,7 +19,7 @@ from reviewlens.functions.scalars import (
     strip,
     unescape_markup,
 )
-from reviewlens.sources.markup import first_values
+from reviewlens.sources.markup import Fields
 
 # Elements, attributes and patterns of the two page layouts. A selector is a chain
 # of steps from outer to inner element; a step is a tag (or None) and its required attributes,
@@ -177,8 +177,9 @@ def _field_reader(fields: dict, one_root: bool = True):
 
     @F.pandas_udf(f"struct<{schema}>")
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        wanted = Fields(fields)
         for batch in batches:
-            found = [first_values(fragment, fields, one_root) for fragment in batch]
+            found = [wanted.first_values(fragment, one_root) for fragment in batch]
             yield pd.DataFrame(found, columns=list(fields), dtype=object)
 
     return read
