@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from html import unescape
 
-# A closing or opening tag with quoted attributes, a comment, or a stretch of text.
+# A closing or opening tag with quoted attributes, a comment, or a stretch of text. Possessive, so
+# that a tag that never ends costs no backtracking.
 _PIECES = re.compile(
-    r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*)>|<!--.*?-->|([^<]+|<)""", re.DOTALL
+    r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<!--.*?-->|([^<]++|<)""",
+    re.DOTALL,
 )
 _ATTRIBUTES = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 

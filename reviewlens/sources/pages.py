@@ -158,13 +158,10 @@ def _review_fields(
     max_reviews: int | None,
 ) -> DataFrame:
     """One row per review element of each page, with a ``field`` struct of the values found."""
-    has_class = "".join(
-        rf"(?=[^>]*\bclass\s*=\s*[\"'](?:[^\"']*\s)?{name}(?:\s[^\"']*)?[\"'])" for name in classes
-    )
-    pieces = F.split(_without_scripts(F.col(html)), rf"(?i)(?=<{tag}\b{has_class}[^>]*>)")
+    opening = _opening_tag(tag, classes)
+    pieces = F.split(_without_scripts(F.col(html)), f"(?={opening})")
     # The piece before the first opening tag is the page head, unless the page starts with a review.
-    starts = rf"(?i)^<{tag}\b{has_class}[^>]*>"
-    reviews = F.filter(pieces, lambda piece: piece.rlike(starts))
+    reviews = F.filter(pieces, lambda piece: piece.rlike(f"^{opening}"))
     if max_reviews is not None:
         reviews = F.slice(reviews, 1, max_reviews)
     keep = [c for c in pages.columns if c != html]
@@ -172,6 +169,20 @@ def _review_fields(
     return exploded.select(*keep, _field_reader(fields)(F.col("fragment")).alias("field"))
 
 
+def _opening_tag(tag: str, classes: list[str]) -> str:
+    """Pattern of the start of an opening tag that has all the classes.
+
+    Quoted values are stepped over as a whole, so that they may hold any character.
+    """
+    up_to_class = r"""(?:[^>"'\s]++|\s(?!(?i:class)\s*=)|"[^"]*+"|'[^']*+')*+\s(?i:class)\s*=\s*"""
+    has_classes = "".join(
+        rf"""(?={up_to_class}(?:"(?:[^"]*\s)?{name}(?:\s[^"]*)?"|'(?:[^']*\s)?{name}(?:\s[^']*)?'"""
+        rf"""|{name}(?=[\s>])))"""
+        for name in classes
+    )
+    return rf"<(?i:{tag})(?=\s){has_classes}"
+
+
 def _field_reader(fields: dict, one_root: bool = True):
     schema = ", ".join(f"{name}: string" for name in fields)
 

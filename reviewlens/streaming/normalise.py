@@ -26,7 +26,7 @@ def normalize_stream(
 
     A backlog is worked off ``files_per_batch`` files at a time, so a failure repeats one batch
     and not the whole run. The checkpoint folder remembers which files are done; target and
-    checkpoint belong on shared storage. The output is parquet with id, original and normalised text.
+    checkpoint belong on shared storage. The output is parquet: id, original, normalised text.
     """
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if fmt == "csv":

@@ -61,8 +61,11 @@ def test_cards(spark):
 
 
 def test_quoted_markup_in_attributes(spark):
-    html = '<li class="area_card _item" data-report-title="a <b> is > c &lt;3"></li>'
-    assert pages.extract_card_reviews(page(spark, html)).first().text == "a <b> is > c <3"
+    html = """<li data-class="x" data-report-title="a <b> is > c &lt;3 class='no'"
+      CLASS='_item  area_card'></li><LI class="area_card _item" data-report-title=b>
+      <li class="area_cards _item"></li><li class="_item" title="area_card"></li>"""
+    rows = pages.extract_card_reviews(page(spark, html)).collect()
+    assert [row.text for row in rows] == ["a <b> is > c <3 class='no'", "b"]
 
 
 @pytest.mark.parametrize(
@@ -85,6 +88,18 @@ def test_card_page_title(spark):
         pages.extract_page_title(page(spark, CARDS), "list")
 
 
+def test_broken_markup(spark):
+    endless = '<li class="area_card _item"><b title="' + "a " * 20_000
+    rows = pages.extract_card_reviews(page(spark, endless)).collect()
+    assert [(row.writer_id, row.text) for row in rows] == [("", "")]
+    unclosed = (
+        '<li class="area_card _item"><div class="area_review_content"><p><span class="desc_text">a'
+        '<br>b &eacute;<i>c</div> d<li class="area_card _item" data-report-title="e">'
+    )
+    rows = pages.extract_card_reviews(page(spark, unclosed)).collect()
+    assert [row.text for row in rows] == ["a b é c", "e"]
+
+
 def value(spark, column):
     return spark.range(1).select(column.alias("v")).first().v
 
