@@ -16,7 +16,7 @@ def project_pca(df: DataFrame) -> DataFrame:
     """``id`` with the first two principal components of the centred, unscaled vectors.
 
     Fitting passes over the data a few times and keeps a dimension-by-dimension matrix; the
-    projection itself is two dot products per row. Each component's largest loading is made positive.
+    projection itself is two dot products per row. The largest loading of each is made positive.
     """
     vectors = df.where(F.col("embedding").isNotNull()).select(
         "id", F.col("embedding").cast("array<double>").alias("embedding")
