@@ -64,3 +64,52 @@ SELECT d.doc_id, coalesce(len(w), 0) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM documents d LEFT JOIN lists USING (doc_id) LEFT JOIN by_doc USING (doc_id)
 LEFT JOIN by_item USING (doc_id)
 """
+
+ORACLES["op3_embedding_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  AND list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (
+  SELECT vec_id, vec_id AS to_id FROM embeddings
+  UNION
+  SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.to_id = links.a
+)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE links.a = e.vec_id) AS n_links,
+       min(to_id) AS component_id, e.vec_id = min(to_id) AS kept
+FROM embeddings e JOIN reach USING (vec_id) GROUP BY e.vec_id
+"""
+
+ORACLES["op2_minhash_dedup"] = rf"""
+WITH RECURSIVE lists AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k : k + least(4, len(w)) - 1], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS k FROM lists
+        WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * n_both >= 80 * (x.n + y.n - n_both)
+), ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id, doc_id AS to_id FROM lists
+  UNION
+  SELECT reach.doc_id, ways.b FROM reach JOIN ways ON reach.to_id = ways.a
+)
+SELECT l.doc_id, coalesce(n, 0) AS n_shingles, min(to_id) AS component_id,
+       l.doc_id = min(to_id) AS kept
+FROM lists l JOIN reach USING (doc_id) LEFT JOIN sizes USING (doc_id)
+GROUP BY l.doc_id, n
+"""

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from reviewlens.llm.decontaminate import find_passages, hit_words
 from reviewlens.llm.lines import drop_frequent_lines
+from reviewlens.llm.minhash import near_duplicates
 from reviewlens.llm.packing import pack
 from reviewlens.llm.toxicity import fit, held_out, score
+from reviewlens.llm.vectors import link_vectors
 from reviewlens.plans.bridges import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +66,13 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
     )
+
+
+@query
+def op3_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return link_vectors(table(spark, folder, "embeddings"), cosine=0.98)
+
+
+@query
+def op2_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"), size=4, share=0.8)
