@@ -113,3 +113,25 @@ SELECT l.doc_id, coalesce(n, 0) AS n_shingles, min(to_id) AS component_id,
 FROM lists l JOIN reach USING (doc_id) LEFT JOIN sizes USING (doc_id)
 GROUP BY l.doc_id, n
 """
+
+ORACLES["op4_substring_dedup"] = rf"""
+WITH lists AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, k, md5(array_to_string(w[k : k + 12], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM lists WHERE len(w) >= 13)
+), hits AS (
+  SELECT doc_id, k
+  FROM (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY h) AS least FROM windows)
+  WHERE least < doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(k, k + 13)) AS pos FROM hits
+), words AS (
+  SELECT doc_id, generate_subscripts(w, 1) AS pos, unnest(w) AS word FROM lists
+)
+SELECT l.doc_id, len(any_value(w)) AS n_words, count(g.pos) AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY words.pos) FILTER (WHERE g.pos IS NULL), ''))
+         AS kept_sha256
+FROM lists l LEFT JOIN words USING (doc_id) LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = words.pos
+GROUP BY l.doc_id
+"""

@@ -11,6 +11,7 @@ from reviewlens.llm.decontaminate import find_passages, hit_words
 from reviewlens.llm.lines import drop_frequent_lines
 from reviewlens.llm.minhash import near_duplicates
 from reviewlens.llm.packing import pack
+from reviewlens.llm.recompression import remove_repeats
 from reviewlens.llm.toxicity import fit, held_out, score
 from reviewlens.llm.vectors import link_vectors
 from reviewlens.plans.bridges import table
@@ -76,3 +77,9 @@ def op3_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), size=4, share=0.8)
+
+
+@query
+def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = remove_repeats(table(spark, folder, "documents"), size=13)
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))

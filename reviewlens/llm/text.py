@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 # Texts that one numpy step takes together, in bytes; a single longer text is taken alone.
 BATCH_BYTES = 1 << 21
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+BASE = 0x9E3779B97F4A7C15 | 1
+INVERSE = pow(BASE, -1, 1 << 64)
 _CODES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2)
 _CODES += np.uint64(1)
 
@@ -68,7 +68,7 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values
 
 
-def _power(base: int, size: int) -> np.ndarray:
+def power(base: int, size: int) -> np.ndarray:
     """base**i modulo 2**64 for i below ``size`` or more."""
     powers = worker_memory("powers")
     found = powers.get(base)
@@ -169,10 +169,10 @@ def _words_between(data, table, place, at: int, to: int, split):
     start, end = np.flatnonzero(begins), np.flatnonzero(closes) + 1
     values = _CODES[code]
     values[~inside] = 0
-    values *= _power(_BASE, len(code))[: len(code)]
+    values *= power(BASE, len(code))[: len(code)]
     total = np.zeros(len(code) + 1, np.uint64)
     np.cumsum(values, out=total[1:])
-    hashes = (total[end] - total[start]) * _power(_INVERSE, len(code))[start]
+    hashes = (total[end] - total[start]) * power(INVERSE, len(code))[start]
     hashes += (end - start).astype(np.uint64)
     return mix(hashes), start + at, end + at
 
@@ -190,6 +190,14 @@ def window_hashes(hashes: np.ndarray, size: int, seed: int = 1) -> np.ndarray:
     return mix(total)
 
 
+def span_hashes(hashes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The hash of the words from ``start`` to ``stop``, wherever they stand."""
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(mix(hashes) * power(BASE, len(hashes))[: len(hashes)], out=total[1:])
+    found = (total[stop] - total[start]) * power(INVERSE, len(hashes) + 1)[start]
+    return mix(found + (stop - start).astype(np.uint64))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that each holds about BATCH_BYTES of text, or one longer text."""
     for batch in batches:
