@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.llm.decontaminate import find_passages
 from reviewlens.llm.lines import drop_frequent_lines
+from reviewlens.llm.minhash import near_duplicates
 from reviewlens.llm.packing import pack
 from reviewlens.llm.queries import vocabulary
 from reviewlens.llm.toxicity import fit, score
@@ -43,6 +44,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     ).select(*docs.columns)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each group that is linked by five-word shingles: the one with the smallest id."""
+    groups = near_duplicates(docs, size=5, share=0.8)
+    copies = groups.where("doc_id <> component_id").select("doc_id")
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Without the documents that hold ten consecutive words of a benchmark item."""
     found = find_passages(docs, table(spark, folder, "benchmark"))
@@ -58,6 +66,7 @@ def packing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 STAGES = [
     ("toxicity", toxicity),
     ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
     ("decontamination", decontamination),
     ("packing", packing),
 ]

@@ -1,5 +1,7 @@
 """DuckDB SQL for the rows of the queries that SQL can express."""
 
+from reviewlens.llm.chat import CONTROLS, END, TEXT, TURN
+
 ORACLES: dict[str, str] = {}
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -135,3 +137,29 @@ SELECT l.doc_id, len(any_value(w)) AS n_words, count(g.pos) AS n_removed,
 FROM lists l LEFT JOIN words USING (doc_id) LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = words.pos
 GROUP BY l.doc_id
 """
+
+
+def _escaped_length(column: str) -> str:
+    """Code points of a text after escaping: one more for each backslash and control string."""
+    counts = [
+        f"(length({column}) - length(replace({column}, '{c}', ''))) / {len(c)}" for c in ["\\", *CONTROLS]
+    ]
+    return f"length({column}) + CAST({' + '.join(counts)} AS BIGINT)"
+
+
+ORACLES["op10_chat_format"] = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text))
+         AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text)
+                         FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum({len(TURN) + len(TEXT) + len(END) + 1} + {_escaped_length('role')}
+           + {_escaped_length('text')})::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""

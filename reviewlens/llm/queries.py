@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewlens.llm.chat import digests, format_chats, records_of_turns
 from reviewlens.llm.decontaminate import find_passages, hit_words
+from reviewlens.llm.licenses import scan_licenses
 from reviewlens.llm.lines import drop_frequent_lines
 from reviewlens.llm.minhash import near_duplicates
 from reviewlens.llm.packing import pack
 from reviewlens.llm.recompression import remove_repeats
+from reviewlens.llm.secrets import find_secrets, spans_text
 from reviewlens.llm.toxicity import fit, held_out, score
 from reviewlens.llm.vectors import link_vectors
 from reviewlens.plans.bridges import table
@@ -83,3 +86,45 @@ def op2_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     rows = remove_repeats(table(spark, folder, "documents"), size=13)
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_secrets(table(spark, folder, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda p: p["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(spans_text("base"), 256).alias("base_sha256"),
+        spans_text("spans").alias("spans"),
+    )
+
+
+@query
+def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)],
+        "conv_id long, turn long, role string, text string",
+    )
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return digests(format_chats(records_of_turns(turns.unionByName(extra))))
+
+
+@query
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licenses(table(spark, folder, "documents")).select(
+        "doc_id",
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        F.array_join("base", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
