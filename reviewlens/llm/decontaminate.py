@@ -235,21 +235,19 @@ def remove_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
     Ids must be distinct. Documents without spans keep their text unchanged, nulls included.
     """
 
-    def cut(text: pa.ChunkedArray, spans) -> pa.Array:
-        out = []
-        for value, own in zip(text, spans):
-            raw, at, pieces = value.encode(), 0, []
-            for span in own:
-                pieces.append(raw[at : span["byte_first"]])
-                at = span["byte_stop"]
-            out.append((b"".join([*pieces, raw[at:]])).decode())
-        return out
-
     @F.pandas_udf("string")
     def without(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series(cut(text, spans))
+        out = []
+        for value, own in zip(text, spans):
+            if value is not None and own is not None:
+                raw, at, pieces = value.encode(), 0, []
+                for span in own:
+                    pieces.append(raw[at : span["byte_first"]])
+                    at = span["byte_stop"]
+                value = b"".join([*pieces, raw[at:]]).decode()
+            out.append(value)
+        return pd.Series(out, dtype=object)
 
     hits = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("hit_id"), "spans")
     joined = docs.join(hits, F.col("doc_id") == F.col("hit_id"), "left")
-    text = F.when(F.col("spans").isNotNull(), without(F.col("text"), F.col("spans")))
-    return joined.withColumn("text", F.coalesce(text, F.col("text"))).select(*docs.columns)
+    return joined.withColumn("text", without(F.col("text"), F.col("spans"))).select(*docs.columns)
