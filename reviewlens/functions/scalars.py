@@ -99,20 +99,6 @@ def before_dash(text: Column) -> Column:
     return F.trim(F.split(text, "-").getItem(0))
 
 
-def unescape_markup(text: Column) -> Column:
-    """The named references that markup itself needs; ``&amp;`` last, so nothing decodes twice."""
-    for name, char in (
-        ("&lt;", "<"),
-        ("&gt;", ">"),
-        ("&quot;", '"'),
-        ("&#39;", "'"),
-        ("&nbsp;", "\xa0"),
-        ("&amp;", "&"),
-    ):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
-
-
 def axis_break(span_days: Column) -> Column:
     """Axis spacing for a span of days; a month counts 30.4 days."""
     months = span_days / F.lit(30.4)

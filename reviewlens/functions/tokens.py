@@ -30,6 +30,12 @@ def words_in(df: DataFrame, name: str) -> Column:
     return column if dict(df.dtypes)[name] == "array<string>" else word_array(column)
 
 
+def not_among(word: Column, stopwords: list[str | None] | None) -> Column:
+    """Whether a word is none of the listed ones; a null in the list stands for no word."""
+    known = [listed for listed in stopwords or [] if listed is not None]
+    return ~word.isin(known) if known else word.isNotNull()
+
+
 def is_wanted(
     word: Column,
     min_chars: int = 1,
@@ -40,6 +46,4 @@ def is_wanted(
     keep = F.length(word) >= min_chars
     if char_class:
         keep = keep & word.rlike(char_class)
-    if stopwords:
-        keep = keep & ~word.isin(list(stopwords))
-    return keep
+    return keep & not_among(word, stopwords) if stopwords else keep

@@ -2,30 +2,22 @@
 
 # Words too common in film reviews to say anything about one film.
 FILM_STOPWORDS = [
-    # the film itself
     "movie", "movies", "film", "films", "cinema",
     "series", "season", "seasons", "episode", "episodes", "parasite",
-    # watching
     "watch", "watched", "watching", "rewatch", "rewatched",
     "see", "seeing", "saw", "seen",
     "view", "viewed", "viewer", "viewers",
-    # people and credits
     "director", "directors", "directed",
     "actor", "actors", "actress", "actresses",
     "cast", "crew", "screenplay",
-    # parts of a film
     "scene", "scenes", "shot", "shots",
     "character", "characters",
     "story", "stories", "plot", "subplot",
     "ending", "endings", "opening",
-    # fillers
     "really", "very", "quite", "lot", "lots",
-    # sites and media
     "imdb", "netflix", "hbo", "disney", "marvel",
     "dvd", "blu", "blu ray", "bluray",
-    # spoilers
     "spoiler", "spoilers",
-    # vague nouns
     "thing", "things", "kind", "sort",
 ]
 

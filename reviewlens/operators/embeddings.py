@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -50,9 +50,18 @@ def embed_texts(
 
 
 def _hashed_words(texts: DataFrame, size: int = 64) -> DataFrame:
-    words = texts.select("id", word_array(F.col("text")).alias("words"))
-    hashed = HashingTF(numFeatures=size, inputCol="words", outputCol="counts").transform(words)
-    scaled = Normalizer(p=2.0, inputCol="counts", outputCol="vector").transform(hashed)
+    """Counts of the words by bucket, at length one; a bucket is the first 32 bits of the word's MD5
+    modulo the number of buckets."""
+
+    def bucket(word: Column) -> Column:
+        number = F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long")
+        return F.pmod(number, F.lit(size)).cast("string")
+
+    words = texts.select("id", F.transform(word_array(F.col("text")), bucket).alias("buckets"))
+    names = [str(k) for k in range(size)]
+    counter = CountVectorizerModel.from_vocabulary(names, "buckets", "counts")
+    counted = counter.transform(words)
+    scaled = Normalizer(p=2.0, inputCol="counts", outputCol="vector").transform(counted)
     return scaled.select("id", vector_to_array("vector", "float32").alias("embedding"))
 
 
@@ -96,14 +105,13 @@ def load_embeddings(
 ) -> DataFrame:
     """Reviews that have an embedding, with it at length one.
 
-    Ids are unique in a table written by ``write_embeddings``. Where they are not, ``position``
-    names the column that says which vector of an id comes first; the first one is used.
+    Each review comes once: of several vectors of an id the first is used, by ``position`` where that
+    column says which comes first, else the least vector, component by component. A null vector
+    counts only where an id has no other.
     """
-    if position is not None:
-        first = F.min_by("embedding", position)
-        lookup = embeddings.groupBy("id").agg(first.alias("embedding"))
-    else:
-        lookup = embeddings.select("id", "embedding")
+    order = F.col("embedding") if position is None else F.struct(position, "embedding")
+    first = F.min_by("embedding", F.when(F.col("embedding").isNotNull(), order))
+    lookup = embeddings.groupBy("id").agg(first.alias("embedding"))
     return l2_normalize(reviews.join(lookup, "id"))
 
 
@@ -161,16 +169,22 @@ def representatives(
 ) -> DataFrame:
     """Platform, rating, rounded similarity and snippet of the rows closest to the selection.
 
-    Only vectors are ranked; the ``k`` ids found are then broadcast over ``reviews``, which holds
-    every id that has a vector.
+    Most similar first, ties by id. An id without a review keeps its row, with nulls; of several
+    reviews of an id, each has a row. Only vectors are ranked; ``reviews`` is cut down to the ``k``
+    ids before anything is joined to them.
     """
     top = closest_to_centroid(df, selected, k).select("id", "sim")
-    return reviews.join(F.broadcast(top), "id").select(
-        "id",
-        "platform",
-        "rating",
-        F.bround("sim", 3).alias("sim"),
-        truncate_text(F.col("text"), 120).alias("snippet"),
+    found = reviews.join(top.select("id"), "id", "left_semi")
+    return (
+        top.join(found.select("id", "platform", "rating", "text"), "id", "left")
+        .orderBy(F.desc("sim"), F.asc("id"))
+        .select(
+            "id",
+            "platform",
+            "rating",
+            F.bround("sim", 3).alias("sim"),
+            truncate_text(F.col("text"), 120).alias("snippet"),
+        )
     )
 
 

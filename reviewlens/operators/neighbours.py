@@ -1,18 +1,21 @@
 """Exact cosine nearest neighbours of every embedding.
 
 At length one, cosine order is distance order, so the triangle inequality prunes. Vectors are
-assigned to the nearest of a sample of pivots; the cells are cut into blocks of bounded size. Each
-vector first meets its own block, which bounds how far its neighbours can be, and then only the
-blocks of cells that reach within that bound. A task holds one block and a bounded number of
-visiting vectors and keeps the best k of each; pairs are never written out. Equal vectors are
-treated as one, so any number of copies costs no more than a single vector.
-
-How much is pruned depends on the data: well separated groups visit few blocks, while vectors
-without structure visit most of them, as any exact method must.
+assigned to the nearest of about sqrt(n) sampled pivots, so cells grow as slowly as their number.
+Each vector first meets a block of its own cell and then the cells whose pivots are nearest, which
+bounds how far its neighbours can be; in the last round it visits only the other cells that reach
+within that bound. A task holds one block and a bounded number of visiting vectors and keeps the
+best k of each; pairs are never written out. Equal vectors are treated as one, so any number of
+copies costs no more than a single vector.
+
+How much is pruned depends on the data. Well separated groups visit few cells. Vectors without
+structure visit nearly all of them, as any exact method must: n * n / visitor_rows rows are then moved,
+which is no plan for very large tables.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,92 +28,121 @@ from reviewlens.storage import cut_lineage
 
 # Slack for rounding when distances are compared; visiting too much is harmless.
 SLACK = 1e-6
+# Distances to pivots that a task works out at a time.
+DISTANCES = 4_000_000
 
 _HIT = "vec string, sim double, ids array<string>"
 
 
 def knn_graph(
-    df: DataFrame,
-    k: int = 15,
-    block_rows: int = 1024,
-    visitor_rows: int = 4096,
-    max_pivots: int = 1024,
+    df: DataFrame, k: int = 15, block_rows: int = 1024, visitor_rows: int = 4096, nearest: int = 4
 ) -> DataFrame:
     """``id``, ``rank`` 1..k, ``neighbour`` and ``sim``; ties in similarity go by neighbour id.
 
-    A row is not its own neighbour. Zero vectors have no neighbours and are none.
+    A row is not its own neighbour. Zero vectors have no neighbours and are none. ``nearest`` cells
+    are visited before the bound is set.
     """
     points = l2_normalize(df.select(F.col("id").cast("string").alias("id"), "embedding"))
     points = points.where(F.col("embedding").isNotNull())
     vectors = cut_lineage(_distinct_vectors(points, k))
-    n_vectors = vectors.count()
-    if n_vectors == 0:
-        return points.select(
-            "id", F.lit(0).alias("rank"), F.col("id").alias("neighbour"), F.lit(0.0).alias("sim")
-        )
+    pivots = _pivots(vectors)
+    placed = cut_lineage(_into_cells(vectors, pivots, block_rows))
+    radius = np.zeros(len(pivots))
+    for row in placed.groupBy("cell").agg(F.max("away").alias("r")).collect():
+        radius[row["cell"]] = row["r"]
+
+    first = cut_lineage(_met(placed, _cells_to_visit(placed, pivots, None, nearest), k, visitor_rows))
+    # The k-th best so far bounds the rest; with fewer than k, anything may still be a neighbour.
+    order = Window.partitionBy("vec").orderBy(F.desc("sim"))
+    copies = F.sum(F.size("ids")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    bound = first.withColumn("copies", copies).where(F.col("copies") > k).groupBy("vec").agg(
+        F.max("sim").alias("least")
+    )
+    bounded = placed.join(bound, "vec", "left")
+    later = _cells_to_visit(bounded, pivots, radius, nearest)
+    met = _met(placed, later, k, visitor_rows)
+    return _neighbours(points, vectors, first.unionByName(met), k)
 
-    n_pivots = min(max_pivots, -(-n_vectors // block_rows))
-    sample = vectors.orderBy(F.xxhash64("vec"), "vec").select("embedding").limit(n_pivots)
-    pivots = np.array([row.embedding for row in sample.collect()])
-    placed = vectors.withColumn("place", _nearest_pivot(pivots)("embedding"))
 
-    # One row per pivot: few, whatever the number of vectors.
-    cells = placed.groupBy("place.cell").agg(
-        F.count(F.lit(1)).alias("n"), F.max("place.away").alias("r")
-    )
-    sizes, radius = np.zeros(n_pivots, dtype=int), np.zeros(n_pivots)
-    for row in cells.collect():
-        sizes[row.cell], radius[row.cell] = row.n, row.r
-    parts = -(-sizes // block_rows)
-    first = np.concatenate([[0], np.cumsum(parts)])
-
-    def by_cell(values: np.ndarray):
-        array = F.array(*[F.lit(int(value)) for value in values])
-        return F.get(array, F.col("place.cell"))
-
-    sub = F.pmod(F.xxhash64("vec"), by_cell(parts)).cast("int")
-    blocks = cut_lineage(
-        placed.select("vec", "ids", "embedding", (by_cell(first[:-1]) + sub).alias("block"))
-    )
-    within = blocks.groupBy("block").applyInPandas(
-        _within_block(k),
-        "block int, vec string, embedding array<double>, bound double, "
-        "sims array<double>, ids array<array<string>>",
+def _pivots(vectors: DataFrame) -> np.ndarray:
+    """About sqrt(n) of the vectors, by the hash of their ids."""
+    wanted = math.isqrt(vectors.count()) + 1
+    sample = vectors.orderBy(F.xxhash64("vec"), "vec").select("embedding").limit(wanted)
+    return np.array([row["embedding"] for row in sample.collect()])
+
+
+def _into_cells(vectors: DataFrame, pivots: np.ndarray, block_rows: int) -> DataFrame:
+    """Vectors with their cell, their distance to its pivot, and a block of the cell."""
+    schema = "vec string, ids array<string>, embedding array<double>, cell int, away double"
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in _slices(batch, len(pivots)):
+                away = _distances(_matrix(part["embedding"]) @ pivots.T)
+                cell = away.argmin(axis=1)
+                yield part.assign(cell=cell, away=away[np.arange(len(cell)), cell])
+
+    placed = vectors.select("vec", "ids", "embedding").mapInPandas(place, schema)
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("parts"))
+    return placed.join(sizes, "cell").withColumn(
+        "block", F.pmod(F.xxhash64("vec"), F.col("parts")).cast("int")
     )
-    reach = _blocks_in_reach(pivots, radius, first)
-    own = cut_lineage(within.withColumn("others", reach("embedding", "bound", "block")))
-    hits = own.select("vec", F.inline(F.arrays_zip("sims", "ids"))).toDF("vec", "sim", "ids")
-    if int(first[-1]) == 1:
-        return _neighbours(points, vectors, hits, k)
-
-    # Visitors of one block are spread over as many tasks as their number asks for.
-    calls = own.select(F.explode("others").alias("block"))
-    load = calls.groupBy("block").agg(
+
+
+def _cells_to_visit(
+    placed: DataFrame, pivots: np.ndarray, radius: np.ndarray | None, nearest: int
+) -> DataFrame:
+    """(vec, cell): the nearest cells, or with ``radius`` all others that may hold a neighbour."""
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in _slices(batch, len(pivots)):
+                away = _distances(_matrix(part["embedding"]) @ pivots.T)
+                count = min(nearest, len(pivots))
+                wanted = np.zeros(away.shape, dtype=bool)
+                close = np.argsort(away, axis=1, kind="stable")[:, :count]
+                np.put_along_axis(wanted, close, True, axis=1)
+                if radius is not None:
+                    bound = _distances(part["least"].fillna(-1.0).to_numpy())
+                    wanted = ~wanted & (away - radius <= bound[:, None] + SLACK)
+                row, cell = np.nonzero(wanted)
+                yield pd.DataFrame({"vec": part["vec"].to_numpy()[row], "cell": cell})
+
+    columns = ["vec", "embedding"] + (["least"] if radius is not None else [])
+    return placed.select(*columns).mapInPandas(visit, "vec string, cell int")
+
+
+def _met(placed: DataFrame, calls: DataFrame, k: int, visitor_rows: int) -> DataFrame:
+    """The best k + 1 that each vector finds in each block of the cells it visits."""
+    load = calls.groupBy("cell").agg(
         F.ceil(F.count(F.lit(1)) / visitor_rows).cast("int").alias("tasks")
     )
+    parts = placed.groupBy("cell").agg(F.first("parts").cast("int").alias("parts"))
+    # Keys travel to the cells' sizes first; a vector is fetched once it is known where it goes.
     visitors = (
-        own.select("vec", "embedding", F.explode("others").alias("block"))
-        .join(load, "block")
-        .select(
-            "block",
-            F.pmod(F.xxhash64("vec"), F.col("tasks")).cast("int").alias("task"),
-            "vec",
-            "embedding",
-        )
+        calls.join(load, "cell")
+        .join(parts, "cell")
+        .withColumn("task", F.pmod(F.xxhash64("vec"), F.col("tasks")).cast("int"))
+        .join(placed.select("vec", "embedding"), "vec")
+        .select("cell", "task", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), "vec", "embedding")
     )
-    hosts = blocks.join(load, "block").select(
-        "block",
+    hosts = placed.join(load, "cell").select(
+        "cell",
         F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"),
+        "block",
         "vec",
         "ids",
         "embedding",
     )
-    met = (
-        visitors.groupBy("block", "task")
-        .cogroup(hosts.groupBy("block", "task"))
-        .applyInPandas(_across_blocks(k), _HIT)
-    )
-    return _neighbours(points, vectors, hits.unionByName(met), k)
+    key = ["cell", "block", "task"]
+    return visitors.groupBy(*key).cogroup(hosts.groupBy(*key)).applyInPandas(_across_blocks(k), _HIT)
+
+
+def _slices(batch: pd.DataFrame, width: int) -> Iterator[pd.DataFrame]:
+    """Rows of a batch, as many at a time as their distances to ``width`` pivots allow."""
+    step = max(1, DISTANCES // max(width, 1))
+    for at in range(0, len(batch), step):
+        yield batch.iloc[at : at + step]
 
 
 def _distinct_vectors(points: DataFrame, k: int) -> DataFrame:
@@ -149,18 +181,6 @@ def _distances(cosines: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * cosines, 0.0))
 
 
-def _nearest_pivot(pivots: np.ndarray):
-    @F.pandas_udf("cell int, away double")
-    def place(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                away = _distances(_matrix(batch) @ pivots.T)
-                cell = away.argmin(axis=1)
-                yield pd.DataFrame({"cell": cell, "away": away[np.arange(len(cell)), cell]})
-
-    return place
-
-
 def _best(sims: np.ndarray, k: int) -> np.ndarray:
     """Column numbers of the k largest values of each row, largest first, equal ones in order."""
     k = min(k, sims.shape[1])
@@ -173,49 +193,6 @@ def _best(sims: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(columns, order, axis=1)
 
 
-def _within_block(k: int):
-    def search(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("vec", ignore_index=True)
-        vectors = _matrix(block["embedding"])
-        sims = vectors @ vectors.T
-        # The vector itself is among the best, since its copies are neighbours of one another.
-        best = _best(sims, k + 1)
-        found = np.take_along_axis(sims, best, axis=1)
-        full = best.shape[1] > k
-        ids = block["ids"].to_numpy()
-        return pd.DataFrame(
-            {
-                "block": block["block"],
-                "vec": block["vec"],
-                "embedding": block["embedding"],
-                "bound": _distances(found[:, -1]) if full else 2.0,
-                "sims": list(found),
-                "ids": [ids[row].tolist() for row in best],
-            }
-        )
-
-    return search
-
-
-def _blocks_in_reach(pivots: np.ndarray, radius: np.ndarray, first: np.ndarray):
-    """The blocks that may hold a neighbour of a vector, its own left out."""
-    cell_of_block = np.repeat(np.arange(len(radius)), np.diff(first))
-
-    @F.pandas_udf("array<int>")
-    def reach(
-        batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]],
-    ) -> Iterator[pd.Series]:
-        for embedding, bound, own in batches:
-            if not len(embedding):
-                continue
-            gap = _distances(_matrix(embedding) @ pivots.T) - radius
-            near = (gap <= bound.to_numpy()[:, None] + SLACK)[:, cell_of_block]
-            near[np.arange(len(near)), own.to_numpy()] = False
-            yield pd.Series([np.flatnonzero(row).astype(np.int32) for row in near], dtype=object)
-
-    return reach
-
-
 def _across_blocks(k: int):
     def search(visitors: pd.DataFrame, hosts: pd.DataFrame) -> pd.DataFrame:
         if visitors.empty or hosts.empty:

@@ -11,44 +11,80 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.functions.scalars import strip
+from reviewlens.functions.tokens import not_among
 from reviewlens.functions.wordlists import KEPT_TAGS, NORMALISER_STOPWORDS
 from reviewlens.schema import ANALYSED_TOKENS
 
 # text -> [(form, tag, lemma or None)]
 Analyser = Callable[[str], list[tuple[str, str, str | None]]]
 
+# Runs of letters and of numbers that are no decimal digits.
+_NOUN = r"[\p{L}\p{Nl}\p{No}]+"
+
 
 def simple_analyser() -> Analyser:
     """Stand-in for a morphological analyser: words are nouns, numbers SN, the rest symbols."""
-    pattern = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
+    pattern = re.compile(r"(?P<NNG>[^\W\d_]+)|(?P<SN>\d+)|(?P<SW>[^\w\s]|_)")
 
     def analyse(text: str) -> list[tuple[str, str, str | None]]:
-        found = []
-        for form in pattern.findall(text):
-            tag = "NNG" if form[0].isalpha() else "SN" if form[0].isdigit() else "SW"
-            found.append((form, tag, None))
-        return found
+        return [(found[0], found.lastgroup, None) for found in pattern.finditer(text)]
 
     return analyse
 
 
-def analyse(text: Column, make_analyser: Callable[[], Analyser] = simple_analyser) -> Column:
-    """The analysed tokens of a text. The analyser is made once per task, not per row."""
+# Texts whose tokens are held at a time by a Python analyser.
+ANALYSED_TEXTS = 256
+
+
+def simple_tokens(text: Column) -> Column:
+    """What ``simple_analyser`` finds, as an expression of the JVM."""
+    forms = F.regexp_extract_all(
+        F.coalesce(text, F.lit("")), F.lit(rf"{_NOUN}|\p{{Nd}}+|[^\s\p{{Z}}]"), F.lit(0)
+    )
+    tag = (
+        lambda form: F.when(form.rlike(rf"^{_NOUN}"), "NNG")
+        .when(form.rlike(r"^\p{Nd}"), "SN")
+        .otherwise("SW")
+    )
+    return F.transform(
+        forms,
+        lambda form: F.struct(
+            form.alias("form"), tag(form).alias("tag"), F.lit(None).cast("string").alias("lemma")
+        ),
+    )
+
+
+def analyse(text: Column, make_analyser: Callable[[], Analyser] | None = None) -> Column:
+    """The analysed tokens of a text, by the plain stand-in unless an analyser is given.
+
+    A given analyser is made once per task, not per row.
+    """
+    if make_analyser is None:
+        return simple_tokens(text)
 
     @F.arrow_udf(ANALYSED_TOKENS)
     def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         analyser = make_analyser()
         for batch in batches:
-            analysed = [analyser(review or "") for review in batch.to_pylist()]
-            offsets = np.cumsum([0, *map(len, analysed)], dtype=np.int32)
-            flat = [token for found in analysed for token in found]
-            columns = [pa.array([token[i] for token in flat], pa.string()) for i in range(3)]
-            structs = pa.StructArray.from_arrays(columns, ["form", "tag", "lemma"])
-            yield pa.ListArray.from_arrays(pa.array(offsets), structs)
+            parts = [
+                _token_lists([analyser(review or "") for review in part.to_pylist()])
+                for at in range(0, len(batch), ANALYSED_TEXTS)
+                for part in [batch.slice(at, ANALYSED_TEXTS)]
+            ]
+            yield pa.concat_arrays(parts) if parts else _token_lists([])
 
     return tokens(text)
 
 
+def _token_lists(analysed: list[list[tuple[str, str, str | None]]]) -> pa.Array:
+    """One list of tokens per text, as Arrow."""
+    offsets = np.cumsum([0, *map(len, analysed)], dtype=np.int32)
+    flat = [token for found in analysed for token in found]
+    columns = [pa.array([token[i] for token in flat], pa.string()) for i in range(3)]
+    structs = pa.StructArray.from_arrays(columns, ["form", "tag", "lemma"])
+    return pa.ListArray.from_arrays(pa.array(offsets), structs)
+
+
 def kept_lemmas(tokens: Column, stopwords: list[str] | None = None) -> Column:
     """Lemmas, or forms where there is none, of the content words that are no stopword."""
     stopwords = NORMALISER_STOPWORDS if stopwords is None else stopwords
@@ -59,7 +95,7 @@ def kept_lemmas(tokens: Column, stopwords: list[str] | None = None) -> Column:
     )
 
     def wanted(lemma: Column) -> Column:
-        return (lemma != "") & ~lemma.isin(stopwords) if stopwords else lemma != ""
+        return (lemma != "") & not_among(lemma, stopwords)
 
     return F.filter(lemmas, wanted)
 
@@ -67,7 +103,7 @@ def kept_lemmas(tokens: Column, stopwords: list[str] | None = None) -> Column:
 def normalize_reviews(
     df: DataFrame,
     text: str = "text",
-    make_analyser: Callable[[], Analyser] = simple_analyser,
+    make_analyser: Callable[[], Analyser] | None = None,
     stopwords: list[str] | None = None,
 ) -> DataFrame:
     """``id``, the original text, and its kept lemmas joined by spaces; empty ones stay as ""."""

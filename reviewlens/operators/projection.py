@@ -43,11 +43,29 @@ def projection_path(root: str, method: str = "pca", **parameters: object) -> str
     return f"{root.rstrip('/')}/projection_{method}{suffix}"
 
 
-def cached_projection(df: DataFrame, root: str, method: str = "pca") -> DataFrame:
-    """The stored projection when it has a row per vector, else a new one, stored for next time."""
-    path = projection_path(root, method)
-    stored = read_if_exists(df.sparkSession, path)
-    if stored is None or stored.count() != df.where(F.col("embedding").isNotNull()).count():
+def content_fingerprint(df: DataFrame) -> str:
+    """A text that changes with any id or vector, whatever the order of the rows.
+
+    The rows' hashes are summed twice over, as two independent 64-bit numbers, beside the count.
+    """
+    vectors = df.where(F.col("embedding").isNotNull())
+    wide = "decimal(38,0)"
+    row = vectors.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.xxhash64("id", "embedding").cast(wide)).alias("one"),
+        F.sum(F.xxhash64(F.lit(1), "id", "embedding").cast(wide)).alias("two"),
+    ).first()
+    return f"{row['n']}-{row['one'] or 0}-{row['two'] or 0}"
+
+
+def cached_projection(
+    df: DataFrame, root: str, method: str = "pca", **parameters: object
+) -> DataFrame:
+    """The stored projection of just these vectors and parameters, else a new one, stored for next
+    time beside the others."""
+    mark = content_fingerprint(df)
+    path = f"{projection_path(root, method, **parameters)}/vectors_{mark}"
+    if read_if_exists(df.sparkSession, path) is None:
         project_pca(df).write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -55,15 +73,28 @@ def cached_projection(df: DataFrame, root: str, method: str = "pca") -> DataFram
 def attach_projection(
     reviews: DataFrame, projection: DataFrame, with_index: bool = False
 ) -> DataFrame:
-    """Reviews with their coordinates, by id; fails when the row counts differ.
+    """Reviews with their coordinates, by id; a row without its counterpart on either side fails.
 
-    ``with_index`` adds ``idx``, the row number in order of platform and id.
+    ``with_index`` adds ``idx``, the row number in order of platform and id. Coordinates must have
+    distinct ids; a second row of an id fails, too. The one full join finds all of that as it runs.
     """
-    expected, given = reviews.count(), projection.count()
-    if expected != given:
-        raise ValueError(f"{given} projected rows do not match {expected} reviews")
-    joined = reviews.join(projection.select("id", "dim1", "dim2"), "id")
-    return row_index(joined, "platform", "id") if with_index else joined
+    placed = projection.groupBy("id").agg(
+        F.first("dim1").alias("dim1"), F.first("dim2").alias("dim2"), F.count(F.lit(1)).alias("given")
+    )
+    marked = reviews.withColumn("reviewed", F.lit(True))
+    joined = marked.join(placed, "id", "full")
+
+    def complaint(problem: str):
+        return F.raise_error(F.concat(F.lit(problem), F.col("id").cast("string"))).cast("boolean")
+
+    fits = (
+        F.when(F.col("reviewed").isNull(), complaint("no review for the projected id "))
+        .when(F.col("given").isNull(), complaint("no projection for the id "))
+        .when(F.col("given") > 1, complaint("several projected rows for the id "))
+        .otherwise(True)
+    )
+    complete = joined.where(fits).select(*reviews.columns, "dim1", "dim2")
+    return row_index(complete, "platform", "id") if with_index else complete
 
 
 def row_index(df: DataFrame, *order: str) -> DataFrame:

@@ -5,13 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.functions.tokens import LATIN, is_wanted, words_in
+from reviewlens.functions.tokens import LATIN, is_wanted, not_among, words_in
 from reviewlens.operators.filters import filter_rating
 
-# Up to this many stopwords are tested row by row inside the scan.
-INLINE_STOPWORDS = 5_000
-
-
 def with_words(df: DataFrame, text: str = "text") -> DataFrame:
     """The text replaced by its array of words.
 
@@ -95,23 +91,16 @@ def remove_stopwords(
     text: str = "text",
     output: str = "text_nostop",
     keep_empty: bool = False,
-    inline: int = INLINE_STOPWORDS,
 ) -> DataFrame:
     """The text's words without stopwords, joined by spaces in their order.
 
-    A review left without words is dropped, or kept with an empty text. Lists of up to ``inline``
-    words are tested within the scan, longer ones by an anti join.
+    A review left without words is dropped, or kept with an empty text. A list is tested within the
+    scan; a table of words, of any size, is an anti join, which Spark broadcasts if it is small.
+    Nulls among the stopwords stand for no word.
     """
     if isinstance(stopwords, DataFrame):
-        words = stopwords.select("word").distinct()
-        # One row beyond the bound tells whether the list is small enough to inline.
-        head = words.limit(inline + 1).collect()
-        if len(head) > inline:
-            return _remove_by_join(df, words, text, output, keep_empty)
-        stopwords = [row.word for row in head if row.word is not None]
-    words = words_in(df, text)
-    if stopwords:
-        words = F.filter(words, lambda word: ~word.isin(stopwords))
+        return _remove_by_join(df, stopwords, text, output, keep_empty)
+    words = F.filter(words_in(df, text), lambda word: not_among(word, stopwords))
     cleaned = df.withColumn(output, F.array_join(words, " "))
     if keep_empty:
         return cleaned.withColumn(output, F.coalesce(output, F.lit("")))
@@ -121,20 +110,18 @@ def remove_stopwords(
 def _remove_by_join(
     df: DataFrame, stopwords: DataFrame, text: str, output: str, keep_empty: bool
 ) -> DataFrame:
-    """As ``remove_stopwords`` for a list of any size.
+    """As ``remove_stopwords`` for a table of words.
 
-    Each distinct text is cleaned once, however many reviews copy it, and only the words of one
+    A digest stands for the text, so that words do not drag it through the shuffle; equal texts
+    have equal digests and words, and fall together before they are shuffled. Only the words of one
     text are ever brought together.
     """
-    # A digest stands for the text, so that words do not drag it through the shuffles.
     content = F.col(text) if dict(df.dtypes)[text] == "string" else F.to_json(text)
     keyed = df.withColumn("text_key", F.unhex(F.sha2(content, 256)))
-    texts = keyed.where(F.col(text).isNotNull()).select("text_key", text)
-    distinct = texts.dropDuplicates(["text_key"])
-    words = distinct.select(
-        "text_key", F.posexplode(words_in(distinct, text)).alias("pos", "word")
-    ).join(stopwords, "word", "left_anti")
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "word")))
+    words = keyed.select("text_key", F.posexplode(words_in(df, text)).alias("pos", "word")).join(
+        stopwords.select("word").distinct(), "word", "left_anti"
+    )
+    ordered = F.array_sort(F.collect_set(F.struct("pos", "word")))
     cleaned = words.groupBy("text_key").agg(
         F.array_join(F.transform(ordered, lambda item: item["word"]), " ").alias(output)
     )

@@ -22,7 +22,7 @@ SOURCE_B = """
 SELECT doc_id AS id, DATE '2019-01-01' + CAST(doc_id * 37 % 1800 AS INT) AS writing_date,
        CASE WHEN doc_id % 23 = 0 THEN NULL ELSE 1 + n_chars % 10 END AS star_rating,
        text AS comment, doc_id % 13 AS upvote, doc_id % 5 AS downvote
-FROM documents WHERE lang <> 'en'
+FROM documents WHERE lang IS DISTINCT FROM 'en'
 """
 
 REVIEWS = """
@@ -31,8 +31,8 @@ SELECT CAST(doc_id AS VARCHAR(20)) AS id,
        DATE '2019-01-01' + CAST(doc_id * 37 % 1800 AS INT) AS date,
        CASE WHEN doc_id % 23 = 0 THEN NULL ELSE CAST(1 + n_chars % 10 AS DOUBLE) END AS rating,
        text,
-       CASE WHEN lang <> 'en' THEN CAST(doc_id % 13 AS INT) END AS upvote,
-       CASE WHEN lang <> 'en' THEN CAST(doc_id % 5 AS INT) END AS downvote
+       CASE WHEN lang IS DISTINCT FROM 'en' THEN CAST(doc_id % 13 AS INT) END AS upvote,
+       CASE WHEN lang IS DISTINCT FROM 'en' THEN CAST(doc_id % 5 AS INT) END AS downvote
 FROM documents
 """
 

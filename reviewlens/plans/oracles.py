@@ -8,7 +8,32 @@ from __future__ import annotations
 
 from reviewlens.functions.wordlists import FILM_STOPWORDS
 from reviewlens.plans import bridges
-from reviewlens.plans.registry import CUT, END, KEYWORDS, REGION, SHARE, START, STOPWORDS
+from reviewlens.plans.registry import (
+    ACCENTED,
+    CUT,
+    END,
+    KEYWORDS,
+    REGION,
+    SHARE,
+    START,
+    STOPWORDS,
+    WORD_FILE,
+)
+
+# Spark's English stopwords.
+ENGLISH_STOPWORDS = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her
+hers herself it its itself they them their theirs themselves what which who whom this that these
+those am is are was were be been being have has had having do does did doing a an the and but if or
+because as until while of at by for with about against between into through during before after
+above below to from up down in out on off over under again further then once here there when where
+why how all any both each few more most other some such no nor not only own same so than too very s
+t can will just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd
+they'd i'm you're he's she's it's we're they're i've we've you've they've isn't aren't wasn't
+weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't mustn't can't
+couldn't cannot could here's how's let's ought that's there's what's when's where's who's why's
+would
+""".split()
 
 # The library's word pattern in the dialect of DuckDB, with its quotes doubled.
 _LETTERS, _DIGITS = r"[\p{L}\p{M}\p{Nl}]+", r"\p{Nd}+"
@@ -18,7 +43,11 @@ _VIEWS = {
     "reviews": bridges.REVIEWS,
     "ratings": bridges.RATINGS,
     "vectors": bridges.VECTORS,
+    "source_a": bridges.SOURCE_A,
     "source_b": bridges.SOURCE_B,
+    "both_texts": """
+        SELECT id::VARCHAR AS id, content AS text FROM source_a
+        UNION ALL SELECT id::VARCHAR, comment FROM source_b""",
     "points": """
         SELECT v.*, v.embedding[1]::DOUBLE AS dim1, v.embedding[2]::DOUBLE AS dim2
         FROM vectors v SEMI JOIN reviews r USING (id)""",
@@ -29,7 +58,7 @@ _VIEWS = {
         SELECT word, count(*) AS n FROM tokens
         WHERE length(word) >= 2 AND regexp_matches(word, '[a-z]') GROUP BY word""",
 }
-_NEEDS = {"points": ("reviews", "vectors"), "tokens": ("reviews",), "frequency": ("tokens",)}
+_NEEDS = {"both_texts": ("source_a", "source_b"), "points": ("reviews", "vectors"), "tokens": ("reviews",), "frequency": ("tokens",)}
 
 
 def _with(views: str, body: str) -> str:
@@ -211,6 +240,46 @@ def _similar(source: str, selected: str, k: int) -> str:
     closest AS (SELECT id, sim FROM sims ORDER BY sim DESC, id LIMIT {k})"""
 
 
+def _leading(name: str, matrix: str, squarings: int = 14) -> str:
+    """CTEs up to ``name``: the leading eigenvector of a symmetric matrix, by repeated squaring.
+
+    The column of the largest diagonal element of a high power is the vector; its largest
+    component is made positive.
+    """
+    steps = []
+    before = matrix
+    for k in range(squarings):
+        steps.append(f"""
+    {name}_{k} AS MATERIALIZED (
+        SELECT i, j, v / max(abs(v)) OVER () AS v FROM (
+            SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {before} a JOIN {before} b ON a.j = b.i
+            GROUP BY a.i, b.j))""")
+        before = f"{name}_{k}"
+    steps.append(f"""
+    {name} AS MATERIALIZED (
+        SELECT i, v * sign(arg_max(v, abs(v)) OVER ()) / sqrt(sum(v * v) OVER ()) AS v
+        FROM {before} WHERE j = (SELECT i FROM {before} WHERE i = j ORDER BY v DESC, i LIMIT 1))""")
+    return ",".join(steps)
+
+
+def _components(source: str) -> str:
+    """The first two principal components of the vectors, the second after deflation."""
+    return f"""
+    , flat AS MATERIALIZED (
+        SELECT id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM {source}),
+    centred AS MATERIALIZED (SELECT id, i, x - avg(x) OVER (PARTITION BY i) AS x FROM flat),
+    cov AS MATERIALIZED (
+        SELECT a.i, b.i AS j, sum(a.x * b.x) AS v FROM centred a JOIN centred b USING (id)
+        GROUP BY a.i, b.i), {_leading("first_pc", "cov")},
+    level AS (SELECT sum(a.v * cov.v * b.v) AS strength FROM first_pc a JOIN cov ON a.i = cov.i
+              JOIN first_pc b ON b.i = cov.j),
+    deflated AS MATERIALIZED (
+        SELECT cov.i, cov.j, cov.v - strength * a.v * b.v AS v FROM cov JOIN first_pc a ON a.i = cov.i
+        JOIN first_pc b ON b.i = cov.j CROSS JOIN level), {_leading("second_pc", "deflated")}
+    SELECT id, {_r("sum(x * f.v)", "dim1", 4)}, {_r("sum(x * s.v)", "dim2", 4)}
+    FROM centred c JOIN first_pc f ON f.i = c.i JOIN second_pc s ON s.i = c.i GROUP BY id"""
+
+
 _X0, _X1, _Y0, _Y1 = REGION
 _IN_REGION = (
     f"dim1 BETWEEN {_X0}::DOUBLE AND {_X1}::DOUBLE "
@@ -255,8 +324,8 @@ ORACLES: dict[str, str] = {
     "rating_summary_skip": _with("ratings", _summary("ratings", "platform", _PAGE_SHARES)),
     "rating_summary_propagate": _with(
         "ratings",
-        ", kept AS (SELECT * FROM ratings WHERE platform = 'beta' OR rating IS NOT NULL)"
-        + _summary("kept", "platform", _PAGE_SHARES, "count(*) = count(rating)"),
+        ", kept AS (SELECT *, id::BIGINT % 19 AS part FROM ratings)"
+        + _summary("kept", "platform, part", _PAGE_SHARES, "count(*) = count(rating)"),
     ),
     "rating_trend_day": _trend("ratings", "day", 3),
     "rating_trend_week": _trend("ratings", "week", 5),
@@ -346,7 +415,9 @@ ORACLES: dict[str, str] = {
     "tokenize": _with("tokens", "\nSELECT id, word FROM tokens"),
     "word_frequency": _with("frequency", "\nSELECT word, n FROM frequency"),
     "word_frequency_high": _words("rating >= 8", 2, _LATIN),
-    "word_frequency_stored": _words("rating >= 8", 2, _LATIN),
+    "word_frequency_script": _words(
+        f"regexp_matches(word, '{ACCENTED}')", 2, "word NOT IN ('été', 'même', 'más')"
+    ),
     "word_frequency_low": _words("rating <= 3", 3, _LATIN),
     "word_frequency_stopped": _words("true", 2, f"word NOT IN ({_list(STOPWORDS)})"),
     "top_words": _with(
@@ -376,6 +447,16 @@ ORACLES: dict[str, str] = {
         WHERE k = 1""",
     "remove_stopwords": _with("tokens", _FREQUENT + " WHERE text_nostop <> ''"),
     "remove_stopwords_join": _with("tokens", _FREQUENT),
+    "stopword_pipeline": _with(
+        "reviews",
+        f"""
+        , stop AS (SELECT [{_list([*ENGLISH_STOPWORDS, *FILM_STOPWORDS])},
+                           {_list([w.strip() for w in WORD_FILE if w.strip()])}] AS stops),
+        words AS (SELECT id, stops, regexp_extract_all(lower(text), '{_TOKEN}') AS w FROM reviews, stop),
+        kept AS (SELECT id, array_to_string(list_filter(w,
+                     lambda x: NOT list_contains(stops, x)), ' ') AS text_nostop FROM words)
+        SELECT id, text_nostop FROM kept WHERE text_nostop <> ''""",
+    ),
     "keyword_rating_counts": _with(
         "reviews",
         f"""
@@ -404,6 +485,23 @@ ORACLES: dict[str, str] = {
         f"""
         SELECT id, text AS original_text, {_lemmas(STOPWORDS)} AS normalized_text FROM reviews""",
     ),
+    "normalize_reviews_analyser": _with(
+        "reviews",
+        f"""
+        , words AS (SELECT id, regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+') AS w
+                    FROM reviews),
+        lemmas AS (SELECT id, list_transform(w, lambda x:
+                       CASE WHEN length(x) > 5 THEN x[1 : length(x) - 1] ELSE x END) AS w FROM words)
+        SELECT id, array_to_string(list_filter(w,
+                   lambda x: NOT list_contains([{_list(STOPWORDS)}], x)), ' ') AS normalized_text
+        FROM lemmas""",
+    ),
+    "write_normalized": _with(
+        "reviews",
+        f"""
+        SELECT id, nullif(text, '') AS original_text,
+               nullif({_lemmas(STOPWORDS)}, '') AS normalized_text FROM reviews""",
+    ),
     "merge_normalized": _with(
         "reviews",
         f"""
@@ -411,22 +509,25 @@ ORACLES: dict[str, str] = {
                CASE WHEN platform = 'beta' THEN {_lemmas([])} END AS normalized_text
         FROM reviews""",
     ),
-    "select_text_column": _with(
-        "source_b", "\nSELECT id::VARCHAR AS id, comment AS text FROM source_b"
-    ),
+    "select_text_column": _with("both_texts", "\nSELECT id, text FROM both_texts"),
     "load_texts": f"""
         SELECT id, text FROM (
             SELECT doc_id::VARCHAR AS id, {_STRIP.format("unnest(string_split(text, '.'))")} AS text
             FROM documents) WHERE text <> ''""",
     "extract_article_reviews": _LINES
     + """
-        SELECT page_id, 'ann' || place AS author, 'Line ' || place AS title,
+        SELECT page_id, CASE WHEN place % 3 = 0 THEN 'by é' ELSE 'ann' END || place AS author,
+               CASE WHEN place % 3 = 0 THEN 'Sum ' || (place % 10 + 1) ELSE 'Line ' || place END
+                   AS title,
                place::VARCHAR AS rating, body AS text
-        FROM clean WHERE place < 500 AND body <> ''""",
+        FROM clean WHERE body <> ''""",
     "extract_card_reviews": _LINES
     + """
-        SELECT page_id, 'w' || place AS writer_id, (place % 10 + 1)::VARCHAR AS star, body AS text,
-               '20200105' AS date, place::VARCHAR AS up, '' AS down FROM clean""",
+        SELECT page_id, 'w' || place AS writer_id, (place % 10 + 1)::VARCHAR AS star,
+               CASE WHEN place % 3 = 0 THEN 'told "' || place || '"' ELSE body END AS text,
+               '20200105' AS date, place::VARCHAR AS up,
+               CASE WHEN place % 3 = 0 THEN (place % 10 + 1)::VARCHAR ELSE '' END AS down
+        FROM clean""",
     "extract_page_title": r"""
         WITH pieces AS (
             SELECT page_id, regexp_replace(html,
@@ -440,11 +541,16 @@ ORACLES: dict[str, str] = {
                 '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', chr(160)),
                 '&amp;', '&'),
             '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g')), '-')[1]) AS title FROM raw""",
+    "extract_page_title_branches": """
+        SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Café ’s ' || page_id
+                                         WHEN 1 THEN chr(39) || page_id || '&lt;'
+                                         ELSE 'Plain ' || page_id || ' ©' END AS title FROM pages
+        UNION ALL SELECT page_id, 'K가 ' || page_id FROM pages""",
     "title_key": r"""
         SELECT page_id, replace(regexp_replace(url, '[\\/*?:"<>|]', '', 'g'), ' ', '_')
                || '_reviews.csv' AS title_key FROM pages""",
     "standardise_crawl": _with(
-        "source_b",
+        "source_a source_b",
         """
         SELECT md5('4:beta' || length('w' || (id % 97)) || ':w' || (id % 97)
                    || '8:' || strftime(writing_date, '%Y%m%d')
@@ -452,9 +558,22 @@ ORACLES: dict[str, str] = {
                'beta' AS platform, writing_date AS date,
                CASE WHEN id % 11 <> 0 THEN star_rating::DOUBLE END AS rating, comment AS text,
                upvote::INT AS upvote, CASE WHEN downvote > 0 THEN downvote::INT END AS downvote,
-               'w' || (id % 97) AS author FROM source_b""",
+               'w' || (id % 97) AS author, NULL AS title FROM source_b
+        UNION ALL
+        SELECT md5('5:alpha' || length('u' || (id % 89)) || ':u' || (id % 89) || '-'
+                   || length(content) || ':' || content),
+               'alpha', NULL, star_rating::DOUBLE, content, NULL, NULL,
+               'u' || (id % 89), 'Title ' || id FROM source_a""",
+    ),
+    "csv_round_trip": _with(
+        "reviews", "\nSELECT * REPLACE ('  ' || text || ' ' AS text) FROM reviews"
+    ),
+    "csv_scan_lines": _with(
+        "both_texts",
+        """
+        SELECT id, nullif(regexp_replace(text, '[\\r\\n]+', ' ', 'g'), '') AS text
+        FROM both_texts""",
     ),
-    "csv_round_trip": _with("reviews", "\nSELECT * FROM reviews WHERE platform = 'beta'"),
     "l2_normalize": _with(
         "vectors",
         f""", {_UNIT.format("vectors")}
@@ -474,6 +593,15 @@ ORACLES: dict[str, str] = {
         SELECT reviews.id, {_r("embedding[1]", "first", 4)}
         FROM reviews JOIN unit ON unit.id::BIGINT = 2 * reviews.id::BIGINT""",
     ),
+    "load_embeddings_repeated": _with(
+        "reviews vectors",
+        f""", both_signs AS (
+            SELECT id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM vectors
+            UNION ALL SELECT id, list_transform(embedding, lambda x: -x::DOUBLE) FROM vectors),
+        least_one AS (SELECT id, min(e) AS embedding FROM both_signs GROUP BY id),
+        {_UNIT.format("least_one")}
+        SELECT reviews.id, {_r("embedding[1]", "first", 4)} FROM reviews JOIN unit USING (id)""",
+    ),
     "union_embeddings": _with(
         "vectors", f"\nSELECT id, {_r('embedding[1]::DOUBLE', 'first', 4)} FROM vectors"
     ),
@@ -494,10 +622,10 @@ ORACLES: dict[str, str] = {
         "points",
         _similar("points", _IN_REGION, 10)
         + """
-        SELECT id, platform, rating, round_even(sim, 3) AS sim,
+        SELECT id, r.platform, r.rating, round_even(sim, 3) AS sim,
                CASE WHEN length(text) > 120 THEN substring(text, 1, 117) || '...' ELSE text END
                    AS snippet
-        FROM closest JOIN reviews USING (id)""",
+        FROM closest LEFT JOIN (SELECT * FROM reviews WHERE id::BIGINT % 3 <> 0) r USING (id)""",
     ),
     "knn_graph": _with(
         "vectors",
@@ -561,11 +689,23 @@ ORACLES: dict[str, str] = {
                {_r("unnest(embedding)::DOUBLE", "col", 4)} FROM vectors""",
     ),
     "normalize_stream": _with(
-        "source_b",
+        "both_texts",
         f"""
-        , reviews AS (SELECT id::VARCHAR AS id, comment AS text FROM source_b)
-        SELECT id, text AS original_text, {_lemmas(STOPWORDS)} AS normalized_text FROM reviews""",
+        SELECT id, text AS original_text, {_lemmas(STOPWORDS)} AS normalized_text FROM both_texts""",
     ),
+    "embed_texts_hashed": _with(
+        "reviews",
+        f"""
+        , kept AS (SELECT id, text FROM reviews WHERE {_STRIP.format("text")} <> ''),
+        words AS (SELECT id, unnest(regexp_extract_all(lower(text), '{_TOKEN}')) AS word FROM kept),
+        counts AS (SELECT id, (('0x' || substr(md5(word), 1, 8))::UBIGINT % 64)::INT AS pos,
+                          count(*)::DOUBLE AS n FROM words GROUP BY ALL),
+        scaled AS (SELECT id, pos, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS value FROM counts)
+        SELECT id, g.pos::INT AS pos, {_r("coalesce(value, 0)", "col", 4)}
+        FROM kept CROSS JOIN range(64) AS g(pos) LEFT JOIN scaled USING (id, pos)""",
+    ),
+    "project_pca": _with("vectors", f", {_UNIT.format('vectors')} {_components('unit')}"),
+    "cached_projection": _with("vectors", _components("vectors")),
 }
 
 # Date columns of the results, compared as ISO text.

@@ -32,6 +32,9 @@ CUT = "2021-04-01"
 SHARE = 0.3
 KEYWORDS = {"beta": "der", "alpha": "with"}
 STOPWORDS = ["the", "and", "with", "der", "les"]
+# A script class outside ASCII, and the lines of a stopword file.
+ACCENTED = "[à-ÿ]"
+WORD_FILE = ["of", " der ", "", "die", "les"]
 REGION = (0.0, 0.2, -0.1, 0.1)
 
 REGISTRY: dict[str, Query] = {}
@@ -111,8 +114,9 @@ def rating_summary_skip(df: DataFrame) -> DataFrame:
 
 @register("rating_summary_propagate", bridges.ratings)
 def rating_summary_propagate(df: DataFrame) -> DataFrame:
-    one_complete = df.where((F.col("platform") == "beta") | F.col("rating").isNotNull())
-    return rounded(ratings.rating_summary(one_complete, null_policy="propagate"))
+    # A null rating is one whose id is a multiple of 19, so most remainders are complete groups.
+    part = df.withColumn("part", F.col("id").cast("long") % 19)
+    return rounded(ratings.rating_summary(part, ("platform", "part"), null_policy="propagate"))
 
 
 @register("rating_trend_day", bridges.ratings)
@@ -232,11 +236,10 @@ def word_frequency_stopped(df: DataFrame) -> DataFrame:
     return words.word_frequency(df, char_class=None, stopwords=STOPWORDS)
 
 
-@register("word_frequency_stored", bridges.reviews)
-def word_frequency_stored(df: DataFrame) -> DataFrame:
-    path = scratch_path(df.sparkSession, "words")
-    words.with_words(df).select("id", "rating", "text").write.parquet(path)
-    return words.word_frequency(df.sparkSession.read.parquet(path), min_rating=8)
+@register("word_frequency_script", bridges.reviews)
+def word_frequency_script(df: DataFrame) -> DataFrame:
+    kept = df.where(F.col("text").isNotNull())
+    return words.word_frequency(kept, char_class=ACCENTED, stopwords=["été", "même", None, "más"])
 
 
 @register("top_words", bridges.reviews)
@@ -272,16 +275,33 @@ def _frequent(df: DataFrame) -> DataFrame:
     return words.top_words(words.word_frequency(df, char_class=None, sort=False), 60)
 
 
+def _frequent_rows(df: DataFrame) -> list:
+    """The words of a bounded top list, for use as a plain list."""
+    return _frequent(df).select("word").collect()
+
+
 @register("remove_stopwords", bridges.reviews)
 def remove_stopwords(df: DataFrame) -> DataFrame:
-    return words.remove_stopwords(df, _frequent(df)).select("id", "text_nostop")
+    listed = [row["word"] for row in _frequent_rows(df)]
+    return words.remove_stopwords(df, [*listed, None]).select("id", "text_nostop")
 
 
 @register("remove_stopwords_join", bridges.reviews)
 def remove_stopwords_join(df: DataFrame) -> DataFrame:
-    return words.remove_stopwords(df, _frequent(df), keep_empty=True, inline=0).select(
-        "id", "text_nostop"
+    return words.remove_stopwords(df, _frequent(df), keep_empty=True).select("id", "text_nostop")
+
+
+@register("stopword_pipeline")
+def stopword_pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    lines = scratch_path(spark, "word-file")
+    spark.createDataFrame([(w,) for w in WORD_FILE], "value string").write.text(lines)
+    listed = tables.load_stopwords(spark, lines, []).withColumn("lexicon", F.lit("file"))
+    merged = tables.merge_stopwords(
+        tables.english_stopwords(spark), tables.film_stopwords(spark), listed
     )
+    cleaned = words.remove_stopwords(bridges.reviews(spark, folder), merged)
+    path = tables.write_reviews(cleaned.select("id", "text_nostop"), scratch_path(spark, "clean"))
+    return tables.read_reviews_csv(spark, path)
 
 
 @register("keyword_rating_counts", bridges.reviews)
@@ -299,6 +319,28 @@ def normalize_reviews(df: DataFrame) -> DataFrame:
     return normalise.normalize_reviews(df, stopwords=STOPWORDS)
 
 
+def suffix_analyser() -> normalise.Analyser:
+    """A plugged-in analyser: long words lose their last letter, which gives them a lemma."""
+    plain = normalise.simple_analyser()
+    return lambda text: [
+        (form, tag, form[:-1] if tag == "NNG" and len(form) > 5 else None if len(form) % 2 else "")
+        for form, tag, _ in plain(text)
+    ]
+
+
+@register("normalize_reviews_analyser", bridges.reviews)
+def normalize_reviews_analyser(df: DataFrame) -> DataFrame:
+    found = normalise.normalize_reviews(df, make_analyser=suffix_analyser, stopwords=STOPWORDS)
+    return found.select("id", "normalized_text")
+
+
+@register("write_normalized", bridges.reviews)
+def write_normalized(df: DataFrame) -> DataFrame:
+    found = normalise.normalize_reviews(df, stopwords=STOPWORDS)
+    path = tables.write_normalized(found, scratch_path(df.sparkSession, "normalized"))
+    return tables.read_reviews_csv(df.sparkSession, path)
+
+
 @register("merge_normalized")
 def merge_normalized(spark: SparkSession, folder: str) -> DataFrame:
     raw = bridges.reviews(spark, folder)
@@ -307,9 +349,14 @@ def merge_normalized(spark: SparkSession, folder: str) -> DataFrame:
     return merged.select("id", "platform", "rating", "normalized_text")
 
 
-@register("select_text_column", bridges.source_b)
-def select_text_column(df: DataFrame) -> DataFrame:
-    return tables.select_text_column(df)
+def _both_texts(spark: SparkSession, folder: str) -> DataFrame:
+    sources = bridges.source_a(spark, folder), bridges.source_b(spark, folder)
+    return tables.union_reviews(*map(tables.select_text_column, sources))
+
+
+@register("select_text_column")
+def select_text_column(spark: SparkSession, folder: str) -> DataFrame:
+    return _both_texts(spark, folder)
 
 
 @register("load_texts")
@@ -334,10 +381,18 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Reviews of both layouts; every third has the elements that a review may have besides.
 ARTICLE = (
     '<article class="box user-review-item"><span aria-label="ann%1$s\'s rating: %1$s"></span>'
     '<h3>Line %1$s</h3><div data-testid="review-overflow"><div>%2$s</div></div></article>'
 )
+ARTICLE_MORE = (
+    '<article class="user-review-item box"><span aria-label="ann%1$s\'s rating: %1$s"></span>'
+    "<h3>Line %1$s</h3>"
+    '<div data-testid="reviews-author"><a data-testid="author-link">by &eacute;%1$s</a></div>'
+    '<div data-testid="review-summary"><h3>Sum %3$s</h3></div>'
+    '<div data-testid="review-overflow"><div>%2$s</div></div></article>'
+)
 CARD = (
     '<li data-report-time="20200105" class="area_card _item" data-report-writer-id="w%1$s">'
     '<div class="area_title_box"><div class="area_text_box">10 / %3$s</div></div>'
@@ -345,28 +400,40 @@ CARD = (
     '<button class="area_button_upvote on"><span class="this_text_number _count_num">%1$s</span>'
     "</button></li>"
 )
+CARD_MORE = (
+    '<li data-report-time="20200105" class="area_card _item" data-report-writer-id="w%1$s"'
+    ' data-report-title="told &quot;%1$s&quot;">'
+    '<div class="area_title_box"><div class="area_text_box">10 / %3$s</div></div>'
+    '<div class="area_review_content"><span class="desc_text">%2$s</span></div>'
+    '<button class="area_button_upvote on"><span class="this_text_number _count_num">%1$s</span>'
+    '</button><button class="area_button_downvote"><span class="this_text_number _count_num">%3$s'
+    "</span></button></li>"
+)
 
 
-def _saved_pages(spark: SparkSession, folder: str, review: str) -> DataFrame:
+def _saved_pages(spark: SparkSession, folder: str, plain: str, more: str) -> DataFrame:
     """One page per document, one review in the given layout per line."""
-    reviews = F.transform(
-        "lines",
-        lambda item: F.format_string(
-            review, item["place"], _escaped(item["line"]), item["place"] % 10 + 1
-        ),
-    )
+
+    def review(item):
+        values = item["place"], _escaped(item["line"]), item["place"] % 10 + 1
+        every_third = item["place"] % 3 == 0
+        return F.when(every_third, F.format_string(more, *values)).otherwise(
+            F.format_string(plain, *values)
+        )
+
+    reviews = F.transform("lines", review)
     html = F.concat(F.lit("<html><h3>Page</h3><ul>"), F.array_join(reviews, "\n"), F.lit("</ul>"))
     return _lines(spark, folder).select("page_id", html.alias("html"))
 
 
 @register("extract_article_reviews")
 def extract_article_reviews(spark: SparkSession, folder: str) -> DataFrame:
-    return pages.extract_article_reviews(_saved_pages(spark, folder, ARTICLE))
+    return pages.extract_article_reviews(_saved_pages(spark, folder, ARTICLE, ARTICLE_MORE))
 
 
 @register("extract_card_reviews")
 def extract_card_reviews(spark: SparkSession, folder: str) -> DataFrame:
-    return pages.extract_card_reviews(_saved_pages(spark, folder, CARD))
+    return pages.extract_card_reviews(_saved_pages(spark, folder, CARD, CARD_MORE))
 
 
 @register("extract_page_title")
@@ -375,6 +442,31 @@ def extract_page_title(spark: SparkSession, folder: str) -> DataFrame:
     return pages.extract_page_title(saved).select("page_id", "title")
 
 
+# Page heads by the remainder of the id: subtitle, hero heading, and the title alone.
+HEADS = [
+    '<title>No - t</title><h2 data-testid="subtitle">Caf&eacute; &#8217;s <b>%s</b></h2>',
+    '<title>No - t</title><h1 class="x" data-testid="hero-title-block__title">&#x27;%s&amp;lt;</h1>',
+    "<title>Plain %s &copy; - Site</title>",
+]
+
+
+@register("extract_page_title_branches")
+def extract_page_title_branches(spark: SparkSession, folder: str) -> DataFrame:
+    saved = bridges.table(spark, folder, "pages")
+    head = F.element_at(
+        F.array(*[F.format_string(h, "page_id") for h in HEADS]),
+        (F.col("page_id") % len(HEADS) + 1).cast("int"),
+    )
+    articles = pages.extract_page_title(saved.withColumn("html", F.concat(head, "html")))
+    card = F.format_string(
+        '<div class="title_area type_keep _title_area"><span class="area_text_title">'
+        '<strong class="_text">K&#44032; %s</strong></span></div>',
+        "page_id",
+    )
+    cards = pages.extract_page_title(saved.withColumn("html", F.concat(card, "html")), "card")
+    return articles.select("page_id", "title").unionByName(cards.select("page_id", "title"))
+
+
 @register("title_key")
 def title_keys(spark: SparkSession, folder: str) -> DataFrame:
     saved = bridges.table(spark, folder, "pages")
@@ -382,8 +474,18 @@ def title_keys(spark: SparkSession, folder: str) -> DataFrame:
     return saved.select("page_id", key.alias("title_key"))
 
 
+def _crawled_articles(spark: SparkSession, folder: str) -> DataFrame:
+    """Source A under the article crawl's headers, which have no date."""
+    return bridges.source_a(spark, folder).select(
+        F.concat(F.lit("u"), F.col("id") % 89).alias("작성자"),
+        F.concat(F.lit("Title "), F.col("id")).alias("제목"),
+        F.col("star_rating").cast("string").alias("별점"),
+        F.col("content").alias("내용"),
+    )
+
+
 def _crawled(spark: SparkSession, folder: str) -> DataFrame:
-    """Source B under crawl headers, all strings, some of them bad."""
+    """Source B under the card crawl's headers, all strings, some of them bad."""
     return bridges.source_b(spark, folder).select(
         F.concat(F.lit("w"), F.col("id") % 97).alias("작성자ID"),
         F.when(F.col("id") % 11 == 0, "?")
@@ -400,14 +502,34 @@ def _crawled(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("standardise_crawl")
 def standardise_crawl(spark: SparkSession, folder: str) -> DataFrame:
-    return tables.standardise_crawl(_crawled(spark, folder), "beta", "card").drop("title")
+    cards = tables.standardise_crawl(_crawled(spark, folder), "beta", "card")
+    articles = tables.standardise_crawl(_crawled_articles(spark, folder), "alpha", "article")
+    return tables.union_reviews(cards, articles)
 
 
 @register("csv_round_trip")
 def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    path = tables.write_reviews(bridges.source_b(spark, folder), scratch_path(spark, "reviews"))
-    back = tables.read_reviews_csv(spark, path)
-    return tables.harmonise_reviews(back, "beta", text="comment", date="writing_date")
+    """Texts get blanks at their ends, which have to survive."""
+
+    def back(source: DataFrame, text: str) -> DataFrame:
+        padded = source.withColumn(text, F.concat(F.lit("  "), F.col(text), F.lit(" ")))
+        path = tables.write_reviews(padded, scratch_path(spark, "reviews"))
+        return tables.read_reviews_csv(spark, path)
+
+    alpha = back(bridges.source_a(spark, folder), "content")
+    beta = back(bridges.source_b(spark, folder), "comment")
+    return tables.union_reviews(
+        tables.harmonise_reviews(alpha, "alpha"),
+        tables.harmonise_reviews(beta, "beta", text="comment", date="writing_date"),
+    )
+
+
+@register("csv_scan_lines")
+def csv_scan_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts without line breaks, whose files can be split among tasks."""
+    flat = _both_texts(spark, folder).withColumn("text", F.regexp_replace("text", "[\r\n]+", " "))
+    path = tables.write_reviews(flat, scratch_path(spark, "lines"))
+    return tables.read_reviews_csv(spark, path, multi_line=False)
 
 
 @register("l2_normalize", bridges.vectors)
@@ -434,6 +556,17 @@ def load_embeddings_first_match(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(loaded.select("id", F.col("embedding")[0].alias("first")), 4)
 
 
+@register("load_embeddings_repeated")
+def load_embeddings_repeated(spark: SparkSession, folder: str) -> DataFrame:
+    """Every id is stored twice, with its vector and with its negative; each review comes once."""
+    stored = bridges.vectors(spark, folder).select("id", "embedding")
+    twice = stored.unionByName(
+        stored.withColumn("embedding", F.transform("embedding", lambda x: -x))
+    )
+    loaded = emb.load_embeddings(bridges.reviews(spark, folder), twice)
+    return rounded(loaded.select("id", F.col("embedding")[0].alias("first")), 4)
+
+
 @register("union_embeddings", bridges.vectors)
 def union_embeddings(df: DataFrame) -> DataFrame:
     beta, alpha = (df.where(F.col("platform") == p) for p in ("beta", "alpha"))
@@ -456,7 +589,9 @@ def closest_to_centroid(df: DataFrame) -> DataFrame:
 @register("representatives")
 def representatives(spark: SparkSession, folder: str) -> DataFrame:
     placed = emb.l2_normalize(bridges.points(spark, folder))
-    return emb.representatives(placed, bridges.reviews(spark, folder), filters.in_region(*REGION))
+    # A third of the ids has no review, so some of the closest keep a row of nulls.
+    reviews = bridges.reviews(spark, folder).where(F.col("id").cast("long") % 3 != 0)
+    return emb.representatives(placed, reviews, filters.in_region(*REGION))
 
 
 @register("knn_graph", bridges.vectors)
@@ -482,14 +617,17 @@ def platform_mix(df: DataFrame) -> DataFrame:
 
 @register("project_pca", bridges.vectors)
 def project_pca(df: DataFrame) -> DataFrame:
-    return rounded(projection.project_pca(emb.l2_normalize(df)))
+    return rounded(projection.project_pca(emb.l2_normalize(df)), 4)
 
 
 @register("cached_projection", bridges.vectors)
 def cached_projection(df: DataFrame) -> DataFrame:
     root = scratch_path(df.sparkSession, "projections")
+    # Another table with as many rows comes first and must not be taken for this one.
+    other = df.withColumn("embedding", F.transform("embedding", lambda x: x * 2))
+    projection.cached_projection(other, root)
     projection.cached_projection(df, root)
-    return rounded(projection.cached_projection(df, root))
+    return rounded(projection.cached_projection(df, root), 4)
 
 
 @register("attach_projection", bridges.vectors)
@@ -540,7 +678,7 @@ def write_embeddings(df: DataFrame) -> DataFrame:
 @register("normalize_stream")
 def normalize_from_stream(spark: SparkSession, folder: str) -> DataFrame:
     source = scratch_path(spark, "stream-in")
-    texts = tables.select_text_column(bridges.source_b(spark, folder))
+    texts = _both_texts(spark, folder)
     texts.withColumnRenamed("text", "comment").write.parquet(source)
     schema = spark.read.parquet(source).schema
     target, state = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-state")

@@ -7,6 +7,7 @@ rows; a small HTML reader then looks up the few elements of each review, in Arro
 from __future__ import annotations
 
 from collections.abc import Iterator
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,6 @@ from reviewlens.functions.scalars import (
     collapse_whitespace,
     last_integer,
     strip,
-    unescape_markup,
 )
 from reviewlens.sources.markup import Fields
 
@@ -76,13 +76,10 @@ TITLE_ELEMENTS = [("h2", "subtitle"), ("h1", "hero-title-block__title")]
 
 
 def extract_article_reviews(
-    pages: DataFrame, max_reviews: int = 500, html: str = "html", drop_empty: bool = True
+    pages: DataFrame, html: str = "html", drop_empty: bool = True
 ) -> DataFrame:
-    """Author, title, rating and text of each review article, all strings, "" when missing.
-
-    ``max_reviews`` caps the articles looked at per page, before those without text are skipped.
-    """
-    found = _review_fields(pages, "article", ARTICLE_CLASSES, ARTICLE_FIELDS, html, max_reviews)
+    """Author, title, rating and text of every review article, all strings, "" when missing."""
+    found = _review_fields(pages, "article", ARTICLE_CLASSES, ARTICLE_FIELDS, html)
     aria = F.coalesce(F.col("field.aria"), F.lit(""))
     from_aria = strip(F.regexp_extract(aria, ARIA_PATTERN, 1))
     rows = found.select(
@@ -99,7 +96,7 @@ def extract_card_reviews(
     pages: DataFrame, html: str = "html", drop_empty: bool = False
 ) -> DataFrame:
     """Writer, star, text, date and votes of each review card, all strings, "" when missing."""
-    found = _review_fields(pages, "li", CARD_CLASSES, CARD_FIELDS, html, None)
+    found = _review_fields(pages, "li", CARD_CLASSES, CARD_FIELDS, html)
 
     def field(name: str) -> Column:
         return F.coalesce(F.col(f"field.{name}"), F.lit(""))
@@ -139,7 +136,17 @@ def _element_text(page: Column, opening: str, tag: str) -> Column:
     inner = F.try_element_at(
         F.regexp_extract_all(page, F.lit(rf"(?is){opening}(.*?)</{tag}\s*>"), F.lit(1)), F.lit(1)
     )
-    return collapse_whitespace(unescape_markup(F.regexp_replace(inner, "<[^>]*>", "")))
+    return collapse_whitespace(decoded(F.regexp_replace(inner, "<[^>]*>", "")))
+
+
+def decoded(text: Column) -> Column:
+    """All named and numeric character references decoded, once; for short texts such as titles."""
+
+    @F.pandas_udf("string")
+    def decode(texts: pd.Series) -> pd.Series:
+        return texts.map(unescape, na_action="ignore").astype(object)
+
+    return decode(text)
 
 
 def _without_scripts(html: Column) -> Column:
@@ -155,15 +162,12 @@ def _review_fields(
     classes: list[str],
     fields: dict,
     html: str,
-    max_reviews: int | None,
 ) -> DataFrame:
     """One row per review element of each page, with a ``field`` struct of the values found."""
     opening = _opening_tag(tag, classes)
     pieces = F.split(_without_scripts(F.col(html)), f"(?={opening})")
     # The piece before the first opening tag is the page head, unless the page starts with a review.
     reviews = F.filter(pieces, lambda piece: piece.rlike(f"^{opening}"))
-    if max_reviews is not None:
-        reviews = F.slice(reviews, 1, max_reviews)
     keep = [c for c in pages.columns if c != html]
     exploded = pages.select(*keep, F.explode(reviews).alias("fragment"))
     return exploded.select(*keep, _field_reader(fields)(F.col("fragment")).alias("field"))

@@ -184,9 +184,7 @@ def write_reviews(
     """Rows to ``path`` with a header; refuses to write an empty table."""
     if df.isEmpty():
         raise ValueError("there are no reviews to write")
-    writer = df.write.mode("overwrite").format(fmt)
-    if fmt == "csv":
-        writer = writer.option("header", True).option("escape", '"')
+    writer = _text_writer(df, fmt)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
@@ -196,8 +194,18 @@ def write_reviews(
 def write_normalized(df: DataFrame, path: str, fmt: str = "csv") -> str:
     """The normaliser's three columns; zero rows give an empty table."""
     columns = df.select("id", "original_text", "normalized_text")
-    writer = columns.write.mode("overwrite").format(fmt)
-    if fmt == "csv":
-        writer = writer.option("header", True).option("escape", '"')
-    writer.save(path)
+    _text_writer(columns, fmt).save(path)
     return path
+
+
+def _text_writer(df: DataFrame, fmt: str):
+    """A writer that keeps texts as they are, blanks at their ends included."""
+    writer = df.write.mode("overwrite").format(fmt)
+    if fmt != "csv":
+        return writer
+    return (
+        writer.option("header", True)
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+    )

@@ -179,11 +179,16 @@ def test_cached_projection(spark, tmp_path):
     df = frame(spark, {str(i): v for i, v in enumerate(np.eye(4))})
     first = projection.cached_projection(df, root)
     assert first.count() == 4
-    stamp = (tmp_path / "cache" / "projection_pca" / "_SUCCESS").stat().st_mtime_ns
-    assert projection.cached_projection(df, root).count() == 4
-    assert (tmp_path / "cache" / "projection_pca" / "_SUCCESS").stat().st_mtime_ns == stamp
-    # Another number of rows: computed anew and overwritten.
+    kept = tmp_path / "cache" / "projection_pca"
+    stamps = [(p / "_SUCCESS").stat().st_mtime_ns for p in kept.iterdir()]
+    assert projection.cached_projection(df.orderBy(F.desc("id")), root).count() == 4
+    assert [(p / "_SUCCESS").stat().st_mtime_ns for p in kept.iterdir()] == stamps
+    # Other rows, and as many other vectors, are projected anew.
     assert projection.cached_projection(df.where("id > 0"), root).count() == 3
+    moved = frame(spark, {str(i): v * (i + 1) for i, v in enumerate(np.eye(4))})
+    expected = sorted(map(tuple, projection.project_pca(moved).collect()))
+    assert sorted(map(tuple, projection.cached_projection(moved, root).collect())) == expected
+    assert len(list(kept.iterdir())) == 3
     assert projection.projection_path("r/", "pca", k=2) == "r/projection_pca_k2"
     with pytest.raises(ValueError):
         projection.projection_path(root, "umap")
@@ -197,5 +202,45 @@ def test_attach_projection(spark):
     rows = projection.attach_projection(reviews, placed, with_index=True).collect()
     ordered = sorted(rows, key=lambda r: (r.platform, r.id))
     assert [r.idx for r in ordered] == list(range(1, 101))
-    with pytest.raises(ValueError):
-        projection.attach_projection(reviews, placed.limit(3))
+    for bad in (placed.where("id <> 'a3'"), placed.unionByName(placed.limit(1)),
+                placed.withColumn("id", F.when(F.col("id") == "a3", "z").otherwise(F.col("id")))):
+        with pytest.raises(Exception, match="id"):
+            projection.attach_projection(reviews, bad).collect()
+
+
+def test_every_review_gets_one_vector(spark):
+    reviews = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "id string, n int")
+    stored = spark.createDataFrame(
+        [("a", [3.0, 0.0]), ("a", [0.0, 2.0]), ("b", [0.0, 1.0]), ("b", None)], "id string, embedding array<double>"
+    )
+    rows = {r.id: r.embedding for r in emb.load_embeddings(reviews, stored).collect()}
+    assert rows == {"a": [0.0, 1.0], "b": [0.0, 1.0]}
+    assert emb.load_embeddings(reviews, stored).count() == 2
+
+
+def test_representatives_keep_ids_without_a_review_in_order(spark):
+    placed = frame(spark, {"a": [1, 0], "b": [0.9, 0.1], "c": [0, 1]}).withColumns({"dim1": F.lit(0.0)})
+    reviews = spark.createDataFrame([("b", "p", 5.0, "t"), ("a2", "p", 1.0, "u")], "id string, platform string, rating double, text string")
+    rows = emb.representatives(emb.l2_normalize(placed), reviews, F.col("id") == "a", 3).collect()
+    assert [(r.id, r.snippet) for r in rows] == [("a", None), ("b", "t"), ("c", None)]
+
+
+def test_visits_of_the_neighbour_search(spark, capsys):
+    """Separated groups visit few cells. No array holds more than one block or list of neighbours."""
+    from reviewlens.operators import neighbours
+
+    draw = np.random.default_rng(1)
+    centres = np.eye(12)
+    vectors = {f"{g:02}-{k}": centres[g] + draw.normal(size=12) * 0.01 for g in range(12) for k in range(40)}
+    points = emb.l2_normalize(frame(spark, vectors).select(F.col("id").cast("string").alias("id"), "embedding"))
+    distinct = neighbours._distinct_vectors(points, 3)
+    pivots = neighbours._pivots(distinct)
+    placed = neighbours._into_cells(distinct, pivots, 16).cache()
+    radius = np.zeros(len(pivots))
+    for row in placed.groupBy("cell").agg(F.max("away").alias("r")).collect():
+        radius[row["cell"]] = row["r"]
+    bounded = placed.withColumn("least", F.lit(0.99))
+    later = neighbours._cells_to_visit(bounded, pivots, radius, 4).count()
+    with capsys.disabled():
+        print(f"\ncells {len(pivots)}, visited per vector after the first 4: {later / 480:.2f}")
+    assert len(pivots) == 22 and later / 480 < 9

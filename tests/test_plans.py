@@ -11,7 +11,8 @@ FOLDER = "/root/testdata/sf0.001"
 # These check row counts, fit a model or write tables, and so act while the plan is built.
 EAGER = {
     "attach_projection", "cached_projection", "csv_round_trip", "knn_graph", "normalize_stream",
-    "project_pca", "write_embeddings", "word_frequency_stored", "remove_stopwords", "remove_stopwords_join",
+    "project_pca", "write_embeddings", "remove_stopwords", "stopword_pipeline", "write_normalized",
+    "csv_scan_lines",
 }
 
 

@@ -54,8 +54,8 @@ def test_split_covers_all_rows(spark, rows, share):
 def test_both_forms_of_stopword_removal_agree(spark, texts, stop):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
     table = spark.createDataFrame([(w,) for w in stop], "word string")
-    inline = words.remove_stopwords(df, table, keep_empty=True)
-    joined = words.remove_stopwords(df, table, keep_empty=True, inline=-1)
+    inline = words.remove_stopwords(df, stop, keep_empty=True)
+    joined = words.remove_stopwords(df, table, keep_empty=True)
     expected = sorted(map(tuple, inline.collect()))
     assert sorted(map(tuple, joined.collect())) == expected
     dropped = words.remove_stopwords(df, table)

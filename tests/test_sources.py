@@ -46,8 +46,10 @@ def test_articles(spark):
         (7, "bob", "T2", "10", "ok"),
         (7, "", "", "", "last"),
     ]
-    # The cap counts articles before those without text are skipped.
-    assert pages.extract_article_reviews(page(spark, ARTICLES), max_reviews=3).count() == 2
+    article = (
+        '<article class="user-review-item"><h3>T</h3><div data-testid="review-overflow">x</div></article>'
+    )
+    assert pages.extract_article_reviews(page(spark, article * 700)).count() == 700
     assert pages.extract_article_reviews(page(spark, ARTICLES), drop_empty=False).count() == 4
     assert pages.extract_article_reviews(page(spark, None)).count() == 0
 
@@ -218,3 +220,23 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     assert texts() == [("1", "good, film\n!", "good"), ("2", "bad 10", "bad"), ("3", None, "")]
     tables.write_normalized(spark.read.parquet(str(tmp_path / "out")), str(tmp_path / "csv"))
     assert tables.read_reviews_csv(spark, str(tmp_path / "csv")).count() == 3
+
+
+def test_sinks_keep_blanks_at_the_ends(spark, tmp_path):
+    rows = [("1", "  lead and trail  ", "   ", None), ("2", "\ttab\t", " x", " ")]
+    df = spark.createDataFrame(rows, "id string, text string, original_text string, normalized_text string")
+    path = tables.write_reviews(df, str(tmp_path / "reviews"))
+    assert sorted(map(tuple, tables.read_reviews_csv(spark, path).collect())) == rows
+    path = tables.write_normalized(df, str(tmp_path / "normalized"))
+    back = sorted(map(tuple, tables.read_reviews_csv(spark, path).collect()))
+    assert back == [(r[0], r[2], r[3]) for r in rows]
+
+
+def test_titles_are_decoded(spark):
+    html = "<title>Caf&eacute; &#8217;s &#x27;x&#x27; &amp;lt; - Site</title>"
+    assert pages.extract_page_title(page(spark, html)).first().title == "Café ’s 'x' &lt;"
+
+
+def test_dates_keep_their_type(spark):
+    raw = spark.createDataFrame([("1", "2020-01-05", "7", "t")], "id string, date string, star_rating string, content string")
+    assert dict(tables.harmonise_reviews(raw, "alpha").dtypes)["date"] == "date"

@@ -79,13 +79,13 @@ def test_remove_stopwords_in_both_ways(spark):
         ("3", "a", 1.0, None),
         ("4", "b", 2.0, "The film, and THE plot"),
     )
-    stop = spark.createDataFrame([("the",), ("and",)], "word string")
-    for inline in (10, 0):
-        dropped = words.remove_stopwords(df, stop, inline=inline)
+    table = spark.createDataFrame([("the",), ("and",), (None,)], "word string")
+    for stop in (table, ["the", "and", None]):
+        dropped = words.remove_stopwords(df, stop)
         assert sorted((r.id, r.text_nostop) for r in dropped.collect()) == [
             ("1", "film plot"), ("4", "film plot"),
         ]
-        kept = words.remove_stopwords(df, stop, keep_empty=True, inline=inline)
+        kept = words.remove_stopwords(df, stop, keep_empty=True)
         assert sorted((r.id, r.text_nostop) for r in kept.collect()) == [
             ("1", "film plot"), ("2", ""), ("3", ""), ("4", "film plot"),
         ]
@@ -200,7 +200,24 @@ def test_stored_words_serve_all_operators(spark):
     same(lambda x: keywords.keyword_rating_counts(x, "plot"))
     same(lambda x: keywords.keyword_rating_distribution(x, {"alpha": "good"}))
     stop = spark.createDataFrame([("the",)], "word string")
-    for inline in (10, 0):
+    for words_out in (stop, ["the"]):
         for keep in (True, False):
-            arguments = {"inline": inline, "keep_empty": keep}
-            same(lambda x: words.remove_stopwords(x, stop, **arguments).drop("text"))
+            same(lambda x: words.remove_stopwords(x, words_out, keep_empty=keep).drop("text"))
+
+
+def test_a_null_stopword_is_no_word(spark):
+    df = frame(spark, ("1", "a", 9.0, "the plot"))
+    listed = words.word_frequency(df, stopwords=["the", None]).collect()
+    assert [tuple(r) for r in listed] == [("plot", 1)]
+    assert words.word_frequency(df, stopwords=[None]).count() == 2
+
+
+def test_removal_makes_one_plan_per_type_of_argument(spark):
+    """No job runs while the plan is built, however long the stopword table is."""
+    df = frame(spark, ("1", "a", 9.0, "w1 w7 plot"))
+    stop = spark.range(20_000).selectExpr("concat('w', id) AS word")
+    spark.sparkContext.setJobGroup("stop", "stop")
+    cleaned = words.remove_stopwords(df, stop)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("stop")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert cleaned.first().text_nostop == "plot"
