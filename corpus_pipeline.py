@@ -2,6 +2,9 @@
 
 Every stage is (name, function of spark, docs and the folder of the tables). All but the last return
 the columns of ``documents``; each result is written as Parquet and read again by the next stage.
+Rows that share a doc_id, nulls included, share the fate of that id: a stage that takes out documents
+takes out all of them. Null texts count as empty; no documents, no rows; columns of ``docs`` may have
+any names beside those of ``documents``.
 """
 
 from __future__ import annotations
@@ -22,40 +25,36 @@ from reviewlens.storage import scratch_path
 ORACLE_SQL = None
 
 
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id is not among those of ``ids``."""
+    out = ids.select(F.col("doc_id").alias("out_id"))
+    return docs.join(out, F.col("doc_id").eqNullSafe(F.col("out_id")), "left_anti")
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Without the documents that the classifier calls toxic."""
     model = fit(docs, table(spark, folder, "labels"))
-    toxic = score(docs, model).where("score >= 0.5").select("doc_id")
-    return docs.join(toxic, "doc_id", "left_anti").select(*docs.columns)
+    return _without(docs, score(docs, model).where("score >= 0.5"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Without the lines that stand in ten documents or more; n_chars follows the text."""
-    rows = drop_frequent_lines(docs, min_docs=10, min_chars=1)
-    changed = rows.where("n_dropped > 0").select("doc_id", F.col("text").alias("rest"))
-    joined = docs.join(changed, "doc_id", "left")
-    return joined.withColumns(
-        {
-            "text": F.coalesce("rest", "text"),
-            "n_chars": F.when(F.col("rest").isNull(), F.col("n_chars")).otherwise(
-                F.char_length("rest").cast("long")
-            ),
-        }
-    ).select(*docs.columns)
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    rows = drop_frequent_lines(docs, min_docs=10, min_chars=1, carry=others)
+    length = F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.char_length("text"))
+    return rows.withColumn("n_chars", length.cast("long")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group that is linked by five-word shingles: the one with the smallest id."""
     groups = near_duplicates(docs, size=5, share=0.8)
-    copies = groups.where("doc_id <> component_id").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    return _without(docs, groups.where("doc_id <> component_id"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Without the documents that hold ten consecutive words of a benchmark item."""
     found = find_passages(docs, table(spark, folder, "benchmark"))
-    hit = found.where(F.size("spans") > 0).select("doc_id")
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    return _without(docs, found.where(F.size("spans") > 0))
 
 
 def packing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -114,22 +114,27 @@ def count_lines(
 
 
 def drop_frequent_lines(
-    docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n_batches: int = 4, fanout: int = 4
+    docs: DataFrame,
+    min_docs: int = 10,
+    min_chars: int = 1,
+    n_batches: int = 4,
+    fanout: int = 4,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Documents without the lines whose key stands in at least ``min_docs`` of them.
 
     ``docs`` needs doc_id and text. Result: doc_id, text (the other lines, joined by line breaks),
-    n_lines, n_dropped, one row per row of ``docs``. A line's key has no white space at its ends and
+    n_lines, n_dropped, and the columns to ``carry``, one row per row of ``docs``. A line's key has no white space at its ends and
     A-Z in lower case; keys below ``min_chars`` code points are never dropped. Lines are split at
     \\n only.
 
     Null and empty texts are one empty line. Every row counts as a document of its own, also when
-    a doc_id or a whole row comes twice; a null doc_id is a value like any other. Columns other
-    than doc_id and text are ignored, so their names cannot clash. No documents, no rows. A line
-    that a third of the documents share is one row per task when counted; where it is looked up,
+    a doc_id or a whole row comes twice; a null doc_id is a value like any other. Other columns
+    are ignored unless carried, and may have any names. No documents, no rows. A line that a third of the documents share is one row per task when counted; where it is looked up,
     adaptive execution splits it.
     """
-    docs = docs.select("doc_id", "text")
+    carried = F.struct(F.lit(0).alias("_"), *[F.col(f"`{name}`") for name in carry])
+    docs = docs.select("doc_id", "text", carried.alias("carried"))
     frequent = count_lines(docs, min_docs, min_chars, n_batches, fanout).frequent()
     # Equal rows have equal lines, so the id and the text's hash identify what to drop.
     keyed = docs.withColumn("content", F.xxhash64(F.lit(2), whole_text()))
@@ -143,7 +148,7 @@ def drop_frequent_lines(
     drops = found.groupBy("id", "same").agg(F.collect_set("pos").alias("drop"))
     joined = keyed.join(
         drops, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("content") == F.col("same")), "left"
-    ).select("doc_id", lines.alias("lines"), "text", "drop")
+    ).select("doc_id", lines.alias("lines"), "text", "drop", "carried")
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
     text = F.array_join(F.transform(kept, lambda k: F.col("lines")[k]), "\n")
     return joined.select(
@@ -151,4 +156,5 @@ def drop_frequent_lines(
         F.when(F.col("drop").isNull(), whole_text()).otherwise(text).alias("text"),
         F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        *[F.col("carried").getField(name).alias(name) for name in carry],
     )

@@ -84,3 +84,29 @@ def test_pipeline_stage_by_stage(spark):
     check_packing(last, before, Tokenizer.from_file(vocabulary()), 2048)
     whole = corpus_pipeline.run(spark, FOLDER).collect()
     assert sorted((r.doc_id, r.start, r.ids_crc32) for r in whole) == sorted((r.doc_id, r.start, r.ids_crc32) for r in last)
+
+
+def test_stages_with_nulls_repeats_and_empties(spark):
+    schema = spark.read.parquet(f"{FOLDER}/documents.parquet").schema
+    long = " ".join(f"w{k}" for k in range(30))
+    bench = spark.read.parquet(f"{FOLDER}/benchmark.parquet").where("item_id = 0").first().text
+    rows = [
+        (1, long, "en", None, 5), (1, long, "en", None, 5), (2, long + " x", None, "s", None),
+        (None, None, None, None, None), (3, "", "en", "s", 0), (4, bench, "en", "s", 9),
+    ]
+    rows += [(10 + k, f"own {k}\nShared line", "en", "s", 1) for k in range(10)]
+    docs = spark.createDataFrame(rows, schema)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, docs, FOLDER)
+        assert out.columns == docs.columns and out.schema.simpleString() == schema.simpleString()
+        kept[name] = sorted((r.doc_id or -1, r.text, r.n_chars) for r in out.collect())
+    assert kept["line_dedup"][0] == (-1, "", None) and (10, "own 0", 5) in kept["line_dedup"]
+    assert kept["line_dedup"].count((1, long, 5)) == 2 and (2, long + " x", None) in kept["line_dedup"]
+    assert [r[0] for r in kept["near_dedup"]] == [-1, 1, 1, 3, 4, *range(10, 20)]
+    assert [r[0] for r in kept["decontamination"]] == [-1, 1, 1, 2, 3, *range(10, 20)]
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).collect()
+    assert sorted({r.doc_id or -1 for r in pieces}) == [-1, 1, 2, 3, 4, *range(10, 20)]
+    nothing = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, FOLDER).count() == 0
