@@ -25,8 +25,8 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     )
     while True:
         parents = _to_roots(parents)
-        up = parents.select(F.col("node").alias("a"), F.col("up").alias("ra"))
-        vp = parents.select(F.col("node").alias("b"), F.col("up").alias("rb"))
+        up = _merged(parents.select(F.col("node").alias("a"), F.col("up").alias("ra")))
+        vp = _merged(parents.select(F.col("node").alias("b"), F.col("up").alias("rb")))
         between = (
             edges.where("a < b")
             .join(up, "a")
@@ -38,17 +38,23 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         if hooks.isEmpty():
             return parents.select("node", F.col("up").alias("component"))
         parents = cut_lineage(
-            parents.join(hooks, "node", "left").select(
+            parents.join(_merged(hooks), "node", "left").select(
                 "node", F.coalesce("other", "up").alias("up")
             )
         )
 
 
+def _merged(side: DataFrame) -> DataFrame:
+    """The side of a join for which no broadcast is built: over many rounds, those would pile up in
+    the driver's memory."""
+    return side.hint("merge")
+
+
 def _to_roots(parents: DataFrame) -> DataFrame:
     """Every node directly under its root, by repeated jumps to the parent's parent."""
     while True:
         above = parents.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        jumped = cut_lineage(parents.join(above, "up").select("node", "up", "top"))
+        jumped = cut_lineage(parents.join(_merged(above), "up").select("node", "up", "top"))
         parents = jumped.select("node", F.col("top").alias("up"))
         if jumped.where("up <> top").isEmpty():
             return parents

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.llm.components import components
@@ -24,8 +24,12 @@ from reviewlens.storage import cut_lineage, scratch_path
 BANDS = 24
 # Two permutations, so four signature values, make a band.
 PERMUTATIONS_PER_BAND = 2
-# Documents held against one copy of a centre's text in one group.
+# Documents held against one copy of a centre's text in one group, and documents of a block.
 MEMBERS = 256
+# Shingles of a block, on average; a longer document makes the block longer.
+SHINGLES = 500_000
+# Columns of an incidence matrix.
+COLUMNS = 8192
 
 
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
@@ -151,6 +155,111 @@ def verify_pairs(docs: DataFrame, pairs: DataFrame, size: int, share: float) ->
     return dealt.sortWithinPartitions("a", "salt", "role", "id").mapInArrow(compare, "a long, b long")
 
 
+def compare_groups(docs: DataFrame, rows: DataFrame, size: int, share: float) -> DataFrame:
+    """(a, b): connections among all sufficiently resembling documents within each group.
+
+    ``rows``: group, id, hash, n (shingles), part (the component known so far). The most frequent part
+    of a group is its core; only pairs with a document outside it are of interest. Both sides are cut
+    into blocks of a bounded number of documents and shingles, and each pair of blocks with an outside
+    one is a task's unit of work: all its intersections are counted at once by a product of
+    incidence matrices, and what leaves the task is one connection for each connected document.
+    """
+    percent = round(100 * share)
+    frequent = rows.groupBy("group", "part").agg(F.count(F.lit(1)).alias("times"))
+    core = frequent.groupBy("group").agg(
+        F.max_by("part", F.struct("times", "part")).alias("core")
+    )
+    sided = rows.join(core, "group").withColumn("outside", F.col("part") != F.col("core"))
+    sizes = sided.groupBy("group").agg(
+        *[
+            F.ceil(
+                F.greatest(
+                    F.sum(F.when(side, 1.0).otherwise(0.0)) / MEMBERS,
+                    F.sum(F.when(side, F.col("n")).otherwise(0)) / SHINGLES,
+                )
+            ).cast("int").alias(name)
+            for name, side in (("n_out", F.col("outside")), ("n_core", ~F.col("outside")))
+        ],
+    )
+    blocks = F.when(F.col("outside"), F.col("n_out")).otherwise(F.col("n_core"))
+    placed = sided.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+
+    def upto(n: Column) -> Column:
+        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def unit(first: Column, second: Column, second_outside: bool) -> Column:
+        return F.struct(first.alias("i"), second.alias("j"), F.lit(second_outside).alias("out"))
+
+    own = F.col("block")
+    outside = F.concat(
+        F.transform(upto(F.col("n_out")), lambda k: unit(F.least(own, k), F.greatest(own, k), True)),
+        F.transform(upto(F.col("n_core")), lambda k: unit(own, k, False)),
+    )
+    inside = F.transform(upto(F.col("n_out")), lambda k: unit(k, own, False))
+    dealt = placed.select(
+        F.col("id"), "hash", "group", F.explode(F.when(F.col("outside"), outside).otherwise(inside)).alias("unit")
+    )
+    wanted = docs.join(dealt, F.col("doc_id") == F.col("id")).select(
+        "text", "id", "hash", "group", "unit.i", "unit.j", "unit.out"
+    )
+    key = ["group", "i", "j", "out"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, ids, sets = None, [], []
+        for batch in slices(batches, "text"):
+            found = shingle_sets(batch.column(0), size)
+            columns = [batch.column(k).to_pylist() for k in range(1, 7)]
+            for own, (doc, mark, *unit) in zip(found, zip(*columns)):
+                if not len(own) or _first_hash(own) != mark:
+                    continue
+                if unit != current:
+                    yield _connections(ids, sets, percent)
+                    current, ids, sets = unit, [], []
+                ids.append(doc)
+                sets.append(own)
+        yield _connections(ids, sets, percent)
+
+    sorted_units = wanted.repartition(*key).sortWithinPartitions(*key, "id")
+    return sorted_units.mapInArrow(compare, "a long, b long")
+
+
+def _first_hash(own: np.ndarray) -> int:
+    return int(_set_hashes(own, np.zeros(1, np.int64))[0].view(np.int64)[0])
+
+
+def _connections(ids: list[int], sets: list[np.ndarray], percent: int) -> pa.RecordBatch:
+    """Each document that resembles another of the list, with the smallest id reachable from it."""
+    counts = np.array([len(s) for s in sets], np.int64)
+    both = np.zeros((len(sets), len(sets)), np.int64)
+    if len(sets) > 1:
+        owner = np.repeat(np.arange(len(sets)), counts)
+        _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        # A shingle of a single document adds to no intersection.
+        owner, column = owner[times[column] > 1], column[times[column] > 1]
+        _, column = np.unique(column, return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            a, b = np.searchsorted(column, [low, low + COLUMNS])
+            incidence = np.zeros((len(sets), COLUMNS), np.float32)
+            incidence[owner[a:b], column[a:b] - low] = 1
+            both += (incidence @ incidence.T).astype(np.int64)
+    linked = 100 * both >= percent * (counts[:, None] + counts[None, :] - both)
+    np.fill_diagonal(linked, False)
+    label = np.array(ids, np.int64)
+    while len(label):
+        top = np.iinfo(np.int64).max
+        least = np.minimum(label, np.where(linked, label[None, :], top).min(axis=1))
+        if (least == label).all():
+            break
+        label = least
+    moved = np.flatnonzero(label != np.array(ids, np.int64)) if ids else np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(label[moved], pa.int64()), pa.array(np.array(ids, np.int64)[moved], pa.int64())],
+        names=["a", "b"],
+    )
+
+
 def near_duplicates(
     docs: DataFrame, size: int = 5, share: float = 0.8, bands: int = BANDS, seed: int = 5
 ) -> DataFrame:
@@ -162,10 +271,10 @@ def near_duplicates(
     Words are split at space and 09 to 0D, A-Z count as lower case. Documents with equal sets form a
     class, and only one of each class is signed into buckets. In a first round, each member of a
     bucket is compared, on full sets, to two centres of the bucket, never to all others; the links found
-    join most of a bucket into one component. In a second round, what shares a bucket but is still in
-    different components is compared pair by pair. So every pair that shares a bucket is either
-    compared or already connected, and a pair at the threshold shares none with a probability
-    of (1 - share**4)**bands, 3 in a million.
+    join most of a bucket into one component. In a second round, buckets that still hold several
+    components are grouped by their smallest document and compared in blocks. So every pair that shares a
+    bucket is either compared or already connected, and a pair at the threshold shares none
+    with a probability of (1 - share**4)**bands, 3 in a million.
 
     Null, empty and word-free texts have no shingles and link with nothing. A repeated row is a copy.
     An id that comes with several texts is one node with the links of all. A null id links with
@@ -210,30 +319,20 @@ def near_duplicates(
     stars = stars.drop("n", "m").distinct()
     links = cut_lineage(verify_pairs(docs, cut_lineage(stars), size, share))
     parts = components(links)
-    # Buckets that still hold several components; their centres have been compared to all.
+    # Buckets that still hold several components. Their smallest document names the group, so the
+    # many buckets that a family of near copies shares fall together.
     placed = active.join(parts.withColumnRenamed("node", "id"), "id", "left").select(
-        "band", "key", "id", "hash", "n", F.coalesce("component", "id").alias("part"),
-        ((F.col("id") == F.col("low.id")) | (F.col("id") == F.col("high.id"))).alias("centre"),
+        "band", "key", "id", "hash", "n", F.coalesce("component", "id").alias("part")
     )
     mixed = (
         placed.groupBy("band", "key")
-        .agg(F.min("part").alias("least"), F.max("part").alias("most"))
+        .agg(F.min("part").alias("least"), F.max("part").alias("most"), F.min("id").alias("group"))
         .where("least <> most")
-        .select("band", "key")
-    )
-    open_rows = cut_lineage(placed.where("NOT centre").join(mixed, ["band", "key"]))
-    b = open_rows.select(
-        "band", "key", F.col("id").alias("b"), F.col("hash").alias("b_hash"),
-        F.col("n").alias("m"), F.col("part").alias("b_part"),
-    )
-    pairs = (
-        open_rows.withColumnsRenamed({"id": "a", "hash": "a_hash"})
-        .join(b, ["band", "key"])
-        .where((F.col("a") < F.col("b")) & (F.col("part") != F.col("b_part")) & fits)
-        .select("a", "a_hash", "b", "b_hash")
-        .distinct()
+        .select("band", "key", "group")
     )
-    more = verify_pairs(docs, cut_lineage(pairs), size, share)
+    opened = placed.join(mixed, ["band", "key"])
+    grouped = opened.select("group", "id", "hash", "n", "part").distinct()
+    more = compare_groups(docs, cut_lineage(grouped), size, share)
     members = components(cut_lineage(links.unionByName(more)))
     found = classes.select("h1", "h2", "id").join(members.withColumnRenamed("node", "id"), "id", "left")
     found = found.select("h1", "h2", F.coalesce("component", "id").alias("component"))
