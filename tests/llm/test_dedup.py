@@ -62,6 +62,25 @@ def test_near_duplicates_equal_brute_force(docs_of, monkeypatch, batch_bytes):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows} == brute.near_duplicates(docs, 4, 80)
 
 
+@pytest.mark.parametrize("members,columns", [(256, 8192), (8, 16)])
+def test_near_duplicates_of_a_family_of_uneven_copies(docs_of, monkeypatch, members, columns):
+    """Some copies resemble many others, some few and some none; blocks are small in the second case."""
+    monkeypatch.setattr(minhash, "MEMBERS", members)
+    monkeypatch.setattr(minhash, "COLUMNS", columns)
+    draw = random.Random(11)
+    own = [f"w{draw.randrange(10**6)}" for _ in range(150)]
+    docs = {}
+    for d in range(90):
+        copy = list(own)
+        for _ in range(draw.randint(0, 14)):
+            copy[draw.randrange(len(copy))] = f"x{draw.randrange(10**6)}"
+        docs[(d * 37) % 1000] = " ".join(copy)
+    expected = brute.near_duplicates(docs, 4, 80)
+    assert 3 < len({v[1] for v in expected.values()}) < 80
+    rows = near_duplicates(docs_of(docs).repartition(4), size=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows} == expected
+
+
 def test_near_duplicates_of_a_chain_of_edits(docs_of):
     """Each text resembles the next, the ends do not: one component all the same."""
     draw = random.Random(2)
