@@ -327,11 +327,11 @@ def remove_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            words = words_of(batch.column(1), table)
-            ids = batch.column(0).to_numpy()
+            words = words_of(batch.column(2), table)
+            ids = batch.column(1).to_numpy()
             names = names_of(words.hashes, words.first, size)
             windows = [
-                _doubtful(names, words.first, k, _flagged(batch.column(2), k), size)
+                _doubtful(names, words.first, k, _flagged(batch.column(3), k), size)
                 for k in range(batch.num_rows)
             ]
             doc = np.repeat(ids, [len(w) for w in windows])
@@ -345,20 +345,21 @@ def remove_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
                 )
             )
 
-    candidates = docs.join(flags, F.col("doc") == F.col("names_doc")).select("doc", "text", "names")
+    # The texts dealt by document serve the second and the third step: one exchange, used twice.
+    named = docs.join(flags, F.col("doc") == F.col("names_doc"), "left")
+    candidates = named.select("doc_id", "doc", "text", "names")
     repeats = _by_document(_met(candidates.mapInArrow(digest, _ROWS)), "windows")
-    repeats = cut_lineage(repeats)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            words = words_of(batch.column(1), table)
+            words = words_of(batch.column(2), table)
             first = words.first
-            named = [_flagged(batch.column(2), k) for k in range(batch.num_rows)]
-            hit = [_flagged(batch.column(3), k) for k in range(batch.num_rows)]
+            named = [_flagged(batch.column(3), k) for k in range(batch.num_rows)]
+            hit = [_flagged(batch.column(4), k) for k in range(batch.num_rows)]
             names = names_of(words.hashes, first, size) if any(map(len, named)) else None
             digests = window_hashes(words.hashes, size) | np.uint64(1)
             texts, counts, removed = [], np.diff(first), np.zeros(batch.num_rows, np.int64)
-            for k, text in enumerate(batch.column(1).to_pylist()):
+            for k, text in enumerate(batch.column(2).to_pylist()):
                 own = (text or "").encode().split()
                 gone = np.zeros(len(own) + 1, np.int64)
                 if len(named[k]):
@@ -379,9 +380,7 @@ def remove_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
                 names=["doc_id", "text", "n_words", "n_removed"],
             )
 
-    last = (
-        docs.join(flags, F.col("doc") == F.col("names_doc"), "left")
-        .join(repeats, F.col("doc") == F.col("windows_doc"), "left")
-        .select("doc_id", "text", "names", "windows")
+    last = named.join(repeats, F.col("doc") == F.col("windows_doc"), "left").select(
+        "doc_id", "doc", "text", "names", "windows"
     )
     return last.mapInArrow(remove, "doc_id long, text string, n_words long, n_removed long")
