@@ -29,24 +29,24 @@ KEYWORDS = [
 # Words on either side of a keyword in which a signature may stand.
 CONTEXT = 20
 
-# label; a word every mention has; how the license is called; its identifiers, as words.
+# label; words of which every mention has one; how the license is called; its identifiers, as words.
 _LICENSES = [
     ("mit", "mit", "(?:mit|mit x11|mit expat)", "mit"),
     ("mit-0", "mit", "mit (?:0|no attribution)", "mit 0"),
     ("apache-1.1", "apache", "apache (?:software )?(?:license )?(?:version |v)?1 1", "apache 1 1"),
     ("apache-2.0", "apache", "apache (?:software )?(?:license )?(?:version |v)?2(?: 0)?", "apache 2 0"),
-    ("gpl-1.0", "gpl", "(?:gnu )?gpl ?v?(?:ersion )?1(?: 0)?", "gpl 1 0"),
-    ("gpl-2.0", "gpl", "(?:gnu )?(?:gpl ?v?2|gpl version 2)(?: 0)?", "gpl 2 0"),
-    ("gpl-3.0", "gpl", "(?:gnu )?(?:gpl ?v?3|gplv3|gpl version 3)(?: 0)?", "gpl 3 0"),
+    ("gpl-1.0", "gpl gpl1 gplv1 gplversion gplersion", "(?:gnu )?gpl ?v?(?:ersion )?1(?: 0)?", "gpl 1 0"),
+    ("gpl-2.0", "gpl gpl2 gplv2", "(?:gnu )?(?:gpl ?v?2|gpl version 2)(?: 0)?", "gpl 2 0"),
+    ("gpl-3.0", "gpl gpl3 gplv3", "(?:gnu )?(?:gpl ?v?3|gplv3|gpl version 3)(?: 0)?", "gpl 3 0"),
     ("gpl-2.0", "gnu", "gnu general public license (?:as published by the free software foundation )?(?:version |v)2", "gpl 2 0 only"),
     ("gpl-3.0", "gnu", "gnu general public license (?:as published by the free software foundation )?(?:version |v)3", "gpl 3 0 only"),
     ("gpl-2.0-or-later", "gnu", "gnu general public license (?:version |v)2 or(?: at your option)? (?:any )?later", "gpl 2 0 or later"),
     ("gpl-3.0-or-later", "gnu", "gnu general public license (?:version |v)3 or(?: at your option)? (?:any )?later", "gpl 3 0 or later"),
-    ("lgpl-2.1", "lgpl", "(?:gnu )?lgpl ?v?(?:ersion )?2(?: 1)?", "lgpl 2 1"),
-    ("lgpl-3.0", "lgpl", "(?:gnu )?lgpl ?v?(?:ersion )?3(?: 0)?", "lgpl 3 0"),
+    ("lgpl-2.1", "lgpl lgpl2 lgplv2 lgplversion lgplersion", "(?:gnu )?lgpl ?v?(?:ersion )?2(?: 1)?", "lgpl 2 1"),
+    ("lgpl-3.0", "lgpl lgpl3 lgplv3 lgplversion lgplersion", "(?:gnu )?lgpl ?v?(?:ersion )?3(?: 0)?", "lgpl 3 0"),
     ("lgpl", "lesser", "(?:gnu )?lesser general public", "lgpl"),
     ("agpl-3.0", "affero", "(?:gnu )?affero general public", "agpl 3 0"),
-    ("agpl", "agpl", "(?:gnu )?agpl ?v?3?(?: 0)?", "agpl"),
+    ("agpl", "agpl agplv agpl3 agplv3", "(?:gnu )?agpl ?v?3?(?: 0)?", "agpl"),
     ("gfdl", "documentation", "gnu free documentation", "gfdl 1 3"),
     ("bsd-2-clause", "bsd", "(?:2 clause|two clause|simplified|freebsd) bsd", "bsd 2 clause"),
     ("bsd-3-clause", "bsd", "(?:3 clause|three clause|new|revised|modified) bsd", "bsd 3 clause"),
@@ -57,24 +57,24 @@ _LICENSES = [
     ("mpl-2.0", "mozilla", "mozilla public(?: license (?:version |v)?2 0)?", "mpl 2 0"),
     ("epl-1.0", "eclipse", "eclipse public license (?:version |v)?1 0", "epl 1 0"),
     ("epl-2.0", "eclipse", "eclipse public(?: license (?:version |v)?2 0)?", "epl 2 0"),
-    ("cddl", "cddl", "(?:cddl|common development and distribution)", "cddl 1 0"),
+    ("cddl", "cddl distribution", "(?:cddl|common development and distribution)", "cddl 1 0"),
     ("cpl", "common", "common public", "cpl 1 0"),
     ("isc", "isc", "isc", "isc"),
     ("zlib", "zlib", "zlib(?: libpng)?", "zlib"),
     ("boost", "boost", "boost(?: software)?", "bsl 1 0"),
     ("unlicense", "unlicense", "(?:the )?unlicense", "unlicense"),
-    ("wtfpl", "wtfpl", "(?:wtfpl|do what the fuck you want to public)", "wtfpl"),
+    ("wtfpl", "wtfpl fuck", "(?:wtfpl|do what the fuck you want to public)", "wtfpl"),
     ("artistic", "artistic", "(?:perl )?artistic(?: license)?(?: 2 0)?", "artistic 2 0"),
     ("postgresql", "postgresql", "postgresql", "postgresql"),
     ("python", "python", "python(?: software foundation)?", "psf 2 0"),
     ("openssl", "openssl", "openssl", "openssl"),
     ("ofl", "sil", "sil open font", "ofl 1 1"),
-    ("eupl", "eupl", "(?:eupl|european union public)", "eupl 1 2"),
-    ("cc0", "cc0", "(?:cc0|cc0 1 0|creative commons zero)", "cc0 1 0"),
-    ("cc-by", "attribution", "(?:creative commons|cc) (?:by|attribution)(?: [1-4] 0)?", "cc by 4 0"),
-    ("cc-by-sa", "attribution", "(?:creative commons|cc) (?:by sa|attribution share ?alike)(?: [1-4] 0)?", "cc by sa 4 0"),
-    ("cc-by-nc", "attribution", "(?:creative commons|cc) (?:by nc|attribution non ?commercial)(?: [1-4] 0)?", "cc by nc 4 0"),
-    ("cc-by-nd", "attribution", "(?:creative commons|cc) (?:by nd|attribution no ?deriv(?:ative)?s)(?: [1-4] 0)?", "cc by nd 4 0"),
+    ("eupl", "eupl european", "(?:eupl|european union public)", "eupl 1 2"),
+    ("cc0", "cc0 zero", "(?:cc0|cc0 1 0|creative commons zero)", "cc0 1 0"),
+    ("cc-by", "creative cc", "(?:creative commons|cc) (?:by|attribution)(?: [1-4] 0)?", "cc by 4 0"),
+    ("cc-by-sa", "creative cc", "(?:creative commons|cc) (?:by sa|attribution share ?alike)(?: [1-4] 0)?", "cc by sa 4 0"),
+    ("cc-by-nc", "creative cc", "(?:creative commons|cc) (?:by nc|attribution non ?commercial)(?: [1-4] 0)?", "cc by nc 4 0"),
+    ("cc-by-nd", "creative cc", "(?:creative commons|cc) (?:by nd|attribution no ?deriv(?:ative)?s)(?: [1-4] 0)?", "cc by nd 4 0"),
     ("ms-pl", "microsoft", "microsoft public", "ms pl"),
     ("proprietary", "proprietary", "proprietary", "licenseref proprietary"),
 ]
@@ -91,7 +91,8 @@ _FORMS = [
     (7, 0.6, "{lic}s?(?: is| type| name)? (?:the )?{name}"),
 ]
 
-# Sentences of license texts themselves: (label, a word each has, priority, confidence, pattern).
+# Sentences of license texts themselves: (label, words of which each has one, priority, confidence,
+# pattern).
 _TEXTS = [
     ("mit", "hereby", 1, 1.0, "permission is hereby granted free of charge to any person obtaining a copy"),
     ("isc", "hereby", 1, 0.9, "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
@@ -107,7 +108,7 @@ _TEXTS = [
     ("boost", "organization", 1, 0.9, "permission is hereby granted free of charge to any person or organization obtaining a copy"),
     ("unlicense", "unencumbered", 1, 1.0, "free and unencumbered software released into the public domain"),
     ("public-domain", "public", 6, 0.7, "(?:in|into|to) the public domain"),
-    ("cc0", "dedicate", 1, 0.8, "dedicated? (?:all |any )?(?:copyright|the work|this work) (?:interest )?to the public domain"),
+    ("cc0", "dedicate dedicated", 1, 0.8, "dedicated? (?:all |any )?(?:copyright|the work|this work) (?:interest )?to the public domain"),
     ("proprietary", "rights", 8, 0.4, "copyright (?:c )?(?:[0-9]{4} )?.{0,60}all rights reserved"),
     ("gpl", "gnu", 6, 0.8, "gnu general public licen[sc]e"),
     ("apache", "apache", 6, 0.75, "apache (?:software )?licen[sc]e"),
@@ -118,17 +119,21 @@ _TEXTS = [
 def signature_rules() -> list[tuple[int, str, str, int, float, str]]:
     """(rule, label, gate word, priority, confidence, pattern) of all rules, in order.
 
-    Every license is mentioned in every form; the texts' own sentences come on top.
+    Every license is mentioned in every form; the texts' own sentences come on top. Every match of a
+    pattern holds one of its gate words, and a pattern with several is a rule under each of them. An
+    identifier need not hold the words of the name, so its first word is its gate.
     """
     rows = [
-        (label, gate, priority, confidence, form.format(name=name, spdx=spdx, verb=_VERB, lic=_LIC))
+        (label, spdx.split()[0] if "{spdx}" in form else gates, priority, confidence, form.format(name=name, spdx=spdx, verb=_VERB, lic=_LIC))
         for priority, confidence, form in _FORMS
-        for label, gate, name, spdx in _LICENSES
+        for label, gates, name, spdx in _LICENSES
     ]
     ordered = sorted([*_TEXTS, *[(r[0], r[1], r[2], r[3], r[4]) for r in rows]], key=lambda r: r[2])
     return [
         (number, label, gate, priority, confidence, f"(?<![^ ])(?:{pattern})(?![^ ])")
-        for number, (label, gate, priority, confidence, pattern) in enumerate(ordered)
+        for number, (label, gate, priority, confidence, pattern) in enumerate(
+            (label, gate, *rest) for label, gates, *rest in ordered for gate in gates.split()
+        )
     ]
 
 

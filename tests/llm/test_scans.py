@@ -193,3 +193,66 @@ def test_licenses_edge_cases(docs_of):
     assert scan_licenses(docs_of([])).count() == 0
     rows = scan_licenses(docs_of([(1, "mit license"), (1, "mit license"), (None, "mit license"), (1, "x")])).collect()
     assert sorted((r.n_base, len(r.detections)) for r in rows) == [(0, 0), (1, 1), (1, 1), (1, 1)]
+
+
+LICENSE_MENTIONS = {
+    "Licensed under CC BY-NC 4.0.": "cc-by-nc",
+    "released under the GPLv3 license": "gpl-3.0",
+    "the GPL2 license": "gpl-2.0",
+    "licensed under LGPLv2.1": "lgpl-2.1",
+    "licensed under AGPLv3": "agpl",
+    "licensed under Creative Commons Zero": "cc0",
+    "Common Development and Distribution License": "cddl",
+    "European Union Public Licence": "eupl",
+    "dedicated the work to the public domain": "cc0",
+    "SPDX-License-Identifier: MPL-2.0": "mpl-2.0",
+    "SPDX-License-Identifier: EPL-1.0": "epl-1.0",
+    "SPDX-License-Identifier: CC-BY-SA-4.0": "cc-by-sa",
+    "SPDX-License-Identifier: GPL-3.0-or-later": "gpl-3.0-or-later",
+}
+
+
+def test_license_forms_without_the_usual_word(docs_of):
+    rows = scan_licenses(docs_of(list(enumerate(LICENSE_MENTIONS)))).collect()
+    for r in rows:
+        assert list(LICENSE_MENTIONS.values())[r.doc_id] in r.labels
+
+
+def pattern_words(pattern):
+    """All texts that a rule's pattern matches, with one filling for each of its open places."""
+    import re._parser as parser
+
+    def texts(tree):
+        out = [""]
+        for op, value in tree:
+            name = str(op)
+            if name == "LITERAL":
+                own = [chr(value)]
+            elif name == "IN":
+                own = [chr(v) if str(o) == "LITERAL" else chr(v[0]) for o, v in value][:2]
+            elif name == "SUBPATTERN":
+                own = texts(value[-1])
+            elif name == "BRANCH":
+                own = [t for branch in value[1] for t in texts(branch)]
+            elif name == "MAX_REPEAT":
+                some = texts(value[2])
+                own = [t * n for t in some for n in {value[0], min(value[1], 4)}]
+            elif name == "ANY":
+                own = ["z"]
+            else:
+                assert name == "ASSERT_NOT"
+                own = [""]
+            out = [a + b for a in out for b in own]
+        return out
+
+    return texts(parser.parse(pattern))
+
+
+def test_every_match_of_a_rule_holds_a_gate_word():
+    gates = {}
+    for _, label, gate, priority, _, pattern in signature_rules():
+        gates.setdefault((label, priority, pattern), set()).add(gate)
+    for (label, priority, pattern), own in gates.items():
+        for text in set(pattern_words(pattern)):
+            if re.fullmatch(pattern, text):
+                assert own & set(text.split()), (label, text)
