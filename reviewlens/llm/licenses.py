@@ -19,15 +19,18 @@ PHRASES = {
     "general public license": "gpl",
 }
 
-# Words near which signatures are looked for: every signature holds one of them.
+# Words near which signatures are looked for: every signature holds one of them. Those with a verb
+# need not name a license, but say "under"; so does nothing but "subject" in "subject to the".
 KEYWORDS = [
-    "license", "licence", "licensed", "licenced", "licenses", "licensing", "spdx", "copyleft",
+    "license", "licence", "licensed", "licenced", "licenses", "licences", "licensing", "spdx",
+    "copyleft", "under", "subject",
     "permission", "redistribution", "redistribute", "warranty", "warranties", "domain", "commons",
     "copyright", "unlicense", "cc0",
 ]
 
-# Words on either side of a keyword in which a signature may stand.
-CONTEXT = 20
+# Words on either side of a keyword in which a signature may stand: the longest one, a copyright line
+# of one-letter words, has its last word 35 behind the keyword.
+CONTEXT = 35
 
 # label; words of which every mention has one; how the license is called; its identifiers, as words.
 _LICENSES = [

@@ -256,3 +256,32 @@ def test_every_match_of_a_rule_holds_a_gate_word():
         for text in set(pattern_words(pattern)):
             if re.fullmatch(pattern, text):
                 assert own & set(text.split()), (label, text)
+
+
+LICENSES_WITHOUT_THE_WORD = {
+    "Released under the GPL v3": "gpl-3.0",
+    "Distributed under the BSD terms": "bsd",
+    "available under Apache 2.0": "apache-2.0",
+    "It is subject to the terms of the MPL; provided under Mozilla Public terms": "mpl-2.0",
+    "subject to the Boost Software": "boost",
+    "licences: MIT": "mit",
+    "copyright c 2020 " + "z " * 30 + "all rights reserved": "proprietary",
+}
+
+
+def test_licenses_said_without_the_word_license(docs_of):
+    texts = list(LICENSES_WITHOUT_THE_WORD)
+    long = ["w " * 500 + t + " w" * 500 for t in texts]
+    for r in scan_licenses(docs_of(list(enumerate(texts + long)))).collect():
+        assert LICENSES_WITHOUT_THE_WORD[texts[r.doc_id % len(texts)]] in r.labels
+
+
+def test_every_match_of_a_rule_holds_a_keyword_near_its_ends():
+    for pattern in {r[5] for r in signature_rules()}:
+        for text in set(pattern_words(pattern)):
+            words = text.split()
+            if re.fullmatch(pattern, text):
+                assert any(
+                    w in KEYWORDS and at <= CONTEXT and len(words) - at - 1 <= CONTEXT
+                    for at, w in enumerate(words)
+                ), text
