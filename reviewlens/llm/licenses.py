@@ -188,12 +188,50 @@ def _phrase_columns(line: Column) -> dict[str, Column]:
     }
 
 
-def detect(docs: DataFrame, rules: DataFrame) -> DataFrame:
+# Stands before each match while a piece's matches are looked for; no word holds it.
+MARK = "\x01"
+
+
+def _places(piece: Column, pattern: Column) -> Column:
+    """(start, stop), in words of the piece, of the pattern's match at each word where one begins.
+
+    A look-ahead marks the places and copies the match behind the mark, so matches may overlap.
+    """
+    marked = F.regexp_replace(piece, F.concat(F.lit("(?=("), pattern, F.lit("))")), F.lit(f"{MARK}$1{MARK}"))
+    # What is before the first match; then, in turn, a match and the text from its place on.
+    parts = F.split(marked, MARK)
+    spaces = F.transform(parts, lambda part: _count(part, " "))
+    numbers = F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2))
+    ends = F.when(F.size(parts) > 1, numbers).otherwise(F.array().cast("array<int>"))
+
+    def before(k: Column) -> Column:
+        """Spaces in the texts in front of the k-th part, without the matches."""
+        texts = F.filter(F.slice(spaces, 1, k), lambda _, i: i % 2 == 0)
+        return F.aggregate(texts, F.lit(0).cast("long"), lambda n, x: n + x)
+
+    return F.transform(
+        ends,
+        lambda k: F.struct(
+            before(k).alias("start"), (before(k) + F.get(spaces, k) + 1).alias("stop")
+        ),
+    )
+
+
+def _first_place(piece: Column, pattern: Column) -> Column:
+    """(start, stop) of the pattern's first match alone."""
+    place, match = F.regexp_instr(piece, pattern), F.regexp_substr(piece, pattern)
+    start = _count(F.substring(piece, F.lit(1), place - 1), " ")
+    one = F.array(F.struct(start.alias("start"), (start + _count(match, " ") + 1).alias("stop")))
+    return F.when(place > 0, one)
+
+
+def detect(docs: DataFrame, rules: DataFrame, every: bool = False) -> DataFrame:
     """Detections that stand, as (d, c, label, confidence, start, stop), in words of the document.
 
     ``docs``: d, c (which row it is) and line (its words). Around each keyword, CONTEXT words to
     either side are cut out; a rule is tried there only if its gate word is among them, and gives
-    its first match. A detection falls if another one of the same document that begins earlier (or
+    its first match or, with ``every``, the match at each word where one begins; what is found is then
+    the same as in the whole text. A detection falls if another one of the same document that begins earlier (or
     at the same word and is no shorter) contains it and has the same or a better priority.
     """
     gate = F.concat(F.lit(" "), F.col("line"), F.lit(" ")).rlike(f" (?:{'|'.join(KEYWORDS)}) ")
@@ -212,13 +250,14 @@ def detect(docs: DataFrame, rules: DataFrame) -> DataFrame:
         "d", "c", "from", F.array_join("near", " ").alias("piece"),
         F.explode(F.array_distinct("near")).alias("gate"),
     ).join(F.broadcast(rules), "gate")  # the rules are a fixed list of some hundreds
-    place = F.regexp_instr("piece", F.col("pattern"))
-    match = F.regexp_substr("piece", F.col("pattern"))
-    hits = tried.withColumn("place", place).where("place > 0").withColumn("match", match)
-    start = F.col("from") + _count(F.substring(F.col("piece"), F.lit(1), F.col("place") - 1), " ")
+    places = (_places if every else _first_place)(F.col("piece"), F.col("pattern"))
+    hits = tried.where(F.rlike("piece", F.col("pattern"))).select(
+        "d", "c", "rule", "label", "priority", "confidence", "from", F.explode(places).alias("at")
+    )
     spans = hits.select(
-        "d", "c", "rule", "label", "priority", "confidence", start.alias("start"),
-        (start + _count(F.col("match"), " ") + 1).alias("stop"),
+        "d", "c", "rule", "label", "priority", "confidence",
+        (F.col("from") + F.col("at.start")).alias("start"),
+        (F.col("from") + F.col("at.stop")).alias("stop"),
     ).distinct()
     order = Window.partitionBy("d", "c").orderBy("start", F.desc("stop"), "priority", "rule")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -237,7 +276,9 @@ def detect(docs: DataFrame, rules: DataFrame) -> DataFrame:
     return kept.select("d", "c", "label", "confidence", "start", "stop")
 
 
-def scan_licenses(docs: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+def scan_licenses(
+    docs: DataFrame, rules: DataFrame | None = None, every: bool = False
+) -> DataFrame:
     """License phrases and signatures in whole texts.
 
     ``docs``: doc_id, text. Result, one row per row: doc_id, n_words, n_base (places of PHRASES),
@@ -246,7 +287,8 @@ def scan_licenses(docs: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     (the best confidence; 0.8 for a phrase, 0 for nothing).
 
     Only texts with a keyword reach the rules, and a rule is tried only where its gate word stands,
-    so the regular expressions see short pieces of few texts. Null and empty texts have no words.
+    so the regular expressions see short pieces of few texts. With ``every``, as the registered query
+    has it, all mentions count; without, a rule's first one near each keyword. Null and empty texts have no words.
     Repeated rows give repeated results; ids may be null or come with several texts, as texts are told
     apart by a hash. Other columns are ignored; no documents, no rows.
     """
@@ -255,7 +297,7 @@ def scan_licenses(docs: DataFrame, rules: DataFrame | None = None) -> DataFrame:
         F.col("doc_id"), F.xxhash64(whole_text()).alias("content"), word_line(whole_text()).alias("line")
     )
     found = detect(
-        rows.select(F.col("doc_id").alias("d"), F.col("content").alias("c"), "line").distinct(), own
+        rows.select(F.col("doc_id").alias("d"), F.col("content").alias("c"), "line").distinct(), own, every
     )
     by_doc = found.groupBy("d", "c").agg(
         F.array_sort(F.collect_list(F.struct("start", "stop", "label", "confidence"))).alias("detections")

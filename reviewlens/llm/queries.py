@@ -118,7 +118,7 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return scan_licenses(table(spark, folder, "documents")).select(
+    return scan_licenses(table(spark, folder, "documents"), every=True).select(
         "doc_id",
         "n_words",
         "n_base",

@@ -285,3 +285,37 @@ def test_every_match_of_a_rule_holds_a_keyword_near_its_ends():
                     w in KEYWORDS and at <= CONTEXT and len(words) - at - 1 <= CONTEXT
                     for at, w in enumerate(words)
                 ), text
+
+
+def whole_detections(text):
+    """All matches, at every word, of all rules in the whole text: no keyword, no gate, no piece."""
+    line = " ".join(brute.ALNUM.findall(brute.lower(text or "")))
+    starts = [0] + [m.end() for m in re.finditer(" ", line)]
+    found = set()
+    for rule, label, _, priority, confidence, pattern in signature_rules():
+        regex = re.compile(pattern)
+        if not regex.search(line):
+            continue
+        for n, at in enumerate(starts):
+            if m := regex.match(line, at):
+                found.add((n, -(n + m[0].count(" ") + 1), priority, rule, label, confidence))
+    kept = [
+        d for d in found if not any(e < d and e[2] <= d[2] and -e[1] >= -d[1] for e in found)
+    ]
+    return sorted((d[0], -d[1], d[4], d[5]) for d in kept)
+
+
+def test_every_license_mention_equals_plain_regular_expressions(docs_of):
+    draw = random.Random(6)
+    pieces = "mit license apache version 2 0 gnu general public gpl gplv3 bsd new style cc by nc creative commons released licensed under the terms of subject to domain in x".split()
+    texts = LICENSE_TEXTS + list(LICENSE_MENTIONS) + list(LICENSES_WITHOUT_THE_WORD)
+    texts += ["licensed under the new bsd license and the bsd license", "mit license " * 40]
+    texts += ["creative commons creative commons license b c d e license"]
+    texts += [" ".join(draw.choices(pieces, k=draw.choice([20, 60, 200]))) for _ in range(60)]
+    rows = scan_licenses(docs_of(list(enumerate(texts))), every=True).collect()
+    for r in rows:
+        assert [tuple(d) for d in r.detections] == whole_detections(texts[r.doc_id])
+    labels = {texts[r.doc_id]: r.labels for r in rows}
+    assert labels["licensed under the new bsd license and the bsd license"] == ["bsd", "bsd-3-clause"]
+    many = next(r for r in rows if texts[r.doc_id] == "mit license " * 40)
+    assert [d.start for d in many.detections if d.start % 2 == 0] == list(range(0, 80, 2))
