@@ -16,17 +16,17 @@ from reviewlens.llm.text import (
     id_and_text,
     slices,
     string_buffers,
+    whole_text,
     window_hashes,
     words_of,
 )
+from reviewlens.storage import scratch_path
 
-# Windows that are broadcast together (48 MB); a larger benchmark is worked through in blocks.
+# Windows that are broadcast together (56 MB); a larger benchmark is worked through in blocks.
 BLOCK_WINDOWS = 2_000_000
 
-SCHEMA = (
-    "doc_id long, n_words long, spans array<struct<first:long,stop:long,byte_first:long,"
-    "byte_stop:long>>, items array<string>"
-)
+SPANS = "array<struct<first:long,stop:long,byte_first:long,byte_stop:long>>"
+SCHEMA = f"doc_id long, content long, n_words long, spans {SPANS}, owners array<long>"
 
 
 def _windows(hashes: np.ndarray, first: np.ndarray, size: int):
@@ -75,15 +75,15 @@ def benchmark_windows(items: DataFrame, size: int = 10) -> DataFrame:
     return rows.mapInArrow(cut, "item_id string, length int, hash long, proof long")
 
 
-def _scan(docs: DataFrame, block: dict) -> DataFrame:
-    """The hits of one block of windows in all documents, by whole text."""
+def _scan(docs: DataFrame, block: dict, path: str, all_rows: bool) -> None:
+    """Writes the hits of one block of windows, by whole text: all documents, or those with hits."""
     table = alphanumeric_table()
     shared = docs.sparkSession.sparkContext.broadcast(block)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in slices(batches, "text"):
-            words = words_of(batch.column(1), table)
+            words = words_of(batch.column(2), table)
             hits = []
             for length, (keys, proofs, group, most) in known["by_length"].items():
                 found, check, place = _windows(words.hashes, words.first, length)
@@ -93,12 +93,14 @@ def _scan(docs: DataFrame, block: dict) -> DataFrame:
                     # The second hash verifies a hit of the first: 128 bits in all.
                     same = np.flatnonzero((keys[at] == found) & (proofs[at] == check))
                     hits.append((place[same], np.full(len(same), length), group[at[same]]))
-            yield _hit_rows(batch, words, hits, known["items"])
+            yield _hit_rows(batch, words, hits)
 
-    return docs.mapInArrow(find, SCHEMA)
+    rows = docs.mapInArrow(find, SCHEMA)
+    (rows if all_rows else rows.where(F.size("spans") > 0)).write.parquet(path)
+    shared.destroy()
 
 
-def _hit_rows(batch: pa.RecordBatch, words, hits: list, items: list[list[str]]) -> pa.RecordBatch:
+def _hit_rows(batch: pa.RecordBatch, words, hits: list) -> pa.RecordBatch:
     place = np.concatenate([h[0] for h in hits]) if hits else np.zeros(0, np.int64)
     length = np.concatenate([h[1] for h in hits]) if hits else np.zeros(0, np.int64)
     group = np.concatenate([h[2] for h in hits]) if hits else np.zeros(0, np.int64)
@@ -106,7 +108,7 @@ def _hit_rows(batch: pa.RecordBatch, words, hits: list, items: list[list[str]])
     place, length, group = place[order], length[order], group[order]
     doc = np.searchsorted(words.first, place, "right") - 1
     bounds = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-    offsets, _ = string_buffers(batch.column(1))
+    offsets, _ = string_buffers(batch.column(2))
     spans, found = [], []
     for i in range(batch.num_rows):
         a, b = bounds[i], bounds[i + 1]
@@ -129,43 +131,39 @@ def _hit_rows(batch: pa.RecordBatch, words, hits: list, items: list[list[str]])
                 for f, s in zip(first, last)
             ]
         )
-        found.append(sorted({item for g in np.unique(group[a:b]) for item in items[g]}))
+        found.append(np.unique(group[a:b]))
     kinds = pa.list_(pa.struct([(n, pa.int64()) for n in ("first", "stop", "byte_first", "byte_stop")]))
     return pa.RecordBatch.from_arrays(
         [
             batch.column(0),
+            batch.column(1),
             pa.array(np.diff(words.first).astype(np.int64)),
             pa.array(spans, kinds),
-            pa.array(found, pa.list_(pa.string())),
+            pa.array(found, pa.list_(pa.int64())),
         ],
-        names=["doc_id", "n_words", "spans", "items"],
+        names=["doc_id", "content", "n_words", "spans", "owners"],
     )
 
 
 def _block(rows: list) -> dict:
-    """Sorted hashes by window length, each with the list of items that have the window."""
-    by_length: dict[int, dict[tuple[int, int], set]] = {}
-    for row in rows:
-        by_length.setdefault(row.length, {}).setdefault(
-            (row.hash % 2**64, row.proof % 2**64), set()
-        ).add(row.item_id)
-    items: list[list[str]] = []
-    known: dict[int, int] = {}
+    """The block of a list of windows; they need no owners."""
+    length = np.array([r.length for r in rows], np.int64)
+    hashes = np.array([r.hash % 2**64 for r in rows], np.uint64)
+    proofs = np.array([r.proof % 2**64 for r in rows], np.uint64)
+    return _sorted_block(length, hashes, proofs, np.zeros(len(rows), np.int64))
+
+
+def _sorted_block(length: np.ndarray, hashes: np.ndarray, proofs: np.ndarray, owners: np.ndarray) -> dict:
+    """By window length: sorted hashes, their second hashes and owners, and how many at most share
+    a first hash."""
     out = {}
-    for length, windows in by_length.items():
-        pairs = sorted(windows)
-        group = []
-        for pair in pairs:
-            own = tuple(sorted(windows[pair]))
-            if own not in known:
-                known[own] = len(items)
-                items.append(list(own))
-            group.append(known[own])
-        keys = np.array([p[0] for p in pairs], np.uint64)
-        most = int(np.unique(keys, return_counts=True)[1].max())  # windows with one first hash
-        proofs = np.array([p[1] for p in pairs], np.uint64)
-        out[length] = (keys, proofs, np.array(group, np.int64), most)
-    return {"by_length": out, "items": items}
+    for n in np.unique(length):
+        own = np.flatnonzero(length == n)
+        own = own[np.lexsort([proofs[own], hashes[own]])]
+        keys = hashes[own]
+        most = int(np.unique(keys, return_counts=True)[1].max())
+        out[int(n)] = (keys, proofs[own], owners[own], most)
+    return {"by_length": out}
 
 
 def find_passages(
@@ -178,36 +176,67 @@ def find_passages(
     UTF-8 text), items (ids, as strings, of all items with a window in the document).
 
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z in lower case. The
-    windows' hashes are collected and broadcast only up to ``block_windows`` at a time: the number
-    of windows is counted first, and a larger benchmark is split into blocks by hash, each of which
-    is held against all documents, with the results merged by document. Texts are scanned whole, in
-    numpy, and are never shuffled for a single block.
+    distinct windows are counted first and dealt by hash to blocks of about ``block_windows``. Each
+    block is collected as Arrow columns, broadcast and held against all documents, its hits are
+    written to the shared folder and its broadcast is destroyed before the next. Item ids stay in
+    Spark: a window carries a hash of the set of its items, and the sets that were hit are joined to
+    the hits. Texts are scanned whole, in numpy, and are never shuffled; what the blocks found is
+    merged by id and a hash of the text.
 
     Null texts and texts without words have no words and no hits; an item without words has no
     window; an item repeated, or a window that several items share, counts for each item id. With no
-    items, no hits; with no documents, no rows. A doc_id that comes in several rows gives as many
-    rows (with several blocks, ids must be distinct). Other columns are ignored.
+    items, no hits; with no documents, no rows. Ids may be null or come in several rows, each of which
+    gives a row, whatever the number of blocks. Other columns are ignored.
     """
-    bounded_batches(docs.sparkSession)
-    docs = id_and_text(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    windows = benchmark_windows(items, size).distinct()
-    total = windows.count()
-    n_blocks = -(-total // block_windows) or 1
-    parts = []
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    docs = id_and_text(docs).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("content"), "text"
+    )
+    path = scratch_path(spark, "passages")
+    benchmark_windows(items, size).distinct().write.parquet(f"{path}/windows")
+    windows = spark.read.parquet(f"{path}/windows")
+    key = ["length", "hash", "proof"]
+    # The items of a window, as one number that does not depend on their order.
+    windows.groupBy(*key).agg(F.bit_xor(F.xxhash64("item_id")).alias("owners")).write.parquet(f"{path}/owned")
+    owned = spark.read.parquet(f"{path}/owned")
+    n_blocks = -(-owned.count() // block_windows) or 1
     for k in range(n_blocks):
-        own = windows.where(F.pmod("hash", F.lit(n_blocks)) == k).collect()
-        parts.append(_scan(docs, _block(own)))
-    if n_blocks == 1:
-        return parts[0]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    merged = rows.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        own = owned.where(F.pmod("hash", F.lit(n_blocks)) == k).toArrow()
+        columns = [own.column(n).to_numpy() for n in ("length", "hash", "proof", "owners")]
+        block = _sorted_block(columns[0], columns[1].view(np.uint64), columns[2].view(np.uint64), columns[3])
+        _scan(docs, block, f"{path}/hits/block={k}", k == 0)
+    found = spark.read.schema(f"{SCHEMA}, block int").parquet(f"{path}/hits")
+    rows = found.where("block = 0").select("doc_id", "content", "n_words")
+    # Rows with one id and text have the same hits: one of them stands for all.
+    hits = found.where(F.size("spans") > 0).dropDuplicates(["doc_id", "content", "block"])
+    spans = hits.groupBy("doc_id", "content").agg(
+        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")
+    )
+    owners = hits.select("doc_id", "content", F.explode("owners").alias("owners")).distinct()
+    one = owned.join(owners.select("owners").distinct(), "owners", "left_semi").groupBy("owners").agg(
+        F.min(F.struct(*key)).alias("window")
+    )
+    sets = windows.join(one.select("owners", "window.*"), key).select("owners", "item_id")
+    named = (
+        owners.join(sets, "owners")
+        .select("doc_id", "content", "item_id")
+        .distinct()
+        .groupBy("doc_id", "content")
+        .agg(F.array_sort(F.collect_list(F.struct("item_id"))).alias("items"))
+    )
+    spans = spans.select(F.col("doc_id").alias("d"), F.col("content").alias("c"), _merge_spans().alias("spans"))
+    named = named.select(F.col("doc_id").alias("e"), F.col("content").alias("f"), "items.item_id")
+    return (
+        rows.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("content") == F.col("c")), "left")
+        .join(named, F.col("doc_id").eqNullSafe(F.col("e")) & (F.col("content") == F.col("f")), "left")
+        .select(
+            "doc_id",
+            "n_words",
+            F.coalesce("spans", F.array().cast(SPANS)).alias("spans"),
+            F.coalesce("item_id", F.array().cast("array<string>")).alias("items"),
+        )
     )
-    return merged.withColumn("spans", _merge_spans())
 
 
 def _merge_spans():

@@ -319,3 +319,34 @@ def test_every_license_mention_equals_plain_regular_expressions(docs_of):
     assert labels["licensed under the new bsd license and the bsd license"] == ["bsd", "bsd-3-clause"]
     many = next(r for r in rows if texts[r.doc_id] == "mit license " * 40)
     assert [d.start for d in many.detections if d.start % 2 == 0] == list(range(0, 80, 2))
+
+
+def passage_rows(spark, docs, items, block):
+    found = find_passages(docs, item_table(spark, items), size=4, block_windows=block)
+    rows = found.select("doc_id", "n_words", "spans", "items").collect()
+    return sorted((repr(r.doc_id), r.n_words, [tuple(s) for s in r.spans], r.items) for r in rows)
+
+
+def test_blocks_of_windows_do_not_change_the_rows(spark, docs_of):
+    docs, items = passage_case(5)
+    several = [(d // 3 if d % 4 else None, t) for d, t in docs.items()]  # ids that repeat, and nulls
+    docs = docs_of(several + several[20:40])
+    whole = passage_rows(spark, docs, items, 2_000_000)
+    assert len(whole) == docs.count() and any(r[2] for r in whole)
+    assert passage_rows(spark, docs, items, 9) == whole
+
+
+def test_a_window_of_many_items_is_one_row_of_a_block(spark, docs_of, monkeypatch):
+    sizes, keep = [], decontaminate._scan
+
+    def scan(docs, block, *rest):
+        sizes.append(sum(len(own[0]) for own in block["by_length"].values()))
+        return keep(docs, block, *rest)
+
+    monkeypatch.setattr(decontaminate, "_scan", scan)
+    items = [(k, "one two three four") for k in range(50)] + [(50, "five six seven eight")]
+    rows = passage_rows(spark, docs_of({1: "one two three four five", 2: "six"}), items, 10)
+    assert rows == [
+        ("1", 5, [(0, 4, 0, 18)], sorted(str(k) for k in range(50))), ("2", 1, [], [])
+    ]
+    assert sizes == [2]
