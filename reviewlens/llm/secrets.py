@@ -33,7 +33,7 @@ ENDPOINT = re.compile(
     r"((?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{4,}"
     r"|(?ai:\b(?:host(?:name)?|endpoint|server))[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{4,})"
 )
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_-]{20,128}={0,2})(?![A-Za-z0-9+/_=-])")
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_-]{20,}={0,2})(?![A-Za-z0-9+/_=-])")
 SCOPE_BREAK = re.compile(r"\n[\x20\t\r]*\n")
 
 # The order in which kinds at one start are listed; the first three are strong.
@@ -109,8 +109,8 @@ def scan_parts(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(scan, f"doc_id long, content long, parts array<{_PART}>")
 
 
-def link_parts(parts: DataFrame, reach: int) -> DataFrame:
-    """The weak parts that have a complement within ``reach`` code points of the same scope.
+def link_parts(parts: DataFrame, reach: int | None = None) -> DataFrame:
+    """The weak parts that have a complement in the same scope, within ``reach`` code points if given.
 
     Identifiers and endpoints need a secret (weak or strong), weak secrets an identifier, an access
     key or an endpoint. An interval join by nearest neighbour: within a document's scope, in order of
@@ -137,6 +137,8 @@ def link_parts(parts: DataFrame, reach: int) -> DataFrame:
         )
 
     def close(name: str):
+        if reach is None:
+            return F.coalesce(f"{name}_before", f"{name}_behind").isNotNull()
         before = F.col("start") - F.col(f"{name}_before") <= reach
         behind = F.col(f"{name}_behind") - F.col("stop") <= reach
         return F.coalesce(before, F.lit(False)) | F.coalesce(behind, F.lit(False))
@@ -147,14 +149,15 @@ def link_parts(parts: DataFrame, reach: int) -> DataFrame:
     return near.where(linked).select("d", "c", "kind", "start", "stop", "scope")
 
 
-def find_secrets(docs: DataFrame, reach: int = 200) -> DataFrame:
+def find_secrets(docs: DataFrame, reach: int | None = None) -> DataFrame:
     """Strong secrets and linked weak parts of whole texts.
 
     ``docs``: doc_id, text. Result, one row per row: doc_id, base and spans, arrays of (kind, start,
     stop) in code points, ordered by start, then kind, then stop. ``base`` has assignments of
     passwords and the like, access keys and long hexadecimal strings; ``spans`` adds identifiers,
-    random-looking tokens and endpoints that do not touch a base span, where complementary parts stand
-    within ``reach`` of each other and of the same scope (blocks of text between empty lines).
+    random-looking tokens of any length and endpoints that do not touch a base span, where complementary
+    parts stand in the same scope (a block of text between empty lines), however far apart, or within
+    ``reach`` code points of each other if that is given.
 
     Null and empty texts have no spans. Repeated rows give repeated results; ids may be null or come
     with several texts, as texts are told apart by a hash. Other columns are ignored; no documents, no

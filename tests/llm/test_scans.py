@@ -350,3 +350,25 @@ def test_a_window_of_many_items_is_one_row_of_a_block(spark, docs_of, monkeypatc
         ("1", 5, [(0, 4, 0, 18)], sorted(str(k) for k in range(50))), ("2", 1, [], [])
     ]
     assert sizes == [2]
+
+
+def test_secrets_of_any_length_are_linked_across_their_scope(docs_of):
+    long = KEY * 6  # 144 characters
+    longer = (KEY * 4 + "/+") * 50 + "=="
+    docs = {
+        1: f"user=admin {long}",
+        2: f"{longer} at https://db.example.org/x",
+        3: "user=admin " + "x " * 300 + KEY,
+        4: KEY + " x" * 5000 + " user=admin",
+        5: "user=admin " + "x " * 300 + "\n\n" + KEY,
+        6: long,
+    }
+    found = {r.doc_id: [tuple(s) for s in r.spans] for r in find_secrets(docs_of(docs)).collect()}
+    assert found == {
+        1: [("identifier", 5, 10), ("secret", 11, 155)],
+        2: [("secret", 0, len(longer)), ("endpoint", len(longer) + 4, len(docs[2]))],
+        3: [("identifier", 5, 10), ("secret", 611, 635)],
+        4: [("secret", 0, 24), ("identifier", 10030, 10035)],
+        5: [],
+        6: [],
+    }
