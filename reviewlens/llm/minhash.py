@@ -119,13 +119,15 @@ def verify_pairs(docs: DataFrame, pairs: DataFrame, size: int, share: float) ->
         F.col("a").alias("id"),
         F.col("a_hash").alias("hash"),
         "a",
+        "a_hash",
         F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1)).alias("salt"),
         F.lit(0).alias("role"),
     )
-    members = pairs.join(groups.select("a", "n_salts"), "a").select(
+    members = pairs.join(groups, ["a", "a_hash"]).select(
         F.col("b").alias("id"),
         F.col("b_hash").alias("hash"),
         "a",
+        "a_hash",
         F.pmod(F.xxhash64("b"), F.col("n_salts")).cast("int").alias("salt"),
         F.lit(1).alias("role"),
     )
@@ -136,13 +138,13 @@ def verify_pairs(docs: DataFrame, pairs: DataFrame, size: int, share: float) ->
         for batch in slices(batches, "text"):
             sets = shingle_sets(batch.column(0), size)
             left, right = [], []
-            a, salt, role, ids, hashes = (batch.column(k).to_pylist() for k in range(1, 6))
+            a, mark, salt, role, ids, hashes = (batch.column(k).to_pylist() for k in range(1, 7))
             for k, own in enumerate(sets):
                 if not len(own) or int(_set_hashes(own, np.zeros(1, np.int64))[0].view(np.int64)[0]) != hashes[k]:
                     continue
                 if role[k] == 0:
-                    centre, centre_set = (a[k], salt[k]), own
-                elif centre == (a[k], salt[k]):
+                    centre, centre_set = (a[k], mark[k], salt[k]), own
+                elif centre == (a[k], mark[k], salt[k]):
                     both = len(np.intersect1d(centre_set, own, assume_unique=True))
                     if 100 * both >= percent * (len(centre_set) + len(own) - both):
                         left.append(a[k])
@@ -151,8 +153,9 @@ def verify_pairs(docs: DataFrame, pairs: DataFrame, size: int, share: float) ->
                 [pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"]
             )
 
-    dealt = wanted.select("text", "a", "salt", "role", "id", "hash").repartition("a", "salt")
-    return dealt.sortWithinPartitions("a", "salt", "role", "id").mapInArrow(compare, "a long, b long")
+    key = ["a", "a_hash", "salt"]
+    dealt = wanted.select("text", *key, "role", "id", "hash").repartition(*key)
+    return dealt.sortWithinPartitions(*key, "role", "id").mapInArrow(compare, "a long, b long")
 
 
 def compare_groups(docs: DataFrame, rows: DataFrame, size: int, share: float) -> DataFrame:
@@ -260,6 +263,18 @@ def _connections(ids: list[int], sets: list[np.ndarray], percent: int) -> pa.Rec
     )
 
 
+def _classes_of_one_id(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): connections among the classes in which an id stands that comes with several texts."""
+    own = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "h1", "h2")
+    ends = own.groupBy("doc_id").agg(
+        F.min("h1").alias("l1"), F.max("h1").alias("m1"), F.min("h2").alias("l2"), F.max("h2").alias("m2")
+    )
+    several = ends.where("l1 <> m1 OR l2 <> m2").select("doc_id")
+    found = own.join(several, "doc_id").distinct().join(classes.select("h1", "h2", "id"), ["h1", "h2"])
+    least = found.groupBy("doc_id").agg(F.min("id").alias("a"))
+    return found.join(least, "doc_id").where("a <> id").select("a", F.col("id").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, size: int = 5, share: float = 0.8, bands: int = BANDS, seed: int = 5
 ) -> DataFrame:
@@ -333,7 +348,8 @@ def near_duplicates(
     opened = placed.join(mixed, ["band", "key"])
     grouped = opened.select("group", "id", "hash", "n", "part").distinct()
     more = compare_groups(docs, cut_lineage(grouped), size, share)
-    members = components(cut_lineage(links.unionByName(more)))
+    shared = _classes_of_one_id(signed, classes)
+    members = components(cut_lineage(links.unionByName(more).unionByName(shared)))
     found = classes.select("h1", "h2", "id").join(members.withColumnRenamed("node", "id"), "id", "left")
     found = found.select("h1", "h2", F.coalesce("component", "id").alias("component"))
     joined = signed.drop("bands").join(found, ["h1", "h2"], "left")

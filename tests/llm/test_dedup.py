@@ -229,3 +229,9 @@ def test_planned_tables_keep_their_promise():
         bits, tables = vectors.plan_tables(rows, 0.98)
         agree = (1 - math.acos(0.98) / math.pi) ** bits
         assert (1 - agree) ** tables <= 1e-6
+
+
+def test_an_id_with_several_texts_joins_what_resembles_each(docs_of):
+    one, two = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    rows = near_duplicates(docs_of([(3, one), (7, one), (7, two), (9, two + " end"), (11, "x y z")])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in rows) == [(3, 3), (7, 3), (7, 3), (9, 3), (11, 11)]
