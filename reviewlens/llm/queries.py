@@ -7,17 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewlens.llm.binary import read_tokens, write_tokens
 from reviewlens.llm.chat import digests, format_chats, records_of_turns
 from reviewlens.llm.decontaminate import find_passages, hit_words
 from reviewlens.llm.licenses import scan_licenses
 from reviewlens.llm.lines import drop_frequent_lines
 from reviewlens.llm.minhash import near_duplicates
+from reviewlens.llm.negatives import mine_negatives
 from reviewlens.llm.packing import pack
 from reviewlens.llm.recompression import remove_repeats
 from reviewlens.llm.secrets import find_secrets, spans_text
 from reviewlens.llm.toxicity import fit, held_out, score
 from reviewlens.llm.vectors import link_vectors
+from reviewlens.llm.whitening import whiten
 from reviewlens.plans.bridges import table
+from reviewlens.storage import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -128,3 +132,35 @@ def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
         F.array_join("labels", ",").alias("labels"),
         "score",
     )
+
+
+@query
+def op11_binary_output(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "segments")
+    write_tokens(table(spark, folder, "documents"), path, vocabulary("byte_bpe_50k.json"), end_id=2)
+    return read_tokens(spark, path)
+
+
+@query
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    rows = whiten(table(spark, folder, "embeddings"), components=4, scale=256)
+    # Past 64 bits the long is null; the decimal holds the number all the same.
+    return rows.withColumnRenamed("deviation", "deviation_exact").select(
+        "vec_id",
+        "component",
+        "n",
+        F.col("deviation_exact").try_cast("long").alias("deviation"),
+        "whitened",
+        "explained",
+        "identity_error",
+        "deviation_exact",
+    )
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, folder, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return mine_negatives(
+        rows, is_anchor=F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95, scale=256
+    )
