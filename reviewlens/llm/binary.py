@@ -13,27 +13,29 @@ Whatever follows the ids, such as the line end of the text writer, is no part of
 from __future__ import annotations
 
 import re
+import sys
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from reviewlens.llm.packing import _CHARACTERS as BYTE_CHARACTERS
 from reviewlens.llm.text import bounded_batches, slices, whole_text, worker_memory
 from reviewlens.storage import scratch_path
 
 MAGIC = b"EFTOKEN1"
-HEADER = ("task", "segment", "documents", "nulls", "first_id", "ids", "id_bytes", "index_bytes")
+HEADER = ("part", "segment", "documents", "nulls", "first_id", "ids", "id_bytes", "index_bytes")
 # A segment ends with the document that brings it to this number of ids.
 SEGMENT_IDS = 1 << 22
-# Units whose ids a Python worker remembers, at about 200 bytes each, and their longest.
-REMEMBERED_UNITS = 500_000
-LONGEST_UNIT = 48
+# Pieces whose ids a Python worker remembers, at about 200 bytes each, and their longest.
+REMEMBERED = 1_000_000
+LONGEST = 48
 # Characters of a text that are cut into units at a time.
 STRETCH = 1 << 20
 # Bits of the high part between two stored counts of ones.
@@ -44,9 +46,16 @@ _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028
 _SPACE = "".join(map(chr, [*_SPACES, 0x205F, 0x3000]))
 _UNIT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _BORDER = re.compile(f"[^{_SPACE}](?=[{_SPACE}])")
+# ASCII and the letters from U+00C0 to U+00FF, and how the splitter cuts texts of nothing else.
+_LETTERS = "A-Za-z" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0xFF)))
+_PLAIN = re.compile(f"[\\x00-\\x7f{_LETTERS}]*")
+_PIECE = re.compile(
+    f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\t-\\r {_LETTERS}0-9]+"
+    "|[\\t-\\r ]+(?![^\\t-\\r ])|[\\t-\\r ]+"
+)
 
 ROWS = (
-    "task long, segment long, place long, doc_id long, local_start long, n_tokens long, "
+    "part long, segment long, place long, doc_id long, local_start long, n_tokens long, "
     "ids_crc32 long"
 )
 
@@ -124,53 +133,85 @@ class EliasFano:
         return values
 
 
-class ByteIds(dict):
-    """Ids of texts as little-endian bytes; each distinct unit is tokenised once while remembered.
+class Remembered(dict):
+    """The ids of short strings, worked out when first met; forgets all when there are too many."""
+
+    def __init__(self, ids_of: Callable[[str], bytes]):
+        super().__init__()
+        self.ids_of = ids_of
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.ids_of(text)
+        if len(text) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[text] = ids
+        return ids
+
+
+class ByteIds:
+    """Ids of texts as little-endian bytes; what returns in many texts is tokenised once.
 
-    The splitter of byte-level vocabularies never joins white space to what stands before it, and
-    how it cuts white space depends on that run and the character behind it alone. So a text is
-    cut where white space follows anything else, and the ids of the units in a row are the text's.
-    For any other kind of tokeniser the whole text is one unit, and nothing is remembered.
+    The splitter of byte-level vocabularies cuts a text of ASCII and plain accented letters into
+    the matches of ``_PIECE``, whose ids do not depend on what surrounds them. Any other text is
+    first cut where white space follows something else: the splitter never joins the two, and how
+    it cuts white space depends on that run and the character behind it alone. For any other kind
+    of tokeniser, or one with peculiar added tokens, the whole text is handed over.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         top = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
         self.kind = id_type(top)
+        self.code = "H" if self.kind == "<u2" else "I"
         split = self.tokenizer.pre_tokenizer
         added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [token.content for token in added]
         self.by_unit = (
             isinstance(split, pre_tokenizers.ByteLevel)
+            and isinstance(self.model, models.BPE)
             and self.tokenizer.normalizer is None
             and split.use_regex
             and not split.add_prefix_space
             and not any(t.lstrip or t.rstrip or t.single_word for t in added)
-            and not any(re.search(f"[{_SPACE}]", t.content) for t in added)
+            and not any(re.search(f"[{_SPACE}]", content) for content in self.added)
         )
+        self.pieces = Remembered(self._merged)
+        self.units = Remembered(self._unit)
 
-    def _ids(self, text: str) -> bytes:
+    def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, self.kind).tobytes()
 
-    def __missing__(self, unit: str) -> bytes:
-        ids = self._ids(unit)
-        if len(unit) <= LONGEST_UNIT:
-            if len(self) >= REMEMBERED_UNITS:
-                self.clear()
-            self[unit] = ids
-        return ids
+    def _merged(self, piece: str) -> bytes:
+        """The ids of what the splitter leaves together."""
+        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_CHARACTERS))
+        ids = array(self.code, [token.id for token in tokens])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
+    def _is_plain(self, text: str) -> bool:
+        return _PLAIN.fullmatch(text) is not None and not any(t in text for t in self.added)
+
+    def _unit(self, unit: str) -> bytes:
+        if self._is_plain(unit):
+            return b"".join(map(self.pieces.__getitem__, _PIECE.findall(unit)))
+        return self._whole(unit)
 
     def __call__(self, text: str) -> bytes:
         if not self.by_unit:
-            return self._ids(text)
+            return self._whole(text)
+        plain = self._is_plain(text)
+        known, cut = (self.pieces, _PIECE) if plain else (self.units, _UNIT)
         parts, at = [], 0
         while at < len(text):
             border = _BORDER.search(text, at + STRETCH)
             to = border.end() if border else len(text)
-            parts.extend(map(self.__getitem__, _UNIT.findall(text, at, to)))
+            parts.extend(map(known.__getitem__, cut.findall(text, at, to)))
             at = to
         return b"".join(parts)
 
@@ -180,30 +221,57 @@ def id_type(top: int) -> str:
     return "<u2" if top < 1 << 16 else "<u4"
 
 
-def tokenise(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """doc_id, ids (bytes, with ``end_id`` at the end) and their width in bytes, a row per document."""
+def part_bounds(docs: DataFrame, parts: int) -> np.ndarray:
+    """The doc_ids that end all parts but the last; an id that ends several fills the parts between.
+
+    From a sketch of the ids alone: no text is read, and the driver gets one number per part.
+    """
+    shares = [F.lit((k + 1) / parts) for k in range(parts - 1)]
+    ends = F.percentile_approx("doc_id", F.array(*shares), F.lit(100 * parts))
+    row = docs.select(ends.alias("ends")).first() if shares else None
+    return np.array((row and row["ends"]) or [], np.int64)
+
+
+def tokenise(docs: DataFrame, vocabulary: str, end_id: int, bounds: np.ndarray) -> DataFrame:
+    """part, doc_id, ids (bytes, with ``end_id`` at the end) and their width, a row per document.
+
+    Documents of an id that ends several parts are dealt to them in turn.
+    """
     bounded_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = worker_memory("byte_units")
+        known = worker_memory("byte_ids")
         if vocabulary not in known:
             known[vocabulary] = ByteIds(vocabulary)
-        units = known[vocabulary]
-        kind = "<u4" if end_id >= 1 << 16 else units.kind
-        end = np.array([end_id], kind).tobytes()
+        ids_of = known[vocabulary]
+        kind = "<u4" if end_id >= 1 << 16 else ids_of.kind
+        end, turn = np.array([end_id], kind).tobytes(), 0
         for batch in slices(batches, "text"):
-            ids = [units(text) for text in batch.column(1).to_pylist()]
-            if kind != units.kind:
-                ids = [np.frombuffer(raw, units.kind).astype(kind).tobytes() for raw in ids]
-            width = pa.array(np.full(len(ids), int(kind[2]), np.int32))
-            rows = [batch.column(0), pa.array([raw + end for raw in ids], pa.binary()), width]
-            yield pa.RecordBatch.from_arrays(rows, names=["doc_id", "ids", "width"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return rows.mapInArrow(encode, "doc_id long, ids binary, width int")
-
-
-def segment_bytes(task: int, number: int, docs: list[int | None], ids: list[bytes], width: int) -> bytes:
+            ids = [ids_of(text) for text in batch.column(1).to_pylist()]
+            if kind != ids_of.kind:
+                ids = [np.frombuffer(raw, ids_of.kind).astype(kind).tobytes() for raw in ids]
+            doc = batch.column(0)
+            named = doc.is_valid().to_numpy(zero_copy_only=False)
+            number = doc.fill_null(0).to_numpy()
+            low = np.searchsorted(bounds, number, "left")
+            room = np.searchsorted(bounds, number, "right") - low + 1
+            part = np.where(named, low + (turn + np.arange(len(low))) % room, 0)
+            turn += len(low)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(part, pa.int32()),
+                    doc,
+                    pa.array([raw + end for raw in ids], pa.binary()),
+                    pa.array(np.full(len(ids), int(kind[2]), np.int32)),
+                ],
+                names=["part", "doc_id", "ids", "width"],
+            )
+
+    rows = docs.select("doc_id", whole_text().alias("text"))
+    return rows.mapInArrow(encode, "part int, doc_id long, ids binary, width int")
+
+
+def segment_bytes(part: int, number: int, docs: list[int | None], ids: list[bytes], width: int) -> bytes:
     """One segment of documents in ascending order of their ids, those without an id first."""
     nulls = sum(doc is None for doc in docs)
     known = np.array(docs[nulls:], np.int64)
@@ -212,7 +280,7 @@ def segment_bytes(task: int, number: int, docs: list[int | None], ids: list[byte
     starts = EliasFano.of(np.concatenate([[0], np.cumsum(sizes)])).to_bytes()
     # Wrapping differences, so ids may lie as far apart as 64 bits allow.
     names = EliasFano.of(known.view(np.uint64) - np.uint64(first % (1 << 64))).to_bytes()
-    head = [task, number, len(docs), nulls, first, int(sizes.sum()), width, len(starts) + len(names)]
+    head = [part, number, len(docs), nulls, first, int(sizes.sum()), width, len(starts) + len(names)]
     return b"".join([MAGIC, np.array(head, "<i8").tobytes(), starts, names, *ids])
 
 
@@ -250,47 +318,56 @@ class Segment:
 
 
 def write_tokens(
-    docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, segment_ids: int = SEGMENT_IDS
+    docs: DataFrame,
+    path: str,
+    vocabulary: str,
+    end_id: int = 2,
+    segment_ids: int = SEGMENT_IDS,
+    parts: int | None = None,
 ) -> None:
     """All documents as token ids below ``path``, in ascending order of doc_id, in segment files.
 
-    ``docs``: doc_id, text; other columns are ignored. Tasks tokenise where the texts are and store
-    the ids; these, not the texts, are dealt by ranges of doc_id and sorted, so an executor that
-    is lost costs no tokenising twice. A task holds one segment at a time: ``segment_ids`` ids and
-    the last document's. A null or empty text is the end id alone. Repeated ids are written as
-    often as they come, equal ids in the order of a hash of their tokens; documents without an id
-    come first. Ranges split rows of one id, too. No documents, no segments.
+    ``docs``: doc_id, text; other columns are ignored. Tasks tokenise where the texts are; the ids,
+    not the texts, are dealt by ranges of doc_id into ``parts`` (the session's shuffle partitions)
+    and sorted. A task holds one segment at a time: ``segment_ids`` ids and the last document's.
+    A null or empty text is the end id alone. Repeated ids are written as often as they come, in a
+    fixed order, and may fill several parts; documents without an id come first. No documents, no
+    segments.
     """
-    spark = docs.sparkSession
-    stored = scratch_path(spark, "token-ids")
-    numbered = tokenise(docs, vocabulary, end_id).withColumn("row", F.monotonically_increasing_id())
-    numbered.withColumn("mark", F.xxhash64("ids")).write.parquet(stored)
-    order = ["doc_id", "mark", "row"]
+    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    tokens = tokenise(docs, vocabulary, end_id, part_bounds(docs, parts))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number = TaskContext.get().partitionId(), 0
         docs, ids, size, width = [], [], 0, 2
+        part, number = None, 0
 
         def segment() -> pa.RecordBatch:
-            raw = pa.array([segment_bytes(task, number, docs, ids, width)], pa.binary())
+            raw = pa.array([segment_bytes(part, number, docs, ids, width)], pa.binary())
             return pa.RecordBatch.from_arrays([raw], names=["segment"])
 
         for batch in batches:
-            for doc, raw, width in zip(*(column.to_pylist() for column in batch.columns)):
+            for own, doc, raw, width in zip(*(column.to_pylist() for column in batch.columns)):
+                if docs and (own != part or size >= segment_ids):
+                    yield segment()
+                    docs, ids, size, number = [], [], 0, number + 1
+                if own != part:
+                    part, number = own, 0
                 docs.append(doc)
                 ids.append(raw)
                 size += len(raw) // width
-                if size >= segment_ids:
-                    yield segment()
-                    docs, ids, size, number = [], [], 0, number + 1
         if docs:
             yield segment()
 
-    dealt = spark.read.parquet(stored).repartitionByRange(*order).sortWithinPartitions(*order)
-    segments = dealt.select("doc_id", "ids", "width").mapInArrow(write, "segment binary")
+    # Equal documents of one id have equal marks, and either may come first.
+    marked = tokens.withColumn("mark", F.xxhash64("ids"))
+    dealt = marked.repartitionById(parts, "part").sortWithinPartitions("part", "doc_id", "mark")
+    columns = dealt.select("part", "doc_id", "ids", "width")
     # The text writer puts the bytes down as they are; one row is one file.
-    whole = segments.select(F.col("segment").cast("string").alias("value"))
-    whole.write.option("maxRecordsPerFile", 1).text(path)
+    segments = columns.mapInArrow(write, "segment binary").select(
+        F.col("segment").cast("string").alias("value")
+    )
+    segments.write.option("maxRecordsPerFile", 1).text(path)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
@@ -319,7 +396,7 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
                     doc[~missing] = own.doc_ids(place[~missing])
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.full(len(place), own.head["task"])),
+                            pa.array(np.full(len(place), own.head["part"])),
                             pa.array(np.full(len(place), own.head["segment"])),
                             pa.array(place),
                             pa.array(doc, mask=missing),
@@ -339,21 +416,21 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of each written document.
 
     The files are read once; the rows found are stored, and the ids before a segment are summed up
-    in two levels, over writing tasks and within them.
+    in two levels, over parts and within them.
     """
     stored = scratch_path(spark, "token-rows")
     read_segments(spark, path).write.parquet(stored)
     rows = spark.read.schema(ROWS).parquet(stored)
-    sizes = rows.groupBy("task", "segment").agg(F.sum("n_tokens").alias("n"))
-    # One row per writing task, of which there are as many as the writing shuffle had partitions.
-    tasks = sizes.groupBy("task").agg(F.sum("n").alias("n"))
-    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    tasks = tasks.select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    within = Window.partitionBy("task").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("part", "segment").agg(F.sum("n_tokens").alias("n"))
+    # One row per part, of which there are as many as the writing shuffle had partitions.
+    parts = sizes.groupBy("part").agg(F.sum("n").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    within = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.withColumn("inner", F.coalesce(F.sum("n").over(within), F.lit(0)))
-    bases = bases.join(tasks, "task").select(
-        "task", "segment", (F.col("ahead") + F.col("inner")).alias("base")
+    bases = bases.join(parts, "part").select(
+        "part", "segment", (F.col("ahead") + F.col("inner")).alias("base")
     )
-    placed = rows.join(bases, ["task", "segment"])
+    placed = rows.join(bases, ["part", "segment"])
     start = (F.col("base") + F.col("local_start")).alias("start")
     return placed.select("doc_id", start, "n_tokens", "ids_crc32")

@@ -41,7 +41,7 @@ def test_a_segment_finds_each_document():
     ids = [b"", b"\x01\x00", b"\x02\x00\x03\x00", b"\x04\x00"]
     docs = [None, -(1 << 63), 5, (1 << 63) - 1]
     own = Segment.read(segment_bytes(3, 1, docs, ids, 2) + b"\n")
-    assert (own.head["task"], own.head["segment"], own.head["nulls"]) == (3, 1, 1)
+    assert (own.head["part"], own.head["segment"], own.head["nulls"]) == (3, 1, 1)
     assert own.doc_ids(np.array([1, 2, 3])).tolist() == docs[1:]
     assert [own.document(k).tolist() for k in range(4)] == [[], [1], [2, 3], [4]]
     with pytest.raises(ValueError):
@@ -55,9 +55,9 @@ def test_ids_by_unit_are_those_of_the_whole_text():
     rng = random.Random(5)
     pieces = [
         *"aZ09'.-_ \t\n\r\x0b\x0c\x1c\x85", chr(0xA0), chr(0x2003), chr(0x3000), chr(0x200B), chr(0x180E),
-        "the", "'s", "'ll", "été", "한국", "<|endoftext|>", "🙂", "\n\n", "  ", "1234",
+        "the", "'s", "'ll", "été", "Ü×÷ª", "²", "_", "\x00", "한국", "<|endoftext|>", "🙂", "\n\n", "  ", "1234",
     ]
-    for _ in range(4000):
+    for _ in range(6000):
         text = "".join(rng.choices(pieces, k=rng.randint(0, 14)))
         expected = whole.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(units(text), units.kind).tolist() == expected, repr(text)
@@ -66,9 +66,11 @@ def test_ids_by_unit_are_those_of_the_whole_text():
 def test_long_texts_are_cut_where_units_end(monkeypatch):
     monkeypatch.setattr(binary, "STRETCH", 50)
     path = vocabulary(BYTES)
-    text = "some words  here\n\nand there, " * 40 + "x" * 300
-    expected = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(ByteIds(path)(text), "<u2").tolist() == expected
+    whole = Tokenizer.from_file(path)
+    for mark in ("", chr(0x2014)):
+        text = f"some words  here{mark}\n\nand there, " * 40 + "x" * 300
+        expected = whole.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ByteIds(path)(text), "<u2").tolist() == expected
 
 
 def plain_rows(pairs):
@@ -106,6 +108,14 @@ def test_repeated_and_missing_ids(spark, docs_of):
     assert [r[0] for r in found] == [None, None, 1, 3, 3, 3]
     assert [r[1] for r in found] == np.cumsum([0] + [r[2] for r in found[:-1]]).tolist()
     assert sorted((r[0] or -1, r[3]) for r in found) == sorted((r[0] or -1, r[3]) for r in plain_rows(rows))
+    # An id with most of the documents fills several parts, in order all the same.
+    rows = [(9, f"text {k % 3}") for k in range(60)] + [(k, "own") for k in range(20)]
+    path = scratch_path(spark, "test-segments")
+    write_tokens(docs_of(rows), path, vocabulary(BYTES), parts=7)
+    found = sorted(map(tuple, read_tokens(spark, path).collect()), key=lambda r: r[1])
+    assert [r[0] for r in found] == sorted(r[0] for r in rows)
+    assert [r[1] for r in found] == np.cumsum([0] + [r[2] for r in found[:-1]]).tolist()
+    assert spark.read.format("binaryFile").load(path).where("length > 0").count() > 4
     empty = scratch_path(spark, "test-segments")
     write_tokens(docs_of([]), empty, vocabulary(BYTES))
     assert read_tokens(spark, empty).count() == 0
