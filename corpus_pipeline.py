@@ -9,7 +9,7 @@ any names beside those of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.llm.decontaminate import find_passages
@@ -25,10 +25,18 @@ from reviewlens.storage import scratch_path
 ORACLE_SQL = None
 
 
+def _quoted(name: str) -> Column:
+    """A column by its name, whatever characters that holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents whose id is not among those of ``ids``."""
-    out = ids.select(F.col("doc_id").alias("out_id"))
-    return docs.join(out, F.col("doc_id").eqNullSafe(F.col("out_id")), "left_anti")
+    name = "out_id"
+    while name in {column.lower() for column in docs.columns}:
+        name += "_"
+    out = ids.select(F.col("doc_id").alias(name))
+    return docs.join(out, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -39,10 +47,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Without the lines that stand in ten documents or more; n_chars follows the text."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    rows = drop_frequent_lines(docs, min_docs=10, min_chars=1, carry=others)
-    length = F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.char_length("text"))
-    return rows.withColumn("n_chars", length.cast("long")).select(*docs.columns)
+    # The other columns travel as one, under names that cannot clash with the operator's.
+    place = {name: f"c{k}" for k, name in enumerate(docs.columns) if name not in ("doc_id", "text")}
+    others = F.struct(F.lit(0).alias("none"), *[_quoted(n).alias(c) for n, c in place.items()])
+    packed = docs.select("doc_id", "text", others.alias("others"))
+    rows = drop_frequent_lines(packed, min_docs=10, min_chars=1, carry=("others",))
+    own = {name: F.col("others").getField(c) for name, c in place.items()}
+    if "n_chars" in own:
+        length = F.when(F.col("n_dropped") == 0, own["n_chars"]).otherwise(F.char_length("text"))
+        own["n_chars"] = length.cast("long")
+    return rows.select([own.get(name, F.col("text" if name == "text" else "doc_id")).alias(name) for name in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
