@@ -110,3 +110,16 @@ def test_stages_with_nulls_repeats_and_empties(spark):
     nothing = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, FOLDER).count() == 0
+
+
+def test_stages_with_clashing_columns(spark):
+    names = ["doc_id", "text", "lang", "source", "n_chars", "out_id", "n_dropped", "n_lines", "a.b", "c`d", "id", "same"]
+    rows = [(k, f"own words number {k} here\nShared line", "en", "s", 1, *range(7)) for k in range(12)]
+    docs = spark.createDataFrame(rows, names)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, FOLDER)
+        kept = out.collect()
+        assert out.columns == names and len(kept) == 12, name
+        assert all(tuple(r)[5:] == tuple(range(7)) for r in kept)
+        if name == "line_dedup":
+            assert all(r.text == f"own words number {r.doc_id} here" and r.n_chars == len(r.text) for r in kept)
