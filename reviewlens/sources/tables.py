@@ -16,22 +16,25 @@ from reviewlens.functions.wordlists import (
     TEXT_COLUMNS,
 )
 from reviewlens.schema import REVIEW_SCHEMA
+from reviewlens.sources.quoted import read_quoted_csv
 
 
 def read_reviews_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """A CSV with header; every column a string, ``NA`` and empty fields null.
 
     Types are given later by ``harmonise_reviews``, so a bad number or date costs one null and
-    not the row. Quoted line breaks need ``multi_line``, which reads each file in one task: keep
-    files near the block size, or pass False for files without quoted line breaks.
+    not the row. Quoted line breaks need ``multi_line``, which takes two passes over the splits of
+    each file; pass False for files without quoted line breaks.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("multiLine", multi_line)
-        .option("escape", '"')
-        .option("encoding", "UTF-8")
-        .csv(path)
-    )
+    if multi_line:
+        raw = read_quoted_csv(spark, path)
+    else:
+        raw = (
+            spark.read.option("header", True)
+            .option("escape", '"')
+            .option("encoding", "UTF-8")
+            .csv(path)
+        )
     return raw.select([_missing_to_null(raw[f"`{name}`"]).alias(name) for name in raw.columns])
 
 
