@@ -415,6 +415,7 @@ ORACLES: dict[str, str] = {
     "tokenize": _with("tokens", "\nSELECT id, word FROM tokens"),
     "word_frequency": _with("frequency", "\nSELECT word, n FROM frequency"),
     "word_frequency_high": _words("rating >= 8", 2, _LATIN),
+    "word_frequency_stored": _words("rating >= 8", 2, _LATIN),
     "word_frequency_script": _words(
         f"regexp_matches(word, '{ACCENTED}')", 2, "word NOT IN ('été', 'même', 'más')"
     ),
@@ -731,3 +732,7 @@ _DATES = {
 for _name, _columns in _DATES.items():
     _texts = ", ".join(f"CAST({column} AS VARCHAR) AS {column}" for column in _columns.split())
     ORACLES[_name] = f"SELECT * REPLACE ({_texts}) FROM ({ORACLES[_name]})"
+
+# The same rows by way of the stored index.
+for _name in ("keyword_rating_counts", "keyword_rating_distribution"):
+    ORACLES[f"{_name}_indexed"] = ORACLES[_name]

@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from reviewlens.functions.scalars import title_key
 from reviewlens.operators import embeddings as emb
 from reviewlens.operators import (
+    descent,
     filters,
     keywords,
     neighbours,
     normalise,
+    postings,
     projection,
     ratings,
+    spectral,
     timesplit,
     words,
 )
@@ -236,6 +239,13 @@ def word_frequency_stopped(df: DataFrame) -> DataFrame:
     return words.word_frequency(df, char_class=None, stopwords=STOPWORDS)
 
 
+@register("word_frequency_stored", bridges.reviews)
+def word_frequency_stored(df: DataFrame) -> DataFrame:
+    path = scratch_path(df.sparkSession, "words")
+    words.with_words(df).select("id", "rating", "text").write.parquet(path)
+    return words.word_frequency(df.sparkSession.read.parquet(path), min_rating=8)
+
+
 @register("word_frequency_script", bridges.reviews)
 def word_frequency_script(df: DataFrame) -> DataFrame:
     kept = df.where(F.col("text").isNotNull())
@@ -314,6 +324,29 @@ def keyword_rating_distribution(df: DataFrame) -> DataFrame:
     return rounded(keywords.keyword_rating_distribution(df, KEYWORDS))
 
 
+def _indexed(df: DataFrame) -> str:
+    """An index of all reviews, written in three batches, of which the second comes twice."""
+    path = scratch_path(df.sparkSession, "postings")
+    for batch in (0, 1, 1, 2):
+        part = df.where(F.pmod(F.xxhash64("id"), F.lit(3)) == batch)
+        postings.write_postings(part, path, f"b{batch}")
+    return path
+
+
+@register("keyword_rating_counts_indexed", bridges.reviews)
+def keyword_rating_counts_indexed(df: DataFrame) -> DataFrame:
+    path = _indexed(df)
+    return rounded(
+        postings.indexed_rating_counts(df.sparkSession, path, "der", stopwords=["les"])
+    )
+
+
+@register("keyword_rating_distribution_indexed", bridges.reviews)
+def keyword_rating_distribution_indexed(df: DataFrame) -> DataFrame:
+    path = _indexed(df)
+    return rounded(postings.indexed_rating_distribution(df.sparkSession, path, KEYWORDS))
+
+
 @register("normalize_reviews", bridges.reviews)
 def normalize_reviews(df: DataFrame) -> DataFrame:
     return normalise.normalize_reviews(df, stopwords=STOPWORDS)
@@ -599,6 +632,17 @@ def knn_graph(df: DataFrame) -> DataFrame:
     return rounded(neighbours.knn_graph(df, k=5, block_rows=256), 4)
 
 
+@register("knn_descent", bridges.vectors)
+def knn_descent(df: DataFrame) -> DataFrame:
+    return rounded(descent.knn_descent(df, k=5), 4)
+
+
+@register("spectral_layout", bridges.vectors)
+def spectral_layout(df: DataFrame) -> DataFrame:
+    weights = spectral.fuzzy_weights(descent.knn_descent(df, k=10))
+    return rounded(spectral.spectral_layout(weights, tolerance=1e-4), 4)
+
+
 @register("select_region", bridges.points)
 def select_region(df: DataFrame) -> DataFrame:
     region = filters.select_region(df, *REGION)
