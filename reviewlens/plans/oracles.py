@@ -733,6 +733,11 @@ for _name, _columns in _DATES.items():
     _texts = ", ".join(f"CAST({column} AS VARCHAR) AS {column}" for column in _columns.split())
     ORACLES[_name] = f"SELECT * REPLACE ({_texts}) FROM ({ORACLES[_name]})"
 
-# The same rows by way of the stored index.
+# The same rows by way of a stored index.
 for _name in ("keyword_rating_counts", "keyword_rating_distribution"):
     ORACLES[f"{_name}_indexed"] = ORACLES[_name]
+for _name in ("select_region", "region_summary", "platform_mix"):
+    ORACLES[f"{_name}_stored"] = ORACLES[_name]
+# And by way of a stream.
+ORACLES["running_trend_month"] = ORACLES["rating_trend_month"]
+ORACLES["running_quarter_counts"] = ORACLES["quarter_counts"]

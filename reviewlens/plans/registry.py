@@ -18,6 +18,7 @@ from reviewlens.operators import (
     postings,
     projection,
     ratings,
+    regions,
     spectral,
     timesplit,
     words,
@@ -25,6 +26,7 @@ from reviewlens.operators import (
 from reviewlens.plans import bridges
 from reviewlens.sources import pages, tables
 from reviewlens.storage import scratch_path
+from reviewlens.streaming import running
 from reviewlens.streaming.normalise import normalize_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,6 +144,25 @@ def quarter_counts(df: DataFrame) -> DataFrame:
     return ratings.quarter_counts(df).orderBy("period_q", "platform")
 
 
+def _running(df: DataFrame) -> DataFrame:
+    """Daily sums of all ratings, which arrive in files and are counted three at a time."""
+    spark, rows = df.sparkSession, df.select("platform", "date", "rating")
+    source, target, checkpoint = (scratch_path(spark, f"arrivals-{k}") for k in range(3))
+    rows.repartition(8).write.parquet(source)
+    running.count_arrivals(spark, source, rows.schema, target, checkpoint, files_per_batch=3)
+    return running.read_running(spark, target)
+
+
+@register("running_trend_month", bridges.ratings)
+def running_trend_month(df: DataFrame) -> DataFrame:
+    return rounded(running.running_trend(_running(df), "month", min_n=1, with_sd=True))
+
+
+@register("running_quarter_counts", bridges.ratings)
+def running_quarter_counts(df: DataFrame) -> DataFrame:
+    return running.running_quarters(_running(df))
+
+
 @register("dense_periods", bridges.reviews)
 def dense_periods(df: DataFrame) -> DataFrame:
     return ratings.dense_periods(df)
@@ -659,6 +680,28 @@ def platform_mix(df: DataFrame) -> DataFrame:
     return emb.platform_mix(filters.select_region(df, *REGION))
 
 
+def _brushed(df: DataFrame) -> DataFrame:
+    """The region's points out of a stored table of all points."""
+    path = scratch_path(df.sparkSession, "points")
+    regions.write_points(df.select("id", "platform", "rating", "dim1", "dim2"), path)
+    return regions.read_region(df.sparkSession, path, *REGION)
+
+
+@register("select_region_stored", bridges.points)
+def select_region_stored(df: DataFrame) -> DataFrame:
+    return rounded(_brushed(df), 4)
+
+
+@register("region_summary_stored", bridges.points)
+def region_summary_stored(df: DataFrame) -> DataFrame:
+    return rounded(emb.region_summary(_brushed(df)))
+
+
+@register("platform_mix_stored", bridges.points)
+def platform_mix_stored(df: DataFrame) -> DataFrame:
+    return emb.platform_mix(_brushed(df))
+
+
 @register("project_pca", bridges.vectors)
 def project_pca(df: DataFrame) -> DataFrame:
     return rounded(projection.project_pca(emb.l2_normalize(df)), 4)
