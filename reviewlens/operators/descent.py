@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.operators.embeddings import l2_normalize
 from reviewlens.operators.neighbours import _distinct_vectors, _neighbours
-from reviewlens.storage import cut_lineage
+from reviewlens.storage import stored
 
 # Vectors that share a bucket of signs, on average, and the most that are compared at once.
 BUCKET_ROWS = 128
@@ -49,7 +49,7 @@ def knn_descent(
     """
     points = l2_normalize(df.select(F.col("id").cast("string").alias("id"), "embedding"))
     points = points.where(F.col("embedding").isNotNull())
-    vectors = cut_lineage(_distinct_vectors(points, k))
+    vectors = stored(_distinct_vectors(points, k), "vectors")
     graph, _ = descend(vectors, max(pool, k + 1), sample, tables, rounds, least_change, seed)
     ids = vectors.select(F.col("vec").alias("neighbour"), "ids")
     hits = graph.join(ids, "neighbour").select("vec", "sim", "ids")
@@ -69,10 +69,10 @@ def descend(
     """The graph (vec, neighbour, sim, fresh) of distinct vectors, and the new links of each round."""
     vectors = vectors.select("vec", "embedding")
     count = vectors.count()
-    graph = cut_lineage(_best(_first_links(vectors, count, pool, tables, seed), pool))
+    graph = stored(_best(_first_links(vectors, count, pool, tables, seed), pool), "graph")
     changes = [graph.where("fresh").count()]
     while len(changes) <= rounds and changes[-1] > least_change * count * pool:
-        graph = cut_lineage(_round(graph, vectors, pool, sample, len(changes)))
+        graph = stored(_round(graph, vectors, pool, sample, len(changes)), "graph")
         changes.append(graph.where("fresh").count())
     return graph, changes
 

@@ -28,6 +28,8 @@ from reviewlens.storage import cut_lineage
 
 # Slack for rounding when distances are compared; visiting too much is harmless.
 SLACK = 1e-6
+# Pivots that the driver and every task hold at most; beyond, cells grow and not their number.
+MOST_PIVOTS = 8192
 # Distances to pivots that a task works out at a time.
 DISTANCES = 4_000_000
 
@@ -65,8 +67,8 @@ def knn_graph(
 
 
 def _pivots(vectors: DataFrame) -> np.ndarray:
-    """About sqrt(n) of the vectors, by the hash of their ids."""
-    wanted = math.isqrt(vectors.count()) + 1
+    """About sqrt(n) of the vectors, ``MOST_PIVOTS`` at most, by the hash of their ids."""
+    wanted = min(math.isqrt(vectors.count()) + 1, MOST_PIVOTS)
     sample = vectors.orderBy(F.xxhash64("vec"), "vec").select("embedding").limit(wanted)
     return np.array([row["embedding"] for row in sample.collect()])
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.storage import cut_lineage
+from reviewlens.storage import stored
 
 # Halvings in the search for a row's scale, and its least value as a share of the mean distance.
 HALVINGS = 64
@@ -102,15 +102,14 @@ def fuzzy_weights(graph: DataFrame) -> DataFrame:
 
 def normalised(weights: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The adjacency divided by the roots of both degrees (row, col, s), and the degrees."""
-    degrees = cut_lineage(
-        weights.groupBy("id").agg(F.sum("weight").alias("degree")).where(F.col("degree") > 0)
-    )
+    sums = weights.groupBy("id").agg(F.sum("weight").alias("degree"))
+    degrees = stored(sums.where(F.col("degree") > 0), "degrees")
     one = degrees.select(F.col("id").alias("row"), F.col("degree").alias("d1"))
     two = degrees.select(F.col("id").alias("col"), F.col("degree").alias("d2"))
     edges = weights.select(F.col("id").alias("row"), F.col("neighbour").alias("col"), "weight")
     scaled = edges.join(one, "row").join(two, "col")
     value = F.col("weight") / F.sqrt(F.col("d1") * F.col("d2"))
-    return cut_lineage(scaled.select("row", "col", value.alias("s"))), degrees
+    return stored(scaled.select("row", "col", value.alias("s")), "edges"), degrees
 
 
 @dataclass
@@ -171,7 +170,7 @@ def eigenvectors(
     it (Rayleigh-Ritz). It ends when all residuals |Av - qv| are at most ``tolerance``, or after
     ``rounds``. Each of the ``degree + 1`` products of a round moves one row of ``count + extra``
     numbers per vector, and the partial sums per task, 8 bytes a number; the edges, 24 bytes and the
-    ids, lie where they were checkpointed. Lineage is cut every other product.
+    ids, are read where they were stored. The block is stored after every other product.
 
     No weights, no vectors. With fewer rows than columns, there are as many vectors as rows.
     Where eigenvalues are equal, as with several components, any basis of their space comes out.
@@ -184,12 +183,12 @@ def eigenvectors(
     # Hashes in -1..1; the first column is the trivial eigenvector of a connected graph.
     start = [(F.xxhash64("id", F.lit(c)) / float(1 << 63)).alias(f"y{c}") for c in range(1, size)]
     state = degrees.select("id", F.sqrt("degree").alias("y0"), *start)
-    state = cut_lineage(state.join(_product(edges, state, "y", size), "id"))
+    state = stored(state.join(_product(edges, state, "y", size), "id"), "block")
     values, residuals, done = np.zeros(size), np.ones(size), 0
     while done < rounds:
         done += 1
         if done > 1:
-            state = cut_lineage(_filtered(edges, state, size, degree, float(values[-1])))
+            state = stored(_filtered(edges, state, size, degree, float(values[-1])), "block")
         gram, ritz, square = _inner(state, [("y", "y"), ("y", "a"), ("a", "a")], size)
         power, basis = np.linalg.eigh(gram)
         keep = power > power[-1] * 1e-13
@@ -202,7 +201,7 @@ def eigenvectors(
         if (residuals[:count] <= tolerance).all():
             break
     count = min(count, size)
-    vectors = cut_lineage(state.select("id", *[F.col(f"y{c}").alias(f"e{c}") for c in range(count)]))
+    vectors = stored(state.select("id", *[F.col(f"y{c}").alias(f"e{c}") for c in range(count)]), "eigenvectors")
     return Spectrum(vectors, values[:count].tolist(), residuals[:count].tolist(), done)
 
 
@@ -215,7 +214,7 @@ def _filtered(edges: DataFrame, state: DataFrame, size: int, degree: int, cut: f
     for done in range(1, degree):
         # Spark plans long chains of joins at a cost that grows faster than their length.
         if done % PRODUCTS == 0:
-            now = cut_lineage(now)
+            now = stored(now, "block")
         joined = now.join(_product(edges, now, "y", size), "id")
         step = [
             ((F.col(f"a{c}") - F.col(f"y{c}") * middle) * (2 / half) - F.col(f"p{c}")).alias(f"y{c}")

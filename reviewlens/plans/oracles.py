@@ -638,6 +638,28 @@ ORACLES: dict[str, str] = {
                    FROM pairs)
         SELECT id, k::INT AS rank, neighbour, {_r("sim", "sim", 4)} FROM ranked WHERE k <= 5""",
     ),
+    "text_length_summary": _with(
+        "reviews",
+        """
+        , sized AS (SELECT platform, length(text)::DOUBLE AS chars FROM reviews)
+        SELECT platform, count(*) AS n, min(chars) AS min,
+               round(quantile_cont(chars, 0.25), 6) AS q1, round(median(chars), 6) AS median,
+               round(avg(chars), 6) AS mean, round(quantile_cont(chars, 0.75), 6) AS q3,
+               max(chars) AS max, count(*) - count(chars) AS n_missing
+        FROM sized GROUP BY platform""",
+    ),
+    "text_length_quantiles": _with(
+        "reviews",
+        """
+        , sized AS (SELECT platform, rating, length(text)::DOUBLE AS chars FROM reviews
+                    WHERE text IS NOT NULL)
+        SELECT platform, rating, probability::DOUBLE AS probability, count(*) AS n,
+               round(CASE probability WHEN 0 THEN min(chars) WHEN 0.1 THEN quantile_cont(chars, 0.1)
+                     WHEN 0.5 THEN quantile_cont(chars, 0.5) ELSE quantile_cont(chars, 0.999) END, 6)
+                 AS quantile
+        FROM sized, (SELECT unnest([0.0, 0.1, 0.5, 0.999]) AS probability)
+        GROUP BY platform, rating, probability""",
+    ),
     "select_region": _with(
         "points",
         f"""

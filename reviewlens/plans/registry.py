@@ -17,6 +17,7 @@ from reviewlens.operators import (
     normalise,
     postings,
     projection,
+    quantiles,
     ratings,
     regions,
     spectral,
@@ -664,6 +665,21 @@ def spectral_layout(df: DataFrame) -> DataFrame:
     return rounded(spectral.spectral_layout(weights, tolerance=1e-4), 4)
 
 
+@register("text_length_summary", bridges.reviews)
+def text_length_summary(df: DataFrame) -> DataFrame:
+    sized = df.withColumn("chars", F.char_length("text"))
+    return rounded(quantiles.six_numbers(sized, "chars", ("platform",)))
+
+
+@register("text_length_quantiles", bridges.reviews)
+def text_length_quantiles(df: DataFrame) -> DataFrame:
+    """So few rows are counted one by one that the brackets have to be narrowed."""
+    sized = df.withColumn("chars", F.char_length("text"))
+    return rounded(
+        quantiles.exact_quantiles(sized, "chars", [0.0, 0.1, 0.5, 0.999], ("platform", "rating"), few=20)
+    )
+
+
 @register("select_region", bridges.points)
 def select_region(df: DataFrame) -> DataFrame:
     region = filters.select_region(df, *REGION)

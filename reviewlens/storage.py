@@ -33,6 +33,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder, for loops that join their own last result.
+
+    Spark carries the estimated size of a checkpointed plan on, and estimates of joins multiply from
+    round to round; of a table it knows the size.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
     """The parquet table at ``path``, or None when there is none yet."""
     try:
