@@ -110,6 +110,18 @@ def _compare(group: dict, cosine: float) -> dict:
     return {"id": ids, "links": links, "up": _local_components(near, ids)}
 
 
+def _classes_of_one_id(keyed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, up): connections among the classes of an id that comes with several vectors."""
+    ends = keyed.groupBy("vec_id").agg(
+        F.min("h1").alias("l1"), F.max("h1").alias("m1"), F.min("h2").alias("l2"), F.max("h2").alias("m2")
+    )
+    several = ends.where("l1 <> m1 OR l2 <> m2").select("vec_id")
+    own = keyed.select("vec_id", "h1", "h2").join(several, "vec_id").distinct()
+    found = own.join(classes.select("h1", "h2", "id"), ["h1", "h2"])
+    least = found.groupBy("vec_id").agg(F.min("id").alias("up"))
+    return found.join(least, "vec_id").where("up <> id").select("id", "up").distinct()
+
+
 def link_vectors(
     vectors: DataFrame, cosine: float = 0.98, miss: float = 1e-6, seed: int = 11
 ) -> DataFrame:
@@ -129,8 +141,8 @@ def link_vectors(
 
     Null, empty and zero vectors, vectors with a null or non-finite component, and rows with a null
     label link with nothing: n_links 0 and themselves as component. Vectors of different length
-    never link. A row repeated is a copy. An id that comes with several vectors is one node with the
-    links of all. A null id links with nothing and is not kept. Other columns are ignored.
+    never link. A row repeated is a copy. An id that comes with several vectors is one node: what is
+    linked with any of them is in its component, while n_links counts a row's own links. A null id links with nothing and is not kept. Other columns are ignored.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
@@ -156,7 +168,8 @@ def link_vectors(
     )
     found = cut_lineage(_verify(signed, cosine))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    parts = components(found.where("id <> up"), "id", "up")
+    shared = _classes_of_one_id(keyed, classes)
+    parts = components(found.where("id <> up").select("id", "up").unionByName(shared), "id", "up")
     per_class = (
         classes.select("id", "copies", "h1", "h2")
         .join(links, "id", "left")

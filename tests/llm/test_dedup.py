@@ -235,3 +235,11 @@ def test_an_id_with_several_texts_joins_what_resembles_each(docs_of):
     one, two = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
     rows = near_duplicates(docs_of([(3, one), (7, one), (7, two), (9, two + " end"), (11, "x y z")])).collect()
     assert sorted((r.doc_id, r.component_id) for r in rows) == [(3, 3), (7, 3), (7, 3), (9, 3), (11, 11)]
+
+
+def test_an_id_with_several_vectors_is_one_node(spark):
+    near = [0.0, 1.0, 0.01]
+    rows = [(3, [1.0, 0.0, 0.0]), (7, [1.0, 0.0, 0.0]), (7, [0.0, 1.0, 0.0]), (9, near), (11, [0.0, 0.0, 1.0])]
+    table = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    found = sorted((r.vec_id, r.component_id, r.n_links, r.kept) for r in link_vectors(table).collect())
+    assert found == [(3, 3, 1, True), (7, 3, 1, False), (7, 3, 1, False), (9, 3, 1, False), (11, 11, 0, True)]
