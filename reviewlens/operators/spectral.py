@@ -168,7 +168,7 @@ def eigenvectors(
     A round applies a Chebyshev polynomial of ``degree`` that damps everything between -1 and the
     last value of the block (``count + extra`` columns), then makes the block orthogonal and rotates
     it (Rayleigh-Ritz). It ends when all residuals |Av - qv| are at most ``tolerance``, or after
-    ``rounds``. Each of the ``degree + 1`` products of a round moves one row of ``count + extra``
+    ``rounds``. Each of the ``degree`` products of a round moves one row of ``count + extra``
     numbers per vector, and the partial sums per task, 8 bytes a number; the edges, 24 bytes and the
     ids, are read where they were stored. The block is stored after every other product.
 
