@@ -763,3 +763,4 @@ for _name in ("select_region", "region_summary", "platform_mix"):
 # And by way of a stream.
 ORACLES["running_trend_month"] = ORACLES["rating_trend_month"]
 ORACLES["running_quarter_counts"] = ORACLES["quarter_counts"]
+ORACLES["load_embeddings_bucketed"] = ORACLES["load_embeddings"]

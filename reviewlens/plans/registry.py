@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reviewlens.functions.scalars import title_key
 from reviewlens.operators import embeddings as emb
 from reviewlens.operators import (
+    bucketed,
     descent,
     filters,
     keywords,
@@ -602,6 +603,16 @@ def load_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(first.select("id", "platform", "date", "rating", "first"), 4)
 
 
+@register("load_embeddings_bucketed")
+def load_embeddings_bucketed(spark: SparkSession, folder: str) -> DataFrame:
+    names = []
+    for df in (bridges.reviews(spark, folder), bucketed.first_vectors(bridges.vectors(spark, folder))):
+        path = scratch_path(spark, "by-id")
+        names.append(bucketed.save_by_id(df, f"t_{path.rsplit('-', 1)[1]}", path, buckets=8))
+    first = bucketed.join_by_id(spark, *names).withColumn("first", F.col("embedding")[0])
+    return rounded(first.select("id", "platform", "date", "rating", "first"), 4)
+
+
 @register("load_embeddings_first_match")
 def load_embeddings_first_match(spark: SparkSession, folder: str) -> DataFrame:
     stored = bridges.table(spark, folder, "embeddings").select(
