@@ -13,6 +13,10 @@ EAGER = {
     "attach_projection", "cached_projection", "csv_round_trip", "knn_graph", "normalize_stream",
     "project_pca", "write_embeddings", "remove_stopwords", "stopword_pipeline", "write_normalized",
     "csv_scan_lines",
+    # Written as stored indexes or tables, or worked out in rounds.
+    "keyword_rating_counts_indexed", "keyword_rating_distribution_indexed", "knn_descent",
+    "load_embeddings_bucketed", "platform_mix_stored", "region_summary_stored",
+    "select_region_stored", "spectral_layout",
 }
 
 
