@@ -20,6 +20,8 @@ ACCURACY = 20 * CELLS
 # Rows inside a bracket that are counted value by value, and the passes that may narrow it.
 FEW = 10_000
 PASSES = 12
+# The key of the one group of a table that is not grouped.
+WHOLE = "whole"
 
 
 def exact_quantiles(
@@ -36,9 +38,10 @@ def exact_quantiles(
     are one row once they are counted. Each pass reads the table once and takes a bracket to about
     a thirtieth of its rows; the driver gets one number per pass.
     """
-    keys = [f"g{k}" for k in range(len(by))]
+    keys = [f"g{k}" for k in range(len(by))] or [WHOLE]
     number = F.col(value).cast("double")
-    rows = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], number.alias("v"))
+    groups = [F.col(c).alias(k) for c, k in zip(by, keys)] or [F.lit(0).alias(WHOLE)]
+    rows = df.select(*groups, number.alias("v"))
     rows = rows.where(F.col("v").isNotNull() & ~F.isnan("v"))
     sizes = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
@@ -75,10 +78,10 @@ def _is_inside() -> Column:
 
 def _joined(rows: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
     """Every row with its group's brackets, of which there are as many as probabilities."""
-    if not keys:
-        # One group: the brackets are one row per probability.
-        return rows.crossJoin(F.broadcast(brackets))
     own = brackets.withColumnsRenamed({k: f"b_{k}" for k in keys})
+    if keys == [WHOLE]:
+        # A row per probability is all there is, and a shuffle would bring all rows to one task.
+        own = F.broadcast(own)
     same = [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in keys]
     return rows.join(own, same).drop(*[f"b_{k}" for k in keys])
 
@@ -180,10 +183,11 @@ def six_numbers(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFram
     wide = found.groupBy(*by).agg(
         *[F.max(F.when(F.col("probability") == p, F.col("quantile"))).alias(n) for p, n in names.items()]
     )
+    # A table that is not grouped has one row of counts, and one of quantiles or none.
+    keys = by or (WHOLE,)
     if not by:
-        joined = plain.crossJoin(F.broadcast(wide))
-    else:
-        own = wide.withColumnsRenamed({c: f"q_{c}" for c in by})
-        same = [F.col(c).eqNullSafe(F.col(f"q_{c}")) for c in by]
-        joined = plain.join(own, same, "left")
+        plain, wide = plain.withColumn(WHOLE, F.lit(0)), wide.withColumn(WHOLE, F.lit(0))
+    own = wide.withColumnsRenamed({c: f"q_{c}" for c in keys})
+    same = [F.col(c).eqNullSafe(F.col(f"q_{c}")) for c in keys]
+    joined = plain.join(own, same, "left")
     return joined.select(*by, "n", "min", "q1", "median", "mean", "q3", "max", "n_missing")
