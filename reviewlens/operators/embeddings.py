@@ -173,7 +173,12 @@ def representatives(
     reviews of an id, each has a row. Only vectors are ranked; ``reviews`` is cut down to the ``k``
     ids before anything is joined to them.
     """
-    top = closest_to_centroid(df, selected, k).select("id", "sim")
+    return with_reviews(closest_to_centroid(df, selected, k), reviews)
+
+
+def with_reviews(closest: DataFrame, reviews: DataFrame) -> DataFrame:
+    """The representatives table of a few ids with their similarities, as ``representatives`` has it."""
+    top = closest.select("id", "sim")
     found = reviews.join(top.select("id"), "id", "left_semi")
     return (
         top.join(found.select("id", "platform", "rating", "text"), "id", "left")

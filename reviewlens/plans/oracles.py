@@ -764,3 +764,5 @@ for _name in ("select_region", "region_summary", "platform_mix"):
 ORACLES["running_trend_month"] = ORACLES["rating_trend_month"]
 ORACLES["running_quarter_counts"] = ORACLES["quarter_counts"]
 ORACLES["load_embeddings_bucketed"] = ORACLES["load_embeddings"]
+ORACLES["closest_to_centroid_cells"] = ORACLES["closest_to_centroid"]
+ORACLES["representatives_cells"] = ORACLES["representatives"].replace(" WHERE id::BIGINT % 3 <> 0", "")

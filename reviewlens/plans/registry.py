@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.functions.scalars import title_key
 from reviewlens.operators import embeddings as emb
 from reviewlens.operators import (
     bucketed,
+    cells,
     descent,
     filters,
     keywords,
@@ -660,6 +661,26 @@ def representatives(spark: SparkSession, folder: str) -> DataFrame:
     return emb.representatives(placed, reviews, filters.in_region(*REGION))
 
 
+def _closest_in_cells(df: DataFrame, chosen: Column, k: int) -> DataFrame:
+    """The closest rows out of all vectors stored by cell; the centre comes from the stored ones, too."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "cells")
+    cells.write_cells(emb.l2_normalize(df), path)
+    center = emb.centroid(spark.read.parquet(f"{path}/vectors").where(chosen)).first()
+    return cells.closest_in_cells(spark, path, center and center["centroid"], k)[0]
+
+
+@register("closest_to_centroid_cells", bridges.vectors)
+def closest_to_centroid_cells(df: DataFrame) -> DataFrame:
+    return rounded(_closest_in_cells(df, F.col("rating") == 7, 25), 4)
+
+
+@register("representatives_cells")
+def representatives_cells(spark: SparkSession, folder: str) -> DataFrame:
+    placed = bridges.points(spark, folder)
+    closest = _closest_in_cells(placed, filters.in_region(*REGION), 10)
+    return emb.with_reviews(closest, bridges.reviews(spark, folder))
+
+
 @register("knn_graph", bridges.vectors)
 def knn_graph(df: DataFrame) -> DataFrame:
     return rounded(neighbours.knn_graph(df, k=5, block_rows=256), 4)

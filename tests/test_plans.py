@@ -16,7 +16,7 @@ EAGER = {
     # Written as stored indexes or tables, or worked out in rounds.
     "keyword_rating_counts_indexed", "keyword_rating_distribution_indexed", "knn_descent",
     "load_embeddings_bucketed", "platform_mix_stored", "region_summary_stored",
-    "select_region_stored", "spectral_layout",
+    "select_region_stored", "spectral_layout", "closest_to_centroid_cells", "representatives_cells",
 }
 
 
