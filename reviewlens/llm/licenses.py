@@ -20,12 +20,13 @@ PHRASES = {
 }
 
 # Words near which signatures are looked for: every signature holds one of them. Those with a verb
-# need not name a license, but say "under"; so does nothing but "subject" in "subject to the".
+# need not name a license, but say "under"; so does nothing but "subject" in "subject to the". Bare
+# identifiers hold their own name.
 KEYWORDS = [
     "license", "licence", "licensed", "licenced", "licenses", "licences", "licensing", "spdx",
     "copyleft", "under", "subject",
     "permission", "redistribution", "redistribute", "warranty", "warranties", "domain", "commons",
-    "copyright", "unlicense", "cc0",
+    "copyright", "unlicense", "cc0", "cc", "gpl",
 ]
 
 # Words on either side of a keyword in which a signature may stand: the longest one, a copyright line
@@ -38,28 +39,33 @@ _LICENSES = [
     ("mit-0", "mit", "mit (?:0|no attribution)", "mit 0"),
     ("apache-1.1", "apache", "apache (?:software )?(?:license )?(?:version |v)?1 1", "apache 1 1"),
     ("apache-2.0", "apache", "apache (?:software )?(?:license )?(?:version |v)?2(?: 0)?", "apache 2 0"),
-    ("gpl-1.0", "gpl gpl1 gplv1 gplversion gplersion", "(?:gnu )?gpl ?v?(?:ersion )?1(?: 0)?", "gpl 1 0"),
+    ("gpl", "gpl", "(?:gnu )?gpl", "gpl"),
+    ("gpl-1.0", "gpl gpl1 gplv1", "(?:gnu )?(?:gpl ?v?1|gpl version 1)(?: 0)?", "gpl 1 0"),
     ("gpl-2.0", "gpl gpl2 gplv2", "(?:gnu )?(?:gpl ?v?2|gpl version 2)(?: 0)?", "gpl 2 0"),
     ("gpl-3.0", "gpl gpl3 gplv3", "(?:gnu )?(?:gpl ?v?3|gplv3|gpl version 3)(?: 0)?", "gpl 3 0"),
     ("gpl-2.0", "gnu", "gnu general public license (?:as published by the free software foundation )?(?:version |v)2", "gpl 2 0 only"),
     ("gpl-3.0", "gnu", "gnu general public license (?:as published by the free software foundation )?(?:version |v)3", "gpl 3 0 only"),
     ("gpl-2.0-or-later", "gnu", "gnu general public license (?:version |v)2 or(?: at your option)? (?:any )?later", "gpl 2 0 or later"),
     ("gpl-3.0-or-later", "gnu", "gnu general public license (?:version |v)3 or(?: at your option)? (?:any )?later", "gpl 3 0 or later"),
-    ("lgpl-2.1", "lgpl lgpl2 lgplv2 lgplversion lgplersion", "(?:gnu )?lgpl ?v?(?:ersion )?2(?: 1)?", "lgpl 2 1"),
-    ("lgpl-3.0", "lgpl lgpl3 lgplv3 lgplversion lgplersion", "(?:gnu )?lgpl ?v?(?:ersion )?3(?: 0)?", "lgpl 3 0"),
-    ("lgpl", "lesser", "(?:gnu )?lesser general public", "lgpl"),
+    ("gpl-2.0-or-later", "gpl gpl2 gplv2", "(?:gnu )?(?:gpl ?v?2|gpl version 2)(?: 0)? or (?:any )?later", "gpl 2 0 or later"),
+    ("gpl-3.0-or-later", "gpl gpl3 gplv3", "(?:gnu )?(?:gpl ?v?3|gpl version 3)(?: 0)? or (?:any )?later", "gpl 3 0 or later"),
+    ("lgpl-2.1", "lgpl lgpl2 lgplv2", "(?:gnu )?(?:lgpl ?v?2|lgpl version 2)(?: 1)?", "lgpl 2 1"),
+    ("lgpl-3.0", "lgpl lgpl3 lgplv3", "(?:gnu )?(?:lgpl ?v?3|lgpl version 3)(?: 0)?", "lgpl 3 0"),
+    ("lgpl", "lesser lgpl", "(?:gnu )?(?:lesser general public|lgpl)", "lgpl"),
     ("agpl-3.0", "affero", "(?:gnu )?affero general public", "agpl 3 0"),
-    ("agpl", "agpl agplv agpl3 agplv3", "(?:gnu )?agpl ?v?3?(?: 0)?", "agpl"),
+    ("agpl", "agpl agpl3 agplv3", "(?:gnu )?agpl(?: ?v?3)?(?: 0)?", "agpl"),
     ("gfdl", "documentation", "gnu free documentation", "gfdl 1 3"),
-    ("bsd-2-clause", "bsd", "(?:2 clause|two clause|simplified|freebsd) bsd", "bsd 2 clause"),
-    ("bsd-3-clause", "bsd", "(?:3 clause|three clause|new|revised|modified) bsd", "bsd 3 clause"),
-    ("bsd-4-clause", "bsd", "(?:4 clause|four clause|original|old) bsd", "bsd 4 clause"),
+    ("bsd-2-clause", "bsd", "(?:(?:2 clause|two clause|simplified|freebsd) bsd|bsd (?:2|two) clause)", "bsd 2 clause"),
+    ("bsd-3-clause", "bsd", "(?:(?:3 clause|three clause|new|revised|modified) bsd|bsd (?:3|three) clause)", "bsd 3 clause"),
+    ("bsd-4-clause", "bsd", "(?:(?:4 clause|four clause|original|old) bsd|bsd (?:4|four) clause)", "bsd 4 clause"),
     ("bsd", "bsd", "bsd(?: style)?", "bsd"),
     ("0bsd", "bsd", "(?:zero clause|0 clause|free public) bsd", "0bsd"),
-    ("mpl-1.1", "mozilla", "mozilla public license (?:version |v)?1 1", "mpl 1 1"),
-    ("mpl-2.0", "mozilla", "mozilla public(?: license (?:version |v)?2 0)?", "mpl 2 0"),
-    ("epl-1.0", "eclipse", "eclipse public license (?:version |v)?1 0", "epl 1 0"),
-    ("epl-2.0", "eclipse", "eclipse public(?: license (?:version |v)?2 0)?", "epl 2 0"),
+    ("mpl", "mpl", "mpl", "mpl"),
+    ("mpl-1.1", "mozilla mpl mpl1 mplv1", "(?:mozilla public license (?:version |v)?1 1|(?:mpl ?v?1|mpl version 1) 1)", "mpl 1 1"),
+    ("mpl-2.0", "mozilla mpl mpl2 mplv2", "(?:mozilla public(?: license (?:version |v)?2 0)?|(?:mpl ?v?2|mpl version 2)(?: 0)?)", "mpl 2 0"),
+    ("epl", "epl", "epl", "epl"),
+    ("epl-1.0", "eclipse epl epl1 eplv1", "(?:eclipse public license (?:version |v)?1 0|(?:epl ?v?1|epl version 1)(?: 0)?)", "epl 1 0"),
+    ("epl-2.0", "eclipse epl epl2 eplv2", "(?:eclipse public(?: license (?:version |v)?2 0)?|(?:epl ?v?2|epl version 2)(?: 0)?)", "epl 2 0"),
     ("cddl", "cddl distribution", "(?:cddl|common development and distribution)", "cddl 1 0"),
     ("cpl", "common", "common public", "cpl 1 0"),
     ("isc", "isc", "isc", "isc"),
@@ -78,6 +84,8 @@ _LICENSES = [
     ("cc-by-sa", "creative cc", "(?:creative commons|cc) (?:by sa|attribution share ?alike)(?: [1-4] 0)?", "cc by sa 4 0"),
     ("cc-by-nc", "creative cc", "(?:creative commons|cc) (?:by nc|attribution non ?commercial)(?: [1-4] 0)?", "cc by nc 4 0"),
     ("cc-by-nd", "creative cc", "(?:creative commons|cc) (?:by nd|attribution no ?deriv(?:ative)?s)(?: [1-4] 0)?", "cc by nd 4 0"),
+    ("cc-by-nc-sa", "creative cc", "(?:creative commons|cc) (?:by nc sa|attribution non ?commercial share ?alike)(?: [1-4] 0)?", "cc by nc sa 4 0"),
+    ("cc-by-nc-nd", "creative cc", "(?:creative commons|cc) (?:by nc nd|attribution non ?commercial no ?deriv(?:ative)?s)(?: [1-4] 0)?", "cc by nc nd 4 0"),
     ("ms-pl", "microsoft", "microsoft public", "ms pl"),
     ("proprietary", "proprietary", "proprietary", "licenseref proprietary"),
 ]
@@ -118,6 +126,37 @@ _TEXTS = [
     ("creative-commons", "creative", 6, 0.7, "creative commons (?:[a-z0-9]+ ){0,6}licen[sc]e"),
 ]
 
+# Mentions of single licenses that fit no form: versions behind the word license, several licenses in
+# one sentence, and bare identifiers. Those that name a second license stand behind the forms, or
+# they would take the mention of the other one with them.
+_MENTIONS = [
+    ("apache", "apache", 5, 0.7, "licen[sc]ed under (?:the )?(?:terms of (?:the )?)?apache(?: software)?"),
+    ("apache-2.0", "apache", 6, 0.9, "apache (?:software )?licen[sc]e (?:version |v)?2(?: 0)?"),
+    ("gpl-2.0", "gnu", 6, 0.9, "gnu general public licen[sc]e (?:version |v)2(?: 0)?"),
+    ("gpl-3.0", "gnu", 6, 0.9, "gnu general public licen[sc]e (?:version |v)3(?: 0)?"),
+    ("gpl-2.0-or-later", "gnu", 6, 0.9, "gnu general public licen[sc]e (?:version |v)2(?: 0)? or (?:any )?later"),
+    ("gpl-3.0-or-later", "gnu", 6, 0.9, "gnu general public licen[sc]e (?:version |v)3(?: 0)? or (?:any )?later"),
+    ("gpl-2.0-or-later", "gpl", 6, 0.8, "gpl (?:version |v)?2(?: 0)? or (?:any )?later"),
+    ("gpl-3.0-or-later", "gpl", 6, 0.8, "gpl (?:version |v)?3(?: 0)? or (?:any )?later"),
+    ("lgpl-2.1", "lesser", 6, 0.9, "lesser general public licen[sc]e (?:version |v)?2 1"),
+    ("lgpl-3.0", "lesser", 6, 0.9, "lesser general public licen[sc]e (?:version |v)?3(?: 0)?"),
+    ("agpl-3.0", "affero", 6, 0.9, "affero general public licen[sc]e (?:version |v)?3(?: 0)?"),
+    ("cc-by", "cc", 6, 0.7, "cc by [1-4] 0"),
+    ("cc-by-sa", "cc", 6, 0.7, "cc by sa [1-4] 0"),
+    ("cc-by-nc", "cc", 6, 0.7, "cc by nc [1-4] 0"),
+    ("cc-by-nd", "cc", 6, 0.7, "cc by nd [1-4] 0"),
+    ("cc-by-nc-sa", "cc", 6, 0.7, "cc by nc sa [1-4] 0"),
+    ("cc-by-nc-nd", "cc", 6, 0.7, "cc by nc nd [1-4] 0"),
+    ("apache-2.0", "apache", 7, 0.85, "licen[sc]ed under (?:the )?(?:mit|bsd|isc|zlib|gpl)(?: licen[sc]e)? (?:and|or) (?:the )?apache(?: licen[sc]e)?(?: version)? v?2(?: 0)?"),
+    ("apache", "apache", 8, 0.7, "licen[sc]ed under (?:the )?(?:mit|bsd|isc|zlib|gpl)(?: licen[sc]e)? (?:and|or) (?:the )?apache"),
+    ("mit", "mit", 7, 0.85, "licen[sc]ed under (?:the )?(?:apache(?: licen[sc]e)?(?: version)?(?: v?2)?(?: 0)?|bsd|isc|gpl) (?:and|or) (?:the )?mit"),
+    ("bsd", "bsd", 7, 0.85, "licen[sc]ed under (?:the )?(?:apache(?: licen[sc]e)?(?: version)?(?: v?2)?(?: 0)?|mit|isc|gpl) (?:and|or) (?:the )?bsd"),
+    ("gpl", "gpl", 7, 0.85, "licen[sc]ed under (?:the )?(?:mit|bsd|mpl|lgpl|apache)(?: licen[sc]e)? (?:and|or) (?:the )?(?:gnu )?gpl"),
+    ("apache-2.0", "apache", 6, 0.75, "apache (?:version )?v?2(?: 0)? licen[sc]es"),
+    ("mit", "mit", 7, 0.8, "mit (?:and|or) (?:the )?(?:apache(?: v?2)?(?: 0)?|bsd|gpl) licen[sc]es?"),
+    ("bsd", "bsd", 7, 0.8, "bsd (?:and|or) (?:the )?(?:apache(?: v?2)?(?: 0)?|mit|gpl) licen[sc]es?"),
+]
+
 
 def signature_rules() -> list[tuple[int, str, str, int, float, str]]:
     """(rule, label, gate word, priority, confidence, pattern) of all rules, in order.
@@ -131,7 +170,7 @@ def signature_rules() -> list[tuple[int, str, str, int, float, str]]:
         for priority, confidence, form in _FORMS
         for label, gates, name, spdx in _LICENSES
     ]
-    ordered = sorted([*_TEXTS, *[(r[0], r[1], r[2], r[3], r[4]) for r in rows]], key=lambda r: r[2])
+    ordered = sorted([*_TEXTS, *_MENTIONS, *[(r[0], r[1], r[2], r[3], r[4]) for r in rows]], key=lambda r: r[2])
     return [
         (number, label, gate, priority, confidence, f"(?<![^ ])(?:{pattern})(?![^ ])")
         for number, (label, gate, priority, confidence, pattern) in enumerate(
@@ -217,21 +256,12 @@ def _places(piece: Column, pattern: Column) -> Column:
     )
 
 
-def _first_place(piece: Column, pattern: Column) -> Column:
-    """(start, stop) of the pattern's first match alone."""
-    place, match = F.regexp_instr(piece, pattern), F.regexp_substr(piece, pattern)
-    start = _count(F.substring(piece, F.lit(1), place - 1), " ")
-    one = F.array(F.struct(start.alias("start"), (start + _count(match, " ") + 1).alias("stop")))
-    return F.when(place > 0, one)
-
-
-def detect(docs: DataFrame, rules: DataFrame, every: bool = False) -> DataFrame:
+def detect(docs: DataFrame, rules: DataFrame) -> DataFrame:
     """Detections that stand, as (d, c, label, confidence, start, stop), in words of the document.
 
     ``docs``: d, c (which row it is) and line (its words). Around each keyword, CONTEXT words to
-    either side are cut out; a rule is tried there only if its gate word is among them, and gives
-    its first match or, with ``every``, the match at each word where one begins; what is found is then
-    the same as in the whole text. A detection falls if another one of the same document that begins earlier (or
+    either side are cut out; a rule is tried there only if its gate word is among them, and gives the
+    match at each word where one begins; what is found is the same as in the whole text. A detection falls if another one of the same document that begins earlier (or
     at the same word and is no shorter) contains it and has the same or a better priority.
     """
     gate = F.concat(F.lit(" "), F.col("line"), F.lit(" ")).rlike(f" (?:{'|'.join(KEYWORDS)}) ")
@@ -250,7 +280,7 @@ def detect(docs: DataFrame, rules: DataFrame, every: bool = False) -> DataFrame:
         "d", "c", "from", F.array_join("near", " ").alias("piece"),
         F.explode(F.array_distinct("near")).alias("gate"),
     ).join(F.broadcast(rules), "gate")  # the rules are a fixed list of some hundreds
-    places = (_places if every else _first_place)(F.col("piece"), F.col("pattern"))
+    places = _places(F.col("piece"), F.col("pattern"))
     hits = tried.where(F.rlike("piece", F.col("pattern"))).select(
         "d", "c", "rule", "label", "priority", "confidence", "from", F.explode(places).alias("at")
     )
@@ -276,9 +306,7 @@ def detect(docs: DataFrame, rules: DataFrame, every: bool = False) -> DataFrame:
     return kept.select("d", "c", "label", "confidence", "start", "stop")
 
 
-def scan_licenses(
-    docs: DataFrame, rules: DataFrame | None = None, every: bool = False
-) -> DataFrame:
+def scan_licenses(docs: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """License phrases and signatures in whole texts.
 
     ``docs``: doc_id, text. Result, one row per row: doc_id, n_words, n_base (places of PHRASES),
@@ -287,8 +315,7 @@ def scan_licenses(
     (the best confidence; 0.8 for a phrase, 0 for nothing).
 
     Only texts with a keyword reach the rules, and a rule is tried only where its gate word stands,
-    so the regular expressions see short pieces of few texts. With ``every``, as the registered query
-    has it, all mentions count; without, a rule's first one near each keyword. Null and empty texts have no words.
+    so the regular expressions see short pieces of few texts. Null and empty texts have no words.
     Repeated rows give repeated results; ids may be null or come with several texts, as texts are told
     apart by a hash. Other columns are ignored; no documents, no rows.
     """
@@ -297,7 +324,7 @@ def scan_licenses(
         F.col("doc_id"), F.xxhash64(whole_text()).alias("content"), word_line(whole_text()).alias("line")
     )
     found = detect(
-        rows.select(F.col("doc_id").alias("d"), F.col("content").alias("c"), "line").distinct(), own, every
+        rows.select(F.col("doc_id").alias("d"), F.col("content").alias("c"), "line").distinct(), own
     )
     by_doc = found.groupBy("d", "c").agg(
         F.array_sort(F.collect_list(F.struct("start", "stop", "label", "confidence"))).alias("detections")

@@ -145,28 +145,6 @@ LICENSE_TEXTS = [
 ]
 
 
-def plain_detections(text):
-    """The rules by Python's regular expressions, over the same pieces of text."""
-    words = brute.ALNUM.findall(brute.lower(text or ""))
-    found = set()
-    for at, word in enumerate(words):
-        if word not in KEYWORDS:
-            continue
-        begin = max(0, at - CONTEXT)
-        near = words[begin : at + CONTEXT + 1]
-        piece = " ".join(near)
-        for rule, label, gate, priority, confidence, pattern in signature_rules():
-            if gate in near and (m := re.search(pattern, piece)):
-                start = begin + piece[: m.start()].count(" ")
-                found.add((start, -(start + m[0].count(" ") + 1), priority, rule, label, confidence))
-    kept = []
-    for d in found:
-        covered = any(e < d and e[2] <= d[2] and -e[1] >= -d[1] for e in found)
-        if not covered:
-            kept.append((d[0], -d[1], d[4], d[5]))
-    return sorted(kept)
-
-
 def test_licenses_equal_brute_force(docs_of):
     draw = random.Random(4)
     pieces = "mit license apache version 2 0 gnu general public gpl bsd licensed under the terms of spdx identifier x , é".split()
@@ -177,7 +155,7 @@ def test_licenses_equal_brute_force(docs_of):
         n, places, labels = brute.phrase_places(texts[r.doc_id])
         assert (r.n_words, r.n_base, r.base) == (n, len(places), labels)
         assert (r.first_word, r.last_word) == ((min(places), max(places)) if places else (None, None))
-        expected = plain_detections(texts[r.doc_id])
+        expected = whole_detections(texts[r.doc_id])
         assert [tuple(d) for d in r.detections] == expected
         assert r.labels == sorted({*labels, *(d[2] for d in expected)})
         assert 0 <= r.score <= 1 and (r.score > 0) == bool(places or expected)
@@ -312,7 +290,7 @@ def test_every_license_mention_equals_plain_regular_expressions(docs_of):
     texts += ["licensed under the new bsd license and the bsd license", "mit license " * 40]
     texts += ["creative commons creative commons license b c d e license"]
     texts += [" ".join(draw.choices(pieces, k=draw.choice([20, 60, 200]))) for _ in range(60)]
-    rows = scan_licenses(docs_of(list(enumerate(texts))), every=True).collect()
+    rows = scan_licenses(docs_of(list(enumerate(texts)))).collect()
     for r in rows:
         assert [tuple(d) for d in r.detections] == whole_detections(texts[r.doc_id])
     labels = {texts[r.doc_id]: r.labels for r in rows}
@@ -372,3 +350,59 @@ def test_secrets_of_any_length_are_linked_across_their_scope(docs_of):
         5: [],
         6: [],
     }
+
+
+# What is said, and all labels that it has; the second part says nothing of the kind.
+LICENSE_SAYINGS = {
+    "Released under the GPL.": "gpl",
+    "licensed under the GNU GPL": "gpl",
+    "licensed under the LGPL": "lgpl",
+    "licensed under MPL 2.0": "mpl-2.0",
+    "licensed under the MPL": "mpl",
+    "distributed under EPL 2.0": "epl-2.0",
+    "distributed under EPL v1.0": "epl-1.0",
+    "licensed under Apache": "apache",
+    "BSD 3-clause license": "bsd-3-clause",
+    "BSD two clause license": "bsd-2-clause",
+    "CC BY 4.0": "cc-by",
+    "CC-BY-NC-SA-4.0": "cc-by-nc-sa",
+    "licensed under CC BY-NC-ND 4.0": "cc-by-nc-nd",
+    "licensed under BSD 3 clause": "bsd-3-clause",
+    "Apache License, Version 2.0": "apache apache-2.0",
+    "licensed under GPL 2.0 or later": "gpl-2.0-or-later",
+    "GPL 2.0 or later": "gpl-2.0-or-later",
+    "GPL v3 or any later version": "gpl-3.0-or-later",
+    "GNU General Public License v3": "gpl gpl-3.0",
+    "GNU Lesser General Public License, version 2.1": "gpl lgpl lgpl-2.1",
+    "dual licensed under MIT and Apache 2.0": "apache-2.0 mit",
+    "licensed under the Apache License, Version 2.0 or the MIT license": "apache apache-2.0 mit",
+    "licensed under BSD or GPL": "bsd gpl",
+    "MIT or Apache 2.0 licenses": "apache-2.0 mit",
+    "released under apache skies": "",
+    "copy him in, cc by noon": "",
+    "she was licensed under state law": "",
+    "the mit and apache helicopters": "",
+    "a clause of 3 words on BSD": "",
+    "gpl 2 or 3": "",
+    "version 2.0 or later of the apache server": "",
+    "the lesser general public knew 2.1 of it": "",
+}
+
+
+def test_license_sayings_have_just_these_labels(docs_of):
+    texts = list(LICENSE_SAYINGS)
+    found = {texts[r.doc_id]: " ".join(r.labels) for r in scan_licenses(docs_of(list(enumerate(texts)))).collect()}
+    assert found == LICENSE_SAYINGS
+
+
+def test_hand_written_rules_match_themselves_alone():
+    """Every text of every rule of _MENTIONS and _TEXTS is a match, and none with a letter more is."""
+    import itertools
+
+    from reviewlens.llm.licenses import _MENTIONS, _TEXTS
+
+    for _, _, _, _, pattern in [*_MENTIONS, *_TEXTS]:
+        whole = re.compile(f"(?<![^ ])(?:{pattern})(?![^ ])")
+        for text in itertools.islice(sorted(set(pattern_words(pattern))), 50):
+            if whole.fullmatch(text):
+                assert not whole.search(f"x{text}y") and whole.search(f"a {text} b")
