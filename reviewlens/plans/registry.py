@@ -22,6 +22,7 @@ from reviewlens.operators import (
     quantiles,
     ratings,
     regions,
+    semantic,
     spectral,
     timesplit,
     words,
@@ -796,6 +797,14 @@ def embed_texts_hashed(df: DataFrame) -> DataFrame:
     )
 
 
+@register("embed_texts_semantic", bridges.reviews)
+def embed_texts_semantic(df: DataFrame) -> DataFrame:
+    vectors = semantic.semantic_embeddings(tables.load_texts(df, "text"), dims=8, rounds=2).vectors
+    return rounded(
+        vectors.select("id", F.posexplode(F.col("embedding").cast("array<double>"))), 4
+    )
+
+
 @register("quantize_f16", bridges.vectors)
 def quantize_f16(df: DataFrame) -> DataFrame:
     halves = df.select("id", emb.quantize_f16(F.col("embedding")).alias("half"))

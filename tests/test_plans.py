@@ -17,6 +17,7 @@ EAGER = {
     "keyword_rating_counts_indexed", "keyword_rating_distribution_indexed", "knn_descent",
     "load_embeddings_bucketed", "platform_mix_stored", "region_summary_stored",
     "select_region_stored", "spectral_layout", "closest_to_centroid_cells", "representatives_cells",
+    "embed_texts_semantic",
 }
 
 
