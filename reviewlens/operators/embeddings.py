@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import CountVectorizerModel, Normalizer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.functions.scalars import truncate_text
 from reviewlens.functions.tokens import word_array
-from reviewlens.functions.vectors import dot, unit
+from reviewlens.functions.vectors import dot, let, norm, unit
 from reviewlens.operators.ratings import quantiles, rated, rating_counts
 from reviewlens.schema import EMBEDDING_TYPE
 
@@ -49,20 +49,23 @@ def embed_texts(
     return texts.select("id", embed("text").alias("embedding"))
 
 
-def _hashed_words(texts: DataFrame, size: int = 64) -> DataFrame:
-    """Counts of the words by bucket, at length one; a bucket is the first 32 bits of the word's MD5
-    modulo the number of buckets."""
+def _hashed_words(texts: DataFrame) -> DataFrame:
+    """Counts of the words in 64 buckets, at length one; a bucket is the low six of the first 32 bits of
+    the word's MD5. Those are counted by two hexadecimal digits first, which are never made numbers."""
+    words = texts.select(
+        "id",
+        F.transform(word_array(F.col("text")), lambda w: F.substring(F.md5(w), 7, 2)).alias("digits"),
+    )
+    names = [f"{k:02x}" for k in range(256)]
+    counter = CountVectorizerModel.from_vocabulary(names, "digits", "counts")
+    counted = counter.transform(words).select("id", vector_to_array("counts").alias("counts"))
 
-    def bucket(word: Column) -> Column:
-        number = F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long")
-        return F.pmod(number, F.lit(size)).cast("string")
+    def bucket(k: Column) -> Column:
+        return sum((F.get(F.col("counts"), k + 64 * part) for part in range(1, 4)), F.get(F.col("counts"), k))
 
-    words = texts.select("id", F.transform(word_array(F.col("text")), bucket).alias("buckets"))
-    names = [str(k) for k in range(size)]
-    counter = CountVectorizerModel.from_vocabulary(names, "buckets", "counts")
-    counted = counter.transform(words)
-    scaled = Normalizer(p=2.0, inputCol="counts", outputCol="vector").transform(counted)
-    return scaled.select("id", vector_to_array("vector", "float32").alias("embedding"))
+    buckets = F.transform(F.sequence(F.lit(0), F.lit(63)), bucket)
+    scaled = let(buckets, lambda n: F.when(norm(n) > 0, unit(n)).otherwise(n))
+    return counted.select("id", scaled.cast(EMBEDDING_TYPE).alias("embedding"))
 
 
 def quantize_f16(vector: Column) -> Column:
