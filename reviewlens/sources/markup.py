@@ -7,7 +7,7 @@ from html import unescape
 
 # A closing or opening tag with quoted attributes, a comment, or a stretch of text. Possessive, so
 # that a tag that never ends costs no backtracking.
-_PIECES = re.compile(
+PIECES = re.compile(
     r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<!--.*?-->|([^<]++|<)""",
     re.DOTALL,
 )
@@ -19,7 +19,7 @@ VOID_TAGS = frozenset(
 )
 
 
-class _Element:
+class Element:
     """An open element; its attributes are read when first asked for."""
 
     __slots__ = ("tag", "tail", "read")
@@ -36,7 +36,7 @@ class _Element:
         return self.read.get(name)
 
 
-def _matches(step: tuple, element: _Element) -> bool:
+def matches(step: tuple, element: Element) -> bool:
     """Whether an element fits one step of a selector."""
     wanted_tag, conditions = step
     if wanted_tag is not None and element.tag != wanted_tag:
@@ -55,15 +55,15 @@ def _matches(step: tuple, element: _Element) -> bool:
     return True
 
 
-def _selected(steps: list, path: list[_Element]) -> bool:
+def _selected(steps: list, path: list[Element]) -> bool:
     """Whether the last element of a path fits the last step and its ancestors the others."""
     if not steps:
         return len(path) == 1
-    if not _matches(steps[-1], path[-1]):
+    if not matches(steps[-1], path[-1]):
         return False
     remaining = list(steps[:-1])
     for element in reversed(path[:-1]):
-        if remaining and _matches(remaining[-1], element):
+        if remaining and matches(remaining[-1], element):
             remaining.pop()
     return not remaining
 
@@ -93,14 +93,14 @@ class Fields:
         values = dict.fromkeys(self.fields)
         missing = set(self.fields)
         collecting: dict[str, tuple[int, list[str]]] = {}
-        path: list[_Element] = []
+        path: list[Element] = []
 
         def close() -> None:
             path.pop()
             for name in [n for n, (depth, _) in collecting.items() if depth > len(path)]:
                 values[name] = self._joined(name, collecting.pop(name)[1])
 
-        for closing, tag, tail, text in _PIECES.findall(html or ""):
+        for closing, tag, tail, text in PIECES.findall(html or ""):
             if text:
                 for _, parts in collecting.values():
                     parts.append(text)
@@ -114,7 +114,7 @@ class Fields:
                 if one_root and not path:
                     break
             elif tag:
-                path.append(_Element(tag, tail))
+                path.append(Element(tag, tail))
                 for name in self.by_tag.get(tag, self.any_tag):
                     what, steps = self.fields[name]
                     if name in missing and _selected(steps, path):

@@ -1,7 +1,7 @@
 """Review rows and titles from saved HTML pages.
 
 A page is cut at the opening tags of its reviews in the JVM, which spreads one page's reviews over
-rows; a small HTML reader then looks up the few elements of each review, in Arrow batches.
+rows; the few elements of each review are then looked up by an index of a whole Arrow batch's tags.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from html import unescape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from reviewlens.functions.scalars import (
     strip,
 )
 from reviewlens.sources.markup import Fields
+from reviewlens.sources.tagindex import IndexedFields
 
 # Elements, attributes and patterns of the two page layouts. A selector is a chain
 # of steps from outer to inner element; a step is a tag (or None) and its required attributes,
@@ -116,7 +118,7 @@ def extract_card_reviews(
 def extract_page_title(pages: DataFrame, layout: str = "article", html: str = "html") -> DataFrame:
     """Adds ``title``: the layout's title element, else what stands before the first dash."""
     if layout == "card":
-        reader = _field_reader(CARD_TITLE, one_root=False)
+        reader = _page_reader(CARD_TITLE)
         title = F.coalesce(reader(_without_scripts(F.col(html))).getField("title"), F.lit(""))
     elif layout == "article":
         page = _without_scripts(F.col(html))
@@ -187,14 +189,30 @@ def _opening_tag(tag: str, classes: list[str]) -> str:
     return rf"<(?i:{tag})(?=\s){has_classes}"
 
 
-def _field_reader(fields: dict, one_root: bool = True):
+def _field_reader(fields: dict):
+    """The fields of pieces that each begin with a review's opening tag, a batch at a time."""
+    schema = ", ".join(f"{name}: string" for name in fields)
+
+    @F.arrow_udf(f"struct<{schema}>")
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        wanted = IndexedFields(fields)
+        for batch in batches:
+            found = wanted.values(batch)
+            columns = [pa.array(found[name], pa.string()) for name in fields]
+            yield pa.StructArray.from_arrays(columns, names=list(fields))
+
+    return read
+
+
+def _page_reader(fields: dict):
+    """The fields of whole pages, one at a time."""
     schema = ", ".join(f"{name}: string" for name in fields)
 
     @F.pandas_udf(f"struct<{schema}>")
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         wanted = Fields(fields)
         for batch in batches:
-            found = [wanted.first_values(fragment, one_root) for fragment in batch]
+            found = [wanted.first_values(page, one_root=False) for page in batch]
             yield pd.DataFrame(found, columns=list(fields), dtype=object)
 
     return read
