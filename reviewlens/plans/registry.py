@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.functions.scalars import title_key
+from reviewlens.functions.tokens import word_array
 from reviewlens.operators import embeddings as emb
 from reviewlens.operators import (
     bucketed,
@@ -15,6 +16,7 @@ from reviewlens.operators import (
     descent,
     filters,
     keywords,
+    lexicon,
     neighbours,
     normalise,
     postings,
@@ -392,6 +394,35 @@ def normalize_reviews_analyser(df: DataFrame) -> DataFrame:
     return found.select("id", "normalized_text")
 
 
+def _glued(df: DataFrame) -> DataFrame:
+    """The reviews with their words stuck together in twos, as in a script without blanks."""
+    return df.withColumn("text", F.regexp_replace("text", r"(\p{L}+) (\p{L}+)", "$1$2"))
+
+
+def _lexicon(df: DataFrame) -> DataFrame:
+    """The reviews' own words; a word costs less, the more often it stands."""
+    counted = words.word_frequency(df, char_class=None, sort=False)
+    cost = (64 - F.length(F.bin("n"))).cast("long")
+    return counted.select(
+        F.col("word").alias("form"), F.lit("NNG").alias("tag"), F.lit(None).cast("string").alias("lemma"),
+        cost.alias("cost"),
+    )
+
+
+@register("break_words", bridges.reviews)
+def break_words(df: DataFrame) -> DataFrame:
+    stuck = _glued(df).select(F.explode(word_array(F.col("text"))).alias("word"))
+    broken = lexicon.break_words(stuck, _lexicon(df))
+    forms = F.transform("tokens", lambda token: F.concat_ws("/", token["form"], token["tag"]))
+    return broken.select("word", F.array_join(forms, " ").alias("forms"))
+
+
+@register("normalize_by_lexicon", bridges.reviews)
+def normalize_by_lexicon(df: DataFrame) -> DataFrame:
+    found = lexicon.normalize_by_lexicon(_glued(df), _lexicon(df), stopwords=STOPWORDS)
+    return found.select("id", "normalized_text")
+
+
 @register("write_normalized", bridges.reviews)
 def write_normalized(df: DataFrame) -> DataFrame:
     found = normalise.normalize_reviews(df, stopwords=STOPWORDS)

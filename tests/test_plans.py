@@ -18,6 +18,8 @@ EAGER = {
     "load_embeddings_bucketed", "platform_mix_stored", "region_summary_stored",
     "select_region_stored", "spectral_layout", "closest_to_centroid_cells", "representatives_cells",
     "embed_texts_semantic",
+    # The longest form of the lexicon is looked up.
+    "break_words", "normalize_by_lexicon",
 }
 
 
