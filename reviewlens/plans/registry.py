@@ -399,7 +399,7 @@ def _glued(df: DataFrame) -> DataFrame:
     return df.withColumn("text", F.regexp_replace("text", r"(\p{L}+) (\p{L}+)", "$1$2"))
 
 
-def _lexicon(df: DataFrame) -> DataFrame:
+def _word_costs(df: DataFrame) -> DataFrame:
     """The reviews' own words; a word costs less, the more often it stands."""
     counted = words.word_frequency(df, char_class=None, sort=False)
     cost = (64 - F.length(F.bin("n"))).cast("long")
@@ -412,14 +412,14 @@ def _lexicon(df: DataFrame) -> DataFrame:
 @register("break_words", bridges.reviews)
 def break_words(df: DataFrame) -> DataFrame:
     stuck = _glued(df).select(F.explode(word_array(F.col("text"))).alias("word"))
-    broken = lexicon.break_words(stuck, _lexicon(df))
+    broken = lexicon.break_words(stuck, _word_costs(df))
     forms = F.transform("tokens", lambda token: F.concat_ws("/", token["form"], token["tag"]))
     return broken.select("word", F.array_join(forms, " ").alias("forms"))
 
 
 @register("normalize_by_lexicon", bridges.reviews)
 def normalize_by_lexicon(df: DataFrame) -> DataFrame:
-    found = lexicon.normalize_by_lexicon(_glued(df), _lexicon(df), stopwords=STOPWORDS)
+    found = lexicon.normalize_by_lexicon(_glued(df), _word_costs(df), stopwords=STOPWORDS)
     return found.select("id", "normalized_text")
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from reviewlens.functions.tokens import HANGUL
 from reviewlens.functions.wordlists import KOREAN_STOPWORDS
 from reviewlens.operators import keywords, normalise, words
+from reviewlens.plans.registry import REGISTRY
 from reviewlens.sources import tables
 
 SCHEMA = "id string, platform string, rating double, text string"
@@ -221,3 +222,14 @@ def test_removal_makes_one_plan_per_type_of_argument(spark):
     assert not spark.sparkContext.statusTracker().getJobIdsForGroup("stop")
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert cleaned.first().text_nostop == "plot"
+
+
+def test_merged_stopwords_of_two_tables_of_texts(spark, tmp_path):
+    talk = [(1, 0, "user", "Movie says Great"), (1, 1, "assistant", None)]
+    columns = "conv_id long, turn int, role string, text string"
+    spark.createDataFrame(talk, columns).write.parquet(str(tmp_path / "conversations.parquet"))
+    items = spark.createDataFrame([("a", "great cast"), ("b", "")], "item_id string, text string")
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = {r.word: r.lexicon for r in REGISTRY["merge_stopwords"](spark, str(tmp_path)).collect()}
+    assert found.pop("says") == "talk" and found.pop("great") == "talk" and found.pop("cast") == "items"
+    assert set(found.values()) <= {"talk", None}
