@@ -1,55 +1,41 @@
-"""Words broken into the forms of a lexicon, each distinct word once.
+"""Words broken into the forms of a lexicon.
 
 For scripts that write no blanks between words, and for texts whose dictionary forms and parts of
-speech a lexicon names. The lexicon is a table of any size: it is joined, never gathered.
+speech a lexicon names. The lexicon is a table of any size: it is joined, never gathered. Words are
+dealt into parts of a few MB; a part asks once for each form that it may hold, however many of its
+words hold it, so that rows travel by part and form and not by word, place and length.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.functions.tokens import words_in
 from reviewlens.operators.normalise import kept_lemmas
 from reviewlens.schema import ANALYSED_TOKENS
+from reviewlens.storage import stored
 
 # The tag of what the lexicon does not know.
 UNKNOWN = "UN"
+# Bytes of words or texts in a part, about; code points that a task works on at a time.
+PART_BYTES = 4 << 20
+SLICE = 1 << 20
+# Bits of the sieve: at least 16 for a form, but 2^27 in all; beyond that it only lets more through.
+FORM_BITS, LEAST_BITS, MOST_BITS = 16, 16, 27
+BLOCK_BITS = 16
 
-# (begin, end, cost, form, tag, lemma) of a form found in a word.
-Edge = tuple[int, int, int, str, str, str | None]
-
-
-def cheapest_path(word: str, edges: list[Edge], unknown: int) -> list[tuple[str, str, str | None]]:
-    """The forms of least total cost that make up a word; a code point without a form costs ``unknown``.
-
-    Ties go to fewer pieces, then to the longer last piece. Neighbouring unknown code points are one
-    token.
-    """
-    ending: dict[int, list[Edge]] = {}
-    for edge in edges:
-        ending.setdefault(edge[1], []).append(edge)
-    best = [(0, 0)]
-    chosen: list[Edge | None] = [None]
-    for end in range(1, len(word) + 1):
-        options = [(end - 1, end, unknown, word[end - 1], UNKNOWN, None), *ending.get(end, ())]
-        ranked = [(best[e[0]][0] + e[2], best[e[0]][1] + 1, e[0], n) for n, e in enumerate(options)]
-        cost, pieces, _, n = min(ranked)
-        best.append((cost, pieces))
-        chosen.append(options[n])
-    out: list[list] = []
-    end = len(word)
-    while end:
-        begin, _, _, form, tag, lemma = chosen[end]
-        if tag == UNKNOWN and out and out[-1][1] == UNKNOWN:
-            out[-1][0].append(form)
-        else:
-            out.append([[form], tag, lemma])
-        end = begin
-    return [("".join(reversed(forms)), tag, lemma) for forms, tag, lemma in reversed(out)]
+# Odd numbers, so that products modulo 2^64 can be undone.
+BASE, MIX, SECOND = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+ASKED = "part int, hash long"
+NEVER = 1 << 61
 
 
 def prefix_lengths(longest: int) -> list[int]:
@@ -60,11 +46,281 @@ def prefix_lengths(longest: int) -> list[int]:
     return out
 
 
-def _prefix_hash(form: str, steps: list[int]) -> Column:
-    """Hash of a form's longest beginning of such a length."""
-    fitting = F.filter(F.array(*[F.lit(n) for n in steps]), lambda n: n <= F.char_length(form))
-    length = F.array_max(fitting)
-    return F.xxhash64(length, F.left(form, length))
+class Spelled:
+    """The code points of strings one behind another, and hashes of any stretch of them."""
+
+    def __init__(self, texts: pa.Array):
+        joined = "".join(texts.to_pylist())
+        self.utf8 = joined.encode()
+        self.code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
+        self.first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.text = np.repeat(np.arange(len(sizes)), sizes)
+        self.left = self.first[self.text + 1] - np.arange(len(self.code))
+        count = len(self.code) + 1
+        power = np.cumprod(np.full(count, BASE, np.uint64))
+        self.undo = np.cumprod(np.full(count, pow(BASE, -1, 1 << 64), np.uint64))
+        sums = np.cumsum((self.code.astype(np.uint64) + np.uint64(1)) * power[:-1])
+        self.sums = np.concatenate([np.zeros(1, np.uint64), sums])
+
+    def hashes(self, at: np.ndarray, length: int) -> np.ndarray:
+        value = (self.sums[at + length] - self.sums[at]) * self.undo[at] + np.uint64(length)
+        value = (value ^ (value >> np.uint64(32))) * np.uint64(MIX)
+        return value ^ (value >> np.uint64(29))
+
+
+def _form_hashes(forms: Spelled, steps: list[int]) -> np.ndarray:
+    """Hash of each form's longest beginning of a length in ``steps``."""
+    sizes = np.diff(forms.first)
+    which = np.searchsorted(steps, sizes, "right") - 1
+    out = np.zeros(len(sizes), np.uint64)
+    for n, length in enumerate(steps):
+        own = np.flatnonzero(which == n)
+        out[own] = forms.hashes(forms.first[own], length)
+    return out
+
+
+def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of the sieve that stand for a hash."""
+    shift = np.uint64(64 - bits)
+    return (hashes >> shift).astype(np.int64), ((hashes * np.uint64(SECOND)) >> shift).astype(np.int64)
+
+
+def _sliced(words: pa.Array) -> Iterator[pa.Array]:
+    """The words in order, about ``SLICE`` code points at a time."""
+    ends = np.cumsum(pc.utf8_length(words).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(words):
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + SLICE, "right")))
+        yield words.slice(at, end - at)
+        at = end
+
+
+def _edges(words: Spelled, forms: Spelled, steps: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(place, form) for every form found anywhere in the words, compared code point by code point."""
+    hashes, sizes = _form_hashes(forms, steps), np.diff(forms.first)
+    order = np.argsort(hashes, kind="stable")
+    ordered = hashes[order]
+    places, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for length in steps:
+        at = np.flatnonzero(words.left >= length)
+        own = words.hashes(at, length)
+        low, high = np.searchsorted(ordered, own, "left"), np.searchsorted(ordered, own, "right")
+        count = high - low
+        at, low, count = (a[count > 0] for a in (at, low, count))
+        begin = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) if len(at) else low
+        places.append(np.repeat(at, count))
+        found.append(order[begin + np.arange(len(begin))])
+    at, form = np.concatenate(places), np.concatenate(found)
+    fits = sizes[form] <= words.left[at]
+    at, form = at[fits], form[fits]
+    if not len(at):
+        return at, form
+    # Hashes of beginnings only proposed the forms.
+    size = sizes[form]
+    start = np.concatenate([[0], np.cumsum(size)[:-1]])
+    within = np.arange(size.sum()) - np.repeat(start, size)
+    same = words.code[np.repeat(at, size) + within] == forms.code[np.repeat(forms.first[form], size) + within]
+    right = np.logical_and.reduceat(same, start)
+    return at[right], form[right]
+
+
+def cheapest_paths(
+    words: Spelled, at: np.ndarray, form: np.ndarray, size: np.ndarray, cost: np.ndarray, unknown: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, place, form) of the pieces of least total cost that make up each word, in order.
+
+    A code point without a form costs ``unknown`` and has form -1. Ties go to fewer pieces, then to the
+    longer last piece. All words advance together, by the place within them from which they go on.
+    """
+    count = len(words.first) - 1
+    # A word of n code points has n + 1 nodes, one for each place between them.
+    start, end = words.first[:-1] + np.arange(count), words.first[1:] + np.arange(count)
+    total = len(words.code) + count
+    best, pieces = np.full(total, NEVER, np.int64), np.zeros(total, np.int64)
+    chosen = np.full(total, -1, np.int64)
+    best[start] = 0
+    source, target = at + words.text[at], at + words.text[at] + size
+    inside = at - words.first[words.text[at]]
+    order = np.argsort(inside, kind="stable")
+    longest = int(np.diff(words.first).max(initial=0))
+    bounds = np.searchsorted(inside[order], np.arange(longest + 1))
+    by_size = np.argsort(-np.diff(words.first), kind="stable")
+    lasting = np.searchsorted(-np.diff(words.first)[by_size], -np.arange(longest), "left")
+
+    def relax(source: np.ndarray, target: np.ndarray, price, edge) -> None:
+        value, number = best[source] + price, pieces[source] + 1
+        better = (value < best[target]) | ((value == best[target]) & (number < pieces[target]))
+        target = target[better]
+        best[target], pieces[target] = value[better], number[better]
+        chosen[target] = edge[better] if isinstance(edge, np.ndarray) else edge
+
+    for place in range(longest):
+        here = start[by_size[: lasting[place]]] + place
+        relax(here, here + 1, unknown, -1)
+        edge = order[bounds[place] : bounds[place + 1]]
+        relax(source[edge], target[edge], cost[edge], edge)
+    word, node, out = np.flatnonzero(end > start), end[end > start], []
+    while len(word):
+        edge = chosen[node]
+        node = np.where(edge >= 0, source[edge] if len(source) else node - 1, node - 1)
+        out.append((word, node, np.where(edge >= 0, form[edge] if len(form) else -1, -1)))
+        more = node > start[word]
+        word, node = word[more], node[more]
+    if not out:
+        return (np.zeros(0, np.int64),) * 3
+    word, node, form = (np.concatenate(column) for column in zip(*out))
+    order = np.argsort(node, kind="stable")
+    return word[order], (node - word)[order], form[order]
+
+
+def _known(lexicon: DataFrame) -> DataFrame:
+    """Each form once, with the cheapest of its rows."""
+    entry = F.struct(
+        F.col("cost").cast("long").alias("cost"),
+        F.coalesce("tag", F.lit(UNKNOWN)).alias("tag"),
+        F.coalesce("lemma", F.lit("")).alias("lemma"),
+    )
+    once = lexicon.where("form <> '' AND cost IS NOT NULL").groupBy("form").agg(F.min(entry).alias("entry"))
+    return once.select("form", "entry.cost", "entry.tag", F.nullif("entry.lemma", F.lit("")).alias("lemma"))
+
+
+def _hashed(known: DataFrame, steps: list[int]) -> DataFrame:
+    """The forms with the hashes by which they are asked for."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = _form_hashes(Spelled(batch.column("form")), steps).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(hashes)], names=[*batch.schema.names, "hash"]
+            )
+
+    return known.mapInArrow(add, "form string, cost long, tag string, lemma string, hash long")
+
+
+def _sieve(forms: DataFrame, bits: int) -> np.ndarray:
+    """Bits of which two are set for each form: what has one of its two unset is none."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = np.unique(np.concatenate(_places(batch.column(0).to_numpy().view(np.uint64), bits)))
+            yield pa.RecordBatch.from_pydict(
+                {"block": pa.array(both >> BLOCK_BITS), "place": pa.array(both % (1 << BLOCK_BITS))}
+            )
+
+    def block(group: pa.Table) -> pa.Table:
+        own = np.zeros(1 << BLOCK_BITS, bool)
+        own[group["place"].to_numpy()] = True
+        packed = np.packbits(own, bitorder="little").tobytes()
+        return pa.table({"block": group["block"].slice(0, 1), "packed": pa.array([packed], pa.binary())})
+
+    marked = forms.select("hash").mapInArrow(places, "block long, place long")
+    out = np.zeros(1 << bits - 3, np.uint8)
+    size = 1 << BLOCK_BITS - 3
+    for row in marked.groupBy("block").applyInArrow(block, "block long, packed binary").collect():
+        out[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(row["packed"], np.uint8)
+    return out
+
+
+def _asking(sieve: Broadcast, bits: int, steps: list[int], column: str) -> Callable:
+    """For a part: the hashes of beginnings in its words that may be those of forms, each once."""
+
+    def ask(group: pa.Table) -> pa.Table:
+        found = [np.zeros(0, np.uint64)]
+        for words in _sliced(_flat(group[column]).unique()):
+            spelled = Spelled(words)
+            for length in steps:
+                hashes = spelled.hashes(np.flatnonzero(spelled.left >= length), length)
+                for n in range(2):
+                    place = _places(hashes, bits)[n]
+                    hashes = hashes[(sieve.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0]
+                found.append(np.unique(hashes))
+        hashes = np.unique(np.concatenate(found)).view(np.int64)
+        part = pa.array(np.full(len(hashes), group["part"][0].as_py(), np.int32))
+        return pa.table({"part": part, "hash": pa.array(hashes)})
+
+    return ask
+
+
+def _flat(column: pa.ChunkedArray) -> pa.Array:
+    """A column of words, or the words of a column of lists; nulls as empty words."""
+    whole = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    return pc.fill_null(whole.flatten() if pa.types.is_list(whole.type) else whole, "")
+
+
+def _pieces(words: pa.Array, known: pa.Table, steps: list[int], unknown: int) -> Iterator[tuple]:
+    """For slices of the words: their code points, and the (word, place, form) of the cheapest pieces."""
+    forms = Spelled(_flat(known["form"]))
+    size, cost = np.diff(forms.first), known["cost"].to_numpy()
+    for part in _sliced(words):
+        spelled = Spelled(part)
+        at, form = _edges(spelled, forms, steps)
+        paths = cheapest_paths(spelled, at, form, size[form], cost[form], unknown)
+        yield spelled, *paths
+
+
+def _token_lists(words: pa.Array, known: pa.Table, steps: list[int], unknown: int) -> pa.ChunkedArray:
+    """The tokens of each word; neighbouring unknown pieces are one."""
+    tags = pa.concat_arrays([_flat(known["tag"]), pa.array([UNKNOWN])])
+    lemmas = pa.concat_arrays([*known["lemma"].chunks, pa.array([None], pa.string())])
+    strange = pc.equal(tags, UNKNOWN).to_numpy(zero_copy_only=False)
+    lists = []
+    for spelled, word, place, form in _pieces(words, known, steps, unknown):
+        begins = np.ones(len(word), bool)
+        begins[1:] = ~(strange[form][1:] & strange[form][:-1] & (word[1:] == word[:-1]))
+        first = np.flatnonzero(begins)
+        last = pa.array(form[np.append(first[1:], len(word)) - 1] % len(tags)) if len(word) else pa.array([], pa.int64())
+        # The forms of all tokens, one behind another, are the words.
+        width = 1 + sum((spelled.code > most).astype(np.int64) for most in (0x7F, 0x7FF, 0xFFFF))
+        ends = np.concatenate([[0], np.cumsum(width)])
+        offsets = np.append(ends[place[first]], len(spelled.utf8)).astype(np.int32)
+        texts = [None, pa.py_buffer(offsets), pa.py_buffer(spelled.utf8)]
+        columns = [pa.Array.from_buffers(pa.string(), len(first), texts), tags.take(last), lemmas.take(last)]
+        bounds = np.searchsorted(word[first], np.arange(len(spelled.first))).astype(np.int32)
+        structs = pa.StructArray.from_arrays(columns, ["form", "tag", "lemma"])
+        lists.append(pa.ListArray.from_arrays(pa.array(bounds), structs))
+    return pa.chunked_array(lists)
+
+
+def _kept(words: pa.Array, known: pa.Table, steps: list[int], unknown: int) -> pa.Array:
+    """The kept lemmas of each word, joined by spaces."""
+    lemmas = pa.concat_arrays([*known["kept"].chunks, pa.array([None], pa.string())])
+    joined = [pa.array([], pa.string())]
+    for spelled, word, _, form in _pieces(words, known, steps, unknown):
+        own = lemmas.take(pa.array(form % len(lemmas)))
+        valid = own.is_valid().to_numpy(zero_copy_only=False)
+        bounds = np.searchsorted(word[valid], np.arange(len(spelled.first))).astype(np.int32)
+        joined.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds), own.drop_null()), " "))
+    return pa.concat_arrays(joined)
+
+
+def _dealt(df: DataFrame, size: Column, by: list[str]) -> DataFrame:
+    """``df`` with the part of each row, some ``PART_BYTES`` each but enough for all tasks."""
+    total = df.agg(F.sum(size)).first()[0] or 0
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, math.ceil(total / PART_BYTES), min(tasks, math.ceil(total / (1 << 16))))
+    return df.withColumn("part", F.pmod(F.xxhash64(*by), F.lit(parts)).cast("int")).repartition(parts, "part")
+
+
+def _with_forms(
+    parted: DataFrame, column: str, lexicon: DataFrame, kept: Column, work: Callable, schema: str
+) -> DataFrame:
+    """``work`` done on each part and the forms that may be in its words (form, cost, tag, lemma, kept)."""
+    spark = parted.sparkSession
+    known = stored(_known(lexicon), "lexicon")
+    count, longest = known.agg(F.count(F.lit(1)), F.max(F.char_length("form"))).first()
+    steps = prefix_lengths(longest or 0)
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(FORM_BITS * max(count, 1)))))
+    forms = _hashed(known, steps)
+    sieve = spark.sparkContext.broadcast(_sieve(forms, bits))
+    asked = parted.select("part", column).groupBy("part").applyInArrow(_asking(sieve, bits, steps, column), ASKED)
+    found = asked.join(forms.withColumn("kept", kept), "hash").select("part", "form", "cost", "tag", "lemma", "kept")
+
+    def both(own: pa.Table, known: pa.Table) -> pa.Table:
+        return work(own, known, steps)
+
+    return parted.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(both, schema)
 
 
 def break_words(words: DataFrame, lexicon: DataFrame, unknown: int = 1000) -> DataFrame:
@@ -74,72 +330,21 @@ def break_words(words: DataFrame, lexicon: DataFrame, unknown: int = 1000) -> Da
     likelier, below ``unknown``). Of several rows of a form the cheapest counts, then the smallest
     tag and lemma; null or empty forms and null costs stand for nothing; a null tag is UN.
 
-    At each place of a word, the beginnings of a few lengths meet in one join the forms that begin so;
-    the rest of a form is compared afterwards. So a place costs rows as the logarithm of the longest
-    form, and the work grows with the distinct words, not with the texts. A digest stands for the
-    word, and only the forms proposed for one word are ever brought together. Null words are left out; an empty
-    word has no tokens; without a lexicon each word is one unknown token.
+    The distinct words are dealt into parts. A part asks for the beginnings, of a few lengths, at any
+    place of its words, each once and only if a bit table of the lexicon does not rule it out; one join
+    answers with the forms that begin so, and the rest of a form is compared in the task. So the rows
+    moved grow with the distinct words and not with their places, nor with the texts. Null words are
+    left out; an empty word has no tokens; without a lexicon each word is one unknown token.
     """
-    known = (
-        lexicon.where("form <> '' AND cost IS NOT NULL")
-        .groupBy("form")
-        .agg(
-            F.min(
-                F.struct(
-                    F.col("cost").cast("long").alias("cost"),
-                    F.coalesce("tag", F.lit(UNKNOWN)).alias("tag"),
-                    F.coalesce("lemma", F.lit("")).alias("lemma"),
-                )
-            ).alias("entry")
-        )
-    )
-    longest = known.agg(F.max(F.char_length("form"))).first()[0] or 0
-    steps = prefix_lengths(longest)
-    entries = known.select(
-        "form", "entry", F.char_length("form").alias("size"), _prefix_hash("form", steps).alias("hash")
-    )
-    # A few bytes of words make many rows below, so that partitions are not to be joined to few.
-    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = words.select("word").dropna().distinct().withColumn("key", F.unhex(F.sha2("word", 256)))
-    keyed = keyed.repartition(tasks, "key")
-    size = F.char_length("word")
-    begins = F.when(size > 0, F.sequence(F.lit(0), size - 1))
-    from_here = keyed.select("key", "word", F.explode(begins).alias("begin")).select(
-        "key", "begin", F.substring("word", F.col("begin") + 1, F.lit(longest)).alias("rest")
-    )
-    left = F.char_length("rest")
-    prefixes = F.transform(
-        F.filter(F.array(*[F.lit(n) for n in steps]), lambda n: n <= left),
-        lambda n: F.xxhash64(n, F.left("rest", n)),
-    )
-    places = from_here.select("key", "begin", F.explode(prefixes).alias("hash"))
-    edge = F.struct(
-        "begin",
-        (F.col("begin") + F.col("size")).alias("end"),
-        "entry.cost",
-        "form",
-        "entry.tag",
-        F.nullif("entry.lemma", F.lit("")).alias("lemma"),
-    )
-    edges = places.join(entries, "hash").groupBy("key").agg(F.collect_list(edge).alias("edges"))
-
-    @F.arrow_udf(ANALYSED_TOKENS)
-    def tokens(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, found in batches:
-            at, known = found.offsets.to_pylist(), found.is_valid().to_pylist()
-            columns = [column.to_pylist() for column in found.values.flatten()]
-            offsets, forms = [0], []
-            for k, word in enumerate(texts.to_pylist()):
-                span = slice(at[k], at[k + 1] if known[k] else at[k])
-                # Hashes of beginnings only proposed the forms.
-                own = [e for e in zip(*[c[span] for c in columns]) if word[e[0] : e[1]] == e[3]]
-                forms += cheapest_path(word, own, unknown)
-                offsets.append(len(forms))
-            parts = [pa.array([form[n] for form in forms], pa.string()) for n in range(3)]
-            structs = pa.StructArray.from_arrays(parts, ["form", "tag", "lemma"])
-            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs)
-
-    return keyed.join(edges, "key", "left").select("word", tokens("word", "edges").alias("tokens"))
+    distinct = stored(words.select("word").dropna().distinct(), "distinct-words")
+    parted = _dealt(distinct, F.octet_length("word") + 1, ["word"])
+
+    def work(own: pa.Table, known: pa.Table, steps: list[int]) -> pa.Table:
+        each = _flat(own["word"])
+        return pa.table({"word": each, "tokens": _token_lists(each, known, steps, unknown)})
+
+    schema = f"word string, tokens {ANALYSED_TOKENS.simpleString()}"
+    return _with_forms(parted, "word", lexicon, F.lit(None).cast("string"), work, schema)
 
 
 def normalize_by_lexicon(
@@ -151,26 +356,30 @@ def normalize_by_lexicon(
 ) -> DataFrame:
     """``id``, the original text, and the kept lemmas of its words as the lexicon breaks them.
 
-    As ``normalize_reviews`` with an analyser that knows the lexicon, but each distinct word is
-    analysed once, and each distinct text put together once. Tags and stopwords count as there.
-    One row per row of ``df``; a text without kept lemmas, also a null one, gives "".
+    As ``normalize_reviews`` with an analyser that knows the lexicon, but the texts are dealt into
+    parts, and a part fetches its forms as in ``break_words`` and analyses each of its words once. Tags
+    and stopwords count as there. One row per row of ``df``; a text without kept lemmas, also a null
+    one, gives "".
     """
-    reviews = df.select(
-        F.col("id").cast("string").alias("id"),
-        F.col(text).alias("original_text"),
-        F.unhex(F.sha2(text, 256)).alias("text_key"),
-    )
-    placed = reviews.select(
-        "text_key", F.posexplode(words_in(reviews, "original_text")).alias("pos", "word")
-    )
-    broken = break_words(placed, lexicon, unknown).select(
-        "word", F.array_join(kept_lemmas(F.col("tokens"), stopwords), " ").alias("lemmas")
-    )
-    said = placed.join(broken.where("lemmas <> ''"), "word")
-    ordered = F.array_sort(F.collect_set(F.struct("pos", "lemmas")))
-    normalized = said.groupBy("text_key").agg(
-        F.array_join(F.transform(ordered, lambda item: item["lemmas"]), " ").alias("normalized_text")
-    )
-    return reviews.join(normalized, "text_key", "left").select(
-        "id", "original_text", F.coalesce("normalized_text", F.lit("")).alias("normalized_text")
-    )
+    reviews = df.select(F.col("id").cast("string").alias("id"), F.col(text).alias("original_text"))
+    parted = _dealt(reviews, F.coalesce(F.octet_length("original_text"), F.lit(0)) + 16, ["id", "original_text"])
+    parted = parted.withColumn("words", words_in(parted, "original_text"))
+    token = F.struct("form", "tag", "lemma")
+
+    def work(own: pa.Table, known: pa.Table, steps: list[int]) -> pa.Table:
+        words = _flat(own["words"]).dictionary_encode()
+        lemmas = _kept(words.dictionary, known, steps, unknown).take(words.indices)
+        said = pc.not_equal(lemmas, "").to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.list_value_length(own["words"]), 0).to_numpy()
+        before = np.concatenate([[0], np.cumsum(said)])[np.concatenate([[0], np.cumsum(sizes)])]
+        lists = pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), lemmas.filter(pa.array(said)))
+        return pa.table(
+            {
+                "id": own["id"],
+                "original_text": own["original_text"],
+                "normalized_text": pc.binary_join(lists, " "),
+            }
+        )
+
+    schema = "id string, original_text string, normalized_text string"
+    return _with_forms(parted, "words", lexicon, F.get(kept_lemmas(F.array(token), stopwords), F.lit(0)), work, schema)

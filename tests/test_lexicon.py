@@ -3,9 +3,19 @@
 import random
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 
-from reviewlens.operators.lexicon import UNKNOWN, break_words, normalize_by_lexicon
+from reviewlens.operators.lexicon import (
+    LEAST_BITS,
+    UNKNOWN,
+    _asking,
+    _hashed,
+    _sieve,
+    break_words,
+    normalize_by_lexicon,
+    prefix_lengths,
+)
 
 LEXICON = "form string, tag string, lemma string, cost long"
 
@@ -94,3 +104,33 @@ def test_texts(spark):
         ("2", "영화는 xx", "영화"),
         ("3", "좋은영화, 최고영화!", "좋다 영화 영화"),
     }
+
+
+class Shared:
+    """As a broadcast variable."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def test_a_part_asks_once_for_each_form_it_may_hold(spark):
+    rows = [("ab", 1, "NNG", None), ("abab", 1, "NNG", None), ("영화는좋은영화", 1, "NNG", None)]
+    known = spark.createDataFrame(rows, "form string, cost long, tag string, lemma string")
+    steps = prefix_lengths(7)
+    forms = _hashed(known, steps)
+    sieve = _sieve(forms, LEAST_BITS)
+    words = ["ab" * 3000, "abx", "영화는좋은영화", "영화"]
+    group = pa.table({"part": pa.array([5] * 4, pa.int32()), "word": words})
+    asked = _asking(Shared(sieve), LEAST_BITS, steps, "word")(group).to_pylist()
+    # 6,008 places and up to seven lengths at each; before, each of these was a row.
+    assert {r["part"] for r in asked} == {5} and len(asked) <= 8
+    assert {r["hash"] for r in asked} >= {r.hash for r in forms.collect()}
+
+
+def test_texts_in_many_parts(spark, monkeypatch):
+    monkeypatch.setattr("reviewlens.operators.lexicon.PART_BYTES", 64)
+    rows = [(str(n % 7), f"abcab {n} abab" if n % 3 else None) for n in range(60)]
+    lexicon = spark.createDataFrame([("ab", "NNG", "abby", 1), ("c", "VV", None, 2)], LEXICON)
+    found = normalize_by_lexicon(spark.createDataFrame(rows, "id string, text string"), lexicon, stopwords=[])
+    got = sorted((r.id, r.original_text or "", r.normalized_text) for r in found.collect())
+    assert got == sorted((i, t or "", "abby c abby abby abby" if t else "") for i, t in rows)
