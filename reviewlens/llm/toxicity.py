@@ -1,13 +1,20 @@
-"""A small convolutional text classifier: trained in numpy, applied to whole texts in Arrow batches."""
+"""A small convolutional text classifier: trained in numpy, applied to whole texts in Arrow batches.
+
+All labelled rows are learned from. Up to ``shard_rows`` of them are one task's work; more are dealt into
+shards, each of which trains from the common parameters for a while; their changes are averaged, and the
+next round begins from there.
+"""
 
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +26,7 @@ from reviewlens.llm.text import (
     slices,
     words_of,
 )
+from reviewlens.storage import stored
 
 # Frequent words by which a text's language is guessed; one tie goes to the first.
 LANGUAGE_WORDS = {
@@ -33,15 +41,18 @@ BUCKETS = 1 << 15
 STEM_BYTES = 4  # a word is embedded as the sum of itself and its first bytes
 PAD = 2 * BUCKETS  # the bucket after those of words and stems; its embedding is zero
 BLOCK_WORDS = 1 << 15
+BINS = 10_000  # of probability, by which rows are counted where there are many
 TABLE = alphanumeric_table()
 
 
 @dataclass
 class Settings:
-    """What is fixed before training; ``sample_rows`` and ``sample_words`` bound what is gathered."""
+    """What is fixed before training; ``shard_rows`` and ``shard_words`` say what a task holds, about."""
 
-    sample_rows: int = 8000
-    sample_words: int = 5_000
+    shard_rows: int = 8000
+    shard_words: int = 8_000_000
+    rounds: int = 4  # in which shards train apart, where there are several
+    batch_words: int = 1 << 20  # a step ends early when its texts have as many words
     dimension: int = 12
     widths: tuple[int, ...] = (1, 2, 3)
     filters: int = 10
@@ -50,7 +61,7 @@ class Settings:
     rate: float = 0.01
     decay: float = 1e-5
     drop_words: float = 0.1
-    min_docs: int = 4  # buckets in fewer texts of the sample have the zero embedding
+    min_docs: int = 4  # buckets in fewer training texts have the zero embedding
     seed: int = 7
 
 
@@ -185,36 +196,51 @@ def probabilities(parts: dict, buckets: np.ndarray, first: np.ndarray) -> np.nda
     return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def train(texts: list[np.ndarray], labels: np.ndarray, settings: Settings) -> Model:
-    """Gradient descent (Adam) on the cross entropy, with the classes weighted equally.
-
-    Max pooling passes the gradient to one window per text and filter only, so a step costs little
-    beyond the forward pass.
-    """
-    s = settings
-    random = np.random.default_rng(s.seed)
-    d, f = s.dimension, s.filters
-    par = {"E": random.normal(0, 0.3, (PAD + 1, d)).astype(np.float32)}
+def _found(texts: list[np.ndarray]) -> np.ndarray:
+    """How many texts have each bucket."""
     found = np.zeros(PAD + 1, np.int64)
     for text in texts:
         found[np.unique(text)] += 1
+    return found
+
+
+def _initial(found: np.ndarray, s: Settings, random: np.random.Generator) -> dict:
+    """Parameters to begin with; buckets that too few texts have stay at nought."""
+    d, f = s.dimension, s.filters
+    par = {"E": random.normal(0, 0.3, (PAD + 1, d)).astype(np.float32)}
     par["E"][found < s.min_docs] = 0
-    known = np.where(found < s.min_docs, PAD, np.arange(PAD + 1)).astype(np.int32)
-    texts = [known[text] for text in texts]
     for w in s.widths:
         par[f"K{w}"] = random.normal(0, 1 / np.sqrt(w * d), (w, d, f)).astype(np.float32)
         par[f"b{w}"] = np.zeros(f, np.float32)
     par["W"] = random.normal(0, 0.3, f * len(s.widths)).astype(np.float32)
     par["c"] = np.zeros(1, np.float32)
+    return par
+
+
+def _batches(order: np.ndarray, sizes: np.ndarray, s: Settings) -> Iterator[np.ndarray]:
+    """The texts in order, as many at a time as a step takes."""
+    at = 0
+    while at < len(order):
+        chosen = order[at : at + s.batch]
+        fits = int(np.searchsorted(np.cumsum(sizes[chosen]), s.batch_words, "right"))
+        yield chosen[: max(1, fits)]
+        at += max(1, min(fits, len(chosen)))
+
+
+def _descend(
+    par: dict, texts: list[np.ndarray], labels: np.ndarray, found: np.ndarray, share: float, steps: int,
+    s: Settings, random: np.random.Generator,
+) -> None:
+    """Changes the parameters by ``steps`` batches, at least whole rounds of the texts."""
+    known = np.where(found < s.min_docs, PAD, np.arange(PAD + 1)).astype(np.int32)
+    texts = [known[text] for text in texts]
+    sizes = np.array([len(text) for text in texts])
     m1 = {k: np.zeros_like(v) for k, v in par.items()}
     m2 = {k: np.zeros_like(v) for k, v in par.items()}
-    share = np.clip(labels.mean(), 1e-3, 1 - 1e-3) if len(labels) else 0.5
     cost = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
     step = 0
-    while len(texts) and step < s.steps:
-        order = random.permutation(len(texts))
-        for at in range(0, len(order), s.batch):
-            chosen = order[at : at + s.batch]
+    while len(texts) and step < steps:
+        for chosen in _batches(random.permutation(len(texts)), sizes, s):
             grad = _gradient(par, [texts[i] for i in chosen], labels[chosen], cost[chosen], s, random)
             step += 1
             for k, g in grad.items():
@@ -226,13 +252,28 @@ def train(texts: list[np.ndarray], labels: np.ndarray, settings: Settings) -> Mo
                 m2[k][rows] = 0.999 * m2[k][rows] + 0.001 * g * g
                 rise = m1[k][rows] / (1 - 0.9**step)
                 par[k][rows] -= s.rate * rise / (np.sqrt(m2[k][rows] / (1 - 0.999**step)) + 1e-8)
-    return Model(
-        par["E"],
-        {w: par[f"K{w}"] for w in s.widths},
-        {w: par[f"b{w}"] for w in s.widths},
-        par["W"],
-        float(par["c"][0]),
-    )
+
+
+def _share(toxic: float, rows: int) -> float:
+    return float(np.clip(toxic / rows, 1e-3, 1 - 1e-3)) if rows else 0.5
+
+
+def _model(par: dict, s: Settings) -> Model:
+    kernels, biases = {w: par[f"K{w}"] for w in s.widths}, {w: par[f"b{w}"] for w in s.widths}
+    return Model(par["E"], kernels, biases, par["W"], float(par["c"][0]))
+
+
+def train(texts: list[np.ndarray], labels: np.ndarray, settings: Settings) -> Model:
+    """Gradient descent (Adam) on the cross entropy, with the classes weighted equally.
+
+    Max pooling passes the gradient to one window per text and filter only, so a step costs little
+    beyond the forward pass.
+    """
+    random, found = np.random.default_rng(settings.seed), _found(texts)
+    par = _initial(found, settings, random)
+    share = _share(labels.sum(), len(labels))
+    _descend(par, texts, labels, found, share, settings.steps, settings, random)
+    return _model(par, settings)
 
 
 def _gradient(par, texts, labels, cost, s: Settings, random) -> dict:
@@ -295,63 +336,166 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Model:
-    """Trains on a bounded sample of labelled rows that are not held out.
-
-    ``labels``: doc_id, toxic (0 or 1; several rows of an id count as their maximum; others are
-    ignored); of several texts of an id the one with the smallest hash is learned from. At most ``sample_rows`` ids, those with the smallest hash, are joined to ``docs`` by a
-    broadcast of that bounded list; texts of more than ``sample_words`` words are not drawn. Every
-    fifth drawn row is kept from training and calibrates the thresholds by language. Without
-    usable rows, the model is untrained and scores near 0.5. Training is one task over the bounded
-    sample; the driver gets the parameters, and no texts.
-    """
-    s = settings or Settings()
-    bounded_batches(docs.sparkSession)
-    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id")
-    drawn = (
-        known.agg(F.max("toxic").cast("int").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(s.sample_rows)
-        .withColumnRenamed("doc_id", "labelled")
-    )
+def _training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, words, language, toxic) of every labelled text that may be learned from."""
+    usable = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id")
+    known = usable.agg(F.max("toxic").cast("int").alias("toxic")).withColumnRenamed("doc_id", "labelled")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             words, buckets = features_of(batch.column(1))
-            keep = np.flatnonzero(np.diff(words.first) <= s.sample_words)
-            rows = pa.ListArray.from_arrays(
-                pa.array(2 * words.first, pa.int32()), pa.array(buckets.ravel())
-            )
+            ends = pa.array(2 * words.first, pa.int32())
+            rows = pa.ListArray.from_arrays(ends, pa.array(buckets.ravel()))
+            language = pa.array(languages_of(words).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(keep)),
-                    rows.take(pa.array(keep)),
-                    pa.array(languages_of(words)[keep].astype(np.int32)),
-                    batch.column(2).take(pa.array(keep)),
-                ],
+                [batch.column(0), rows, language, batch.column(2)],
                 names=["doc_id", "words", "language", "toxic"],
             )
 
-    sample = id_and_text(docs).join(F.broadcast(drawn), F.col("doc_id") == F.col("labelled"))
+    rows = id_and_text(docs).where(~held_out()).join(known, F.col("doc_id") == F.col("labelled"))
     one_text = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
-    sample = sample.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
+    rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         one_text, F.max("toxic").alias("toxic")
     )
     schema = "doc_id long, words array<int>, language int, toxic int"
-    gathered = sample.select("doc_id", "text", "toxic").mapInArrow(features, schema).repartition(1)
+    return stored(rows.select("doc_id", "text", "toxic").mapInArrow(features, schema), "toxicity")
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Texts, languages and labels of a task's rows (doc_id, words, language, toxic), by id."""
+    texts, rest = [], []
+    for batch in batches:
+        texts += [np.array(row.values, np.int32).reshape(-1, 2) for row in batch.column("words")]
+        own = [batch.column(name).to_numpy() for name in ("doc_id", "language", "toxic")]
+        rest.append(np.stack(own, axis=1).astype(np.int64))
+    about = np.concatenate(rest) if rest else np.zeros((0, 3), np.int64)
+    order = np.argsort(about[:, 0], kind="stable")
+    return [texts[k] for k in order], about[order, 1], about[order, 2]
+
+
+def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Model:
+    """Trains on all labelled rows that are not held out.
+
+    ``labels``: doc_id, toxic (0 or 1; several rows of an id count as their maximum; others are
+    ignored); of several texts of an id the one with the smallest hash is learned from. Texts are
+    learned from whole. Every fifth row, by id, is kept from training and calibrates the thresholds by
+    language. Without usable rows, the model is untrained and scores near 0.5. Up to ``shard_rows`` rows are
+    one task's work. More are dealt into shards; of these the driver gets the parameters alone, averaged in
+    two levels, numbers of texts per bucket and counts per hundredth of a percent of probability.
+    """
+    s = settings or Settings()
+    bounded_batches(docs.sparkSession)
+    rows = _training_rows(docs, labels)
+    count, words = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("words")), F.lit(0)) / 2).first()
+    shards = max(1, math.ceil(count / s.shard_rows), math.ceil(words / s.shard_words))
+    if shards > 1:
+        return _fit_shards(rows, shards, s)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, language, toxic = _gathered(batches)
+        yield pa.RecordBatch.from_pydict({"model": [_calibrated(texts, language, toxic, s).to_bytes()]})
+
+    return Model.from_bytes(rows.repartition(1).mapInArrow(learn, "model binary").first()["model"])
+
+
+def _flat(par: dict) -> np.ndarray:
+    return np.concatenate([np.ravel(par[k]) for k in sorted(par)])
+
+
+def _unflat(flat: np.ndarray, like: dict) -> dict:
+    names = sorted(like)
+    ends = np.cumsum([like[k].size for k in names])[:-1]
+    return {k: part.reshape(like[k].shape).astype(np.float32) for k, part in zip(names, np.split(flat, ends))}
+
+
+def _added(group: pa.Table) -> pa.Table:
+    """Changes of several shards, and how many shards changed each number, summed."""
+    columns = [[np.frombuffer(row.as_py(), np.float32) for row in group[name]] for name in ("change", "shards")]
+    return pa.table({name: [sum(rows).tobytes()] for name, rows in zip(("change", "shards"), columns)})
+
+
+def _learner(begin: Broadcast, share: float, turn: int, steps: int, s: Settings) -> Callable:
+    """For a task's rows, which are a shard: what a round changes in the common parameters."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, rest = [], []
+        common, found = begin.value
+        own, number = {k: v.copy() for k, v in common.items()}, TaskContext.get().partitionId()
+        texts, _, labels = _gathered(batches)
+        if not texts:
+            return
+        _descend(own, texts, labels, found, share, steps, s, np.random.default_rng([s.seed, turn, number]))
+        change = _flat(own) - _flat(common)
+        changed = (change != 0).astype(np.float32)
+        yield pa.RecordBatch.from_pydict(
+            {"branch": pa.array([number // 8], pa.int32()), "change": [change.tobytes()], "shards": [changed.tobytes()]}
+        )
+
+    return learn
+
+
+def _fit_shards(rows: DataFrame, shards: int, s: Settings) -> Model:
+    """Rounds of training in shards; a number's changes are averaged over the shards that changed it.
+
+    The stored rows are read as they lie, one shard a task, and every round goes at least once through all.
+    """
+    spark, sums = rows.sparkSession, "change binary, shards binary"
+    # About every fifth row.
+    spare = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 4
+    learned, steps = rows.where(~spare), math.ceil(2 * s.steps / (s.rounds * shards))
+    number, toxic = learned.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    share, found = _share(toxic, number), np.zeros(PAD + 1, np.int64)
+    bucket = F.explode(F.array_distinct("words")).alias("bucket")
+    for row in learned.select(bucket).groupBy("bucket").count().collect():
+        found[row["bucket"]] = row["count"]
+    par = _initial(found, s, np.random.default_rng(s.seed))
+    for turn in range(s.rounds):
+        begin = spark.sparkContext.broadcast((par, found))
+        learn = _learner(begin, share, turn, steps, s)
+        changes = learned.mapInArrow(learn, f"branch int, {sums}")
+        few = changes.groupBy("branch").applyInArrow(_added, sums)
+        total = few.groupBy(F.lit(0).alias("all")).applyInArrow(_added, sums).first()
+        by = np.maximum(np.frombuffer(total["shards"], np.float32), 1)
+        par = _unflat(_flat(par) + np.frombuffer(total["change"], np.float32) / by, par)
+        begin.unpersist()
+    model = _model(par, s)
+    _calibrate_shards(rows.where(spare), model)
+    return model
+
+
+def _calibrate_shards(spare: DataFrame, model: Model) -> None:
+    """Thresholds out of the counts of all spare rows by language, bin of probability and label."""
+    shared = spare.sparkSession.sparkContext.broadcast(model.to_bytes())
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = Model.from_bytes(shared.value).parts()
         for batch in batches:
-            texts += [np.array(row.values, np.int32).reshape(-1, 2) for row in batch.column(1)]
-            rest.append(np.stack([batch.column(k).to_numpy() for k in (0, 2, 3)], axis=1))
-        about = np.concatenate(rest) if rest else np.zeros((0, 3), np.int64)
-        order = np.argsort(about[:, 0], kind="stable")
-        texts, about = [texts[k] for k in order], about[order]
-        model = _calibrated(texts, about[:, 1], about[:, 2].astype(np.int64), s)
-        yield pa.RecordBatch.from_pydict({"model": [model.to_bytes()]})
-
-    return Model.from_bytes(gathered.mapInArrow(learn, "model binary").first()["model"])
+            texts = batch.column("words")
+            first = (np.concatenate([[0], np.cumsum(texts.value_lengths().to_numpy())]) // 2).astype(np.int64)
+            p = probabilities(parts, texts.flatten().to_numpy().reshape(-1, 2), first)
+            bins = np.minimum((p * BINS).astype(np.int32), BINS - 1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("language"), pa.array(bins), batch.column("toxic")], names=["language", "bin", "toxic"]
+            )
+
+    counts = np.zeros((len(LANGUAGES), 2, BINS), np.int64)
+    rated = spare.select("words", "language", "toxic").mapInArrow(rate, "language int, bin int, toxic int")
+    for row in rated.groupBy("language", "bin", "toxic").count().collect():
+        counts[row["language"], row["toxic"], row["bin"]] = row["count"]
+    for n, name in enumerate(LANGUAGES):
+        model.thresholds[name] = _binned_threshold(*counts[n])
+
+
+def _binned_threshold(clean: np.ndarray, toxic: np.ndarray) -> float:
+    """As ``threshold``, for numbers of rows per bin of probability."""
+    if clean.sum() + toxic.sum() < 20 or not clean.any() or not toxic.any():
+        return 0.5
+    (used,) = np.nonzero(clean + toxic)
+    below = np.concatenate([[0], np.cumsum(clean[used])])
+    above = np.concatenate([np.cumsum(toxic[used][::-1])[::-1], [0]])
+    edge = np.concatenate([[0], (used + 0.5) / BINS, [1]])
+    best = np.flatnonzero(below + above == (below + above).max())
+    widest = best[np.argmax(edge[best + 1] - edge[best])]
+    return float(np.clip((edge[widest] + edge[widest + 1]) / 2, 0.02, 0.98))
 
 
 def _calibrated(

@@ -201,6 +201,33 @@ def test_gradient_matches_differences():
             assert abs((up - down) / (2 * step) - grad[name][at]) < 1e-3
 
 
+@pytest.mark.parametrize("shard_rows", [8000, 100])
+def test_toxicity_learns_from_all_rows_and_whole_texts(spark, docs_of, shard_rows):
+    """The label hangs on the last of 6,000 words in some texts; with few rows a shard there are several."""
+    draw = random.Random(5)
+    rows, labels = [], []
+    for n in range(600):
+        word = draw.choice(["vile", "kind"])
+        rows.append((n, ("x " * 5999 if n % 30 == 0 else "a text ") + word))
+        labels.append((n, int(word == "vile")))
+    docs, known = docs_of(rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    settings = toxicity.Settings(steps=200, shard_rows=shard_rows)
+    learned = toxicity._training_rows(docs, known)
+    outside = docs.where(~toxicity.held_out()).count()
+    assert learned.count() == outside and learned.where("size(words) = 12000").count() > 10
+    scored = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, known, settings)).collect()}
+    assert sum((scored[n] >= 0.5) == bool(toxic) for n, toxic in labels) > 0.98 * len(labels)
+
+
+def test_toxicity_thresholds_of_counts():
+    clean, toxic = np.zeros(toxicity.BINS, int), np.zeros(toxicity.BINS, int)
+    clean[1000], clean[3000], toxic[7000] = 20, 5, 10
+    assert toxicity._binned_threshold(clean, toxic) == pytest.approx(0.5, abs=1e-3)
+    p, y = np.repeat([0.1, 0.3, 0.7], [20, 5, 10]), np.repeat([0, 0, 1], [20, 5, 10])
+    assert toxicity.threshold(p, y) == pytest.approx(0.5, abs=1e-3)
+    assert toxicity._binned_threshold(clean, 0 * toxic) == 0.5
+
+
 def test_toxicity_edge_cases(spark, docs_of):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     docs = docs_of([(1, None), (1, ""), (None, "a")])
