@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +33,9 @@ def simple_analyser() -> Analyser:
     return analyse
 
 
-# Texts whose tokens are held at a time by a Python analyser.
+# Texts whose tokens are held at a time by a Python analyser: so many, and fewer of more bytes.
 ANALYSED_TEXTS = 256
+ANALYSED_BYTES = 1 << 20
 
 
 def simple_tokens(text: Column) -> Column:
@@ -68,14 +70,45 @@ def analyse(text: Column, make_analyser: Callable[[], Analyser] | None = None) -
         for batch in batches:
             parts = [
                 _token_lists([analyser(review or "") for review in part.to_pylist()])
-                for at in range(0, len(batch), ANALYSED_TEXTS)
-                for part in [batch.slice(at, ANALYSED_TEXTS)]
+                for part in _slices(batch)
             ]
             yield pa.concat_arrays(parts) if parts else _token_lists([])
 
     return tokens(text)
 
 
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """At most ``ANALYSED_TEXTS`` texts at a time, and a few of ``ANALYSED_BYTES`` if they are long."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        most = (ends[at - 1] if at else 0) + ANALYSED_BYTES
+        end = min(max(at + 1, int(np.searchsorted(ends, most, "right"))), at + ANALYSED_TEXTS)
+        yield texts.slice(at, end - at)
+        at = end
+
+
+def _analysed(texts: DataFrame, make_analyser: Callable[[], Analyser]) -> DataFrame:
+    """(id, original_text, tokens) by an analyser made once per task.
+
+    Tokens take many times the room of their text, so they leave the task slice by slice; a column's
+    function would have to hold those of a whole batch of rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        analyser = make_analyser()
+        for batch in batches:
+            at = 0
+            for part in _slices(batch.column(1)):
+                tokens = _token_lists([analyser(review or "") for review in part.to_pylist()])
+                columns = [batch.column(0).slice(at, len(part)), part, tokens]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "original_text", "tokens"])
+                at += len(part)
+
+    schema = f"id string, original_text string, tokens {ANALYSED_TOKENS.simpleString()}"
+    return texts.mapInArrow(run, schema)
+
+
 def _token_lists(analysed: list[list[tuple[str, str, str | None]]]) -> pa.Array:
     """One list of tokens per text, as Arrow."""
     offsets = np.cumsum([0, *map(len, analysed)], dtype=np.int32)
@@ -107,10 +140,10 @@ def normalize_reviews(
     stopwords: list[str] | None = None,
 ) -> DataFrame:
     """``id``, the original text, and its kept lemmas joined by spaces; empty ones stay as ""."""
-    analysed = df.select(
-        F.col("id").cast("string").alias("id"),
-        F.col(text).alias("original_text"),
-        analyse(F.col(text), make_analyser).alias("tokens"),
-    )
+    texts = df.select(F.col("id").cast("string").alias("id"), F.col(text).alias("original_text"))
+    if make_analyser is None:
+        analysed = texts.withColumn("tokens", simple_tokens(F.col("original_text")))
+    else:
+        analysed = _analysed(texts, make_analyser)
     normalized = F.array_join(kept_lemmas(F.col("tokens"), stopwords), " ")
     return analysed.select("id", "original_text", normalized.alias("normalized_text"))

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,3 +234,21 @@ def test_merged_stopwords_of_two_tables_of_texts(spark, tmp_path):
     found = {r.word: r.lexicon for r in REGISTRY["merge_stopwords"](spark, str(tmp_path)).collect()}
     assert found.pop("says") == "talk" and found.pop("great") == "talk" and found.pop("cast") == "items"
     assert set(found.values()) <= {"talk", None}
+
+
+def test_analysed_texts_leave_in_slices(monkeypatch):
+    """Tokens of a whole batch of rows are never held at once; long texts come in fewer rows."""
+    texts = pa.array(["word " * 300, None, "", *["x"] * 600, "word " * 300])
+    assert [len(part) for part in normalise._slices(texts)] == [256, 256, 92]
+    monkeypatch.setattr(normalise, "ANALYSED_BYTES", 1000)
+    sizes = [len(part) for part in normalise._slices(texts)]
+    assert sizes[0] == 1 and sizes[-1] == 1 and sum(sizes) == len(texts)
+
+
+def test_analyser_runs_on_batches_of_rows(spark):
+    df = spark.range(3000).coalesce(1).select("id", F.lit("some words").alias("text"))
+    tokens = normalise._analysed(df.select(F.col("id").cast("string"), "text"), normalise.simple_analyser)
+    assert tokens.count() == 3000
+    assert "MapInArrow" in normalise.normalize_reviews(
+        df, make_analyser=normalise.simple_analyser
+    )._jdf.queryExecution().executedPlan().toString()
