@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.functions.tokens import LATIN, is_wanted, not_among, words_in
 from reviewlens.operators.filters import filter_rating
 
+# Stopwords of a table that are tested within the scan: so many at most, none longer than this, in so many lists.
+LISTED = 4096
+LISTED_CHARS = 100
+LISTS = 1024
+
 def with_words(df: DataFrame, text: str = "text") -> DataFrame:
     """The text replaced by its array of words.
 
@@ -95,18 +100,50 @@ def remove_stopwords(
     """The text's words without stopwords, joined by spaces in their order.
 
     A review left without words is dropped, or kept with an empty text. A list is tested within the
-    scan; a table of words, of any size, is an anti join, which Spark broadcasts if it is small.
-    Nulls among the stopwords stand for no word.
+    scan, and so is a table of few words, which is known when the query runs; a table of any other size
+    is an anti join. Nulls among the stopwords stand for no word.
     """
     if isinstance(stopwords, DataFrame):
-        return _remove_by_join(df, stopwords, text, output, keep_empty)
+        lists = _listed(stopwords)
+        few = df.where(lists.isNotNull()).withColumn("stopword_lists", lists)
+        words = F.filter(words_in(df, text), lambda word: ~_in_lists(F.col("stopword_lists"), word))
+        tested = _joined(few.withColumn(output, F.array_join(words, " ")), output, keep_empty).drop("stopword_lists")
+        return tested.unionByName(_remove_by_join(df.where(lists.isNull()), stopwords, text, output, keep_empty))
     words = F.filter(words_in(df, text), lambda word: not_among(word, stopwords))
-    cleaned = df.withColumn(output, F.array_join(words, " "))
+    return _joined(df.withColumn(output, F.array_join(words, " ")), output, keep_empty)
+
+
+def _joined(cleaned: DataFrame, output: str, keep_empty: bool) -> DataFrame:
     if keep_empty:
         return cleaned.withColumn(output, F.coalesce(output, F.lit("")))
     return cleaned.where(F.col(output) != "")
 
 
+def _list_of(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(LISTS)).cast("int")
+
+
+def _in_lists(lists: Column, word: Column) -> Column:
+    return F.array_contains(F.get(lists, _list_of(word)), word)
+
+
+def _listed(stopwords: DataFrame) -> Column:
+    """The words dealt into lists by their hash, as one value; null if they are too many or too long."""
+    words = stopwords.select("word").where("word IS NOT NULL").distinct().limit(LISTED + 1)
+    short = F.char_length("word") <= LISTED_CHARS
+    dealt = words.groupBy(_list_of(F.col("word")).alias("list")).agg(
+        F.collect_list(F.when(short, F.col("word"))).alias("words"), F.count(F.lit(1)).alias("n"), F.count_if(~short).alias("long")
+    )
+    whole = dealt.agg(
+        F.map_from_entries(F.collect_list(F.struct("list", "words"))).alias("lists"),
+        (F.coalesce(F.sum("n"), F.lit(0)) > LISTED).alias("many"),
+        (F.coalesce(F.sum("long"), F.lit(0)) > 0).alias("long"),
+    )
+    none = F.array().cast("array<string>")
+    lists = F.transform(F.sequence(F.lit(0), F.lit(LISTS - 1)), lambda k: F.coalesce(F.col("lists")[k], none))
+    return whole.select(F.when(~F.col("many") & ~F.col("long"), lists)).scalar()
+
+
 def _remove_by_join(
     df: DataFrame, stopwords: DataFrame, text: str, output: str, keep_empty: bool
 ) -> DataFrame:

@@ -252,3 +252,21 @@ def test_analyser_runs_on_batches_of_rows(spark):
     assert "MapInArrow" in normalise.normalize_reviews(
         df, make_analyser=normalise.simple_analyser
     )._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_table_of_few_stopwords_moves_no_words(spark, monkeypatch):
+    """Few words are tested in the scan, other tables joined; the results are the same."""
+    df = frame(spark, ("1", "a", 1.0, "the film the plot"), ("2", "a", 1.0, "the"), ("3", "a", 1.0, None), ("1", "b", 2.0, "plot"))
+    stop = spark.createDataFrame([("the",), ("of",), ("the",), (None,)], "word string")
+    got = []
+    for listed, chars in ((4096, 100), (2, 100), (1, 100), (4096, 2)):
+        monkeypatch.setattr(words, "LISTED", listed)
+        monkeypatch.setattr(words, "LISTED_CHARS", chars)
+        cleaned = words.remove_stopwords(df, stop, keep_empty=True)
+        got.append(sorted((r.id, r.platform, r.text_nostop) for r in cleaned.collect()))
+        final = cleaned._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        # What is joined was found empty, or not.
+        assert ("SortMergeJoin" in final or "HashJoin" in final) == (listed == 1 or chars == 2)
+    assert got[0] == [("1", "a", "film plot"), ("1", "b", "plot"), ("2", "a", ""), ("3", "a", "")]
+    assert all(rows == got[0] for rows in got)
+    assert words.remove_stopwords(df, stop.limit(0)).count() == 3
