@@ -2,19 +2,22 @@
 
 A randomised range finder: a block of hashed columns is multiplied by the sparse matrix of texts and
 words and by its transpose in turn, made orthonormal in between, until it spans the leading singular
-vectors. The matrix and both blocks, one row of numbers per text or per word, are stored tables, and
-products are joins and sums; the driver holds square matrices of the block's width alone.
+vectors. The matrix is stored in parts of whole texts, each with its own list of words. A task multiplies
+a part by arrays; between tasks only the sums of words that stand in several parts are exchanged, one
+row for each such word and part, however often its texts have it. The driver holds square matrices of
+the block's width alone.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlens.functions.tokens import words_in
@@ -23,6 +26,12 @@ from reviewlens.storage import stored
 
 # Directions of a block that are weaker than this share of the strongest are rounding.
 WEAKEST = 1e-12
+# Pairs of text and word in a part of the matrix, but for the rest of the last batch of texts.
+PART_ENTRIES = 1 << 23
+
+_MATRIX = "part long, sizes binary, low binary, high binary, counts binary, large binary"
+_PARTS = f"{_MATRIX}, ids array<string>, words array<string>, spread array<int>"
+_WEIGHTED = f"{_MATRIX}, rarity binary, length binary, shared binary, home binary, spot binary, y binary"
 
 
 @dataclass
@@ -33,121 +42,311 @@ class Semantic:
     values: list[float]
 
 
-def weighted_words(texts: DataFrame) -> DataFrame:
-    """(id, word, value): how often a text has a word, times the word's rarity, at length one per id.
+def _bags(texts: DataFrame) -> DataFrame:
+    """(id, words, counts): each id once, with the words of all its texts.
+
+    ``counts`` is null where words come as often as the text has them. Only the words of ids that come
+    more than once are shuffled; the different words of such an id end up in one row.
+    """
+    rows = texts.select(F.col("id").cast("string").alias("id"), words_in(texts, "text").alias("words"))
+    rows = rows.where("id IS NOT NULL")
+    repeated = stored(rows.groupBy("id").count().where("count > 1").select("id"), "repeated")
+    none = F.array().cast("array<string>")
+    uncounted = F.lit(None).cast("array<long>").alias("counts")
+    if repeated.isEmpty():
+        return rows.select("id", F.coalesce("words", none).alias("words"), uncounted)
+    single = rows.join(repeated, "id", "left_anti").select("id", F.coalesce("words", none).alias("words"), uncounted)
+    tokens = rows.join(repeated, "id", "left_semi").select("id", F.explode_outer("words").alias("word"))
+    counted = tokens.groupBy("id", "word").agg(F.count("word").alias("n"))
+    bag = F.collect_list(F.when(F.col("word").isNotNull(), F.struct("word", "n"))).alias("bag")
+    several = counted.groupBy("id").agg(bag)
+    return single.unionByName(several.select("id", F.col("bag.word").alias("words"), F.col("bag.n").alias("counts")))
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per part of the matrix: the texts' sizes, numbers of their words, and how often they come."""
+    place, number, held, entries = TaskContext.get().partitionId() << 32, 0, [], 0
+    for batch in batches:
+        held.append(_entries(batch))
+        entries += len(held[-1][2])
+        if entries >= PART_ENTRIES:
+            yield _part(place + number, held)
+            number, held, entries = number + 1, [], 0
+    if held:
+        yield _part(place + number, held)
+
+
+def _entries(batch: pa.RecordBatch) -> tuple:
+    """ids, sizes, numbers of words by text, how often they come, and the batch's words."""
+    sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+    coded = batch.column(1).flatten().dictionary_encode()
+    width = max(len(coded.dictionary), 1)
+    keys = np.repeat(np.arange(len(sizes)), sizes) * width + coded.indices.to_numpy(zero_copy_only=False)
+    given = batch.column(2)
+    if given.null_count == len(given):
+        keys, counts = np.unique(keys, return_counts=True)
+    else:
+        order = np.argsort(keys)
+        amounts = np.ones(len(keys), np.int64)
+        amounts[np.repeat(given.is_valid().to_numpy(zero_copy_only=False), sizes)] = given.flatten().to_numpy()
+        keys, at = np.unique(keys[order], return_index=True)
+        counts = np.add.reduceat(amounts[order], at) if len(at) else amounts
+    return batch.column(0), np.bincount(keys // width, minlength=len(sizes)), keys % width, counts, coded.dictionary
+
+
+def _part(number: int, held: list[tuple]) -> pa.RecordBatch:
+    ids, sizes, numbers, counts, words = zip(*held, strict=True)
+    coded = pa.concat_arrays(words).dictionary_encode()
+    own, at, mapped = coded.indices.to_numpy(zero_copy_only=False), 0, []
+    for some, names in zip(numbers, words, strict=True):
+        mapped.append(own[at : at + len(names)][some])
+        at += len(names)
+    codes, counts = np.concatenate(mapped), np.concatenate(counts)
+    spread = np.bincount(codes, minlength=len(coded.dictionary))
+    # Common words get small numbers, whose upper halves are mostly nought and so take no room.
+    order = np.argsort(-spread, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    codes = place[codes]
+    many = counts > 255
+    row = {
+        "part": number,
+        "sizes": np.concatenate(sizes).astype(np.int64).tobytes(),
+        "low": (codes & 0xFFFF).astype(np.uint16).tobytes(),
+        "high": (codes >> 16).astype(np.uint16).tobytes(),
+        "counts": np.where(many, 0, counts).astype(np.uint8).tobytes(),
+        "large": counts[many].astype(np.int64).tobytes(),
+    }
+    columns = [pa.array([value], pa.int64() if name == "part" else pa.binary()) for name, value in row.items()]
+    lists = [pa.concat_arrays(ids), coded.dictionary.take(pa.array(order)), pa.array(spread[order], pa.int32())]
+    columns += [pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values) for values in lists]
+    return pa.RecordBatch.from_arrays(columns, names=[*row, "ids", "words", "spread"])
+
+
+def _vocabulary(parts: DataFrame, total: int, width: int) -> DataFrame:
+    """(part, place, rarity, home, spot, y): the words of the parts; those of one part have no home.
 
-    The rarity of a word is 1 + ln((1 + n) / (1 + d)) with d of the n texts having it. Texts of one
-    id count as one text; texts without words have no rows.
+    The home of a word is the first of the parts that have it, and its place there. ``y`` are hashes
+    in -1..1, the same for a word wherever it stands.
     """
-    tokens = texts.select(F.col("id").cast("string").alias("id"), F.explode(words_in(texts, "text")).alias("word"))
-    counts = stored(tokens.where("id IS NOT NULL").groupBy("id", "word").agg(F.count(F.lit(1)).alias("n")), "words")
-    total = counts.agg(F.count_distinct("id")).first()[0]
-    rarity = F.lit(1.0) + F.log(F.lit(1.0 + total) / (F.lit(1.0) + F.count(F.lit(1))))
-    weighted = counts.join(counts.groupBy("word").agg(rarity.alias("rarity")), "word").select(
-        "id", "word", (F.col("n") * F.col("rarity")).alias("value")
+    listed = F.posexplode(F.arrays_zip("words", "spread")).alias("place", "word")
+    each = parts.select("part", listed).select("part", "place", F.col("word.words").alias("word"), "word.spread")
+    same = Window.partitionBy("word")
+    rarity = F.lit(1.0) + F.log(F.lit(1.0 + total) / (F.lit(1.0) + F.sum("spread").over(same)))
+    home = F.when(F.count(F.lit(1)).over(same) > 1, F.min(F.struct("part", "place")).over(same))
+    start = F.array(*[F.xxhash64("word", F.lit(c)) / float(1 << 63) for c in range(width)])
+    found = each.select("part", "place", "word", rarity.alias("rarity"), home.alias("home"))
+    return found.select(
+        "part", "place", "rarity", F.col("home.part").alias("home"), F.col("home.place").alias("spot"), start.alias("y")
     )
-    length = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("length"))
-    scaled = weighted.join(length, "id").select("id", "word", (F.col("value") / F.col("length")).alias("value"))
-    return stored(scaled, "weighted-words")
-
-
-def _product(matrix: DataFrame, block: DataFrame, over: str, width: int) -> DataFrame:
-    """(key, y): the block's rows summed with the matrix's values over ``over``."""
-    onto = "id" if over == "word" else "word"
-    sums = [F.sum(F.col("value") * F.col("y")[c]).alias(f"y{c}") for c in range(width)]
-    joined = matrix.join(block.select(F.col("key").alias(over), "y"), over)
-    summed = joined.groupBy(onto).agg(*sums)
-    return stored(
-        summed.select(F.col(onto).alias("key"), F.array(*[F.col(f"y{c}") for c in range(width)]).alias("y")),
-        "block",
+
+
+def _cell(table: pa.Table, name: str, kind: type) -> np.ndarray:
+    """The numbers in a table's one row."""
+    return np.frombuffer(table[name][0].as_py(), kind)
+
+
+class _Part:
+    """A part of the matrix: ``codes`` and ``values`` by text."""
+
+    def __init__(self, row: pa.Table, rarity: np.ndarray, length: np.ndarray | None = None) -> None:
+        self.sizes = _cell(row, "sizes", np.int64)
+        self.codes = _cell(row, "low", np.uint16) + (_cell(row, "high", np.uint16).astype(np.int64) << 16)
+        counts = _cell(row, "counts", np.uint8).astype(np.float64)
+        counts[counts == 0] = _cell(row, "large", np.int64)
+        self.filled = self.sizes > 0
+        self.starts = (self.sizes.cumsum() - self.sizes)[self.filled]
+        self.texts, self.words = np.repeat(np.arange(len(self.sizes)), self.sizes), len(rarity)
+        self.values = counts * rarity[self.codes]
+        self.length = np.sqrt(self._by_text(self.values * self.values)) if length is None else length
+        self.values /= self.length[self.texts]
+
+    def _by_text(self, values: np.ndarray) -> np.ndarray:
+        sums = np.zeros(len(self.sizes))
+        if len(values):
+            sums[self.filled] = np.add.reduceat(values, self.starts)
+        return sums
+
+    def times(self, z: np.ndarray) -> np.ndarray:
+        """The part times a row of numbers for each of its words."""
+        return np.stack([self._by_text(self.values * column[self.codes]) for column in z.T.copy()], axis=1)
+
+    def transposed(self, q: np.ndarray) -> np.ndarray:
+        """The part's transpose times a row of numbers for each of its texts."""
+        each = [np.bincount(self.codes, self.values * column[self.texts], self.words) for column in q.T.copy()]
+        return np.stack(each, axis=1).astype(np.float64)
+
+
+def _weighted(parts: DataFrame, vocabulary: DataFrame, width: int) -> DataFrame:
+    """The parts with the rarities of their words, the lengths of their texts, and their first product."""
+
+    def weigh(left: pa.Table, right: pa.Table) -> pa.Table:
+        order = np.argsort(right["place"].to_numpy())
+        rarity = right["rarity"].to_numpy()[order]
+        start = right["y"].combine_chunks().flatten().to_numpy().reshape(-1, width)[order]
+        shared = np.flatnonzero(right["home"].is_valid().to_numpy()[order])
+        part = _Part(left, rarity)
+        kept = {
+            "rarity": rarity,
+            "length": part.length,
+            "shared": shared.astype(np.int32),
+            "home": right["home"].combine_chunks().fill_null(0).to_numpy()[order][shared],
+            "spot": right["spot"].combine_chunks().fill_null(0).to_numpy()[order][shared],
+            "y": part.times(start),
+        }
+        for name, values in kept.items():
+            left = left.append_column(name, pa.array([values.tobytes()], pa.binary()))
+        return left
+
+    names = [field.split()[0] for field in _MATRIX.split(", ")]
+    own = parts.select(*names).groupBy("part")
+    # A part without words has no vocabulary, and its texts rows of zeros.
+    return own.cogroup(vocabulary.groupBy("part")).applyInArrow(
+        lambda left, right: weigh(left, right) if right.num_rows else _unweighted(left, width), _WEIGHTED
     )
 
 
-def _rows(column: pa.Array, width: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+def _unweighted(left: pa.Table, width: int) -> pa.Table:
+    texts = len(_cell(left, "sizes", np.int64))
+    for name in ("rarity", "length", "shared", "home", "spot", "y"):
+        zeros = {"length": texts, "y": texts * width}.get(name, 0)
+        left = left.append_column(name, pa.array([bytes(8 * zeros)], pa.binary()))
+    return left
+
+
+def _block(table: pa.Table | pa.RecordBatch, turn: np.ndarray) -> np.ndarray:
+    """A part's rows of the block, its columns combined by a small matrix."""
+    return _cell(table, "y", np.float64).reshape(-1, len(turn)) @ turn
+
+
+def _shared_sums(matrix: DataFrame, state: DataFrame, turn: np.ndarray) -> DataFrame:
+    """(part, place, z): the transpose's product for the words of several parts, as each part has them."""
+    width = turn.shape[1]
+    names = [f"y{c}" for c in range(width)]
+
+    def partial(left: pa.Table, right: pa.Table) -> pa.Table:
+        part = _Part(left, _cell(left, "rarity", np.float64), _cell(left, "length", np.float64))
+        place = _cell(left, "shared", np.int32)
+        sums = part.transposed(_block(right, turn))[place]
+        keys = [_cell(left, "home", np.int64), _cell(left, "spot", np.int32), np.repeat(left["part"].to_numpy(), len(place))]
+        return pa.table([*keys, place, *sums.T], names=["home", "spot", "part", "place", *names])
+
+    schema = "home long, spot int, part long, place int, " + ", ".join(f"{name} double" for name in names)
+    sums = matrix.groupBy("part").cogroup(state.groupBy("part")).applyInArrow(partial, schema)
+    same = Window.partitionBy("home", "spot")
+    return sums.select("part", "place", F.array(*[F.sum(name).over(same) for name in names]).alias("z"))
+
+
+def _product(matrix: DataFrame, state: DataFrame, turn: np.ndarray) -> DataFrame:
+    """(part, y, inner): the matrix times its transpose times the turned block, and the block's inner
+    products with that: those of the transpose's product with itself."""
+    width = turn.shape[1]
 
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        part = _Part(left, _cell(left, "rarity", np.float64), _cell(left, "length", np.float64))
+        own = right["y"].is_valid()
+        block = _block(right.filter(own), turn)
+        sums = part.transposed(block)
+        others = right.filter(right["z"].is_valid())
+        if others.num_rows:
+            sums[others["place"].to_numpy()] = others["z"].combine_chunks().flatten().to_numpy().reshape(-1, width)
+        product = part.times(sums)
+        inner = pa.array([(block.T @ product).ravel()], pa.list_(pa.float64()))
+        return pa.table([left["part"], pa.array([product.tobytes()], pa.binary()), inner], names=["part", "y", "inner"])
 
-def _gram(block: DataFrame, width: int) -> np.ndarray:
-    """The inner products of the block's columns: one matrix per task, added up by place."""
+    sums = _shared_sums(matrix, state, turn).withColumn("y", F.lit(None).cast("binary"))
+    own = state.select("part", F.lit(-1).alias("place"), F.lit(None).cast("array<double>").alias("z"), "y")
+    joined = matrix.groupBy("part").cogroup(sums.unionByName(own).groupBy("part"))
+    return stored(joined.applyInArrow(finish, "part long, y binary, inner array<double>"), "block")
+
+
+def _total(state: DataFrame, size: int, numbers: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """``numbers`` of the parts' rows of the block, added up by place."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((width, width))
+        total = np.zeros(size)
         for batch in batches:
-            rows = _rows(batch.column(0), width)
-            total += rows.T @ rows
-        yield pa.RecordBatch.from_pydict(
-            {"place": pa.array(np.arange(width * width), pa.int32()), "value": total.ravel()}
-        )
-
-    sums = block.select("y").mapInArrow(partial, "place int, value double").groupBy("place").agg(F.sum("value"))
-    flat = np.zeros(width * width)
+            for n in range(len(batch)):
+                total += numbers(batch.slice(n, 1)).ravel()
+        yield pa.RecordBatch.from_pydict({"place": pa.array(np.arange(size), pa.int32()), "value": total})
+
+    sums = state.mapInArrow(partial, "place int, value double").groupBy("place").agg(F.sum("value"))
+    flat = np.zeros(size)
     for place, value in sums.collect():
         flat[place] = value
-    return flat.reshape(width, width)
+    return flat
 
 
-def _turned(block: DataFrame, matrix: np.ndarray) -> DataFrame:
-    """The block's columns combined by a small matrix."""
-    width, out = matrix.shape
+def _gram(state: DataFrame, turn: np.ndarray) -> np.ndarray:
+    """The inner products of the turned block's columns."""
 
-    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = _rows(batch.column(1), width) @ matrix
-            ends = pa.array(np.arange(len(rows) + 1) * out, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(ends, pa.array(rows.ravel()))], names=["key", "y"]
-            )
+    def inner(row: pa.RecordBatch) -> np.ndarray:
+        block = _block(row, turn)
+        return block.T @ block
 
-    return block.select("key", "y").mapInArrow(turn, "key string, y array<double>")
+    width = turn.shape[1]
+    return _total(state.select("y"), width * width, inner).reshape(width, width)
 
 
-def _orthonormal(block: DataFrame, width: int) -> tuple[DataFrame, int]:
-    """An orthonormal basis of the block's columns, and how many there are."""
-    power, basis = np.linalg.eigh(_gram(block, width))
+def _orthonormal(gram: np.ndarray) -> np.ndarray:
+    """What turns a block of these inner products into an orthonormal basis of its columns."""
+    power, basis = np.linalg.eigh((gram + gram.T) / 2)
     keep = power > max(power[-1], 0.0) * WEAKEST
-    return _turned(block, basis[:, keep] / np.sqrt(power[keep])), int(keep.sum())
+    return basis[:, keep] / np.sqrt(power[keep])
+
+
+def _inner(product: DataFrame, width: int) -> np.ndarray:
+    found = _total(product.select("inner"), width * width, lambda row: row.column(0).flatten().to_numpy())
+    return found.reshape(width, width)
 
 
 def semantic_embeddings(texts: DataFrame, dims: int = 16, extra: int = 8, rounds: int = 4) -> Semantic:
     """``id`` and an ``embedding`` of ``dims`` numbers for each id of ``texts`` (id, text).
 
+    An entry of the matrix is how often a text has a word, times the word's rarity, at length one per
+    text. The rarity of a word is 1 + ln((1 + n) / (1 + d)) with d of the n ids with words having it; texts
+    of one id count as one text.
+
     The embedding is the text's row of the matrix in the directions of its ``dims`` leading right
     singular vectors. ``extra`` columns and ``rounds`` products with the matrix and its transpose sharpen
     these: an error shrinks with every round by the square of the ratio of the first value left out
-    of the block to the one in question. Each of the 2 * ``rounds`` + 2 products moves ``dims + extra``
-    numbers per word or text and task.
+    of the block to the one in question. Each of the ``rounds`` + 1 products with both sends the stored
+    matrix, 3 to 5 bytes for each text's word, twice, and ``dims + extra`` numbers for each word that several
+    parts have and each such part, there and back.
 
     The sum of cubes of every dimension is not negative, which fixes its sign; where singular values are
     equal, any basis of their space comes out. Null, empty and wordless texts have a vector of zeros, and
     so have dimensions beyond the rank. A null id is left out; no texts, no rows.
     """
-    ids = texts.select(F.col("id").cast("string").alias("id")).where("id IS NOT NULL").distinct()
-    matrix = weighted_words(texts)
     width, values = dims + extra, np.zeros(0)
-    # Hashes in -1..1, the same for a word wherever it stands.
-    start = F.array(*[F.xxhash64("word", F.lit(c)) / float(1 << 63) for c in range(width)])
-    words = matrix.select("word").distinct().select(F.col("word").alias("key"), start.alias("y"))
-    block = _product(matrix, words, "word", width)
+    # Fewer parts have fewer words in common; splits of the input may be small.
+    tasks = 2 * texts.sparkSession.sparkContext.defaultParallelism
+    parts = stored(_bags(texts).coalesce(tasks).mapInArrow(_parts, _PARTS), "parts")
+    worded = _total(parts.select("sizes"), 1, lambda row: np.array([(_cell(row, "sizes", np.int64) > 0).sum()], float))
+    matrix = stored(_weighted(parts, _vocabulary(parts, int(worded[0]), width), width), "matrix")
+    state, matrix = matrix.select("part", "y"), matrix.drop("y")
+    turn = np.eye(width)
     for _ in range(rounds):
-        basis, width = _orthonormal(block, width)
-        if not width:
+        turn = turn @ _orthonormal(_gram(state, turn))
+        if not turn.shape[1]:
             break
-        basis, width = _orthonormal(_product(matrix, basis, "id", width), width)
-        block = _product(matrix, basis, "word", width)
-    basis, width = _orthonormal(block, width) if width else (block, 0)
-    found = None
-    if width:
-        basis = stored(basis, "basis")
-        squares, turn = np.linalg.eigh(_gram(_product(matrix, basis, "id", width), width))
+        state = _product(matrix, state, turn)
+        turn = _orthonormal(_inner(state, turn.shape[1]))
+    if turn.shape[1]:
+        turn = turn @ _orthonormal(_gram(state, turn))
+    if turn.shape[1]:
+        squares, basis = np.linalg.eigh(_inner(_product(matrix, state, turn), turn.shape[1]))
         values = np.sqrt(np.maximum(squares[::-1], 0.0))[:dims]
-        turn = turn[:, ::-1][:, :dims] * values
-        found = stored(_turned(basis, turn), "semantic")
-        cubes = [F.sum(F.pow(F.col("y")[c], F.lit(3))).alias(f"y{c}") for c in range(len(values))]
-        signs = [math.copysign(1.0, v) for v in found.agg(*cubes).first()]
-        own = [F.col("y")[c] * signs[c] if c < len(values) else F.lit(0.0) for c in range(dims)]
-        found = found.select(F.col("key").alias("id"), F.array(*own).cast(EMBEDDING_TYPE).alias("embedding"))
-    none = F.array_repeat(F.lit(0.0), dims).cast(EMBEDDING_TYPE)
-    if found is None:
-        return Semantic(ids.select("id", none.alias("embedding")), [])
-    placed = ids.join(found, "id", "left").select("id", F.coalesce("embedding", none).alias("embedding"))
-    return Semantic(placed, values.tolist())
+        turn = turn @ (basis[:, ::-1][:, :dims] * values)
+        cubes = _total(state.select("y"), len(values), lambda row: (_block(row, turn) ** 3).sum(axis=0))
+        turn = turn * np.where(cubes < 0, -1.0, 1.0)
+
+    def place(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = left["ids"].combine_chunks().flatten()
+        rows = np.zeros((len(ids), dims), np.float32)
+        rows[:, : turn.shape[1]] = _block(right, turn)
+        ends = pa.array(np.arange(len(ids) + 1) * dims, pa.int32())
+        return pa.table([ids, pa.ListArray.from_arrays(ends, pa.array(rows.ravel()))], names=["id", "embedding"])
+
+    joined = parts.select("part", "ids").groupBy("part").cogroup(state.select("part", "y").groupBy("part"))
+    return Semantic(joined.applyInArrow(place, f"id string, embedding {EMBEDDING_TYPE.simpleString()}"), values.tolist())

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from reviewlens.operators import semantic
 from reviewlens.operators.semantic import semantic_embeddings
 
 TOPICS = [[f"{name}{k}" for k in range(12)] for name in ("plot", "cast", "music", "scene")]
@@ -72,3 +73,32 @@ def test_nothing_little_and_repeated(spark):
     vectors, values = run([("a", "x"), ("a", "x"), ("b", "x"), ("c", " - ")])
     assert vectors == {"a": [1, 0, 0], "b": [1, 0, 0], "c": [0, 0, 0]}
     assert values == pytest.approx([math.sqrt(2)])
+
+
+def test_parts_exchange_only_words_of_several_parts(spark, texts, monkeypatch):
+    """Ids that come twice and many small parts change nothing; no row of the exchange is a pair of text and word."""
+    halves = [(i, t) for i, text in texts for t in (text, "own" + i) if t]
+    table = spark.createDataFrame(halves, WIDE).repartition(7)
+    joined = [(i, text + " own" + i) for i, text in texts]
+    ids, matrix = dense(joined)
+    left, values, _ = np.linalg.svd(matrix, full_matrices=False)
+    rows = []
+    sums = semantic._shared_sums
+
+    def counted(*args):
+        rows.append(sums(*args).count())
+        return sums(*args)
+
+    monkeypatch.setattr(semantic, "_shared_sums", counted)
+    for found in (
+        semantic.semantic_embeddings(table, dims=3, rounds=3),
+        semantic.semantic_embeddings(spark.createDataFrame(joined, WIDE).coalesce(2), dims=3, rounds=3),
+    ):
+        got = {r.id: np.array(r.embedding) for r in found.vectors.collect()}
+        assert set(got) == set(ids)
+        assert np.abs(np.array(found.values) / values[:3] - 1).max() < 1e-5
+        wanted = left[:, :3] * values[:3]
+        wanted *= np.where((wanted**3).sum(axis=0) < 0, -1, 1)
+        assert np.abs(np.array([got[i] for i in ids]) - wanted).max() < 1e-3
+    # 49 words are in several texts; the last table has two parts, and 160 words are a text's own.
+    assert rows[-1] == 2 * 49
