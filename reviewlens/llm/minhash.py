@@ -19,7 +19,7 @@ from reviewlens.llm.text import (
     window_hashes,
     words_of,
 )
-from reviewlens.storage import cut_lineage, scratch_path
+from reviewlens.storage import cut_lineage, scratch_path, stored
 
 BANDS = 24
 # Two permutations, so four signature values, make a band.
@@ -332,7 +332,7 @@ def near_duplicates(
         ).where((F.col("a") != F.col("b")) & fits)
         stars = star if stars is None else stars.unionByName(star)
     stars = stars.drop("n", "m").distinct()
-    links = cut_lineage(verify_pairs(docs, cut_lineage(stars), size, share))
+    links = stored(verify_pairs(docs, stored(stars, "stars"), size, share), "pairs")
     parts = components(links)
     # Buckets that still hold several components. Their smallest document names the group, so the
     # many buckets that a family of near copies shares fall together.
@@ -347,9 +347,9 @@ def near_duplicates(
     )
     opened = placed.join(mixed, ["band", "key"])
     grouped = opened.select("group", "id", "hash", "n", "part").distinct()
-    more = compare_groups(docs, cut_lineage(grouped), size, share)
+    more = compare_groups(docs, stored(grouped, "groups"), size, share)
     shared = _classes_of_one_id(signed, classes)
-    members = components(cut_lineage(links.unionByName(more).unionByName(shared)))
+    members = components(links.unionByName(more).unionByName(shared), known=parts)
     found = classes.select("h1", "h2", "id").join(members.withColumnRenamed("node", "id"), "id", "left")
     found = found.select("h1", "h2", F.coalesce("component", "id").alias("component"))
     joined = signed.drop("bands").join(found, ["h1", "h2"], "left")

@@ -414,6 +414,13 @@ def _added(group: pa.Table) -> pa.Table:
     return pa.table({name: [sum(rows).tobytes()] for name, rows in zip(("change", "shards"), columns)})
 
 
+def _averaged(group: pa.Table) -> pa.Table:
+    """The same sums as one mean: what each number changes by in the shards that changed it."""
+    sums = _added(group)
+    change, shards = (np.frombuffer(sums[name][0].as_py(), np.float32) for name in ("change", "shards"))
+    return pa.table({"change": [(change / np.maximum(shards, 1)).tobytes()]})
+
+
 def _learner(begin: Broadcast, share: float, turn: int, steps: int, s: Settings) -> Callable:
     """For a task's rows, which are a shard: what a round changes in the common parameters."""
 
@@ -445,18 +452,17 @@ def _fit_shards(rows: DataFrame, shards: int, s: Settings) -> Model:
     number, toxic = learned.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     share, found = _share(toxic, number), np.zeros(PAD + 1, np.int64)
     bucket = F.explode(F.array_distinct("words")).alias("bucket")
-    for row in learned.select(bucket).groupBy("bucket").count().collect():
-        found[row["bucket"]] = row["count"]
+    texts = learned.select(bucket).groupBy("bucket").count().toArrow()
+    found[texts["bucket"].to_numpy()] = texts["count"].to_numpy()
     par = _initial(found, s, np.random.default_rng(s.seed))
     for turn in range(s.rounds):
         begin = spark.sparkContext.broadcast((par, found))
         learn = _learner(begin, share, turn, steps, s)
         changes = learned.mapInArrow(learn, f"branch int, {sums}")
         few = changes.groupBy("branch").applyInArrow(_added, sums)
-        total = few.groupBy(F.lit(0).alias("all")).applyInArrow(_added, sums).first()
-        by = np.maximum(np.frombuffer(total["shards"], np.float32), 1)
-        par = _unflat(_flat(par) + np.frombuffer(total["change"], np.float32) / by, par)
-        begin.unpersist()
+        mean = few.groupBy(F.lit(0).alias("all")).applyInArrow(_averaged, "change binary").toArrow()
+        par = _unflat(_flat(par) + np.frombuffer(mean["change"][0].as_py(), np.float32), par)
+        begin.destroy()
     model = _model(par, s)
     _calibrate_shards(rows.where(spare), model)
     return model
@@ -481,6 +487,7 @@ def _calibrate_shards(spare: DataFrame, model: Model) -> None:
     rated = spare.select("words", "language", "toxic").mapInArrow(rate, "language int, bin int, toxic int")
     for row in rated.groupBy("language", "bin", "toxic").count().collect():
         counts[row["language"], row["toxic"], row["bin"]] = row["count"]
+    shared.destroy()
     for n, name in enumerate(LANGUAGES):
         model.thresholds[name] = _binned_threshold(*counts[n])
 

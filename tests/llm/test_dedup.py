@@ -53,6 +53,38 @@ def test_components_of_nothing(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_take_few_tasks(spark):
+    """The driver keeps something of every task. Overlapping stars in 40 partitions took 1,503 of them."""
+    draw = random.Random(3)
+    links = [(c, draw.randrange(1, 400)) for c in draw.sample(range(1, 400), 12) for _ in range(60)]
+    plain = {
+        name: spark.conf.get(name)
+        for name in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    }
+    for name, value in zip(plain, ("40", "false")):
+        spark.conf.set(name, value)
+    spark.sparkContext.setJobGroup("few tasks", "components")
+    try:
+        found = components(spark.createDataFrame(links, "a long, b long")).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for name, value in plain.items():
+            spark.conf.set(name, value)
+    assert {r.node: r.component for r in found} == brute.components({n for e in links for n in e}, links)
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(job) for job in tracker.getJobIdsForGroup("few tasks")]
+    stages = [tracker.getStageInfo(stage) for job in jobs for stage in job.stageIds]
+    assert sum(stage.numCompletedTasks for stage in stages if stage) <= 1300
+
+
+def test_components_go_on_from_those_of_some_links(spark):
+    draw = random.Random(4)
+    links = [(draw.randrange(300), draw.randrange(300)) for _ in range(200)]
+    first, more = (spark.createDataFrame(rows, "a long, b long") for rows in (links[:150], links[150:]))
+    found = components(first.unionByName(more), known=components(first)).collect()
+    assert {r.node: r.component for r in found} == brute.components({n for e in links for n in e}, links)
+
+
 @pytest.mark.parametrize("batch_bytes", [1 << 21, 400])
 def test_near_duplicates_equal_brute_force(docs_of, monkeypatch, batch_bytes):
     docs = corpus(5, 150)

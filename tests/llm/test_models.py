@@ -201,6 +201,15 @@ def test_gradient_matches_differences():
             assert abs((up - down) / (2 * step) - grad[name][at]) < 1e-3
 
 
+def test_changes_of_shards_reach_the_driver_as_one_mean():
+    change, shards = ([np.array(rows, np.float32).tobytes() for rows in own] for own in (
+        [[3, 0, 1], [1, 0, 0]], [[1, 0, 1], [1, 0, 0]]
+    ))
+    mean = toxicity._averaged(pa.table({"change": change, "shards": shards}))
+    assert mean.column_names == ["change"]
+    assert np.frombuffer(mean["change"][0].as_py(), np.float32).tolist() == [2, 0, 1]
+
+
 @pytest.mark.parametrize("shard_rows", [8000, 100])
 def test_toxicity_learns_from_all_rows_and_whole_texts(spark, docs_of, shard_rows):
     """The label hangs on the last of 6,000 words in some texts; with few rows a shard there are several."""
