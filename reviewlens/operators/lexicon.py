@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +28,19 @@ from reviewlens.storage import stored
 UNKNOWN = "UN"
 # Bytes of words or texts in a part, about; code points that a task works on at a time.
 PART_BYTES = 4 << 20
-SLICE = 1 << 20
-# Bits of the sieve: at least 16 for a form, but 2^27 in all; beyond that it only lets more through.
-FORM_BITS, LEAST_BITS, MOST_BITS = 16, 16, 27
+SLICE = 1 << 18
+# Bits of the sieve: at least 16 for a form, but 2^28 in all; beyond that it only lets more through.
+FORM_BITS, LEAST_BITS, MOST_BITS = 16, 16, 28
+# Of the sieve of a part's own forms, and by how many fewer the list of their hashes is cut.
+MOST_OWN_BITS, FEWER_BITS = 24, 3
 BLOCK_BITS = 16
 
 # Odd numbers, so that products modulo 2^64 can be undone.
 BASE, MIX, SECOND = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 ASKED = "part int, hash long"
 NEVER = 1 << 61
+# Longer than any string; prefix_lengths of less is the beginning of its list.
+ANY_LENGTH = 1 << 31
 
 
 def prefix_lengths(longest: int) -> list[int]:
@@ -46,27 +51,61 @@ def prefix_lengths(longest: int) -> list[int]:
     return out
 
 
+@lru_cache(maxsize=2)
+def _powers(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of ``BASE`` and what undoes them."""
+    base, undo = np.full(count, BASE, np.uint64), np.full(count, pow(BASE, -1, 1 << 64), np.uint64)
+    return np.cumprod(base), np.cumprod(undo)
+
+
+def _utf8(texts: pa.Array) -> bytes:
+    """The bytes of strings without nulls, one behind another."""
+    if not len(texts):
+        return b""
+    _, ends, data = texts.cast(pa.string()).buffers()
+    ends = np.frombuffer(ends, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    return data[ends[0] : ends[-1]].to_pybytes() if ends[-1] > ends[0] else b""
+
+
 class Spelled:
     """The code points of strings one behind another, and hashes of any stretch of them."""
 
     def __init__(self, texts: pa.Array):
-        joined = "".join(texts.to_pylist())
-        self.utf8 = joined.encode()
-        self.code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        self.utf8 = _utf8(texts)
+        self.code = np.frombuffer(self.utf8.decode().encode("utf-32-le"), np.uint32)
         sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
         self.first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         self.text = np.repeat(np.arange(len(sizes)), sizes)
-        self.left = self.first[self.text + 1] - np.arange(len(self.code))
+        self.left = np.repeat(self.first[1:], sizes) - np.arange(len(self.code))
         count = len(self.code) + 1
-        power = np.cumprod(np.full(count, BASE, np.uint64))
-        self.undo = np.cumprod(np.full(count, pow(BASE, -1, 1 << 64), np.uint64))
-        sums = np.cumsum((self.code.astype(np.uint64) + np.uint64(1)) * power[:-1])
-        self.sums = np.concatenate([np.zeros(1, np.uint64), sums])
+        # Of some sizes only, so that the next strings find them worked out.
+        power, self.undo = _powers(1 << max(SLICE.bit_length(), (count - 1).bit_length()))
+        self.sums = np.zeros(count, np.uint64)
+        np.cumsum((self.code.astype(np.uint64) + np.uint64(1)) * power[: count - 1], out=self.sums[1:])
 
     def hashes(self, at: np.ndarray, length: int) -> np.ndarray:
-        value = (self.sums[at + length] - self.sums[at]) * self.undo[at] + np.uint64(length)
-        value = (value ^ (value >> np.uint64(32))) * np.uint64(MIX)
-        return value ^ (value >> np.uint64(29))
+        value = self.sums[at + length]
+        value -= self.sums[at]
+        value *= self.undo[at]
+        value += np.uint64(length)
+        value ^= value >> np.uint64(32)
+        value *= np.uint64(MIX)
+        value ^= value >> np.uint64(29)
+        return value
+
+    def beginnings(self, steps: list[int], sieve: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each length: the places where a stretch of it passes the sieve, and the stretches' hashes."""
+        at = np.arange(len(self.code))
+        for length in steps:
+            at = at[self.left[at] >= length]
+            if not len(at):
+                return
+            own, hashes = at, self.hashes(at, length)
+            for n in range(2):
+                place = _places(hashes, bits, n)
+                passed = np.flatnonzero((sieve[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
+                own, hashes = own[passed], hashes[passed]
+            yield own, hashes
 
 
 def _form_hashes(forms: Spelled, steps: list[int]) -> np.ndarray:
@@ -74,16 +113,19 @@ def _form_hashes(forms: Spelled, steps: list[int]) -> np.ndarray:
     sizes = np.diff(forms.first)
     which = np.searchsorted(steps, sizes, "right") - 1
     out = np.zeros(len(sizes), np.uint64)
-    for n, length in enumerate(steps):
+    for n in np.unique(which):
         own = np.flatnonzero(which == n)
-        out[own] = forms.hashes(forms.first[own], length)
+        out[own] = forms.hashes(forms.first[own], steps[n])
     return out
 
 
-def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of the sieve that stand for a hash."""
-    shift = np.uint64(64 - bits)
-    return (hashes >> shift).astype(np.int64), ((hashes * np.uint64(SECOND)) >> shift).astype(np.int64)
+def _places(hashes: np.ndarray, bits: int, n: int) -> np.ndarray:
+    """The first or second (0, 1) of the two bits of the sieve that stand for a hash."""
+    return ((hashes * np.uint64(SECOND) if n else hashes) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _bits(forms: int, most: int) -> int:
+    return min(most, max(LEAST_BITS, math.ceil(math.log2(FORM_BITS * max(forms, 1)))))
 
 
 def _sliced(words: pa.Array) -> Iterator[pa.Array]:
@@ -97,33 +139,58 @@ def _sliced(words: pa.Array) -> Iterator[pa.Array]:
         at = end
 
 
-def _edges(words: Spelled, forms: Spelled, steps: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(place, form) for every form found anywhere in the words, compared code point by code point."""
-    hashes, sizes = _form_hashes(forms, steps), np.diff(forms.first)
-    order = np.argsort(hashes, kind="stable")
-    ordered = hashes[order]
-    places, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for length in steps:
-        at = np.flatnonzero(words.left >= length)
-        own = words.hashes(at, length)
-        low, high = np.searchsorted(ordered, own, "left"), np.searchsorted(ordered, own, "right")
-        count = high - low
-        at, low, count = (a[count > 0] for a in (at, low, count))
-        begin = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) if len(at) else low
-        places.append(np.repeat(at, count))
-        found.append(order[begin + np.arange(len(begin))])
-    at, form = np.concatenate(places), np.concatenate(found)
-    fits = sizes[form] <= words.left[at]
-    at, form = at[fits], form[fits]
-    if not len(at):
-        return at, form
-    # Hashes of beginnings only proposed the forms.
-    size = sizes[form]
-    start = np.concatenate([[0], np.cumsum(size)[:-1]])
-    within = np.arange(size.sum()) - np.repeat(start, size)
-    same = words.code[np.repeat(at, size) + within] == forms.code[np.repeat(forms.first[form], size) + within]
-    right = np.logical_and.reduceat(same, start)
-    return at[right], form[right]
+class _Found:
+    """The forms of a part by the hashes of their beginnings."""
+
+    def __init__(self, forms: Spelled, steps: list[int]):
+        self.forms, self.steps, self.size = forms, steps, np.diff(forms.first)
+        hashes = _form_hashes(forms, steps)
+        self.order = np.argsort(hashes, kind="stable")
+        self.hashes, self.begin = np.unique(hashes[self.order], return_index=True)
+        self.count = np.diff(np.append(self.begin, len(hashes)))
+        self.bits = _bits(len(hashes), MOST_OWN_BITS)
+        marked = np.zeros(1 << self.bits, bool)
+        for n in range(2):
+            marked[_places(hashes, self.bits, n)] = True
+        self.sieve = np.packbits(marked, bitorder="little")
+        # For each beginning of a hash, the first hash that is not smaller; the last one ends all searches.
+        starts = _places(self.hashes, self.bits - FEWER_BITS, 0)
+        self.firsts = np.searchsorted(starts, np.arange(1 << self.bits - FEWER_BITS)).astype(np.int32)
+        self.hashes = np.append(self.hashes, np.uint64(2**64 - 1))
+        self.count, self.begin = np.append(self.count, 0), np.append(self.begin, 0)
+
+    def edges(self, words: Spelled) -> tuple[np.ndarray, np.ndarray]:
+        """(place, form) for every form found anywhere in the words, compared code point by code point."""
+        places, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at, hashes in words.beginnings(self.steps, self.sieve, self.bits):
+            row = self.firsts[_places(hashes, self.bits - FEWER_BITS, 0)]
+            # Few hashes begin alike; the next one is tried where the one before was smaller.
+            ahead = np.flatnonzero(self.hashes[row] < hashes)
+            while len(ahead):
+                row[ahead] += 1
+                ahead = ahead[self.hashes[row[ahead]] < hashes[ahead]]
+            same = np.flatnonzero(self.hashes[row] == hashes)
+            at, row = at[same], row[same]
+            count = self.count[row]
+            if count.max(initial=0) > 1:
+                within = np.arange(count.sum()) - np.repeat(count.cumsum() - count, count)
+                at, row = np.repeat(at, count), np.repeat(self.begin[row], count) + within
+            else:
+                row = self.begin[row]
+            places.append(at)
+            found.append(self.order[row])
+        at, form = np.concatenate(places), np.concatenate(found)
+        fits = self.size[form] <= words.left[at]
+        at, form = at[fits], form[fits]
+        # Hashes of beginnings only proposed the forms. The longest come first, so that fewer are left at each step.
+        order = np.argsort(-self.size[form], kind="stable")
+        at, form = at[order], form[order]
+        size, start = self.size[form], self.forms.first[form]
+        right = np.ones(len(at), bool)
+        for place in range(int(size.max(initial=0))):
+            longer = int(np.searchsorted(-size, -place, "left"))
+            right[:longer] &= words.code[at[:longer] + place] == self.forms.code[start[:longer] + place]
+        return at[right], form[right]
 
 
 def cheapest_paths(
@@ -143,8 +210,9 @@ def cheapest_paths(
     best[start] = 0
     source, target = at + words.text[at], at + words.text[at] + size
     inside = at - words.first[words.text[at]]
-    order = np.argsort(inside, kind="stable")
     longest = int(np.diff(words.first).max(initial=0))
+    # Small whole numbers are sorted by their digits.
+    order = np.argsort(inside.astype(np.uint16) if longest <= 0xFFFF else inside, kind="stable")
     bounds = np.searchsorted(inside[order], np.arange(longest + 1))
     by_size = np.argsort(-np.diff(words.first), kind="stable")
     lasting = np.searchsorted(-np.diff(words.first)[by_size], -np.arange(longest), "left")
@@ -204,7 +272,8 @@ def _sieve(forms: DataFrame, bits: int) -> np.ndarray:
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = np.unique(np.concatenate(_places(batch.column(0).to_numpy().view(np.uint64), bits)))
+            hashes = batch.column(0).to_numpy().view(np.uint64)
+            both = np.unique(np.concatenate([_places(hashes, bits, n) for n in range(2)]))
             yield pa.RecordBatch.from_pydict(
                 {"block": pa.array(both >> BLOCK_BITS), "place": pa.array(both % (1 << BLOCK_BITS))}
             )
@@ -229,13 +298,7 @@ def _asking(sieve: Broadcast, bits: int, steps: list[int], column: str) -> Calla
     def ask(group: pa.Table) -> pa.Table:
         found = [np.zeros(0, np.uint64)]
         for words in _sliced(_flat(group[column]).unique()):
-            spelled = Spelled(words)
-            for length in steps:
-                hashes = spelled.hashes(np.flatnonzero(spelled.left >= length), length)
-                for n in range(2):
-                    place = _places(hashes, bits)[n]
-                    hashes = hashes[(sieve.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0]
-                found.append(np.unique(hashes))
+            found += [np.unique(hashes) for _, hashes in Spelled(words).beginnings(steps, sieve.value, bits)]
         hashes = np.unique(np.concatenate(found)).view(np.int64)
         part = pa.array(np.full(len(hashes), group["part"][0].as_py(), np.int32))
         return pa.table({"part": part, "hash": pa.array(hashes)})
@@ -251,12 +314,11 @@ def _flat(column: pa.ChunkedArray) -> pa.Array:
 
 def _pieces(words: pa.Array, known: pa.Table, steps: list[int], unknown: int) -> Iterator[tuple]:
     """For slices of the words: their code points, and the (word, place, form) of the cheapest pieces."""
-    forms = Spelled(_flat(known["form"]))
-    size, cost = np.diff(forms.first), known["cost"].to_numpy()
+    found, cost = _Found(Spelled(_flat(known["form"])), steps), known["cost"].to_numpy()
     for part in _sliced(words):
         spelled = Spelled(part)
-        at, form = _edges(spelled, forms, steps)
-        paths = cheapest_paths(spelled, at, form, size[form], cost[form], unknown)
+        at, form = found.edges(spelled)
+        paths = cheapest_paths(spelled, at, form, found.size[form], cost[form], unknown)
         yield spelled, *paths
 
 
@@ -284,8 +346,10 @@ def _token_lists(words: pa.Array, known: pa.Table, steps: list[int], unknown: in
 
 
 def _kept(words: pa.Array, known: pa.Table, steps: list[int], unknown: int) -> pa.Array:
-    """The kept lemmas of each word, joined by spaces."""
-    lemmas = pa.concat_arrays([*known["kept"].chunks, pa.array([None], pa.string())])
+    """The kept lemmas of each word, joined by spaces; "" is kept as the form itself."""
+    lemmas, forms = (pa.concat_arrays([*known[name].chunks, pa.array([], pa.string())]) for name in ("kept", "form"))
+    lemmas = pc.if_else(pc.equal(lemmas, ""), forms, lemmas)
+    lemmas = pa.concat_arrays([lemmas, pa.array([None], pa.string())])
     joined = [pa.array([], pa.string())]
     for spelled, word, _, form in _pieces(words, known, steps, unknown):
         own = lemmas.take(pa.array(form % len(lemmas)))
@@ -304,18 +368,21 @@ def _dealt(df: DataFrame, size: Column, by: list[str]) -> DataFrame:
 
 
 def _with_forms(
-    parted: DataFrame, column: str, lexicon: DataFrame, kept: Column, work: Callable, schema: str
+    parted: DataFrame, columns: list[str], lexicon: DataFrame, answer: list[Column], work: Callable, schema: str
 ) -> DataFrame:
-    """``work`` done on each part and the forms that may be in its words (form, cost, tag, lemma, kept)."""
+    """``work`` done on each part and what ``answer`` says of the forms that may be in its words.
+
+    The words stand in the first of the ``columns``; the others only make asking deal the same rows as
+    the work, so that Spark deals them once.
+    """
     spark = parted.sparkSession
-    known = stored(_known(lexicon), "lexicon")
-    count, longest = known.agg(F.count(F.lit(1)), F.max(F.char_length("form"))).first()
+    forms = stored(_hashed(_known(lexicon), prefix_lengths(ANY_LENGTH)), "lexicon")
+    count, longest = forms.agg(F.count(F.lit(1)), F.max(F.char_length("form"))).first()
     steps = prefix_lengths(longest or 0)
-    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(FORM_BITS * max(count, 1)))))
-    forms = _hashed(known, steps)
+    bits = _bits(count, MOST_BITS)
     sieve = spark.sparkContext.broadcast(_sieve(forms, bits))
-    asked = parted.select("part", column).groupBy("part").applyInArrow(_asking(sieve, bits, steps, column), ASKED)
-    found = asked.join(forms.withColumn("kept", kept), "hash").select("part", "form", "cost", "tag", "lemma", "kept")
+    asked = parted.select("part", *columns).groupBy("part").applyInArrow(_asking(sieve, bits, steps, columns[0]), ASKED)
+    found = asked.join(forms.select("hash", "form", "cost", *answer), "hash").drop("hash")
 
     def both(own: pa.Table, known: pa.Table) -> pa.Table:
         return work(own, known, steps)
@@ -344,7 +411,7 @@ def break_words(words: DataFrame, lexicon: DataFrame, unknown: int = 1000) -> Da
         return pa.table({"word": each, "tokens": _token_lists(each, known, steps, unknown)})
 
     schema = f"word string, tokens {ANALYSED_TOKENS.simpleString()}"
-    return _with_forms(parted, "word", lexicon, F.lit(None).cast("string"), work, schema)
+    return _with_forms(parted, ["word"], lexicon, [F.col("tag"), F.col("lemma")], work, schema)
 
 
 def normalize_by_lexicon(
@@ -362,6 +429,7 @@ def normalize_by_lexicon(
     one, gives "".
     """
     reviews = df.select(F.col("id").cast("string").alias("id"), F.col(text).alias("original_text"))
+    reviews = stored(reviews, "texts")
     parted = _dealt(reviews, F.coalesce(F.octet_length("original_text"), F.lit(0)) + 16, ["id", "original_text"])
     parted = parted.withColumn("words", words_in(parted, "original_text"))
     token = F.struct("form", "tag", "lemma")
@@ -382,4 +450,6 @@ def normalize_by_lexicon(
         )
 
     schema = "id string, original_text string, normalized_text string"
-    return _with_forms(parted, "words", lexicon, F.get(kept_lemmas(F.array(token), stopwords), F.lit(0)), work, schema)
+    kept = F.get(kept_lemmas(F.array(token), stopwords), F.lit(0))
+    kept = F.when(kept == F.col("form"), "").otherwise(kept).alias("kept")
+    return _with_forms(parted, ["words", "id"], lexicon, [kept], work, schema)

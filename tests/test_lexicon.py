@@ -5,11 +5,14 @@ from itertools import combinations
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from reviewlens.operators.lexicon import (
     LEAST_BITS,
     UNKNOWN,
+    Spelled,
     _asking,
+    _Found,
     _hashed,
     _sieve,
     break_words,
@@ -134,3 +137,33 @@ def test_texts_in_many_parts(spark, monkeypatch):
     found = normalize_by_lexicon(spark.createDataFrame(rows, "id string, text string"), lexicon, stopwords=[])
     got = sorted((r.id, r.original_text or "", r.normalized_text) for r in found.collect())
     assert got == sorted((i, t or "", "abby c abby abby abby" if t else "") for i, t in rows)
+
+
+def test_texts_are_worked_out_once(spark):
+    """Dealing the texts, asking for their forms and the work share one pass over what makes the texts."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def make(text):
+        made.add(1)
+        return text + "ab"
+
+    rows = [(str(n), f"abc{n}") for n in range(40)]
+    df = spark.createDataFrame(rows, "id string, text string").withColumn("text", make("text"))
+    lexicon = spark.createDataFrame([("ab", "NNG", None, 1)], LEXICON)
+    assert normalize_by_lexicon(df, lexicon, stopwords=[]).collect()[0].normalized_text == "ab ab"
+    assert made.value == len(rows)
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "ab영😀"])
+def test_forms_are_found_at_all_their_places(alphabet):
+    draw = random.Random(4)
+    forms = sorted({"".join(draw.choices(alphabet, k=draw.randint(1, 20))) for _ in range(300)})
+    words = ["", *("".join(draw.choices(alphabet, k=draw.randint(1, 60))) for _ in range(40)), forms[7] * 3]
+    # Forms longer than 8 have beginnings in common.
+    found = _Found(Spelled(pa.array(forms)), prefix_lengths(20))
+    spelled = Spelled(pa.array(["x", *words])[1:])
+    got = sorted((int(at), forms[form]) for at, form in zip(*found.edges(spelled)))
+    joined = [(first, word) for first, word in zip(spelled.first.tolist(), words)]
+    assert got == sorted((n + k, f) for n, word in joined for f in forms for k in range(len(word)) if word.startswith(f, k))
+    assert not len(_Found(Spelled(pa.array([], pa.string())), []).edges(spelled)[0])
