@@ -244,3 +244,64 @@ def test_visits_of_the_neighbour_search(spark, capsys):
     with capsys.disabled():
         print(f"\ncells {len(pivots)}, visited per vector after the first 4: {later / 480:.2f}")
     assert len(pivots) == 22 and later / 480 < 9
+
+
+def test_a_vector_travels_once_to_a_region(spark, monkeypatch):
+    """Without structure each vector meets nearly all others: before, it was sent to each block of each cell."""
+    from reviewlens.operators import neighbours
+
+    sent, across = spark.sparkContext.accumulator(0), neighbours._across
+
+    def counted(*args):
+        search = across(*args)
+
+        def count(key, visitors, hosts):
+            sent.add(visitors.num_rows)
+            return search(key, visitors, hosts)
+
+        return count
+
+    monkeypatch.setattr(neighbours, "_across", counted)
+    draw = np.random.default_rng(5)
+    vectors = {f"{n:03}": draw.normal(size=24) for n in range(500)}
+    found: dict = {}
+    for row in knn_graph(frame(spark, vectors), k=3, block_rows=8, visitor_rows=50).collect():
+        found.setdefault(row.id, {})[row["rank"]] = row.neighbour
+    assert {key: [hits[n] for n in (1, 2, 3)] for key, hits in found.items()} == {
+        key: [other for _, other in hits] for key, hits in brute_force(vectors, 3).items()
+    }
+    sides = int(np.ceil(np.sqrt(4 * spark.sparkContext.defaultParallelism)))
+    # Twice, before and after the bound is set, to at most this many regions; there are 23 cells of three blocks or so.
+    assert 0 < sent.value <= 2 * 500 * (sides + 1)
+
+
+def test_neighbours_closer_than_single_precision_tells(spark):
+    draw = np.random.default_rng(6)
+    vectors = {f"{n:03}": np.ones(6) + draw.normal(size=6) * 3e-4 for n in range(90)}
+    found: dict = {}
+    for row in knn_graph(frame(spark, vectors), k=4, block_rows=16, visitor_rows=16).collect():
+        found.setdefault(row.id, {})[row["rank"]] = row.sim
+    # The reference's own values, which are not rounded to nine places here.
+    units = {key: np.array(v, dtype=np.float32).astype(float) for key, v in vectors.items()}
+    units = {key: v / np.linalg.norm(v) for key, v in units.items()}
+    for key, hits in found.items():
+        wanted = sorted((float(units[key] @ v) for other, v in units.items() if other != key), reverse=True)[:4]
+        assert [hits[n] for n in (1, 2, 3, 4)] == pytest.approx(wanted, abs=1e-14)
+
+
+@pytest.mark.parametrize("rows", [5, 40, 10_000])
+def test_regions_hold_every_block_once(rows):
+    from reviewlens.operators.neighbours import _regions
+
+    draw = np.random.default_rng(7)
+    sizes = draw.integers(0, 60, size=30)
+    blocks = -(-sizes // 8)
+    found = _regions(draw.normal(size=(30, 4)), sizes, blocks, rows)
+    held: dict = {}
+    for cell in range(30):
+        for block in range(blocks[cell]):
+            region = int(np.searchsorted(found.begin, found.first[cell] + block, "right")) - 1
+            assert cell in found.cells[region]
+            held[region] = held.get(region, 0) + sizes[cell] / blocks[cell]
+    assert sorted(held) == list(range(len(found.cells))) and max(held.values()) < rows + 8
+    assert len(held) <= -(-sizes.sum() // rows)
