@@ -10,14 +10,16 @@ the block's width alone.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewlens.functions.tokens import words_in
@@ -26,8 +28,13 @@ from reviewlens.storage import stored
 
 # Directions of a block that are weaker than this share of the strongest are rounding.
 WEAKEST = 1e-12
-# Pairs of text and word in a part of the matrix, but for the rest of the last batch of texts.
-PART_ENTRIES = 1 << 23
+# Pairs of text and word in a part of the matrix, but for the rest of the last slice of texts; and words of a slice,
+# or pairs that are multiplied at a time, but for the rest of the last text.
+PART_ENTRIES, SLICE_ENTRIES = 1 << 22, 1 << 19
+# Words that Spark hands to a task at a time.
+BATCH_BYTES, _BATCHES = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+# Parts, and rows of the block for a part, in a file.
+PARTS_A_FILE, BLOCKS_A_FILE = 1, 4
 
 _MATRIX = "part long, sizes binary, low binary, high binary, counts binary, large binary"
 _PARTS = f"{_MATRIX}, ids array<string>, words array<string>, spread array<int>"
@@ -63,19 +70,40 @@ def _bags(texts: DataFrame) -> DataFrame:
     return single.unionByName(several.select("id", F.col("bag.word").alias("words"), F.col("bag.n").alias("counts")))
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is run meanwhile gets Arrow batches of ``BATCH_BYTES``, unless the session says otherwise."""
+    own = _BATCHES not in spark.conf.getAll
+    if own:
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if own:
+            spark.conf.unset(_BATCHES)
+
+
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per part of the matrix: the texts' sizes, numbers of their words, and how often they come."""
     place, number, held, entries = TaskContext.get().partitionId() << 32, 0, [], 0
     for batch in batches:
-        held.append(_entries(batch))
-        entries += len(held[-1][2])
-        if entries >= PART_ENTRIES:
-            yield _part(place + number, held)
-            number, held, entries = number + 1, [], 0
+        for start, end in _cuts(batch.column(1).value_lengths().to_numpy(zero_copy_only=False)):
+            held.append(_entries(batch.slice(start, end - start)))
+            entries += len(held[-1][2])
+            if entries >= PART_ENTRIES:
+                yield _part(place + number, held)
+                number, held, entries = number + 1, [], 0
     if held:
         yield _part(place + number, held)
 
 
+def _cuts(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of texts with some ``SLICE_ENTRIES`` in all."""
+    slices = (sizes.cumsum() - sizes) // SLICE_ENTRIES
+    starts = np.flatnonzero(np.diff(slices, prepend=-1))
+    yield from itertools.pairwise([*starts.tolist(), len(sizes)])
+
+
 def _entries(batch: pa.RecordBatch) -> tuple:
     """ids, sizes, numbers of words by text, how often they come, and the batch's words."""
     sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
@@ -91,36 +119,45 @@ def _entries(batch: pa.RecordBatch) -> tuple:
         amounts[np.repeat(given.is_valid().to_numpy(zero_copy_only=False), sizes)] = given.flatten().to_numpy()
         keys, at = np.unique(keys[order], return_index=True)
         counts = np.add.reduceat(amounts[order], at) if len(at) else amounts
-    return batch.column(0), np.bincount(keys // width, minlength=len(sizes)), keys % width, counts, coded.dictionary
+    # Eight bytes a pair until the part is full.
+    kind = np.uint32 if counts.max(initial=0) < 1 << 32 else np.int64
+    filled = np.bincount(keys // width, minlength=len(sizes))
+    return batch.column(0), filled, (keys % width).astype(np.uint32), counts.astype(kind), coded.dictionary
+
+
+def _binary(values: np.ndarray) -> pa.Array:
+    """The bytes of numbers as the one row of a column, without a copy."""
+    data = np.ascontiguousarray(values).view(np.uint8).ravel()
+    ends = np.array([0, len(data)], np.int32)
+    return pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(ends), pa.py_buffer(data)])
 
 
 def _part(number: int, held: list[tuple]) -> pa.RecordBatch:
-    ids, sizes, numbers, counts, words = zip(*held, strict=True)
+    ids, sizes, numbers, counts, words = (list(column) for column in zip(*held, strict=True))
+    held.clear()
     coded = pa.concat_arrays(words).dictionary_encode()
-    own, at, mapped = coded.indices.to_numpy(zero_copy_only=False), 0, []
+    own, at, total = coded.indices.to_numpy(zero_copy_only=False), 0, sum(map(len, numbers))
+    spread, mapped = np.zeros(len(coded.dictionary), np.int64), []
     for some, names in zip(numbers, words, strict=True):
-        mapped.append(own[at : at + len(names)][some])
+        mapped.append(own[at : at + len(names)])
+        spread += np.bincount(mapped[-1][some], minlength=len(spread))
         at += len(names)
-    codes, counts = np.concatenate(mapped), np.concatenate(counts)
-    spread = np.bincount(codes, minlength=len(coded.dictionary))
     # Common words get small numbers, whose upper halves are mostly nought and so take no room.
     order = np.argsort(-spread, kind="stable")
-    place = np.empty(len(order), np.int64)
+    place = np.empty(len(order), np.uint32)
     place[order] = np.arange(len(order))
-    codes = place[codes]
-    many = counts > 255
-    row = {
-        "part": number,
-        "sizes": np.concatenate(sizes).astype(np.int64).tobytes(),
-        "low": (codes & 0xFFFF).astype(np.uint16).tobytes(),
-        "high": (codes >> 16).astype(np.uint16).tobytes(),
-        "counts": np.where(many, 0, counts).astype(np.uint8).tobytes(),
-        "large": counts[many].astype(np.int64).tobytes(),
-    }
-    columns = [pa.array([value], pa.int64() if name == "part" else pa.binary()) for name, value in row.items()]
+    low, high, few, large, at = np.empty(total, np.uint16), np.empty(total, np.uint16), np.empty(total, np.uint8), [], 0
+    for n, names in enumerate(mapped):
+        codes, end, many = place[names[numbers[n]]], at + len(numbers[n]), counts[n] > 255
+        low[at:end], high[at:end], few[at:end] = codes & 0xFFFF, codes >> 16, np.where(many, 0, counts[n])
+        large.append(counts[n][many].astype(np.int64))
+        numbers[n] = counts[n] = None
+        at = end
+    row = {"sizes": np.concatenate(sizes).astype(np.int64), "low": low, "high": high, "counts": few}
+    columns = [pa.array([number], pa.int64()), *map(_binary, row.values()), _binary(np.concatenate(large))]
     lists = [pa.concat_arrays(ids), coded.dictionary.take(pa.array(order)), pa.array(spread[order], pa.int32())]
     columns += [pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values) for values in lists]
-    return pa.RecordBatch.from_arrays(columns, names=[*row, "ids", "words", "spread"])
+    return pa.RecordBatch.from_arrays(columns, names=["part", *row, "large", "ids", "words", "spread"])
 
 
 def _vocabulary(parts: DataFrame, total: int, width: int) -> DataFrame:
@@ -143,38 +180,66 @@ def _vocabulary(parts: DataFrame, total: int, width: int) -> DataFrame:
 
 def _cell(table: pa.Table, name: str, kind: type) -> np.ndarray:
     """The numbers in a table's one row."""
-    return np.frombuffer(table[name][0].as_py(), kind)
+    return np.frombuffer(table[name][0].as_buffer(), kind)
 
 
 class _Part:
-    """A part of the matrix: ``codes`` and ``values`` by text."""
+    """A part of the matrix, multiplied by runs of its texts."""
 
     def __init__(self, row: pa.Table, rarity: np.ndarray, length: np.ndarray | None = None) -> None:
-        self.sizes = _cell(row, "sizes", np.int64)
-        self.codes = _cell(row, "low", np.uint16) + (_cell(row, "high", np.uint16).astype(np.int64) << 16)
-        counts = _cell(row, "counts", np.uint8).astype(np.float64)
-        counts[counts == 0] = _cell(row, "large", np.int64)
-        self.filled = self.sizes > 0
-        self.starts = (self.sizes.cumsum() - self.sizes)[self.filled]
-        self.texts, self.words = np.repeat(np.arange(len(self.sizes)), self.sizes), len(rarity)
-        self.values = counts * rarity[self.codes]
-        self.length = np.sqrt(self._by_text(self.values * self.values)) if length is None else length
-        self.values /= self.length[self.texts]
-
-    def _by_text(self, values: np.ndarray) -> np.ndarray:
-        sums = np.zeros(len(self.sizes))
+        self.sizes, self.rarity = _cell(row, "sizes", np.int64), rarity
+        self.low, self.high = _cell(row, "low", np.uint16), _cell(row, "high", np.uint16)
+        self.counts, self.large = _cell(row, "counts", np.uint8), _cell(row, "large", np.int64)
+        self.length = length
+        if length is None:
+            squares = [self._by_text(values * values, own) for _, own, _, values in self._runs()]
+            self.length = np.sqrt(np.concatenate([np.zeros(0), *squares]))
+
+    def _runs(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """For runs of texts: which, their sizes, and the numbers of their words with the values."""
+        at = large = 0
+        for start, end in _cuts(self.sizes):
+            own = self.sizes[start:end]
+            until = at + int(own.sum())
+            codes = self.high[at:until].astype(np.int64) << 16 | self.low[at:until]
+            values = self.counts[at:until].astype(np.float64)
+            many = np.flatnonzero(values == 0)
+            values[many] = self.large[large : large + len(many)]
+            values *= self.rarity[codes]
+            if self.length is not None:
+                values /= np.repeat(self.length[start:end], own)
+            yield slice(start, end), own, codes, values
+            at, large = until, large + len(many)
+
+    def _by_text(self, values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        sums, filled = np.zeros(len(sizes)), sizes > 0
         if len(values):
-            sums[self.filled] = np.add.reduceat(values, self.starts)
+            sums[filled] = np.add.reduceat(values, (sizes.cumsum() - sizes)[filled])
         return sums
 
     def times(self, z: np.ndarray) -> np.ndarray:
-        """The part times a row of numbers for each of its words."""
-        return np.stack([self._by_text(self.values * column[self.codes]) for column in z.T.copy()], axis=1)
+        """The part times numbers for each of its words, a row of them by column."""
+        product = np.zeros((len(self.sizes), len(z)))
+        for texts, own, codes, values in self._runs():
+            for n, column in enumerate(z):
+                product[texts, n] = self._by_text(values * column[codes], own)
+        return product
 
     def transposed(self, q: np.ndarray) -> np.ndarray:
-        """The part's transpose times a row of numbers for each of its texts."""
-        each = [np.bincount(self.codes, self.values * column[self.texts], self.words) for column in q.T.copy()]
-        return np.stack(each, axis=1).astype(np.float64)
+        """The part's transpose times a row of numbers for each of its texts: a row for each column of these."""
+        sums = np.zeros((q.shape[1], len(self.rarity)))
+        for texts, own, codes, values in self._runs():
+            for n, column in enumerate(q[texts].T):
+                sums[n] += np.bincount(codes, values * np.repeat(column, own), len(self.rarity))
+        return sums
+
+
+def _scattered(table: pa.Table, name: str, into: np.ndarray) -> None:
+    """Puts the lists of a column into the columns of ``into`` that ``place`` names, batch by batch."""
+    for batch in table.select(["place", name]).to_batches():
+        own = batch.filter(batch.column(1).is_valid())
+        if len(own):
+            into[:, own.column(0).to_numpy()] = own.column(1).flatten().to_numpy().reshape(len(own), -1).T
 
 
 def _weighted(parts: DataFrame, vocabulary: DataFrame, width: int) -> DataFrame:
@@ -183,7 +248,8 @@ def _weighted(parts: DataFrame, vocabulary: DataFrame, width: int) -> DataFrame:
     def weigh(left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(right["place"].to_numpy())
         rarity = right["rarity"].to_numpy()[order]
-        start = right["y"].combine_chunks().flatten().to_numpy().reshape(-1, width)[order]
+        start = np.empty((width, len(order)))
+        _scattered(right, "y", start)
         shared = np.flatnonzero(right["home"].is_valid().to_numpy()[order])
         part = _Part(left, rarity)
         kept = {
@@ -195,7 +261,7 @@ def _weighted(parts: DataFrame, vocabulary: DataFrame, width: int) -> DataFrame:
             "y": part.times(start),
         }
         for name, values in kept.items():
-            left = left.append_column(name, pa.array([values.tobytes()], pa.binary()))
+            left = left.append_column(name, _binary(values))
         return left
 
     names = [field.split()[0] for field in _MATRIX.split(", ")]
@@ -227,9 +293,9 @@ def _shared_sums(matrix: DataFrame, state: DataFrame, turn: np.ndarray) -> DataF
     def partial(left: pa.Table, right: pa.Table) -> pa.Table:
         part = _Part(left, _cell(left, "rarity", np.float64), _cell(left, "length", np.float64))
         place = _cell(left, "shared", np.int32)
-        sums = part.transposed(_block(right, turn))[place]
+        sums = part.transposed(_block(right, turn))
         keys = [_cell(left, "home", np.int64), _cell(left, "spot", np.int32), np.repeat(left["part"].to_numpy(), len(place))]
-        return pa.table([*keys, place, *sums.T], names=["home", "spot", "part", "place", *names])
+        return pa.table([*keys, place, *(own[place] for own in sums)], names=["home", "spot", "part", "place", *names])
 
     schema = "home long, spot int, part long, place int, " + ", ".join(f"{name} double" for name in names)
     sums = matrix.groupBy("part").cogroup(state.groupBy("part")).applyInArrow(partial, schema)
@@ -247,17 +313,15 @@ def _product(matrix: DataFrame, state: DataFrame, turn: np.ndarray) -> DataFrame
         own = right["y"].is_valid()
         block = _block(right.filter(own), turn)
         sums = part.transposed(block)
-        others = right.filter(right["z"].is_valid())
-        if others.num_rows:
-            sums[others["place"].to_numpy()] = others["z"].combine_chunks().flatten().to_numpy().reshape(-1, width)
+        _scattered(right, "z", sums)
         product = part.times(sums)
         inner = pa.array([(block.T @ product).ravel()], pa.list_(pa.float64()))
-        return pa.table([left["part"], pa.array([product.tobytes()], pa.binary()), inner], names=["part", "y", "inner"])
+        return pa.table([left["part"], _binary(product), inner], names=["part", "y", "inner"])
 
     sums = _shared_sums(matrix, state, turn).withColumn("y", F.lit(None).cast("binary"))
     own = state.select("part", F.lit(-1).alias("place"), F.lit(None).cast("array<double>").alias("z"), "y")
     joined = matrix.groupBy("part").cogroup(sums.unionByName(own).groupBy("part"))
-    return stored(joined.applyInArrow(finish, "part long, y binary, inner array<double>"), "block")
+    return stored(joined.applyInArrow(finish, "part long, y binary, inner array<double>"), "block", BLOCKS_A_FILE)
 
 
 def _total(state: DataFrame, size: int, numbers: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
@@ -321,9 +385,10 @@ def semantic_embeddings(texts: DataFrame, dims: int = 16, extra: int = 8, rounds
     width, values = dims + extra, np.zeros(0)
     # Fewer parts have fewer words in common; splits of the input may be small.
     tasks = 2 * texts.sparkSession.sparkContext.defaultParallelism
-    parts = stored(_bags(texts).coalesce(tasks).mapInArrow(_parts, _PARTS), "parts")
+    with _small_batches(texts.sparkSession):
+        parts = stored(_bags(texts).coalesce(tasks).mapInArrow(_parts, _PARTS), "parts", PARTS_A_FILE)
     worded = _total(parts.select("sizes"), 1, lambda row: np.array([(_cell(row, "sizes", np.int64) > 0).sum()], float))
-    matrix = stored(_weighted(parts, _vocabulary(parts, int(worded[0]), width), width), "matrix")
+    matrix = stored(_weighted(parts, _vocabulary(parts, int(worded[0]), width), width), "matrix", PARTS_A_FILE)
     state, matrix = matrix.select("part", "y"), matrix.drop("y")
     turn = np.eye(width)
     for _ in range(rounds):

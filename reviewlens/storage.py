@@ -33,14 +33,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
     """The rows as a table in the shared folder, for loops that join their own last result.
 
     Spark carries the estimated size of a checkpointed plan on, and estimates of joins multiply from
-    round to round; of a table it knows the size.
+    round to round; of a table it knows the size. Parquet's writer looks at its memory only every 100 rows, and
+    its reader takes thousands of rows at a time: rows of many MB need ``rows_per_file`` (0: any number).
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

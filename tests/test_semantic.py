@@ -2,10 +2,13 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from reviewlens.operators import semantic
 from reviewlens.operators.semantic import semantic_embeddings
@@ -102,3 +105,46 @@ def test_parts_exchange_only_words_of_several_parts(spark, texts, monkeypatch):
         assert np.abs(np.array([got[i] for i in ids]) - wanted).max() < 1e-3
     # 49 words are in several texts; the last table has two parts, and 160 words are a text's own.
     assert rows[-1] == 2 * 49
+
+
+def test_a_part_is_multiplied_in_runs_of_texts(monkeypatch):
+    """A task holds the stored pairs and a run of them as numbers; before, four numbers for each pair."""
+    monkeypatch.setattr(semantic, "SLICE_ENTRIES", 1 << 14)
+    draw = np.random.default_rng(2)
+    many = [["w0"] * 300 + [f"w{n}" for n in draw.integers(0, 3000, size=draw.integers(0, 600))] for _ in range(900)]
+    lists = pa.array(many, pa.list_(pa.string()))
+    counts = pa.nulls(len(many), pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(map(str, range(900))), lists, counts], names=["id", "words", "counts"])
+    cuts = list(semantic._cuts(lists.value_lengths().to_numpy()))
+    assert len(cuts) > 20 and [a for a, _ in cuts[1:]] == [b for _, b in cuts[:-1]] and not list(semantic._cuts(np.zeros(0, int)))
+    row = pa.Table.from_batches([semantic._part(7, [semantic._entries(batch.slice(a, b - a)) for a, b in cuts])])
+    words = row["words"][0].as_py()
+    assert row["ids"][0].as_py() == [str(n) for n in range(900)]
+    rarity = draw.uniform(1, 2, size=len(words))
+    dense = np.array([[bag[w] for w in words] for bag in map(Counter, many)]) * rarity
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    tracemalloc.start()
+    part = semantic._Part(row, rarity)
+    left, right = draw.normal(size=(900, 3)), draw.normal(size=(3, len(words)))
+    found = part.times(right), part.transposed(left)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.abs(found[0] - dense @ right.T).max() < 1e-12 and np.abs(found[1] - left.T @ dense).max() < 1e-12
+    assert peak < 8 * len(part.low)
+
+
+def test_rows_of_many_megabytes_have_files_of_their_own(spark, texts, monkeypatch):
+    """A writer or reader of Parquet holds all rows of a file that has few; each part is a row."""
+    monkeypatch.setattr(semantic, "PART_ENTRIES", 300)
+    monkeypatch.setattr(semantic, "SLICE_ENTRIES", 50)
+    files, store = {}, semantic.stored
+
+    def counted(df, name, *args):
+        table = store(df, name, *args)
+        files[name] = [r["count"] for r in table.groupBy(F.input_file_name()).count().collect()]
+        return table
+
+    monkeypatch.setattr(semantic, "stored", counted)
+    found = semantic.semantic_embeddings(spark.createDataFrame(texts, WIDE).coalesce(1), dims=2, rounds=1)
+    assert found.vectors.count() == 160
+    assert len(files["parts"]) > 4 and set(files["parts"]) == set(files["matrix"]) == {1} and max(files["block"]) <= 4
