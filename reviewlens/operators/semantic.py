@@ -400,9 +400,12 @@ def semantic_embeddings(texts: DataFrame, dims: int = 16, extra: int = 8, rounds
     if turn.shape[1]:
         turn = turn @ _orthonormal(_gram(state, turn))
     if turn.shape[1]:
-        squares, basis = np.linalg.eigh(_inner(_product(matrix, state, turn), turn.shape[1]))
+        state = _product(matrix, state, turn)
+        squares, basis = np.linalg.eigh(_inner(state, turn.shape[1]))
         values = np.sqrt(np.maximum(squares[::-1], 0.0))[:dims]
-        turn = turn @ (basis[:, ::-1][:, :dims] * values)
+        # The matrix times the right singular vectors; what is nothing but rounding has none.
+        known = values > WEAKEST**0.5 * values.max(initial=0.0)
+        turn = basis[:, ::-1][:, :dims] * np.divide(1.0, values, out=np.zeros(len(values)), where=known)
         cubes = _total(state.select("y"), len(values), lambda row: (_block(row, turn) ** 3).sum(axis=0))
         turn = turn * np.where(cubes < 0, -1.0, 1.0)
 
